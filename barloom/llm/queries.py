@@ -5,18 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bit_planes, decontaminate, piece_codec, token_count, url_cascade
-from barloom.llm.common import documents, shared_dir
+from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, suffix_buckets, token_count, url_cascade
+from barloom.llm.common import documents, shared_dir, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85, n=5)
+
+
+def _covered(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + (s["to"] - s["from"]).cast("bigint"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_buckets.remove_repeats(documents(spark, sf_dir), length=200)
+    return cut.select("doc_id", "n_bytes", _covered("spans").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["to"] - s["from"]).cast("bigint"))
+    hit = _covered("spans")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), decontaminate.items_digest(F.col("items")).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
@@ -25,6 +38,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fm_index.remove_earlier(documents(spark, sf_dir), window=50)
+    return cut.select("doc_id", "n_words", _covered("spans").alias("n_removed"), F.sha2(F.array_join(words_column(F.col("kept")), " "), 256).alias("kept_sha256"))
+
+
 #: Sites whose pages are listed; a page is listed by its own host and path.
 LISTED_SITES = ["ads-track.example.com", "casino-win.example.net", "spam-farm.example.org", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net"]
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
@@ -62,7 +80,7 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op5_token_counts, op7_url_filters, op8_bit_plane_ids, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op10_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
