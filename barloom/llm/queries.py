@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, suffix_buckets, token_count, url_cascade
+from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, quality, suffix_buckets, token_count, url_cascade
 from barloom.llm.common import documents, shared_dir, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judged(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85, n=5)
 
@@ -80,7 +85,7 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op10_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
