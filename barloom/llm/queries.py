@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, quality, suffix_buckets, token_count, url_cascade
+from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, pitman_yor, quality, suffix_buckets, token_count, url_cascade
 from barloom.llm.common import documents, shared_dir, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,13 +79,17 @@ def _serial() -> str:
     return uuid.uuid4().hex
 
 
+def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(documents(spark, sf_dir))
+
+
 def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_distribution_divergence, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op9_pitman_yor_scores, op10_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
