@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bytes that separate words: space and \t \n \v \f \r.
 SPACE = "\x20\x09-\x0d"
@@ -69,26 +70,16 @@ def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list], dict]], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow over steps(): make() builds a function of (rows, texts) once a task, which gives columns by name."""
-    out_names = [f.split()[0] for f in _fields(schema)]
-    full = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in keep), schema])
+    added = T.StructType.fromDDL(schema)
+    names = added.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for rows, words in steps(batches):
             got = f(rows, words)
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), *(got[c] for c in out_names)], names=[*keep, *out_names])
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), *(got[c] for c in names)], names=[*keep, *names])
 
-    return df.mapInArrow(run, full)
-
-
-def _fields(schema: str) -> list[str]:
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append(schema[last:i].strip())
-            last = i + 1
-    return [*parts, schema[last:].strip()]
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *added.fields]))
 
 
 def array_of(rows: list, kind: pa.DataType) -> pa.Array:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.anchors import RANGES_SQL, Plan, found_ranges, groups, identified, merged, repeated, shared_only
 from barloom.llm.common import WORD, steps
@@ -186,6 +187,7 @@ def without_earlier(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     rows = identified(docs)
     own = docs.select(F.struct("*").alias("row"), F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("rid"), docs["text"].alias("text"))
     kind = own.schema["row"].dataType
-    cut = own.join(_words_removed(rows, window, gram), "rid", "left").mapInArrow(lambda b: _cutting(b, ["row"]), f"row {kind.simpleString()}, n_words bigint, spans {RANGES_SQL}, kept string")
+    made = T.StructType([own.schema["row"], *T.StructType.fromDDL(f"n_words bigint, spans {RANGES_SQL}, kept string").fields])
+    cut = own.join(_words_removed(rows, window, gram), "rid", "left").mapInArrow(lambda b: _cutting(b, ["row"]), made)
     left = F.aggregate("spans", F.col("n_words"), lambda n, s: n - (s["to"] - s["from"]))
     return cut.where((left > 0) | (F.size("spans") == 0)).select(*(F.col("kept").alias(f.name) if f.name == "text" else F.col("row")[f.name].alias(f.name) for f in kind.fields))

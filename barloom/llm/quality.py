@@ -141,14 +141,14 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(row: all columns of docs, doc_id, the base measures, base_failed, class_distance, word_distance, kept).
+    """(rid: hash of doc_id, text and lang, doc_id, lang, the base measures, base_failed, class_distance, word_distance, kept).
 
     docs needs doc_id, text and lang. Null and empty texts have no words and
     fail the base rules. Rows of a null or unlisted language are compared by
     character classes alone, null languages with each other. Distances are null
     where a histogram is empty; a text below the length guards passes.
     """
-    own = docs.select(docs["doc_id"], docs["text"], docs["lang"].cast("string").alias("lang"))
+    own = docs.select(_rid(docs).alias("rid"), docs["doc_id"], docs["text"], docs["lang"].cast("string").alias("lang"))
     rows = settle(measures(own).drop("text"), "quality")
     passed = rows.where(~F.col("base_failed"))
     sums = lambda c, n: F.when(F.count(c) > 0, F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(n))))
@@ -159,3 +159,13 @@ def judged(docs: DataFrame) -> DataFrame:
     chars = F.aggregate("classes", F.lit(0.0), lambda a, v: a + v)
     odd = ((chars >= LEAST_CHARS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_COMPARED_WORDS) & (F.col("word_distance") > MOST_WORD_DISTANCE))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
+
+
+def _rid(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"], docs["lang"].cast("string"))
+
+
+def good_rows(docs: DataFrame) -> DataFrame:
+    """docs, with all its columns, without the rows that judged() rejects."""
+    gone = judged(docs).where(~F.col("kept")).select(F.col("rid").alias("__gone")).distinct()
+    return docs.join(gone, _rid(docs) == F.col("__gone"), "left_anti")
