@@ -7,13 +7,14 @@
    bucket, another one in each band, rather than with all. The signatures'
    equal fields, counted by bits and corrected for chance, sift the pairs.
 4. Of each class the likeliest pair is confirmed on the full sets, components
-   are joined, pairs inside a component go, and so on until no pair is left.
+   are joined, pairs inside a component go, and so on with more of the pairs
+   that are left, until none is.
 5. Buckets that still hold several components give the pairs between them
-   whose signatures agree; these go through step 4 as well, so no link between
-   different texts depends on the choice in step 3.
+   whose finer sketches agree; these go through step 4 as well, so no link
+   between different texts depends on the choice in step 3.
 
 With 32 bands of 4 a pair at the threshold of 0.85 shares no bucket once in
-2e10 cases; the sift is six standard deviations wide.
+2e10 cases; the sift is five standard deviations wide.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import WordHashes, array_of, arrow_map, lower_ascii, scramble, settle, texts, window_hashes, words_of
 from barloom.llm.components import components
 
 K, R, BITS, WORDS = 128, 4, 4, 5
-SLACK = 0.2
-_A = np.random.default_rng(7).integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(8).integers(0, 2**63, K, dtype=np.uint64)
-_NIBBLES = np.uint64(0x1111111111111111)
+SLACK = 0.17
+#: Likeliest pairs of a class that each round confirms at most, from the second round on times this number.
+WIDER = 6
+#: The finer sketch of classes in buckets of several components: minima and bits; its sift; bands that give buckets there.
+FINE_K, FINE_BITS, FINE_SLACK, FINE_BANDS = 1024, 2, 0.053, 16
+_A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(8).integers(0, 2**63, FINE_K, dtype=np.uint64)
 
 
 def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -44,11 +48,12 @@ def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray
     return np.unique(window_hashes(hashes.of(words), min(n, len(words))) ^ np.uint64(min(n, len(words))))
 
 
-def minima(items: np.ndarray) -> np.ndarray:
-    low = np.full(K, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(items), 2048):
-        part = items[at : at + 2048]
-        np.minimum(low, ((part[None, :] ^ _B[:, None]) * _A[:, None]).min(axis=1), out=low)
+def minima(items: np.ndarray, k: int = K) -> np.ndarray:
+    low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, 262_144 // k)
+    for at in range(0, len(items), step):
+        part = items[at : at + step]
+        np.minimum(low, ((part[None, :] ^ _B[:k, None]) * _A[:k, None]).min(axis=1), out=low)
     return low
 
 
@@ -60,10 +65,10 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signature(low: np.ndarray) -> np.ndarray:
-    """The low BITS of each minimum, 16 to a 64-bit word."""
-    fields = (scramble(low) & np.uint64(15)).reshape(-1, 16)
-    return np.bitwise_or.reduce(fields << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
+def signature(low: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of each minimum, packed into 64-bit words."""
+    fields = (scramble(low) & np.uint64((1 << bits) - 1)).reshape(-1, 64 // bits)
+    return np.bitwise_or.reduce(fields << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64)
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -119,33 +124,52 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, n: int) -> DataF
 
 
 def _between(cutoff: float, percent: int):
-    """applyInArrow over a bucket (key, cid, label, n, sig): likely pairs of different components."""
-    chance = 2.0**-BITS
+    """applyInArrow over a bucket (key, cid, label, n, fine): likely pairs of different components.
+
+    Each class outside the bucket's largest component is held against all
+    others at once, by bit counts of the finer sketches; only likely pairs leave.
+    """
+    chance = 2.0**-FINE_BITS
+    low_bits = np.uint64(0x5555555555555555)
 
     def pairs(table: pa.Table) -> pa.Table:
         cid, label, n = (np.asarray(table[c].combine_chunks()) for c in ("cid", "label", "n"))
-        sig = np.asarray(table["sig"].combine_chunks().flatten()).view(np.uint64).reshape(len(cid), -1)
+        sig = np.asarray(table["fine"].combine_chunks().flatten()).view(np.uint64).reshape(len(cid), -1)
         kinds, count = np.unique(label, return_counts=True)
-        out_a, out_b = [], []
+        out_a, out_b, out_est = [], [], []
         rest = np.flatnonzero(label != kinds[count.argmax()])
         place = np.full(len(cid), -1)
         place[rest] = np.arange(len(rest))
         for k, i in enumerate(rest.tolist()):
-            d = sig ^ sig[i]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            unequal = np.bitwise_count(d & _NIBBLES).sum(axis=1)
-            est = ((1 - unequal / K) - chance) / (1 - chance)
             small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-            hit = (est >= cutoff) & (label != label[i]) & (100 * small >= percent * large) & (place < k)
+            near = np.flatnonzero((label != label[i]) & (100 * small >= percent * large) & (place < k))
+            d = sig[near] ^ sig[i]
+            unequal = np.bitwise_count((d | (d >> np.uint64(1))) & low_bits).sum(axis=1)
+            est = ((1 - unequal / FINE_K) - chance) / (1 - chance)
+            hit = near[est >= cutoff]
             out_a.append(np.minimum(cid[hit], cid[i]))
             out_b.append(np.maximum(cid[hit], cid[i]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(out_a), "b": cat(out_b)})
+            out_est.append(est[est >= cutoff])
+        cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
+        return pa.table({"a": cat(out_a, pa.int64()), "b": cat(out_b, pa.int64()), "est": cat(out_est, pa.float64())})
 
     return pairs
 
 
+def _fine(held: DataFrame, n: int) -> DataFrame:
+    """(cid, fine) of held (cid, text)."""
+
+    def make():
+        hashes = WordHashes()
+
+        def step(rows: pa.RecordBatch, words: list) -> dict:
+            return {"fine": array_of([signature(minima(shingles(t, hashes, n), FINE_K), FINE_BITS) for t in words], pa.int64())}
+
+        return step
+
+    return arrow_map(held, make, "fine array<bigint>", keep=("cid",))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
@@ -169,16 +193,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     near = settle(_sifted(near, nodes, cutoff, percent), "pairs")
 
     labels = spark.createDataFrame([], "node bigint, label bigint")
-    labels = _confirm_all(near, labels, docs, nodes, percent, n)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    labels = _confirm_all(near, labels, settle(_texts_of(docs, nodes, wanted, n), "texts"), percent, n)
 
-    own = nodes.select("cid", "n", "sig", "bands").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    in_buckets = own.select("cid", "label", F.explode("bands").alias("key")).join(hubs.select("key"), "key", "left_semi")
+    own = nodes.select("cid", "n", "bands").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    in_buckets = own.select("cid", "n", "label", F.explode(F.slice("bands", 1, FINE_BANDS)).alias("key")).join(hubs.select("key"), "key", "left_semi")
     mixed = in_buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key")
-    members = in_buckets.join(mixed, "key").join(own.select("cid", "n", "sig"), "cid").select("key", "cid", "label", "n", "sig")
-    more = members.groupBy("key").applyInArrow(_between(cutoff, percent), "a bigint, b bigint").distinct()
+    members = settle(in_buckets.join(mixed, "key"), "mixed")
+    held = settle(_texts_of(docs, nodes, members.select("cid").distinct(), n), "texts")
+    fine = settle(_fine(held, n), "fine")
+    more = members.join(fine, "cid").select("key", "cid", "label", "n", "fine").groupBy("key").applyInArrow(_between(percent / 100 - FINE_SLACK, percent), "a bigint, b bigint, est double")
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(_sifted(more.join(tried, ["a", "b"], "left_anti"), nodes, cutoff, percent), "more")
-    labels = _confirm_all(more, labels, docs, nodes, percent, n)
+    more = settle(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(tried, ["a", "b"], "left_anti"), "more")
+    labels = _confirm_all(more, labels, held, percent, n)
 
     firsts = nodes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
     smallest = firsts.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -196,21 +223,18 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, cutoff: float, percent: int) ->
     return both.where(fits).select("a", "b", similarity(F.col("a_sig"), F.col("b_sig")).alias("est")).where(F.col("est") >= cutoff)
 
 
-def _confirm_all(pairs: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataFrame:
-    """Confirm pairs until each is a link, is refuted or lies inside a component: (node, label), from the labels so far."""
+def _confirm_all(pairs: DataFrame, labels: DataFrame, held: DataFrame, percent: int, n: int) -> DataFrame:
+    """Confirm pairs on the texts held until each is a link, is refuted or lies inside a component: (node, label), from the labels so far."""
     rounds, alone = 0, labels.isEmpty()
     if pairs.isEmpty():
         return labels
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = nodes.join(ids, "cid", "left_semi").select("cid", "doc_id")
-    held = settle(_texts_of(docs, wanted, n), "texts")
     left = pairs
     while True:
         side = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
         if rounds or not alone:
             left = left.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b", "est")
-        best = left.groupBy("b").agg(F.max(F.struct("est", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-        best = settle(best, "best")
+        likeliest = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
+        best = settle(left.withColumn("place", likeliest).where(F.col("place") <= WIDER**rounds).select("a", "b"), "best")
         if best.isEmpty():
             return labels
         new = settle(_confirmed(best, held, percent, n), "links")
@@ -218,9 +242,9 @@ def _confirm_all(pairs: DataFrame, labels: DataFrame, docs: DataFrame, nodes: Da
         labels, rounds = components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), rounds + 1
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, text) for each wanted (cid, doc_id); if an id repeats, the text whose set is the class's."""
-    joined = texts(docs).join(wanted, "doc_id")
+def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(cid, text) of each wanted cid; if its document's id repeats, the text whose set is the class's."""
+    joined = texts(docs).join(nodes.join(wanted, "cid", "left_semi").select("cid", "doc_id"), "doc_id")
 
     def make():
         hashes = WordHashes()
