@@ -1 +1,172 @@
-"""Queries."""
+"""Queries of the cross-asset graph, market aggregates and price profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions import calendar
+from barloom.operators import graph, profile
+from barloom.operators import indicators as ind
+from barloom.plans.indicator_queries import SESSION, TR, over
+from barloom.plans.registry import hourly, query, returns
+
+PAIR = "(PARTITION BY a, b ORDER BY dt ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
+PAIRS = "(SELECT x.dt, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y FROM rets x JOIN rets y ON x.dt = y.dt AND x.symbol < y.symbol)"
+CORR = f"(SELECT dt, a, b, CASE WHEN n >= 10 THEN 0.85 * least(greatest(cv / (greatest(sx, 1e-10) * greatest(sy, 1e-10)), -1), 1) END AS corr FROM (SELECT dt, a, b, count(*) OVER {PAIR} AS n, covar_pop(x, y) OVER {PAIR} AS cv, stddev_pop(x) OVER {PAIR} AS sx, stddev_pop(y) OVER {PAIR} AS sy FROM {PAIRS}))"
+DIST = f"(SELECT *, sqrt(greatest(2 * (1 - corr), 1e-10)) AS dist FROM {CORR} WHERE corr IS NOT NULL)"
+ADJ = f"(SELECT e.*, exp(-dist * dist / (2 * sigma * sigma)) AS adj FROM {DIST} e JOIN (SELECT dt, CASE WHEN quantile_cont(dist, 0.5) > 1e-10 THEN quantile_cont(dist, 0.5) WHEN avg(dist) > 1e-10 THEN avg(dist) ELSE 1 END AS sigma FROM {DIST} GROUP BY 1) s ON e.dt = s.dt)"
+BOTH = "(SELECT dt, a AS symbol, b AS other, {0} FROM {1} UNION ALL SELECT dt, b, a, {0} FROM {1})"
+NODES = f"(SELECT r.dt, r.symbol, degree, coalesce(r.ret - pull / nullif(degree, 0), 0) AS residual FROM (SELECT e.dt, e.symbol, sum(adj) AS degree, sum(adj * q.ret) AS pull FROM {BOTH.format('adj', ADJ)} e JOIN rets q ON q.dt = e.dt AND q.symbol = e.other GROUP BY 1, 2) n JOIN rets r ON r.dt = n.dt AND r.symbol = n.symbol)"
+
+
+def _rets(spark: SparkSession, d: str) -> DataFrame:
+    return returns(spark, d).select("symbol", "dt", "ret")
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.gaussian_adjacency(graph.rolling_corr(_rets(spark, d)))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_residual(_edges(spark, d), _rets(spark, d))
+
+
+@query("rolling_corr", "dt:t a:s b:s corr:d", f"SELECT * FROM {CORR}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.rolling_corr(_rets(spark, d))
+
+
+@query("mantegna_distance", "dt:t a:s b:s dist:d", f"SELECT * FROM {DIST}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.rolling_corr(_rets(spark, d)).where("corr is not null").withColumn("dist", graph.mantegna_distance(F.col("corr")))
+
+
+@query("gaussian_adjacency", "dt:t a:s b:s adj:d", f"SELECT * FROM {ADJ}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d)
+
+
+@query("node_residual", "dt:t symbol:s degree:d residual:d", f"SELECT * FROM {NODES}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d)
+
+
+@query("laplacian_spectrum", "dt:t gap:d beta0:i beta1:i h1:d trace:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    return graph.held_spectrum(e.select("dt").distinct(), graph.laplacian_spectrum(e))
+
+
+@query("regime_class", "dt:t regime:s")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = graph.laplacian_spectrum(_edges(spark, d))
+    return s.withColumn("regime", graph.regime_class(F.col("gap"), F.col("beta0"), F.col("beta1"), F.col("h1"), 5))
+
+
+@query("graph_features_8", "dt:t res_mean:d res_std:d res_max:d corr_abs:d n_edges:i", f"SELECT * FROM (SELECT dt, avg(residual) AS res_mean, stddev_pop(residual) AS res_std, max(abs(residual)) AS res_max FROM {NODES} GROUP BY 1) JOIN (SELECT dt, avg(abs(corr)) AS corr_abs, count(*) AS n_edges FROM {ADJ} GROUP BY 1) USING (dt)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_features(_edges(spark, d), _nodes(spark, d))
+
+
+STATIC = f"(SELECT a, b, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS corr FROM {PAIRS} GROUP BY 1, 2 HAVING count(*) >= 16)"
+
+
+@query("static_graph", "a:s b:s n:i corr:d", f"SELECT * FROM {STATIC}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.static_graph(_rets(spark, d))
+
+
+CLASS = "CASE WHEN symbol IN ('view', 'click') THEN 'browse' ELSE 'act' END"
+
+
+@query("typed_edges", "kind:s src:s dst:s weight:d", f"WITH m AS (SELECT DISTINCT symbol, {CLASS} AS class FROM bars), s AS (SELECT DISTINCT symbol, {SESSION.format('dt')} AS session FROM bars), u AS (SELECT 'corr' AS kind, a, b, abs(corr) AS w FROM {STATIC} UNION ALL SELECT DISTINCT 'class', x.symbol, y.symbol, 1.0 FROM m x JOIN m y ON x.class = y.class AND x.symbol < y.symbol UNION ALL SELECT DISTINCT 'session', x.symbol, y.symbol, 1.0 FROM s x JOIN s y ON x.session = y.session AND x.symbol < y.symbol), f AS (SELECT kind, a AS src, b AS dst, w FROM u UNION ALL SELECT kind, b, a, w FROM u) SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS weight FROM f")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = _rets(spark, d)
+    members = r.select("symbol", F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act").alias("class")).distinct()
+    sessions = r.select("symbol", calendar.session_code(F.col("dt")).alias("session")).distinct()
+    return graph.typed_edges(graph.static_graph(r), members, sessions)
+
+
+@query("laggard_features_6", "dt:t symbol:s nb_momentum:d nb_vol:d strength:d lag_residual:d laggard:d", f"SELECT n.dt, n.symbol, nb_momentum, nb_vol, strength, nb_momentum - r.ret AS lag_residual, coalesce((nb_momentum - r.ret) / (nb_vol + 1e-10), 0) * strength AS laggard FROM (SELECT e.dt, e.symbol, sum(corr * q.ret) / nullif(sum(abs(corr)), 0) AS nb_momentum, stddev_pop(q.ret) AS nb_vol, avg(abs(corr)) AS strength FROM {BOTH.format('corr', CORR)} e JOIN rets q ON q.dt = e.dt AND q.symbol = e.other WHERE corr IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) n JOIN rets r ON r.dt = n.dt AND r.symbol = n.symbol")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = _rets(spark, d)
+    return graph.laggard_features(graph.rolling_corr(r), r).where("nb_vol > 0")
+
+
+@query("bucket_stats", "dt:t bucket:s trend:d dispersion:d stress:d", f"SELECT dt, {CLASS} AS bucket, avg(ret) AS trend, stddev_pop(ret) AS dispersion, avg(sp / c + 1 / sqrt(tk + 1)) AS stress FROM rets GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(spark, d).withColumns({"real": F.lit(True), "stress": F.col("sp") / F.col("c") + 1 / F.sqrt(F.col("tk") + 1)})
+    members = r.select("symbol", F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act").alias("bucket")).distinct()
+    return graph.bucket_stats(r, members)
+
+
+@query("global_regime_stress", "dt:t stress:d regime:i", "WITH p AS (SELECT dt, quantile_cont(abs(ret), 0.5) AS stress FROM rets GROUP BY 1), q AS (SELECT quantile_cont(stress, 0.5) AS a, quantile_cont(stress, 0.75) AS b, quantile_cont(stress, 0.9) AS c FROM p) SELECT dt, stress, CASE WHEN stress <= a THEN 1 WHEN stress <= b THEN 2 WHEN stress <= c THEN 3 ELSE 4 END AS regime FROM p, q")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.global_regime_stress(_rets(spark, d))
+
+
+@query("basket_index", "dt:t basket:d", "SELECT dt, sum(w * ret) / sum(abs(w)) AS basket FROM (SELECT dt, ret, CASE symbol WHEN 'view' THEN 0.5 WHEN 'click' THEN -0.3 WHEN 'purchase' THEN 0.2 END AS w FROM rets) WHERE w IS NOT NULL GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = F.when(F.col("symbol") == "view", 0.5).when(F.col("symbol") == "click", -0.3).when(F.col("symbol") == "purchase", 0.2)
+    r = _rets(spark, d)
+    return graph.basket_index(r, r.select("symbol").distinct().withColumn("w", w).where("w is not null"))
+
+
+@query("net_score", "dt:t net:d", f"SELECT dt, (count(*) FILTER (residual > 1e-4) - count(*) FILTER (residual < -1e-4)) / count(*) AS net FROM {NODES} GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.net_score(_nodes(spark, d))
+
+
+@query("agreement_ratio", "dt:t agreement:d", "WITH s AS (SELECT dt, sign(ret)::INT AS direction, least(abs(ret), 1) AS conf FROM rets), n AS (SELECT dt, sign(sum(direction)) AS net FROM s WHERE conf >= 0.3 GROUP BY 1) SELECT s.dt, avg(CASE WHEN direction = net THEN 1.0 ELSE 0.0 END) AS agreement FROM s JOIN n ON s.dt = n.dt WHERE conf >= 0.3 GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.agreement_ratio(_rets(spark, d).select("dt", F.signum("ret").cast("int").alias("direction"), F.least(F.abs("ret"), F.lit(1.0)).alias("confidence")), 0.3)
+
+
+@query("region_influence", "dt:t target:s pull:d", "SELECT dt, target, avg(ret) AS pull FROM rets JOIN (SELECT DISTINCT x.symbol AS source, y.symbol AS target FROM bars x, bars y WHERE x.symbol < y.symbol) ON source = symbol GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = _rets(spark, d)
+    s = r.select("symbol").distinct()
+    influence = s.select(F.col("symbol").alias("source")).join(F.broadcast(s.select(F.col("symbol").alias("target"))), F.col("source") < F.col("target"))
+    return graph.region_influence(r, influence)
+
+
+@query("top_mispricings", "dt:t symbol:s residual:d side:s", f"SELECT dt, symbol, residual, CASE WHEN residual < -1e-4 THEN 'LONG' WHEN residual > 1e-4 THEN 'SHORT' ELSE 'FLAT' END AS side FROM {NODES} ORDER BY abs(residual) DESC, dt, symbol LIMIT 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("residual")
+    n = _nodes(spark, d).withColumn("side", F.when(r < -1e-4, "LONG").when(r > 1e-4, "SHORT").otherwise("FLAT"))
+    return n.orderBy(F.abs("residual").desc(), "dt", "symbol").limit(10)
+
+
+@query("cross_bridge_features", "dt:t symbol:s ret:d trend:d basket:d gate:d", f"SELECT r.dt, r.symbol, r.ret, t.trend, k.basket, CASE WHEN isodow(r.dt) >= 6 THEN 0.0 ELSE 1.0 END AS gate FROM rets r LEFT JOIN (SELECT dt, avg(ret) AS trend FROM rets WHERE {CLASS} = 'act' GROUP BY 1) t ON r.dt = t.dt LEFT JOIN (SELECT dt, avg(ret) AS basket FROM rets WHERE {CLASS} = 'browse' GROUP BY 1) k ON r.dt = k.dt")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = _rets(spark, d)
+    side = F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act")
+    per = r.groupBy("dt").agg(F.avg(F.when(side == "act", F.col("ret"))).alias("trend"), F.avg(F.when(side == "browse", F.col("ret"))).alias("basket"))
+    return r.join(per, "dt", "left").withColumn("gate", F.when(F.weekday("dt") >= 5, 0.0).otherwise(1.0))
+
+
+@query("feature_matrix_wide", "dt:t click:d error:d purchase:d signup:d view:d label:i", "SELECT * FROM (SELECT dt, " + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN ret END) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + ", max(CASE WHEN symbol = 'view' THEN up END) AS label, row_number() OVER (ORDER BY dt) AS rn FROM (SELECT *, CASE WHEN lead(c) OVER (PARTITION BY symbol ORDER BY dt) > c THEN 1 WHEN lead(c) OVER (PARTITION BY symbol ORDER BY dt) <= c THEN 0 END AS up FROM rets) GROUP BY dt) WHERE rn > 120 AND (rn - 120) % 15 = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    r = returns(spark, d).withColumn("up", (F.lead("c").over(ind.W) > F.col("c")).cast("int"))
+    wide = r.groupBy("dt").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(F.max("ret"))
+    label = r.where("symbol = 'view'").select("dt", F.col("up").alias("label"))
+    rn = F.row_number().over(Window.orderBy("dt"))
+    return wide.join(label, "dt", "left").withColumn("rn", rn).where("rn > 120 and (rn - 120) % 15 = 1")
+
+
+@query("tpo_profile", "symbol:s dt:t poc:d vah:d val:d balance:d dist_poc:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.tpo_profile(ind.atr_series(hourly(spark, d)), "atr_series")
+
+
+@query("tpo_memory_8", "symbol:s dt:t tpo_support:d tpo_resistance:d tpo_rejection:d tpo_poc_drift:d tpo_overlap:d tpo_balance:d tpo_dist_poc:d tpo_width:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.tpo_memory(ind.atr_series(hourly(spark, d)), "atr_series")
+
+
+@query("tpo_bins", "symbol:s dt:t bin:i n:i", f"WITH w AS (SELECT symbol, dt, min(l) OVER {over(47)} AS lo, max(h) OVER {over(47)} AS hi, list({{'h': h, 'l': l}}) OVER {over(47)} AS x FROM bars), e AS (SELECT symbol, dt, lo, (hi - lo) / 16 AS width, unnest(x) AS x FROM w WHERE hi > lo), b AS (SELECT symbol, dt, unnest(generate_series(least(floor((x.l - lo) / width), 15)::INT, least(floor((x.h - lo) / width), 15)::INT)) AS bin FROM e) SELECT symbol, dt, bin, count(*) AS n FROM b GROUP BY 1, 2, 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return profile.profile_bins(hourly(spark, d))

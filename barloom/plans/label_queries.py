@@ -1 +1,93 @@
-"""Queries."""
+"""Queries of labels and folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.operators import indicators as ind
+from barloom.operators import labels
+from barloom.plans.indicator_queries import ALL, KEY, TR, over
+from barloom.plans.registry import hourly, query, returns
+
+
+@query("label_next_bar", f"{KEY} label:i", f"SELECT symbol, dt, CASE WHEN lead(c) OVER {ALL} > c THEN 1 WHEN lead(c) OVER {ALL} <= c THEN 0 END AS label FROM bars")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_next_bar(hourly(spark, d))
+
+
+FWD = f"(SELECT *, ln(lead(c) OVER {ALL} / c) AS fwd FROM bars)"
+
+
+@query("forward_return", f"{KEY} fwd:d fwd_class:i", f"SELECT symbol, dt, fwd, CASE WHEN fwd > 1e-4 THEN 2 WHEN fwd < -1e-4 THEN 0 WHEN fwd IS NOT NULL THEN 1 END AS fwd_class FROM {FWD}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.forward_return(hourly(spark, d))
+
+
+@query("label_threshold", f"{KEY} fwd_sum:d label:i", "SELECT symbol, dt, s AS fwd_sum, CASE WHEN s - sp / c > 0.5 THEN 2 WHEN s + sp / c < -0.5 THEN 0 ELSE 1 END AS label FROM (SELECT *, CASE WHEN count(*) OVER w = 5 THEN sum(ret) OVER w END AS s FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_threshold(hourly(spark, d), 5, 0.5)
+
+
+@query("label_quantile", f"{KEY} label:i", f"SELECT symbol, dt, CASE WHEN rn <= floor(n * 30 / 100) THEN 0 WHEN rn > n - floor(n * 30 / 100) THEN 2 ELSE 1 END AS label FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fwd, dt) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM {FWD} WHERE fwd IS NOT NULL)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_quantile(hourly(spark, d), 30)
+
+
+AHEAD = "(PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)"
+
+
+@query("label_triple_barrier", f"{KEY} barrier:d label:i barrier_valid:b", f"""
+  WITH a AS (SELECT *, greatest(2 * sp, CASE WHEN rn >= 3 THEN 0.35 * avg(tr) OVER {over(13)} END) AS barrier, CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END AS atr, list({{'h': h, 'l': l, 'x': c}}) OVER {AHEAD} AS w FROM {TR}),
+  t AS (SELECT *, list_filter(list_transform(coalesce(w, []), lambda x: CASE WHEN x.h >= c + barrier AND x.l <= c - barrier THEN sign(x.x - c) WHEN x.h >= c + barrier THEN 1 WHEN x.l <= c - barrier THEN -1 ELSE 0 END), lambda v: v <> 0) AS hits FROM a)
+  SELECT symbol, dt, barrier, CASE WHEN barrier IS NOT NULL THEN coalesce(hits[1], 0) END AS label, rn - 1 >= 14 AND len(coalesce(w, [])) = 6 AND atr IS NOT NULL AS barrier_valid FROM t""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_triple_barrier(ind.atr_series(hourly(spark, d)), 6, "atr_series")
+
+
+@query("label_smooth", f"{KEY} smooth:d", f"SELECT symbol, dt, CASE WHEN lead(c) OVER {ALL} > c THEN 1 ELSE 0 END * 0.9 + 0.05 AS smooth FROM bars")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_next_bar(hourly(spark, d)).withColumn("smooth", labels.label_smooth(F.coalesce("label", F.lit(0)), 0.1))
+
+
+@query("label_entry_scalp", f"{KEY} entry:i", "SELECT symbol, dt, CASE WHEN tk >= 2 AND least(abs(ret), 1) >= 0.48 AND 1 / sqrt(tk + 1) >= 0.2 THEN 1 ELSE 0 END AS entry FROM rets")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return returns(spark, d).withColumn("entry", labels.label_entry(F.least(F.abs("ret"), F.lit(1.0)), 1 / F.sqrt(F.col("tk") + 1), F.col("tk") >= 2))
+
+
+@query("valid_rows", KEY, "SELECT symbol, dt FROM (SELECT symbol, dt, tk > 1 AS real, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n, sum(CASE WHEN tk > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS r FROM bars) WHERE real AND rn >= 32 AND rn < n - 6 AND r >= 32")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.valid_rows(hourly(spark, d).withColumn("real", F.col("tk") > 1))
+
+
+def _blocks(block: str) -> str:
+    return f"""WITH n AS (SELECT dt, dense_rank() OVER (ORDER BY b) - 1 AS blk, row_number() OVER (ORDER BY dt) AS bar FROM (SELECT DISTINCT dt, {block} AS b FROM bars)),
+      f AS (SELECT blk AS fold, max(bar) AS train_end, (SELECT max(blk) - 1 FROM n) AS last FROM n GROUP BY 1 HAVING blk < (SELECT max(blk) - 1 FROM n)),
+      p AS (SELECT dt, fold, CASE WHEN blk > last THEN 'holdout' WHEN blk = fold + 1 THEN 'valid' WHEN bar <= train_end - 5 THEN 'train' END AS part FROM n JOIN f ON blk <= fold + 1 OR blk > last)
+      SELECT fold, symbol, b.dt, part FROM bars b JOIN p ON b.dt = p.dt WHERE part IS NOT NULL"""
+
+
+WEEKLY = _blocks("date_trunc('week', dt)")
+FOLD = "fold:i symbol:s dt:t part:s"
+
+
+@query("folds_walkforward", FOLD, WEEKLY)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.folds_walkforward(hourly(spark, d))
+
+
+@query("folds_overlap_days", FOLD, _blocks("day(dt) // 10"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.folds_by_block(hourly(spark, d), F.floor(F.dayofmonth("dt") / 10))
+
+
+@query("folds_timeseries", FOLD, """WITH t AS (SELECT DISTINCT dt FROM bars), s AS (SELECT floor(count(*) / 5) AS size FROM t), n AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS bar, size, floor((row_number() OVER (ORDER BY dt) - 1) / size) AS blk FROM t, s),
+  p AS (SELECT dt, fold, CASE WHEN blk = fold THEN 'valid' WHEN bar < fold * size - 5 THEN 'train' END AS part FROM n, (SELECT unnest([1, 2, 3, 4]) AS fold)) SELECT fold, symbol, b.dt, part FROM bars b JOIN p ON b.dt = p.dt WHERE part IS NOT NULL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return labels.folds_timeseries(hourly(spark, d))
+
+
+@query("train_only_scaler", "fold:i symbol:s dt:t part:s scaled:d", f"WITH f AS ({WEEKLY}), j AS (SELECT f.*, c FROM f JOIN bars USING (symbol, dt)), s AS (SELECT fold, avg(c) AS m, stddev_pop(c) AS s FROM j WHERE part = 'train' GROUP BY 1) SELECT j.fold, symbol, dt, part, (c - m) / (s + 1e-10) AS scaled FROM j JOIN s ON j.fold = s.fold")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = hourly(spark, d)
+    return labels.train_only_scaler(b.select("symbol", "dt", "c"), labels.folds_walkforward(b), "c")
