@@ -1 +1,136 @@
-"""Queries."""
+"""Queries of scores, folds, ledgers and portfolios."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.operators import metrics
+from barloom.plans.indicator_queries import CURVE, curve
+from barloom.plans.registry import ledger, query, scored, table
+
+
+@query("binary_scores", "n:i log_loss:d brier:d accuracy:d", "SELECT count(*) AS n, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss, avg((p - y) * (p - y)) AS brier, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM (SELECT *, least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM scored)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.classification(scored(spark, d))
+
+
+@query("calibration_curve", "bin:i n:i mean_p:d rate:d", "SELECT least(floor(p * 8), 7) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM scored GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.calibration_curve(scored(spark, d), 8)
+
+
+@query("ece", "ece:d", "SELECT sum(n * abs(mean_p - rate)) / sum(n) AS ece FROM (SELECT least(floor(p * 8), 7) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM scored GROUP BY 1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ece(scored(spark, d), 8)
+
+
+@query("auc", "symbol:s auc:d", "SELECT symbol, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p, id)::DOUBLE AS r FROM scored) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.auc(scored(spark, d), ["symbol"])
+
+
+@query("auc_average_ties", "symbol:s auc:d", "SELECT symbol, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2 AS r FROM scored) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.auc(scored(spark, d), ["symbol"], ties="average")
+
+
+@query("regression_metrics", "mae:d mse:d rmse:d r2:d top_accuracy:d", "WITH s AS (SELECT p - 0.5 AS pr, fwd AS y FROM scored WHERE fwd IS NOT NULL), c AS (SELECT quantile_cont(abs(pr), 0.7) AS cut, avg(y) AS m FROM s) SELECT avg(abs(pr - y)) AS mae, avg((pr - y) * (pr - y)) AS mse, sqrt(avg((pr - y) * (pr - y))) AS rmse, 1 - sum((pr - y) * (pr - y)) / sum((y - m) * (y - m)) AS r2, avg(CASE WHEN sign(pr) = sign(y) THEN 1.0 ELSE 0.0 END) FILTER (abs(pr) >= cut) AS top_accuracy FROM s, c")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).where("fwd is not null").withColumn("pr", F.col("p") - 0.5)
+    return metrics.regression_metrics(s, "pr", "fwd")
+
+
+@query("strategy_sharpe", "symbol:s sharpe:d n:i", "SELECT symbol, coalesce(avg(x) * sqrt(252) / nullif(stddev_samp(x), 0), 0) AS sharpe, count(x) AS n FROM (SELECT symbol, (2 * p - 1) * fwd AS x FROM scored) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.strategy_sharpe(scored(spark, d), (2 * F.col("p") - 1) * F.col("fwd"), 252)
+
+
+@query("kelly_eval", "sharpe:d trades:i win_rate:d mean_stake:d", "SELECT avg(f * fwd) / nullif(stddev_samp(f * fwd), 0) AS sharpe, count(*) AS trades, avg(CASE WHEN f * fwd > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(f) AS mean_stake FROM (SELECT fwd, CASE WHEN p >= 0.55 THEN least(greatest((1.5 * p - (1 - p)) / 1.5 * 0.5, 0), 0.1) ELSE 0 END AS f FROM scored) WHERE f > 0 AND fwd IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.kelly_eval(scored(spark, d), "p", "fwd", 1.5, 0.5, 0.55)
+
+
+@query("param_grid", "cfg:i entry:d trades:i score:d rank:i", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cfg) AS rank FROM (SELECT cfg, entry, count(x) AS trades, coalesce(avg(x) / nullif(stddev_samp(x), 0), 0) - CASE WHEN count(x) < 10 THEN 1 ELSE 0 END AS score FROM (SELECT cfg, entry, CASE WHEN p >= entry THEN fwd WHEN p <= 1 - entry THEN -fwd END AS x FROM scored, (SELECT n_nationkey AS cfg, 0.5051 + n_nationkey * 0.019 AS entry FROM nation)) GROUP BY 1, 2)) WHERE rank <= 5")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    grid = table(spark, d, "nation").select(F.col("n_nationkey").alias("cfg"), (0.5051 + F.col("n_nationkey") * 0.019).alias("entry"))
+    return metrics.param_grid(scored(spark, d), grid, "p", "fwd", 5)
+
+
+FOLDS = "(SELECT symbol AS config, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', dt)) // 5 AS BIGINT) AS fold, avg((p - y) * (p - y)) AS loss, avg((2 * p - 1) * fwd) AS score FROM scored GROUP BY 1, 2)"
+
+
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    day = F.floor(F.timestamp_diff("DAY", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("dt")) / 5)
+    return scored(spark, d).groupBy(F.col("symbol").alias("config"), day.alias("fold")).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("loss"), F.avg((2 * F.col("p") - 1) * F.col("fwd")).alias("score"))
+
+
+@query("fold_summary", "config:s mean:d worst:d dispersion:d n:i accepted:b", f"SELECT config, avg(score) AS mean, min(score) AS worst, stddev_pop(score) AS dispersion, count(*) AS n, avg(score) >= 6 AND min(score) > -2 AS accepted FROM {FOLDS} GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.fold_summary(_folds(spark, d))
+
+
+@query("pbo_cscv", "pbo:d n_splits:i", f"WITH f AS (SELECT * FROM {FOLDS}), m AS (SELECT r AS mask FROM range(0, 64) t(r) WHERE bit_count(r) = 3), p AS (SELECT mask, config, avg(loss) FILTER ((mask >> fold) & 1 = 1) AS isl, avg(score) FILTER ((mask >> fold) & 1 = 0) AS oos FROM f, m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY isl, config) AS b, row_number() OVER (PARTITION BY mask ORDER BY oos, config) AS k, count(*) OVER (PARTITION BY mask) AS n FROM p) SELECT avg(CASE WHEN ln((k / (n + 1)) / (1 - k / (n + 1))) < 0 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS n_splits FROM r WHERE b = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.pbo_cscv(_folds(spark, d))
+
+
+@query("psr_dsr_wfe", "config:s psr:d target:d wfe:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _folds(spark, d).groupBy("config").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"), F.skewness("score").alias("sk"), F.kurtosis("score").alias("ku"), F.count("*").alias("n"), F.avg(F.when(F.col("fold") >= 3, F.col("score"))).alias("oos"), F.avg(F.when(F.col("fold") < 3, F.col("score"))).alias("ins"))
+    sharpe = F.col("m") / F.col("s")
+    s = s.withColumns({"sharpe": sharpe, "target": metrics.dsr_target(F.stddev_samp(sharpe).over(Window.partitionBy()), F.lit(5.0))})
+    return s.withColumns({"psr": metrics.psr(F.col("sharpe"), F.col("n"), F.col("sk"), F.col("ku"), F.lit(0.0)), "wfe": F.try_divide(F.col("oos"), F.col("ins"))})
+
+
+@query("ledger_metrics", "trades:i win_rate:d avg_win:d avg_loss:d expectancy:d profit_factor:d sharpe:d", "SELECT count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl <= 0) AS avg_loss, avg(pnl) AS expectancy, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, avg(pnl) / stddev_samp(pnl) AS sharpe FROM ledger")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ledger_metrics(ledger(spark, d), ["day"])
+
+
+@query("ledger_drawdown", "drawdown_k:d", "SELECT max(greatest(peak, 0) - eq) / 1e6 AS drawdown_k FROM (SELECT eq, max(eq) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT day, sum(x) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq FROM (SELECT day, sum(pnl) AS x FROM ledger GROUP BY 1)))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ledger_metrics(ledger(spark, d), ["day"]).withColumn("drawdown_k", F.col("drawdown") / 1e6)
+
+
+@query("ledger_breakdown", "reason:s tercile:s trades:i pnl_k:d win_rate:d", "WITH q AS (SELECT quantile_cont(size, 1.0::DOUBLE / 3) AS a, quantile_cont(size, 2.0::DOUBLE / 3) AS b FROM ledger) SELECT reason, CASE WHEN size <= a THEN 'low' WHEN size <= b THEN 'mid' ELSE 'high' END AS tercile, count(*) AS trades, sum(pnl) / 1e6 AS pnl_k, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ledger, q GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ledger_breakdown(ledger(spark, d), "size").withColumn("pnl_k", F.col("pnl") / 1e6)
+
+
+@query("trade_pnl", "l_orderkey:i l_linenumber:i net:d", "SELECT l_orderkey, l_linenumber, pnl / 977.13 - size * 0.0213 AS net FROM ledger")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ledger(spark, d).withColumn("net", F.col("pnl") / 977.13 - F.col("size") * 0.0213)
+
+
+@query("confidence_buckets", "lo:d hi:d n:i win_rate:d avg_ret:d", "SELECT lo, hi, count(fwd) AS n, coalesce(avg(CASE WHEN fwd > 0 THEN 1.0 WHEN fwd <= 0 THEN 0.0 END), 0) AS win_rate, coalesce(avg(fwd), 0) AS avg_ret FROM (SELECT n_nationkey * 0.041 AS lo, (n_nationkey + 1) * 0.041 AS hi FROM nation) e LEFT JOIN (SELECT abs(2 * p - 1) AS conf, fwd FROM scored) s ON conf >= lo AND conf < hi GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "nation").select((F.col("n_nationkey") * 0.041).alias("lo"), ((F.col("n_nationkey") + 1) * 0.041).alias("hi"))
+    return metrics.confidence_buckets(scored(spark, d).withColumn("conf", F.abs(2 * F.col("p") - 1)), edges, "conf", "fwd")
+
+
+@query("daily_pnl", "day:t pnl_k:d cumulative_k:d", "SELECT day, sum(pnl) / 1e6 AS pnl_k, sum(sum(pnl)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) / 1e6 AS cumulative_k FROM ledger GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.daily_pnl(ledger(spark, d), "day").withColumns({"pnl_k": F.col("pnl") / 1e6, "cumulative_k": F.col("cumulative") / 1e6})
+
+
+@query("portfolio_stats", "sharpe:d sortino:d hit_rate:d turnover:d max_drawdown:d", f"SELECT avg(ret) * sqrt(252) / stddev_samp(ret) AS sharpe, avg(ret) * sqrt(252) / sqrt(avg(least(ret, 0) * least(ret, 0))) AS sortino, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(turnover) AS turnover, max(dd) AS max_drawdown FROM (SELECT *, 1 - equity / max(equity) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS dd FROM {CURVE})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.portfolio_stats(curve(spark, d), 252)
+
+
+@query("rejection_waterfall", "reason:s n:i rate:d", "SELECT reason, count(*) AS n, count(*) / (SELECT count(*) FROM ledger) AS rate FROM ledger GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.waterfall(ledger(spark, d), "reason")
+
+
+@query("top_pairs", "l_suppkey:i value_k:d n:i", "SELECT l_suppkey, sum(l_extendedprice * (l_tax - l_discount)) / 1e6 AS value_k, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    top = metrics.top_by(table(spark, d, "lineitem"), ["l_suppkey"], F.sum(F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount"))), 10)
+    return top.withColumn("value_k", F.col("value") / 1e6)
+
+
+@query("topk_features", "feature:i corr:d rank:i", "SELECT * FROM (SELECT feature, corr, row_number() OVER (ORDER BY corr DESC, feature) AS rank FROM (SELECT feature, coalesce(abs(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)), 0) AS corr FROM (SELECT unnest(range(0, 64)) AS feature, unnest(embedding)::DOUBLE AS x, label::DOUBLE AS y FROM embeddings) GROUP BY 1)) WHERE rank <= 10 OR feature IN (0, 1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    long = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("feature", "x"), F.col("label").cast("double").alias("y"))
+    return metrics.feature_label_corr(long.withColumn("x", F.col("x").cast("double")), 10, ["0", "1"])

@@ -1 +1,78 @@
-"""Queries."""
+"""Queries of the model stage; fits have no SQL form, their inputs have."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pyspark.ml.functions import array_to_vector
+
+from barloom.operators import indicators as ind
+from barloom.operators import labels, ml
+from barloom.plans.indicator_queries import ALL
+from barloom.plans.registry import hourly, query, scored, table
+
+FEATURES = ["ret_1", "ret_3", "range_norm", "body_ratio", "tk"]
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    b = labels.label_next_bar(ind.shape(ind.log_ret(ind.log_ret(hourly(spark, d), 1), 3)))
+    return ml.pooled_rows(ml.class_weights(b.where("label is not null"), "label"), FEATURES, "label", "w")
+
+
+@query("ml_pooled_rows", "symbol:s dt:t ret_1:d range_norm:d label:i", f"SELECT symbol, dt, ret AS ret_1, (h - l) / abs(c) AS range_norm, CASE WHEN nx > c THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(c) OVER {ALL} AS nx FROM rets) WHERE nx IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    x = vector_to_array("features")
+    return _rows(spark, d).select("symbol", "dt", x[0].alias("ret_1"), x[2].alias("range_norm"), "label")
+
+
+@query("ml_class_weights", "label:i n:i w:d", f"WITH r AS (SELECT CASE WHEN nx > c THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(c) OVER {ALL} AS nx FROM bars) WHERE nx IS NOT NULL) SELECT label, count(*) AS n, (SELECT count(*) FROM r) / (2.0 * count(*)) AS w FROM r GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+
+
+@query("ml_binary_boosted", "symbol:s dt:t p:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    train, test = ml.time_split(_rows(spark, d))
+    return ml.scored(ml.boosted(train, trees=10), test)
+
+
+@query("ml_forest", "symbol:s dt:t p:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    train, test = ml.time_split(_rows(spark, d))
+    return ml.scored(ml.forest(train, trees=10), test)
+
+
+@query("ml_tree_suite", "model:s auc:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ml.tree_suite(*ml.time_split(_rows(spark, d)))
+
+
+@query("ml_walkforward", "fold:i n_valid:i auc:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ml.walkforward(_rows(spark, d), labels.folds_walkforward(hourly(spark, d)))
+
+
+@query("ml_platt", "coef:d intercept:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ml.platt(scored(spark, d), "p", "y")
+
+
+@query("ml_isotonic", "id:i p:d p_cal:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ml.isotonic(scored(spark, d), "p", "y")
+
+
+@query("ml_outlier_consensus", "id:i votes:i outlier:b")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return ml.outlier_consensus(v)
+
+
+@query("meta_feature_rows", "id:i p:d p2:d conf:d conf2:d y:i", "SELECT id, p, ((id * 37) % 101) / 100.0::DOUBLE AS p2, 2 * abs(p - 0.5) AS conf, 2 * abs(((id * 37) % 101) / 100.0::DOUBLE - 0.5) AS conf2, y FROM scored")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d)
+    other = s.select("id", (F.col("id") * 37 % 101 / 100).alias("p2"))
+    return s.join(other, "id").withColumns({"conf": 2 * F.abs(F.col("p") - 0.5), "conf2": 2 * F.abs(F.col("p2") - 0.5)})

@@ -1 +1,203 @@
-"""Queries."""
+"""Queries of signals, gates, rankings and state machines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions import calendar, numeric
+from barloom.operators import align, bars, profile, signals
+from barloom.operators import indicators as ind
+from barloom.plans.bar_queries import SECOND
+from barloom.plans.indicator_queries import ALL, KEY, RN, SESSION, TR, over
+from barloom.plans.registry import hourly, query, quotes, returns, scored, table
+
+DIR = "CASE WHEN abs(2 * p - 1) >= 2 * least(greatest(0.55 + 2 * vol, 0.5), 0.9) - 1 AND greatest(p, 1 - p) <= 0.98 THEN CASE WHEN p >= 0.5 THEN 1 ELSE -1 END ELSE 0 END"
+SCORED = f"(SELECT id, symbol, dt, p, y, fwd, (id % 7) / 70.0::DOUBLE AS vol, ((id * 37) % 101) / 100.0::DOUBLE AS p2, {DIR.replace('vol', '((id % 7) / 70.0::DOUBLE)')} AS direction FROM scored)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).withColumns({"vol": F.col("id") % 7 / 70, "p2": F.col("id") * 37 % 101 / 100})
+    return s.withColumn("direction", signals.entry_direction(F.col("p"), F.col("vol")))
+
+
+@query("tradable_guard", "id:i symbol:s p:d", "SELECT id, symbol, p FROM scored WHERE symbol NOT IN ('error', 'signup')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d)
+    return signals.tradable_guard(s, s.select("symbol").distinct().withColumn("tradable", ~F.col("symbol").isin("error", "signup")))
+
+
+@query("session_pair_filter", "id:i symbol:s", "SELECT id, symbol FROM scored WHERE (symbol < 'p' AND hour(dt) >= 2 AND hour(dt) < 9) OR (symbol >= 'p' AND hour(dt) >= 13 AND hour(dt) < 22)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d)
+    early = F.col("symbol") < "p"
+    return signals.session_pair_filter(s, s.select("symbol").distinct().withColumns({"lo": F.when(early, 2).otherwise(13), "hi": F.when(early, 9).otherwise(22)}))
+
+
+@query("entry_direction", "id:i direction:i", f"SELECT id, direction FROM {SCORED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@query("entry_gate", "id:i agrees:b confidence:d", f"SELECT id, (direction > 0 AND p2 >= 0.5) OR (direction < 0 AND p2 < 0.5) AS agrees, least(abs(2 * p - 1), abs(2 * p2 - 1)) AS confidence FROM {SCORED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    agrees, conf = signals.entry_gate(F.col("direction"), F.col("p2"), F.col("p"))
+    return s.withColumns({"agrees": agrees, "confidence": conf})
+
+
+SIDE = "CASE WHEN tk % 2 = 0 THEN 1 ELSE -1 END"
+
+
+@query("bracket_prices", f"{KEY} entry_px:d tp_px:d sl_px:d", f"SELECT symbol, dt, e AS entry_px, e + dir * 2 * a AS tp_px, e - dir * least(a, e * 0.0103471) AS sl_px FROM (SELECT *, c + dir * 0.0517093 * a AS e FROM (SELECT symbol, dt, c, {SIDE} AS dir, least(CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END, abs(c) * 0.02) AS a, rn FROM {TR}) WHERE rn >= 3)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = ind.atr_series(hourly(spark, d)).where("atr_series is not null").withColumn("direction", F.when(F.col("tk") % 2 == 0, 1).otherwise(-1))
+    return signals.bracket_prices(b, "atr_series", slip=0.0517093, most_loss=0.0103471)
+
+
+GATED = f"(SELECT symbol, dt, ret AS net, least(abs(ret), 1) AS conf, sum(ret) OVER {over(4)} AS trend, {SIDE} AS dir, sp / avg(sp) OVER {over(59)} AS ar, tk / 5.0 AS ag, tk % 5 AS rg FROM rets)"
+GATES = "abs(net) >= 0.1 AS g_net, conf >= 0.3 AS g_conf, sign(trend) = dir AS g_trend, ar BETWEEN 0.5 AND 2.5 AS g_atr, ag >= 0.5 AS g_agree, rg < 4 AS g_regime"
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(spark, d)
+    rows = r.select(
+        "symbol", "dt", F.col("ret").alias("net"), F.least(F.abs("ret"), F.lit(1.0)).alias("confidence"), F.sum("ret").over(ind.rows(-4)).alias("trend"), F.when(F.col("tk") % 2 == 0, 1).otherwise(-1).alias("direction"),
+        (F.col("sp") / F.avg("sp").over(ind.rows(-59))).alias("atr_ratio"), (F.col("tk") / 5.0).alias("agreement"), (F.col("tk") % 5).alias("regime"),
+    )
+    return signals.six_gates(rows)
+
+
+@query("six_gates", f"{KEY} g_net:b g_conf:b g_trend:b g_atr:b g_agree:b g_regime:b all_pass:b", f"SELECT *, g_net AND g_conf AND g_trend AND g_atr AND g_agree AND g_regime AS all_pass FROM (SELECT symbol, dt, {GATES} FROM {GATED})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, d)
+
+
+@query("gate_rates", "g_net:d g_conf:d all_pass:d", f"SELECT avg(g_net::INT) AS g_net, avg(g_conf::INT) AS g_conf, avg((g_net AND g_conf AND g_trend AND g_atr AND g_agree AND g_regime)::INT) AS all_pass FROM (SELECT {GATES} FROM {GATED})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return signals.gate_rates(_gated(spark, d))
+
+
+@query("tpo_reversal_decision", f"{KEY} direction:i reason:s")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = ind.log_ret(ind.log_ret(ind.atr_series(hourly(spark, d)), 1), 3).withColumn("atr", F.coalesce("atr_series", F.lit(0.0)))
+    return signals.reversal_decision(profile.tpo_profile(b, "atr"), {"spread_atr": 0.5, "tp_atr": 2.0, "sl_atr": 1.0})
+
+
+EVENTS = f"(SELECT symbol, dt, CASE WHEN p >= 0.5 THEN 1 ELSE -1 END AS direction, p, c, sp, tk, sc FROM (SELECT *, (tk % 11) / 10.0::DOUBLE AS p, {SESSION.format('dt')} AS sc FROM bars) WHERE sc <> 0 AND tk > 1)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return signals.order_events(hourly(spark, d).withColumns({"p": F.col("tk") % 11 / 10, "session_code": calendar.session_code(F.col("dt")), "real": F.col("tk") > 1}))
+
+
+@query("order_events", f"{KEY} direction:i p:d c:d sp:d tk:i session_code:i", f"SELECT symbol, dt, direction, p, c, sp, tk, sc AS session_code FROM {EVENTS}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d)
+
+
+@query("order_state_26", f"{KEY} direction:i session_1:i session_4:i n:i sp_mean:d", f"SELECT e.symbol, e.dt, any_value(direction) AS direction, any_value((sc = 1)::INT) AS session_1, any_value((sc = 4)::INT) AS session_4, count(m.dt) AS n, avg(m.sp) AS sp_mean FROM {EVENTS} e LEFT JOIN {SECOND} m ON m.symbol = e.symbol AND m.dt < e.dt AND m.dt >= e.dt - INTERVAL 600 SECOND GROUP BY 1, 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    micro = align.interval_join_window(e.select("symbol", "dt"), bars.bars_1s(quotes(spark, d)), 600)
+    return signals.order_state(e, micro.drop("c_last"))
+
+
+@query("topk_candidates", "dt:t symbol:s rank:i score:d", "SELECT * FROM (SELECT dt, symbol, abs(ret) * tk AS score, row_number() OVER (PARTITION BY dt ORDER BY abs(ret) * tk DESC, symbol) AS rank FROM rets) WHERE rank <= 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(spark, d).withColumn("score", F.abs("ret") * F.col("tk"))
+    return signals.topk_candidates(r, F.col("score"), 2)
+
+
+@query("rank_by_conviction", "dt:t symbol:s rank:i", "SELECT dt, symbol, row_number() OVER (PARTITION BY dt ORDER BY abs((tk % 11) / 10.0::DOUBLE - 0.5) DESC, symbol) AS rank FROM bars")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return signals.rank_by_conviction(hourly(spark, d).withColumn("p", F.col("tk") % 11 / 10), "p")
+
+
+@query("latest_snapshot", "symbol:s dt:t c:d", "SELECT symbol, max(dt) AS dt, arg_max(c, dt) AS c FROM bars GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return signals.latest_snapshot(hourly(spark, d))
+
+
+@query("exposure_cap", "dt:t symbol:s")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").where("length(p_name) >= 6").select(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.col("p_size"), F.lit(0)).alias("dt"), F.upper(F.substring("p_name", 1, 6)).alias("symbol"), "p_retailprice")
+    best = p.groupBy("dt", "symbol").agg(F.max("p_retailprice").alias("score"))
+    return signals.exposure_cap(best, "score", 2)
+
+
+@query("hysteresis_signal", "id:i position:i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).withColumn("q", 1 - F.col("p"))
+    return signals.hysteresis(s, "p", "q", 0.6, 0.52)
+
+
+@query("sized_signal", "id:i signal:d", f"SELECT id, direction * least(abs(2 * p - 1), abs(2 * p2 - 1)) * CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END AS signal FROM {SCORED}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d)
+    r = F.col("id") % 4
+    scale = F.when(r == 0, 1.0).when(r == 1, 0.7).when(r == 2, 0.4).otherwise(0.0)
+    return s.withColumn("signal", signals.sized_signal(F.col("direction"), signals.entry_gate(F.col("direction"), F.col("p2"), F.col("p"))[1], scale))
+
+
+WEIGHT = "(SELECT *, w / nullif(sum(abs(w)) OVER (PARTITION BY dt), 0) AS weight FROM (SELECT *, ret - avg(ret) OVER (PARTITION BY dt) AS w FROM rets WHERE dt IN (SELECT dt FROM bars GROUP BY 1 HAVING count(*) = 5)))"
+
+
+@query("weights_to_confidence", "dt:t symbol:s weight:d confidence:d side:i", f"SELECT dt, symbol, coalesce(weight, 0) AS weight, 1 / (1 + exp(-abs(coalesce(weight, 0)) * 10)) AS confidence, sign(coalesce(weight, 0)) AS side FROM {WEIGHT}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = signals.market_neutral(align.align_intersect(returns(spark, d)), "ret")
+    conf, side = signals.weights_to_confidence(F.col("weight"))
+    return w.withColumns({"confidence": conf, "side": side})
+
+
+@query("kelly_fraction", f"{KEY} stake:d", "SELECT symbol, dt, CASE WHEN sum(f) OVER (PARTITION BY dt) > 0.1 THEN f * 0.1 / sum(f) OVER (PARTITION BY dt) ELSE f END AS stake FROM (SELECT symbol, dt, least(greatest((1.5 * p - (1 - p)) / 1.5 * 0.5, 0), 0.1) AS f FROM (SELECT *, (tk % 11) / 10.0::DOUBLE AS p FROM bars))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = hourly(spark, d).withColumn("f", numeric.kelly_fraction(F.col("tk") % 11 / 10, F.lit(1.5)))
+    return signals.kelly_capped(b, "f", 0.1)
+
+
+@query("scalar_costs", f"{KEY} cost:d stress:d lots:d scale:d", f"SELECT symbol, dt, greatest(CASE WHEN sp < 50 * 0.0001 THEN sp ELSE sp * 0.0001 / 10 END, 0) AS cost, sp / c + 1 / sqrt(tk + 1) AS stress, least(greatest(1000 * 0.01 / (h - l + 1), 0.01), 10) AS lots, CASE tk % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END AS scale FROM bars")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("tk") % 3
+    return hourly(spark, d).withColumns({
+        "cost": numeric.spread_cost(F.col("sp"), F.col("c"), F.lit(0.0001)), "stress": numeric.liquidity_stress(F.col("sp"), F.col("c"), F.col("tk")),
+        "lots": numeric.position_size(F.lit(1000.0), 0.01, F.col("h") - F.col("l") + 1, F.lit(1.0)), "scale": F.when(r == 0, 1.0).when(r == 1, 0.7).otherwise(0.4),
+    })
+
+
+@query("indicator_votes", f"{KEY} votes:i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = ind.pair_features_16(hourly(spark, d)).dropna()
+    return b.withColumn("votes", numeric.indicator_votes({c: F.col(c) for c in ("rsi", "macd", "pct_b", "stoch_k", "cci", "will_r", "mom5")}))
+
+
+@query("confidence_proxy", f"{KEY} confidence:d", f"SELECT symbol, dt, 0.4 * least(tk / 7.0, 1) + 0.35 * least(abs(ret) / 1e-4, 1) + 0.25 * least({RN} / 10.0, 1) AS confidence FROM rets")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(spark, d)
+    return r.withColumn("confidence", numeric.confidence_proxy(F.col("tk"), F.col("ret"), F.row_number().over(ind.W)))
+
+
+@query("norm_cdf_ppf", "id:i cdf:d ppf:d", """SELECT id, CASE WHEN x >= 0 THEN 1 - t ELSE t END AS cdf, CASE WHEN p <= 0 OR p >= 1 THEN NULL WHEN p < 0.5 THEN -z ELSE z END AS ppf FROM (SELECT *, k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-x * x / 2) / sqrt(2 * pi()) AS t,
+  u - (2.515517 + u * (0.802853 + u * 0.010328)) / (1 + u * (1.432788 + u * (0.189269 + u * 0.001308))) AS z FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(x)) AS k, CASE WHEN p > 0 AND p < 1 THEN sqrt(-2 * ln(least(p, 1 - p))) END AS u FROM (SELECT id, p, p * 6 - 3 AS x FROM scored)))""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p")
+    inside = F.when((p > 0) & (p < 1), p)
+    return scored(spark, d).withColumns({"cdf": numeric.norm_cdf(p * 6 - 3), "ppf": numeric.norm_ppf(inside)})
+
+
+EXIT = f"(SELECT *, lead(o) OVER {ALL} AS o1, lead(h) OVER {ALL} AS h1, lead(l) OVER {ALL} AS l1, lead(c) OVER {ALL} AS c1, {SIDE} AS dir, c * (1 + 0.3 * {SIDE}) AS tp, c * (1 - 0.2 * {SIDE}) AS sl FROM bars)"
+
+
+@query("bar_exit_resolution", f"{KEY} outcome:s", f"SELECT symbol, dt, CASE WHEN ht AND hs THEN CASE WHEN abs(tp - o1) < abs(sl - o1) THEN 'tp' WHEN abs(sl - o1) < abs(tp - o1) THEN 'sl' WHEN dir * (c1 - o1) > 0 THEN 'tp' ELSE 'sl' END WHEN ht THEN 'tp' WHEN hs THEN 'sl' ELSE 'open' END AS outcome FROM (SELECT *, CASE WHEN dir > 0 THEN h1 >= tp ELSE l1 <= tp END AS ht, CASE WHEN dir > 0 THEN l1 <= sl ELSE h1 >= sl END AS hs FROM {EXIT})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = hourly(spark, d).withColumn("dir", F.when(F.col("tk") % 2 == 0, 1).otherwise(-1))
+    nxt = {f"{c}1": F.lead(c).over(ind.W) for c in "ohlc"}
+    b = b.withColumns({**nxt, "tp": F.col("c") * (1 + 0.3 * F.col("dir")), "sl": F.col("c") * (1 - 0.2 * F.col("dir"))})
+    return b.withColumn("outcome", signals.bar_exit(*(F.col(x) for x in ("o1", "h1", "l1", "c1", "dir", "tp", "sl"))))
+
+
+@query("path_exit_resolution", f"{KEY} outcome:s")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = quotes(spark, d)
+    b = hourly(spark, d).join(bars.tick_path(q, "hour"), ["symbol", "dt"])
+    return b.withColumn("outcome", signals.path_exit(F.col("path"), F.lit(1), F.col("o") * 1.3, F.col("o") * 0.8))

@@ -1 +1,69 @@
-"""Queries."""
+"""Streaming queries: the events table read as a stream and run to its end into Parquet."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions import calendar
+from barloom.plans.indicator_queries import SESSION
+from barloom.plans.registry import hourly, query, quotes, scored, table, ticks
+from barloom.streaming import streams
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
+
+
+def drained(spark: SparkSession, rows: DataFrame, stream_of) -> DataFrame:
+    """Write rows as a replayable source, run stream_of(source) over all of it, and return what it wrote."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    out = stream_of(source)
+    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def _ntz(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in columns})
+
+
+@query("stream_bars", "symbol:s dt:t o:d h:d l:d c:d tk:i", "SELECT symbol, dt, o, h, l, c, tk FROM bars WHERE dt + INTERVAL 2 HOUR <= (SELECT max(ts) FROM quotes)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = _ntz(quotes(spark, d).select("symbol", "ts", "id", "mid"), "ts")
+    return drained(spark, q, streams.stream_bars).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+@query("stream_dedupe", "symbol:s ts:t", "SELECT DISTINCT symbol, ts FROM quotes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = _ntz(quotes(spark, d).select("symbol", "ts"), "ts")
+    return drained(spark, q.unionByName(q.where(F.second("ts") % 2 == 0)), streams.stream_dedupe).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_tick_ffill", "id:i symbol:s bid:d ask:d", "SELECT id, symbol, last_value(bid IGNORE NULLS) OVER w AS bid, last_value(ask IGNORE NULLS) OVER w AS ask FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return drained(spark, _ntz(ticks(spark, d).select("symbol", "ts", "id", "bid", "ask"), "ts"), streams.stream_tick_ffill)
+
+
+@query("stream_hysteresis", "symbol:s dt:t position:i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _ntz(scored(spark, d).select("symbol", "dt", F.col("p").alias("p_buy"), (1 - F.col("p")).alias("p_sell")), "dt")
+    return drained(spark, s, streams.stream_hysteresis).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+@query("stream_indicators", "symbol:s dt:t c:d mean:d", "SELECT symbol, dt, c, avg(c) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS mean FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt) >= 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = _ntz(hourly(spark, d).select("symbol", "dt", "c"), "dt")
+    return drained(spark, b, streams.stream_indicators).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+@query("stream_session", "symbol:s dt:t session:i bars_in_run:i", f"SELECT symbol, dt, s AS session, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS bars_in_run FROM (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <> lag(s) OVER (PARTITION BY symbol ORDER BY dt) THEN 1 ELSE 0 END AS ch FROM (SELECT *, {SESSION.format('dt')} AS s FROM bars)))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = _ntz(hourly(spark, d).select("symbol", "dt", calendar.session_code(F.col("dt")).alias("session"), "h", "l"), "dt")
+    return drained(spark, b, streams.stream_session).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
