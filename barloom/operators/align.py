@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ["o", "h", "l", "c"]
-_PAST = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-_AHEAD = Window.partitionBy("symbol").orderBy("dt").rowsBetween(0, Window.unboundedFollowing)
+
+
+def _past() -> Window:
+    return Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _ahead() -> Window:
+    return Window.partitionBy("symbol").orderBy("dt").rowsBetween(0, Window.unboundedFollowing)
 
 
 def union_timeline(b: DataFrame) -> DataFrame:
@@ -35,7 +41,7 @@ def align_union(b: DataFrame, symbols: DataFrame) -> DataFrame:
 def align_union_ffill(b: DataFrame, symbols: DataFrame) -> DataFrame:
     """align_union with prices carried forward, from each symbol's first bar."""
     full = align_union(b, symbols)
-    return full.withColumns({p: F.last(p, ignorenulls=True).over(_PAST) for p in PRICES}).where("c is not null")
+    return full.withColumns({p: F.last(p, ignorenulls=True).over(_past()) for p in PRICES}).where("c is not null")
 
 
 def align_calendar_mask(b: DataFrame, symbols: DataFrame, step: str) -> DataFrame:
@@ -46,7 +52,7 @@ def align_calendar_mask(b: DataFrame, symbols: DataFrame, step: str) -> DataFram
 
 def align_carry(aligned: DataFrame) -> DataFrame:
     """Prices carried forward, then backward over leading gaps; real tells which rows had a bar."""
-    return aligned.withColumns({p: F.coalesce(F.last(p, ignorenulls=True).over(_PAST), F.first(p, ignorenulls=True).over(_AHEAD)) for p in PRICES})
+    return aligned.withColumns({p: F.coalesce(F.last(p, ignorenulls=True).over(_past()), F.first(p, ignorenulls=True).over(_ahead())) for p in PRICES})
 
 
 def align_intersect(b: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def interpolate_linear(aligned: DataFrame, columns: list[str]) -> DataFrame:
     out = rows
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("__rn").alias("i"), F.col(c).alias("x")))
-        a, z = F.last(known, ignorenulls=True).over(_PAST), F.first(known, ignorenulls=True).over(_AHEAD)
+        a, z = F.last(known, ignorenulls=True).over(_past()), F.first(known, ignorenulls=True).over(_ahead())
         out = out.withColumns({f"__a_{c}": a, f"__z_{c}": z})
     made = {}
     for c in columns:

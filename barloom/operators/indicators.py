@@ -11,28 +11,31 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import clip, liquidity_stress
 
 EPS = 1e-10
-W = Window.partitionBy("symbol").orderBy("dt")
+
+def by_time() -> Window:
+    """A symbol's rows in time order."""
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
 def rows(a: int, b: int = 0) -> Window:
-    return W.rowsBetween(a, b)
+    return by_time().rowsBetween(a, b)
 
 
 def full(n: int, x: Column) -> Column:
     """x from the n-th row on, null before."""
-    return F.when(F.row_number().over(W) >= n, x)
+    return F.when(F.row_number().over(by_time()) >= n, x)
 
 
 def log_ret(b: DataFrame, k: int = 1, clamp: bool = False) -> DataFrame:
     """ret_k: ln(c / c k rows back); before row k 0, or with clamp against the first row."""
-    back = F.lag("c", k).over(W)
+    back = F.lag("c", k).over(by_time())
     if clamp:
         back = F.coalesce(back, F.first("c").over(rows(Window.unboundedPreceding)))
     return b.withColumn(f"ret_{k}", F.coalesce(F.log(F.col("c") / back), F.lit(0.0)))
 
 
 def price_velocity(b: DataFrame) -> DataFrame:
-    before = F.lag("c").over(W)
+    before = F.lag("c").over(by_time())
     return b.withColumn("price_velocity", F.round(F.coalesce((F.col("c") - before) / (before + EPS), F.lit(0.0)), 8))
 
 
@@ -52,7 +55,7 @@ def z_past(b: DataFrame, column: str, n: int = 60, floor: float = EPS, in_root:
 
 def rsi(b: DataFrame, n: int = 14) -> DataFrame:
     """Simple-mean RSI; 100 without losses, null before n + 1 rows."""
-    b = b.withColumn("__d", F.col("c") - F.lag("c").over(W))
+    b = b.withColumn("__d", F.col("c") - F.lag("c").over(by_time()))
     gain, loss = (F.avg(F.greatest(x, F.lit(0.0))).over(rows(1 - n)) for x in (F.col("__d"), -F.col("__d")))
     value = F.when(loss < EPS, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
     return b.withColumn("rsi", full(n + 1, value)).drop("__d")
@@ -101,7 +104,7 @@ def bollinger(b: DataFrame, n: int = 20) -> DataFrame:
 
 def true_range(b: DataFrame, own_close: bool = False) -> DataFrame:
     """tr: against the close before; on the first row against its own close, or null."""
-    before = F.lag("c").over(W)
+    before = F.lag("c").over(by_time())
     before = F.coalesce(before, F.col("c")) if own_close else before
     tr = F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before))
     return b.withColumn("tr", F.when(before.isNotNull(), tr))
@@ -124,7 +127,7 @@ def atr_norm(b: DataFrame, n: int = 14) -> DataFrame:
 
 def atr_proxy_24(b: DataFrame, n: int = 24) -> DataFrame:
     """Mean of up to n true ranges without the first row's; rows 1 and 2 have their own range."""
-    return true_range(b).withColumn("atr_proxy", F.when(F.row_number().over(W) <= 2, F.col("h") - F.col("l")).otherwise(F.avg("tr").over(rows(1 - n)))).drop("tr")
+    return true_range(b).withColumn("atr_proxy", F.when(F.row_number().over(by_time()) <= 2, F.col("h") - F.col("l")).otherwise(F.avg("tr").over(rows(1 - n)))).drop("tr")
 
 
 def stochastic(b: DataFrame, n: int = 14, smooth: int = 3, d: int = 3) -> DataFrame:
@@ -150,8 +153,8 @@ def williams_r(b: DataFrame, n: int = 14) -> DataFrame:
 
 def mom5(b: DataFrame, n: int = 5) -> DataFrame:
     """(c - c n rows back) / (population deviation of the last n differences + EPS)."""
-    b = b.withColumn("__d", F.col("c") - F.lag("c").over(W))
-    return b.withColumn("mom5", full(n + 1, (F.col("c") - F.lag("c", n).over(W)) / (F.stddev_pop("__d").over(rows(1 - n)) + EPS))).drop("__d")
+    b = b.withColumn("__d", F.col("c") - F.lag("c").over(by_time()))
+    return b.withColumn("mom5", full(n + 1, (F.col("c") - F.lag("c", n).over(by_time())) / (F.stddev_pop("__d").over(rows(1 - n)) + EPS))).drop("__d")
 
 
 def shape(b: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def trend_regime(b: DataFrame, n: int = 12) -> DataFrame:
 
 def changes(b: DataFrame, column: str, name: str) -> DataFrame:
     """Whether a column differs from the row before; false on the first row."""
-    return b.withColumn(name, F.coalesce(F.col(column) != F.lag(column).over(W), F.lit(False)))
+    return b.withColumn(name, F.coalesce(F.col(column) != F.lag(column).over(by_time()), F.lit(False)))
 
 
 def islands(b: DataFrame, column: str, name: str = "island") -> DataFrame:
@@ -244,7 +247,7 @@ def regime_memory(b: DataFrame, column: str, alpha: float = 0.1, frame: int = 20
     b = run_length(changes(b, column, "regime_change"), column, "__run")
     held = F.collect_list(F.col(column).cast("double")).over(rows(1 - frame))
     mean = F.aggregate(F.slice(held, 2, F.size(held)), held[0], lambda s, x: alpha * x + (1 - alpha) * s)
-    return b.withColumns({"regime_before": F.lag(column).over(W), "regime_age": F.log1p("__run"), "regime_ema": mean}).drop("__run")
+    return b.withColumns({"regime_before": F.lag(column).over(by_time()), "regime_age": F.log1p("__run"), "regime_ema": mean}).drop("__run")
 
 
 def vol_percentile(b: DataFrame, column: str, n: int) -> DataFrame:
@@ -253,7 +256,7 @@ def vol_percentile(b: DataFrame, column: str, n: int) -> DataFrame:
     An equi-join on blocks of n rows by position: each row meets its own block
     and the one before, so no window holds an array of n values.
     """
-    r = b.withColumn("__rn", F.row_number().over(W))
+    r = b.withColumn("__rn", F.row_number().over(by_time()))
     own = r.where(F.col(column).isNotNull()).select("symbol", "dt", F.col("__rn").alias("i"), F.col(column).alias("x"), F.explode(F.array(F.floor(F.col("__rn") / n), F.floor(F.col("__rn") / n) - 1)).alias("blk"))
     other = r.select("symbol", F.col("__rn").alias("j"), F.col(column).alias("y"), F.floor(F.col("__rn") / n).alias("blk"))
     share = own.join(other, ["symbol", "blk"]).where("j < i and j >= i - %d" % n).groupBy("symbol", "dt").agg(F.avg((F.col("y") < F.col("x")).cast("double")).alias("vol_pct"))
@@ -261,7 +264,7 @@ def vol_percentile(b: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def horizon_return(b: DataFrame, k: int) -> DataFrame:
-    return b.withColumn(f"ret_h{k}", F.log(F.col("c") / F.lag("c", k).over(W)))
+    return b.withColumn(f"ret_h{k}", F.log(F.col("c") / F.lag("c", k).over(by_time())))
 
 
 def weekend_carry(b: DataFrame) -> DataFrame:
@@ -280,7 +283,7 @@ def atr_ratio(b: DataFrame, n: int = 60) -> DataFrame:
 
 def cooldown_mask(b: DataFrame, stop: str, n: int) -> DataFrame:
     """For n rows after a stop event: locked, and rows left."""
-    b = b.withColumn("__rn", F.row_number().over(W))
+    b = b.withColumn("__rn", F.row_number().over(by_time()))
     since = F.col("__rn") - F.last(F.when(F.col(stop), F.col("__rn")), ignorenulls=True).over(rows(Window.unboundedPreceding, -1))
     b = b.withColumn("cooldown_left", F.coalesce(F.greatest(n - since + 1, F.lit(0)), F.lit(0)))
     return b.withColumn("locked", F.col("cooldown_left") > 0).drop("__rn")
@@ -311,6 +314,6 @@ def equity_curve(weights: DataFrame, cost: float, capital: float = 1.0) -> DataF
 
     The running product is over one row a time, not a symbol.
     """
-    per = weights.withColumn("turn", F.abs(F.col("w") - F.coalesce(F.lag("w").over(W), F.lit(0.0))))
+    per = weights.withColumn("turn", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by_time()), F.lit(0.0))))
     step = per.groupBy("dt").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum("turn").alias("turnover")).withColumn("ret", F.col("gross") - F.col("turnover") * cost)
     return step.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)))).drop("gross")

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("dt")
+
+def by_time() -> Window:
+    """A symbol's rows in time order."""
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
 def label_next_bar(b: DataFrame) -> DataFrame:
     """1 if the next close is higher, 0 if not, null on the last row."""
-    return b.withColumn("label", (F.lead("c").over(W) > F.col("c")).cast("int"))
+    return b.withColumn("label", (F.lead("c").over(by_time()) > F.col("c")).cast("int"))
 
 
 def forward_return(b: DataFrame, dead: float = 1e-4) -> DataFrame:
     """fwd = ln(next c / c) and its class: 2 above the dead zone, 0 below, 1 within."""
-    b = b.withColumn("fwd", F.log(F.lead("c").over(W) / F.col("c")))
+    b = b.withColumn("fwd", F.log(F.lead("c").over(by_time()) / F.col("c")))
     return b.withColumn("fwd_class", F.when(F.col("fwd") > dead, 2).when(F.col("fwd") < -dead, 0).when(F.col("fwd").isNotNull(), 1))
 
 
 def label_threshold(b: DataFrame, h: int, threshold: float) -> DataFrame:
     """Sum of the next h returns, less the spread's cost, against +-threshold: 2 buy, 0 sell, 1 hold; rows without h rows ahead hold."""
-    b = b.withColumn("__r", F.coalesce(F.log(F.col("c") / F.lag("c").over(W)), F.lit(0.0)))
-    ahead = W.rowsBetween(1, h)
+    b = b.withColumn("__r", F.coalesce(F.log(F.col("c") / F.lag("c").over(by_time())), F.lit(0.0)))
+    ahead = by_time().rowsBetween(1, h)
     total = F.when(F.count("*").over(ahead) == h, F.sum("__r").over(ahead))
     b = b.withColumn("fwd_sum", total)
     cost = F.col("sp") / F.col("c")
@@ -43,8 +46,8 @@ def label_triple_barrier(b: DataFrame, horizon: int, atr: str, spread_share: flo
     barrier_valid from row `start` on, where horizon rows follow and ATR is known.
     """
     barrier = F.greatest(spread_share * F.col("sp"), atr_share * F.col(atr))
-    ahead = F.collect_list(F.struct("h", "l", "c")).over(W.rowsBetween(1, horizon))
-    b = b.withColumns({"barrier": barrier, "__a": ahead, "__rn": F.row_number().over(W) - 1})
+    ahead = F.collect_list(F.struct("h", "l", "c")).over(by_time().rowsBetween(1, horizon))
+    b = b.withColumns({"barrier": barrier, "__a": ahead, "__rn": F.row_number().over(by_time()) - 1})
     up, down = F.col("c") + F.col("barrier"), F.col("c") - F.col("barrier")
 
     def touch(x: Column) -> Column:
@@ -68,8 +71,8 @@ def label_entry(quality: Column, spread_quality: Column, ready: Column) -> Colum
 def valid_rows(b: DataFrame, warm_up: int = 32, tail: int = 6) -> DataFrame:
     """Real rows after warm_up rows and as many real ones so far, and before the last `tail`."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    real = F.sum(F.col("real").cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0))
-    b = b.withColumns({"__rn": F.row_number().over(W) - 1, "__n": n, "__real": real})
+    real = F.sum(F.col("real").cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    b = b.withColumns({"__rn": F.row_number().over(by_time()) - 1, "__n": n, "__real": real})
     return b.where(F.col("real") & (F.col("__rn") >= warm_up) & (F.col("__rn") < F.col("__n") - tail) & (F.col("__real") >= warm_up)).drop("__rn", "__n", "__real")
 
 

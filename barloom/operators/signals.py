@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip
 
-W = Window.partitionBy("symbol").orderBy("dt")
+
+def by_time() -> Window:
+    """A symbol's rows in time order."""
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
 def tradable_guard(signals: DataFrame, instrument: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def hysteresis(rows: DataFrame, buy: str, sell: str, entry: float = 0.6, leave:
     """
     b, s = F.col(buy), F.col(sell)
     cut = (F.greatest(b, s) < F.lit(leave)).cast("int")
-    rows = rows.withColumn("__cut", F.sum(cut).over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__cut", F.sum(cut).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     inner = Window.partitionBy("symbol", "__cut").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     held = F.collect_list(F.struct(b.alias("b"), s.alias("s"))).over(inner)
 

@@ -64,7 +64,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dataset_coverage", "n:i valid_ratio:d positive_ratio:d non_finite:i", f"SELECT count(*) AS n, avg(CASE WHEN rn > 15 THEN 1.0 ELSE 0.0 END) AS valid_ratio, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count(*) FILTER (z IS NULL) AS non_finite FROM (SELECT *, row_number() OVER {ALL} AS rn, lag(c, 15) OVER {ALL} AS z FROM rets)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = returns(spark, d).withColumns({"valid": F.row_number().over(ind.W) > 15, "z": F.lag("c", 15).over(ind.W)})
+    r = returns(spark, d).withColumns({"valid": F.row_number().over(ind.by_time()) > 15, "z": F.lag("c", 15).over(ind.by_time())})
     return audit.dataset_coverage(r, ["z", "ret"], "ret")
 
 

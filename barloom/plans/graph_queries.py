@@ -150,7 +150,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    r = returns(spark, d).withColumn("up", (F.lead("c").over(ind.W) > F.col("c")).cast("int"))
+    r = returns(spark, d).withColumn("up", (F.lead("c").over(ind.by_time()) > F.col("c")).cast("int"))
     wide = r.groupBy("dt").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(F.max("ret"))
     label = r.where("symbol = 'view'").select("dt", F.col("up").alias("label"))
     rn = F.row_number().over(Window.orderBy("dt"))

@@ -45,13 +45,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("z_past_60", f"{KEY} c_z60:d", f"SELECT symbol, dt, CASE WHEN {RN} <= 2 THEN 0 ELSE coalesce((c - avg(c) OVER {over(60, '1 PRECEDING')}) / (stddev_pop(c) OVER {over(60, '1 PRECEDING')} + 1e-10), 0) END AS c_z60 FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = ind.z_past(hourly(spark, d), "c", 60)
-    return b.withColumn("c_z60", F.when(F.row_number().over(ind.W) <= 2, 0.0).otherwise(F.col("c_z60")))  # a single earlier row has no deviation
+    return b.withColumn("c_z60", F.when(F.row_number().over(ind.by_time()) <= 2, 0.0).otherwise(F.col("c_z60")))  # a single earlier row has no deviation
 
 
 @query("z_past_64", f"{KEY} c_z64:d", f"SELECT symbol, dt, CASE WHEN {RN} <= 2 THEN 0 ELSE coalesce((c - avg(c) OVER {over(64, '1 PRECEDING')}) / sqrt(var_pop(c) OVER {over(64, '1 PRECEDING')} + 1e-8), 0) END AS c_z64 FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = ind.z_past(hourly(spark, d), "c", 64, 1e-8, True)
-    return b.withColumn("c_z64", F.when(F.row_number().over(ind.W) <= 2, 0.0).otherwise(F.col("c_z64")))
+    return b.withColumn("c_z64", F.when(F.row_number().over(ind.by_time()) <= 2, 0.0).otherwise(F.col("c_z64")))
 
 
 DIFF = f"(SELECT *, c - {LAG} AS df, {RN} AS rn FROM bars)"

@@ -174,7 +174,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("confidence_proxy", f"{KEY} confidence:d", f"SELECT symbol, dt, 0.4 * least(tk / 7.0, 1) + 0.35 * least(abs(ret) / 1e-4, 1) + 0.25 * least({RN} / 10.0, 1) AS confidence FROM rets")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = returns(spark, d)
-    return r.withColumn("confidence", numeric.confidence_proxy(F.col("tk"), F.col("ret"), F.row_number().over(ind.W)))
+    return r.withColumn("confidence", numeric.confidence_proxy(F.col("tk"), F.col("ret"), F.row_number().over(ind.by_time())))
 
 
 @query("norm_cdf_ppf", "id:i cdf:d ppf:d", """SELECT id, CASE WHEN x >= 0 THEN 1 - t ELSE t END AS cdf, CASE WHEN p <= 0 OR p >= 1 THEN NULL WHEN p < 0.5 THEN -z ELSE z END AS ppf FROM (SELECT *, k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-x * x / 2) / sqrt(2 * pi()) AS t,
@@ -191,7 +191,7 @@ EXIT = f"(SELECT *, lead(o) OVER {ALL} AS o1, lead(h) OVER {ALL} AS h1, lead(l)
 @query("bar_exit_resolution", f"{KEY} outcome:s", f"SELECT symbol, dt, CASE WHEN ht AND hs THEN CASE WHEN abs(tp - o1) < abs(sl - o1) THEN 'tp' WHEN abs(sl - o1) < abs(tp - o1) THEN 'sl' WHEN dir * (c1 - o1) > 0 THEN 'tp' ELSE 'sl' END WHEN ht THEN 'tp' WHEN hs THEN 'sl' ELSE 'open' END AS outcome FROM (SELECT *, CASE WHEN dir > 0 THEN h1 >= tp ELSE l1 <= tp END AS ht, CASE WHEN dir > 0 THEN l1 <= sl ELSE h1 >= sl END AS hs FROM {EXIT})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = hourly(spark, d).withColumn("dir", F.when(F.col("tk") % 2 == 0, 1).otherwise(-1))
-    nxt = {f"{c}1": F.lead(c).over(ind.W) for c in "ohlc"}
+    nxt = {f"{c}1": F.lead(c).over(ind.by_time()) for c in "ohlc"}
     b = b.withColumns({**nxt, "tp": F.col("c") * (1 + 0.3 * F.col("dir")), "sl": F.col("c") * (1 - 0.2 * F.col("dir"))})
     return b.withColumn("outcome", signals.bar_exit(*(F.col(x) for x in ("o1", "h1", "l1", "c1", "dir", "tp", "sl"))))
 
