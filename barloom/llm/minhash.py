@@ -33,9 +33,9 @@ from barloom.llm.components import components
 K, R, BITS, WORDS = 128, 4, 4, 5
 SLACK = 0.17
 #: Likeliest pairs of a class that each round confirms at most, from the second round on times this number.
-WIDER = 6
+WIDER = 40
 #: The finer sketch of classes in buckets of several components: minima and bits; its sift; bands that give buckets there.
-FINE_K, FINE_BITS, FINE_SLACK, FINE_BANDS = 1024, 2, 0.053, 16
+FINE_K, FINE_BITS, FINE_SLACK, FINE_BANDS = 4096, 2, 0.027, 16
 _A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, FINE_K, dtype=np.uint64)
 
@@ -225,21 +225,23 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, cutoff: float, percent: int) ->
 
 def _confirm_all(pairs: DataFrame, labels: DataFrame, held: DataFrame, percent: int, n: int) -> DataFrame:
     """Confirm pairs on the texts held until each is a link, is refuted or lies inside a component: (node, label), from the labels so far."""
-    rounds, alone = 0, labels.isEmpty()
+    rounds, alone, done = 0, labels.isEmpty(), 0
     if pairs.isEmpty():
         return labels
-    left = pairs
-    while True:
-        side = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
-        if rounds or not alone:
-            left = left.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b", "est")
-        likeliest = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
-        best = settle(left.withColumn("place", likeliest).where(F.col("place") <= WIDER**rounds).select("a", "b"), "best")
-        if best.isEmpty():
-            return labels
-        new = settle(_confirmed(best, held, percent, n), "links")
-        left = settle(left.join(best, ["a", "b"], "left_anti"), "left")
-        labels, rounds = components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), rounds + 1
+    likeliest = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
+    left = settle(pairs.select("a", "b", likeliest.alias("place")), "ranked")
+    most = left.agg(F.max("place")).first()[0]
+    while done < most:
+        upto = WIDER**rounds
+        best = left.where((F.col("place") > done) & (F.col("place") <= upto))
+        if not alone:
+            side = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))  # noqa: B023, E731
+            best = best.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        new = settle(_confirmed(best.select("a", "b"), held, percent, n), "links")
+        rounds, done = rounds + 1, upto
+        if not new.isEmpty():
+            labels, alone = components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), False
+    return labels
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
