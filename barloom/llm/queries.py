@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, pitman_yor, quality, suffix_buckets, token_count, url_cascade
+from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, pitman_yor, quality, sql, suffix_buckets, token_count, url_cascade
 from barloom.llm.common import documents, shared_dir, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,18 +68,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/ids-{spark.sparkContext.applicationId}-{_serial()}"
+    path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
     partitions = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bit_planes.write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2, partitions=partitions)
     return bit_planes.read_ids(spark, path)
 
 
-def _serial() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(documents(spark, sf_dir))
 
@@ -93,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
