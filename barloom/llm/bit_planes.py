@@ -16,13 +16,16 @@ ascending doc_id order over shards and segments.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -80,25 +83,31 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 #: Unicode's White_Space, for which the library's pre-tokenizer has \s.
 _WS = "\t-\r \x85\xa0  -     　"
 
+#: Letters, and signs and white space that end a run of letters for the pre-tokenizer.
+_LATIN, _STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|() \n"
+
 
 class ByteEncoder:
     """Ids of whole texts as the tokenizers library gives them, remembering frequent parts.
 
     The byte-level pre-tokenizer never joins characters across a place where a
-    single space precedes a non-space, or between white space and what follows
-    it; the parts cut there are encoded by the library on their own, once each.
+    single space precedes a non-space, between white space and what follows it,
+    or where a run of letters ends at one of a few signs; the parts cut there
+    are encoded by the library on their own and remembered.
     """
 
-    MOST = 250_000
+    #: Parts that are remembered, and that the library encodes at once.
+    MOST, AT_ONCE = 700_000, 2_000
 
     def __init__(self, file: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(file)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.parts = regex.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+        self.parts = re.compile(f" ?[{_LATIN}]+(?=[{_STOP}])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
         self.end = struct.pack("<I", end_id)
         self.known: dict[str, bytes] = {}
         self.byte_level = '"type":"ByteLevel"' in self.lib.to_str().replace(" ", "") and self.lib.normalizer is None
@@ -107,17 +116,41 @@ class ByteEncoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, words: list[str | None]) -> list[bytes]:
+        gc.disable()  # nothing here is cyclic, and the many small lists would be scanned again and again
+        try:
+            return self._encode(words)
+        finally:
+            gc.enable()
+
+    def _encode(self, words: list[str | None]) -> list[bytes]:
         known = self.known
         if len(known) > self.MOST:
             known.clear()
-        cut: list[list[str] | bytes] = []
+        out: list[bytes | list[bytes | None]] = []
+        holes: list[tuple[list, int, str]] = []
         for t in words:
             t = t or ""
-            cut.append(self.whole(t) if not self.byte_level or any(s in t for s in self.special) else self.parts(t))
-        new = list({p for c in cut if isinstance(c, list) for p in c if p not in known})
-        for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [(c if isinstance(c, bytes) else b"".join(map(known.__getitem__, c))) + self.end for c in cut]
+            if not self.byte_level or any(x in t for x in self.special):
+                out.append(self.whole(t))
+                continue
+            parts = self.parts(t)
+            ids: list[bytes | None] = list(map(known.get, parts))
+            out.append(ids)
+            i = -1
+            try:
+                while True:
+                    i = ids.index(None, i + 1)
+                    holes.append((ids, i, parts[i]))
+            except ValueError:
+                pass
+        new = list({p for _, _, p in holes})
+        for at in range(0, len(new), self.AT_ONCE):
+            some = new[at : at + self.AT_ONCE]
+            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+        for ids, i, p in holes:
+            ids[i] = known[p]
+        return [(x if isinstance(x, bytes) else b"".join(x)) + self.end for x in out]
 
 
 _encoders: dict[tuple[str, int], ByteEncoder] = {}
