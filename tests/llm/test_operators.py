@@ -94,6 +94,15 @@ def test_quality_rejects_odd_histograms(spark):
     assert all(got[i] for i, _, _ in good) and not got[99]
 
 
+def test_quality_against_labels(spark):
+    """Of the labelled texts of sf0.1 that pass the base rules: rejected and kept by label."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    count = {(r["quality"], r["kept"]): r["count"] for r in rows}
+    assert count.get((1, False), 0) == 0 and count[1, True] == 3243
+    assert count[0, False] >= 285 and count.get((0, True), 0) <= 6
+
+
 def test_distance_against_numpy(spark):
     rng = np.random.default_rng(3)
     for _ in range(5):
