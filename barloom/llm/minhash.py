@@ -13,12 +13,13 @@
    whose finer sketches agree; these go through step 4 as well, so no link
    between different texts depends on the choice in step 3.
 
-With 32 bands of 4 a pair at the threshold of 0.85 shares no bucket once in
-2e10 cases; the sift is five standard deviations wide.
+With 32 bands of 4 a pair at a threshold of 0.85 shares no bucket once in
+2e10 cases, at 0.8 once in 2e7; the sift is five standard deviations wide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,12 @@ from barloom.llm.common import WordHashes, array_of, arrow_map, lower_ascii, scr
 from barloom.llm.components import components
 
 K, R, BITS, WORDS = 128, 4, 4, 5
-SLACK = 0.17
+#: Standard deviations by which an estimate of a pair at the threshold may fall short: of the signature, of the finer sketch.
+SLACK, FINE_SLACK = 5.2, 4.1
 #: Likeliest pairs of a class that each round confirms at most, from the second round on times this number.
 WIDER = 40
-#: The finer sketch of classes in buckets of several components: minima and bits; its sift; bands that give buckets there.
-FINE_K, FINE_BITS, FINE_SLACK, FINE_BANDS = 4096, 2, 0.027, 16
+#: The finer sketch of classes in buckets of several components: minima and bits; bands that give buckets there.
+FINE_K, FINE_BITS, FINE_BANDS = 4096, 2, 16
 _A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, FINE_K, dtype=np.uint64)
 
@@ -82,6 +84,13 @@ def similarity(x: Column, y: Column) -> Column:
     return ((1 - unequal / F.lit(float(K))) - chance) / (1 - chance)
 
 
+def cutoff(percent: int, k: int, bits: int, deviations: float) -> float:
+    """The least estimate that k minima of some bits let pass at a threshold of percent."""
+    chance = 2.0**-bits
+    equal = chance + (1 - chance) * percent / 100
+    return percent / 100 - deviations * math.sqrt(equal * (1 - equal) / k) / (1 - chance)
+
+
 def features(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, cid: hash of the set or null if empty, sig, bands)."""
 
@@ -123,7 +132,7 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, n: int) -> DataF
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _between(cutoff: float, percent: int):
+def _between(least: float, percent: int):
     """applyInArrow over a bucket (key, cid, label, n, fine): likely pairs of different components.
 
     Each class outside the bucket's largest component is held against all
@@ -146,10 +155,10 @@ def _between(cutoff: float, percent: int):
             d = sig[near] ^ sig[i]
             unequal = np.bitwise_count((d | (d >> np.uint64(1))) & low_bits).sum(axis=1)
             est = ((1 - unequal / FINE_K) - chance) / (1 - chance)
-            hit = near[est >= cutoff]
+            hit = near[est >= least]
             out_a.append(np.minimum(cid[hit], cid[i]))
             out_b.append(np.maximum(cid[hit], cid[i]))
-            out_est.append(est[est >= cutoff])
+            out_est.append(est[est >= least])
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table({"a": cat(out_a, pa.int64()), "b": cat(out_b, pa.int64()), "est": cat(out_est, pa.float64())})
 
@@ -184,13 +193,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     linked = rows.where("cid is not null and doc_id is not null")
     classes = linked.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
     nodes = settle(linked.join(classes.select("cid", F.col("first_id").alias("doc_id")), ["cid", "doc_id"]).dropDuplicates(["cid"]).select("cid", "doc_id", F.col("n_shingles").alias("n"), "sig", "bands"), "classes")
-    cutoff = percent / 100 - SLACK
+    least = cutoff(percent, K, BITS, SLACK)
 
     banded = nodes.select("cid", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", "cid"), "cid")).alias("hub")).where("m > 1").select("key", F.col("hub.cid").alias("hub"))
     hubs = settle(hubs, "hubs")
     near = banded.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    near = settle(_sifted(near, nodes, cutoff, percent), "pairs")
+    near = settle(_sifted(near, nodes, least, percent), "pairs")
 
     labels = spark.createDataFrame([], "node bigint, label bigint")
     wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -202,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     members = settle(in_buckets.join(mixed, "key"), "mixed")
     held = settle(_texts_of(docs, nodes, members.select("cid").distinct(), n), "texts")
     fine = settle(_fine(held, n), "fine")
-    more = members.join(fine, "cid").select("key", "cid", "label", "n", "fine").groupBy("key").applyInArrow(_between(percent / 100 - FINE_SLACK, percent), "a bigint, b bigint, est double")
+    more = members.join(fine, "cid").select("key", "cid", "label", "n", "fine").groupBy("key").applyInArrow(_between(cutoff(percent, FINE_K, FINE_BITS, FINE_SLACK), percent), "a bigint, b bigint, est double")
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = settle(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(tried, ["a", "b"], "left_anti"), "more")
     labels = _confirm_all(more, labels, held, percent, n)
@@ -215,12 +224,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _sifted(pairs: DataFrame, nodes: DataFrame, cutoff: float, percent: int) -> DataFrame:
+def _sifted(pairs: DataFrame, nodes: DataFrame, least: float, percent: int) -> DataFrame:
     """(a, b, est) of the pairs whose set sizes and signatures allow a link."""
     side = lambda s: nodes.select(F.col("cid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sig").alias(f"{s}_sig"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    return both.where(fits).select("a", "b", similarity(F.col("a_sig"), F.col("b_sig")).alias("est")).where(F.col("est") >= cutoff)
+    return both.where(fits).select("a", "b", similarity(F.col("a_sig"), F.col("b_sig")).alias("est")).where(F.col("est") >= least)
 
 
 def _confirm_all(pairs: DataFrame, labels: DataFrame, held: DataFrame, percent: int, n: int) -> DataFrame:
@@ -261,7 +270,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> D
     return repeated.where("own = cid").select("cid", "text").dropDuplicates(["cid"])
 
 
-def one_of_each(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80, n: int = WORDS) -> DataFrame:
     """docs, with all its columns, without the rows that near_duplicates() does not keep."""
     gone = near_duplicates(docs, percent, n).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -38,6 +38,24 @@ def test_stages(spark, corpus):
     assert not any(item in t for t in got.values())
 
 
+def test_near_dedup_from_80(spark):
+    """Pairs of a similarity from 0.80 to below 0.85, of which 85 percent would keep both, and one below 0.80."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for i, changed in enumerate([4, 4, 4, 4, 4, 4, 5]):
+        w = prose(rng, 200).split()
+        other = list(w)
+        for k in range(changed):
+            other[20 + 30 * k] = f"changed{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    assert all(g[3] for g in brute_groups(rows))
+    want = {g[0] for g in brute_groups(rows, 80) if g[3]}
+    assert want == {0, 2, 4, 6, 8, 10, 12, 13}
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 def test_columns(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     names = docs.columns
