@@ -11,7 +11,9 @@
    that are left, until none is.
 5. Buckets that still hold several components give the pairs between them
    whose finer sketches agree; these go through step 4 as well, so no link
-   between different texts depends on the choice in step 3.
+   between different texts depends on the choice in step 3. A large bucket is
+   cut into blocks, and each two blocks that may hold a link are a group of
+   their own; blocks of its largest component meet only classes outside it.
 
 With 32 bands of 4 a pair at a threshold of 0.85 shares no bucket once in
 2e10 cases, at 0.8 once in 2e7; the sift is five standard deviations wide.
@@ -38,6 +40,8 @@ SLACK, FINE_SLACK = 5.2, 4.1
 WIDER = 40
 #: The finer sketch of classes in buckets of several components: minima and bits; bands that give buckets there.
 FINE_K, FINE_BITS, FINE_BANDS = 4096, 2, 16
+#: Classes of such a bucket that are held against each other at once; a larger one is cut into blocks of about as many.
+BLOCK = 1024
 _A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, FINE_K, dtype=np.uint64)
 
@@ -132,23 +136,52 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, n: int) -> DataF
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(key, a, b, left, cid, label, n): of members (key, cid, label, n, m) the groups (key, a, b) to be compared.
+
+    A bucket of m <= BLOCK is one group. Of a larger one each two blocks a <= b
+    are a group, save both in the largest component, or of sizes that can't fit;
+    left tells whose block a row is of, and if a = b all are left. Each pair of
+    different components that may link is in one group of a bucket.
+    """
+    whole = members.where(F.col("m") <= BLOCK).select("key", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(True).alias("left"), "cid", "label", "n")
+    large = members.where(F.col("m") > BLOCK)
+    main = large.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    step = max(math.log(100 / percent), 1e-3) * (1 + 1e-9)  # sizes that fit are in one class of sizes or in neighbours
+    kinds = large.join(main, "key").withColumns({"rest": (F.col("label") != F.col("main")).cast("int"), "size": F.floor(F.log(F.col("n").cast("double")) / step)})
+    cells = kinds.groupBy("key", "rest", "size").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    name = lambda salt: F.shiftleft(F.col("size") * 2 + F.col("rest"), 32) + salt
+    placed = kinds.join(cells, ["key", "rest", "size"]).select("key", "cid", "label", "n", name(F.pmod(F.xxhash64("cid"), "blocks")).alias("block"))
+    named = cells.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("block", name(F.col("salt")))
+    side = lambda x: named.select("key", F.col("block").alias(x), F.col("rest").alias(f"{x}_rest"), F.col("size").alias(f"{x}_size"))
+    both = side("a").join(side("b"), "key").where((F.col("a") <= F.col("b")) & (F.col("a_rest") + F.col("b_rest") > 0) & (F.abs(F.col("a_size") - F.col("b_size")) <= 1)).select("key", "a", "b")
+    out = lambda rows, x, left: rows.withColumn("block", F.col(x)).join(placed, ["key", "block"]).select("key", "a", "b", F.lit(left).alias("left"), "cid", "label", "n")
+    return whole.unionByName(out(both, "a", True)).unionByName(out(both.where("a < b"), "b", False))
+
+
 def _between(least: float, percent: int):
-    """applyInArrow over a bucket (key, cid, label, n, fine): likely pairs of different components.
+    """applyInArrow over a group (key, a, b, left, cid, label, n, fine): likely pairs of different components.
 
-    Each class outside the bucket's largest component is held against all
-    others at once, by bit counts of the finer sketches; only likely pairs leave.
+    Where all rows are left, each class outside the group's largest component is
+    held against all others at once, by bit counts of the finer sketches; else
+    each class of the side with fewer against the other side. Only likely pairs leave.
     """
     chance = 2.0**-FINE_BITS
     low_bits = np.uint64(0x5555555555555555)
 
     def pairs(table: pa.Table) -> pa.Table:
-        cid, label, n = (np.asarray(table[c].combine_chunks()) for c in ("cid", "label", "n"))
+        cid, label, n, left = (np.asarray(table[c].combine_chunks()) for c in ("cid", "label", "n", "left"))
         sig = np.asarray(table["fine"].combine_chunks().flatten()).view(np.uint64).reshape(len(cid), -1)
-        kinds, count = np.unique(label, return_counts=True)
         out_a, out_b, out_est = [], [], []
-        rest = np.flatnonzero(label != kinds[count.argmax()])
         place = np.full(len(cid), -1)
-        place[rest] = np.arange(len(rest))
+        if left.all():
+            kinds, count = np.unique(label, return_counts=True)
+            rest = np.flatnonzero(label != kinds[count.argmax()])
+            place[rest] = np.arange(len(rest))
+        else:
+            fewer = left if 2 * left.sum() <= len(left) else ~left
+            rest = np.flatnonzero(fewer)
+            place[rest] = len(rest)
         for k, i in enumerate(rest.tolist()):
             small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
             near = np.flatnonzero((label != label[i]) & (100 * small >= percent * large) & (place < k))
@@ -207,11 +240,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
 
     own = nodes.select("cid", "n", "bands").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     in_buckets = own.select("cid", "n", "label", F.explode(F.slice("bands", 1, FINE_BANDS)).alias("key")).join(hubs.select("key"), "key", "left_semi")
-    mixed = in_buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key")
+    mixed = in_buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
     members = settle(in_buckets.join(mixed, "key"), "mixed")
     held = settle(_texts_of(docs, nodes, members.select("cid").distinct(), n), "texts")
     fine = settle(_fine(held, n), "fine")
-    more = members.join(fine, "cid").select("key", "cid", "label", "n", "fine").groupBy("key").applyInArrow(_between(cutoff(percent, FINE_K, FINE_BITS, FINE_SLACK), percent), "a bigint, b bigint, est double")
+    more = _blocks(members, percent).join(fine, "cid").groupBy("key", "a", "b").applyInArrow(_between(cutoff(percent, FINE_K, FINE_BITS, FINE_SLACK), percent), "a bigint, b bigint, est double")
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = settle(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(tried, ["a", "b"], "left_anti"), "more")
     labels = _confirm_all(more, labels, held, percent, n)

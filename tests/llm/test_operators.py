@@ -1,6 +1,7 @@
 """Each operator against a plain brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -154,6 +155,32 @@ def test_near_duplicates_chain(spark):
     same(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), brute_groups(rows))
 
 
+def test_near_duplicates_in_blocks(table, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    same(minhash.near_duplicates(table, 70), brute_groups(docs, 70))
+
+
+def test_large_buckets_are_cut(spark):
+    """No group of a large bucket has many classes; each pair of different components whose sizes fit is in one group."""
+    rng = random.Random(3)
+    rows = [(1, i, 0 if i < 3000 else i, rng.randint(80, 130), 4000) for i in range(4000)] + [(2, i, i, 100, 3) for i in range(3)]
+    members = spark.createDataFrame(rows, "key bigint, cid bigint, label bigint, n bigint, m bigint")
+    groups = defaultdict(lambda: ([], []))
+    for r in minhash._blocks(members, 85).collect():
+        groups[r["key"], r["a"], r["b"]][r["left"]].append(r["cid"])
+    assert max(len(x) + len(y) for x, y in groups.values()) <= 2.5 * minhash.BLOCK
+    met = Counter()
+    for (key, a, b), (right, left) in groups.items():
+        assert (a == b) == (not right)
+        met.update((key, *sorted(p)) for p in (itertools.product(left, right) if right else itertools.combinations(left, 2)))
+    assert set(met.values()) == {1} and len([p for p in met if p[0] == 2]) == 3
+    for x, y in itertools.combinations(rows[:4000], 2):
+        if x[2] != y[2] and 100 * min(x[3], y[3]) >= 85 * max(x[3], y[3]):
+            assert (1, x[1], y[1]) in met
+        elif x[2] == y[2]:
+            assert (1, x[1], y[1]) not in met
+
+
 def test_signature_estimate():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
