@@ -38,8 +38,8 @@ K, R, BITS, WORDS = 128, 4, 4, 5
 SLACK, FINE_SLACK = 5.2, 4.1
 #: Likeliest pairs of a class that each round confirms at most, from the second round on times this number.
 WIDER = 40
-#: The finer sketch of classes in buckets of several components: minima and bits; bands that give buckets there.
-FINE_K, FINE_BITS, FINE_BANDS = 4096, 2, 16
+#: The finer sketch of classes in buckets of several components: minima and bits.
+FINE_K, FINE_BITS = 4096, 2
 #: Classes of such a bucket that are held against each other at once; a larger one is cut into blocks of about as many.
 BLOCK = 1024
 _A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,6 +136,13 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, n: int) -> DataF
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _mixed(own: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, cid, n, label, m): the m classes, of own (cid, n, label, bands), of each bucket of hubs (key) that has several components."""
+    in_buckets = own.select("cid", "n", "label", F.explode("bands").alias("key")).join(hubs.select("key"), "key", "left_semi")
+    mixed = in_buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
+    return in_buckets.join(mixed, "key")
+
+
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """(key, a, b, left, cid, label, n): of members (key, cid, label, n, m) the groups (key, a, b) to be compared.
 
@@ -239,9 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     labels = _confirm_all(near, labels, settle(_texts_of(docs, nodes, wanted, n), "texts"), percent, n)
 
     own = nodes.select("cid", "n", "bands").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    in_buckets = own.select("cid", "n", "label", F.explode(F.slice("bands", 1, FINE_BANDS)).alias("key")).join(hubs.select("key"), "key", "left_semi")
-    mixed = in_buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key", "m")
-    members = settle(in_buckets.join(mixed, "key"), "mixed")
+    members = settle(_mixed(own, hubs), "mixed")
     held = settle(_texts_of(docs, nodes, members.select("cid").distinct(), n), "texts")
     fine = settle(_fine(held, n), "fine")
     more = _blocks(members, percent).join(fine, "cid").groupBy("key", "a", "b").applyInArrow(_between(cutoff(percent, FINE_K, FINE_BITS, FINE_SLACK), percent), "a bigint, b bigint, est double")

@@ -160,6 +160,15 @@ def test_near_duplicates_in_blocks(table, docs, monkeypatch):
     same(minhash.near_duplicates(table, 70), brute_groups(docs, 70))
 
 
+def test_all_bands_give_mixed_buckets(spark):
+    """Classes of different components that meet in one band alone are held against each other, whichever band it is."""
+    bands = minhash.K // minhash.R
+    rows = [(3 * b + c, 10, 3 * b + c, [b if k == b else 1000 * (3 * b + c + 1) + k for k in range(bands)]) for b in range(bands) for c in range(3)]
+    own = spark.createDataFrame(rows, "cid bigint, n bigint, label bigint, bands array<bigint>")
+    got = minhash._mixed(own, spark.createDataFrame([(b,) for b in range(bands)], "key bigint"))
+    same(got.select("key", "cid", "m"), [(b, 3 * b + c, 3) for b in range(bands) for c in range(3)])
+
+
 def test_large_buckets_are_cut(spark):
     """No group of a large bucket has many classes; each pair of different components whose sizes fit is in one group."""
     rng = random.Random(3)
