@@ -117,18 +117,23 @@ def interval_join_window(anchors: DataFrame, micro: DataFrame, seconds: int) ->
     return anchors.join(summed, ["symbol", "dt"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ticks": F.coalesce("ticks", F.lit(0))})
 
 
-def first_fill_join(events: DataFrame, micro: DataFrame, bars_ahead: int, through: float, horizon_s: int) -> DataFrame:
+def first_fill_join(events: DataFrame, micro: DataFrame, bars_ahead: int, through: float, horizon_s: int | None = None) -> DataFrame:
     """Limit orders against later bars: filled if price trades through the limit by `through` within the first bars_ahead bars.
 
     events: (event_id, symbol, dt, direction, limit); micro: (symbol, dt, h, l, c).
     Returns event_id, n_seen, filled, near_miss (touched, not through), fill_dt,
     mfe, mae and terminal PnL per unit over the bars seen after the fill.
-    horizon_s bounds the bars looked at, by an equi-join on time buckets.
+    The bars of a symbol are numbered by time, so an event meets exactly its
+    first bars_ahead ones, by an equi-join on the number; horizon_s drops those
+    of them that are not within so many seconds.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / horizon_s)
-    m = micro.select("symbol", F.col("dt").alias("t"), "h", "l", "c", bucket(F.col("dt")).alias("__b"))
-    e = events.withColumn("__b", F.explode(F.array(bucket(F.col("dt")), bucket(F.col("dt")) + 1)))
-    ahead = e.join(m, ["symbol", "__b"]).where((F.col("t") >= F.col("dt")) & (F.col("t") < F.col("dt") + F.expr(f"INTERVAL {horizon_s} SECONDS")))
+    m = micro.select("symbol", F.col("dt").alias("t"), "h", "l", "c", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")).alias("__no"))
+    e = asof_backward(events, m.select("symbol", F.col("t").alias("dt"), "t", F.col("__no").alias("__last")).withColumnRenamed("t", "__t"), ["__t", "__last"])
+    begin = F.when(F.col("__t") == F.col("dt"), F.col("__last")).otherwise(F.coalesce("__last", F.lit(0)) + 1)
+    e = e.withColumn("__no", F.explode(F.sequence(begin, begin + (bars_ahead - 1)))).drop("__t", "__last")
+    ahead = e.join(m, ["symbol", "__no"])
+    if horizon_s is not None:
+        ahead = ahead.where(F.col("t") < F.col("dt") + F.expr(f"INTERVAL {horizon_s} SECONDS"))
     rn = F.row_number().over(Window.partitionBy("event_id").orderBy("t"))
     seen = ahead.withColumn("rn", rn).where(F.col("rn") <= bars_ahead)
     buy = F.col("direction") > 0

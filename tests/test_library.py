@@ -160,3 +160,11 @@ def test_asof_clamp(spark):
     right = spark.createDataFrame([("A", at("2024-01-02 00:00:00"), 5.0)], "symbol string, dt timestamp_ntz, x double")
     value = lambda clamp: [r["x"] for r in align.asof_backward(left, right, ["x"], clamp).orderBy("dt").collect()]
     assert value(False) == [None, 5.0] and value(True) == [5.0, 5.0]
+
+
+def test_first_fill_join_sees_sparse_bars(spark):
+    """Without a horizon the first five bars count, however late; an event on a bar meets that bar."""
+    micro = spark.sql("SELECT 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 5 * id) AS dt, 10.0D + id AS h, 9.0D - id AS l, 9.5D AS c FROM range(8)")
+    events = spark.sql("SELECT id AS event_id, 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1.0 * id) AS dt, 1 AS direction, 5.0D AS limit FROM VALUES (0L), (1L), (200000L) AS t(id)")
+    got = {r["event_id"]: (r["n_seen"], r["filled"], r["fill_dt"] and r["fill_dt"].hour) for r in align.first_fill_join(events, micro, 5, 0.01).collect()}
+    assert got == {0: (5, False, None), 1: (5, True, 1), 200000: (0, False, None)}
