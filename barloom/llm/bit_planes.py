@@ -16,12 +16,10 @@ ascending doc_id order over shards and segments.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import steps, texts
+from barloom.llm.common import arrow_map, settle, texts
 
-MAGIC, BLOCK_IDS, SEGMENT_IDS = b"BPL1", 65_536, 1_000_000
+#: Ids of a block, of a segment, and of a range partition, about.
+MAGIC, BLOCK_IDS, SEGMENT_IDS, SHARD_IDS = b"BPL1", 65_536, 1_000_000, 8_000_000
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n", "<u8")])
 
 
-def write_segment(doc_ids: list[int | None], ids: list[bytes], planes: int = 4, block_ids: int = BLOCK_IDS) -> bytes:
-    """ids: each document's ids as little-endian unsigned 32-bit integers."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    index = np.array([(d or 0, d is not None, len(x) // 4) for d, x in zip(doc_ids, ids, strict=True)], _DOC)
+def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], planes: int = 4, block_ids: int = BLOCK_IDS) -> bytes:
+    """ids: each document's ids as unsigned 32-bit integers."""
+    flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+    index = np.array([(d or 0, d is not None, len(x)) for d, x in zip(doc_ids, ids, strict=True)], _DOC)
     press, sizes, body = zstandard.ZstdCompressor(level=3), [], []
     for at in range(0, len(flat), block_ids):
         block = flat[at : at + block_ids].view(np.uint8).reshape(-1, 4)
@@ -80,24 +79,60 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [d if h else None for d, h in zip(index["doc_id"].tolist(), index["has_id"].tolist(), strict=True)], index["n"].astype(np.int64), out
 
 
-#: Unicode's White_Space, for which the library's pre-tokenizer has \s.
-_WS = "\t-\r \x85\xa0  -     　"
+#: Classes of bytes: letters, digits, other signs, the apostrophe, white space, and bytes whose class is not known from themselves.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _BLANK, _UNSURE, _EDGE = range(7)
+#: A byte that no UTF-8 text has; it stands between texts.
+EDGE = b"\xff"
 
-#: Letters, and signs and white space that end a run of letters for the pre-tokenizer.
-_LATIN, _STOP = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#*$%&|() \n"
+
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, _UNSURE, np.uint8)
+    out[:128] = _SIGN
+    for chars, kind in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _LETTER), (b"0123456789", _DIGIT), (b"'", _APOSTROPHE), (b"\t\n\x0b\x0c\r ", _BLANK)):
+        out[np.frombuffer(chars, np.uint8)] = kind
+    out[EDGE[0]] = _EDGE
+    return out
+
+
+_CLASS = _byte_classes()
+
+
+def cut_points(data: np.ndarray) -> np.ndarray:
+    """Places of bytes (UTF-8 texts, an EDGE before, between and after them) where the byte-level pre-tokenizer always cuts.
+
+    A run of white space ends before its last character, which goes with what
+    follows if it is a space; runs of letters, digits and other signs end where
+    another class begins. Nothing is cut beside an apostrophe or characters
+    whose class the bytes do not show, but for white space that is surely not
+    part of a longer run.
+    """
+    kind = _CLASS[data]
+    wide = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))  # Latin letters of two bytes, save the signs of times and division
+    wide = wide[(data[wide] != 0xC3) | ((data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7))]
+    kind[wide] = kind[wide + 1] = _LETTER
+    left, right = kind[:-1], kind[1:]
+    sure = kind <= _APOSTROPHE  # not white space
+    blank = kind == _BLANK
+    cut = (left != right) & (left <= _SIGN) & (right <= _SIGN)
+    cut |= (kind == _EDGE)[:-1] | (kind == _EDGE)[1:]
+    cut |= sure[:-1] & blank[1:]  # a run begins
+    last = np.flatnonzero(blank[:-1] & sure[1:])  # a run's last character
+    cut[last[last > 0] - 1] = True
+    cut[last[data[last] != 32]] = True
+    return np.flatnonzero(cut) + 1
 
 
 class ByteEncoder:
-    """Ids of whole texts as the tokenizers library gives them, remembering frequent parts.
+    """Ids of whole texts as the tokenizers library gives them, remembering parts.
 
-    The byte-level pre-tokenizer never joins characters across a place where a
-    single space precedes a non-space, between white space and what follows it,
-    or where a run of letters ends at one of a few signs; the parts cut there
-    are encoded by the library on their own and remembered.
+    Texts are cut where the byte-level pre-tokenizer always cuts; a batch's
+    distinct parts are encoded by the library and each occurrence takes its ids.
+    Texts with special strings, and all texts if the file's pre-tokenizer is
+    another one, are encoded as a whole.
     """
 
-    #: Parts that are remembered, and that the library encodes at once.
-    MOST, AT_ONCE = 700_000, 2_000
+    #: Parts that are remembered; bytes of parts that the library encodes in one call.
+    MOST, AT_ONCE = 1_500_000, 200_000
 
     def __init__(self, file: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -106,81 +141,149 @@ class ByteEncoder:
         self.lib = Tokenizer.from_file(file)
         self.lib.no_truncation()
         self.lib.no_padding()
+        made = json.loads(self.lib.to_str())
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.parts = re.compile(f" ?[{_LATIN}]+(?=[{_STOP}])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
-        self.end = struct.pack("<I", end_id)
-        self.known: dict[str, bytes] = {}
-        self.byte_level = '"type":"ByteLevel"' in self.lib.to_str().replace(" ", "") and self.lib.normalizer is None
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, words: list[str | None]) -> list[bytes]:
-        gc.disable()  # nothing here is cyclic, and the many small lists would be scanned again and again
-        try:
-            return self._encode(words)
-        finally:
-            gc.enable()
-
-    def _encode(self, words: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        out: list[bytes | list[bytes | None]] = []
-        holes: list[tuple[list, int, str]] = []
-        for t in words:
-            t = t or ""
-            if not self.byte_level or any(x in t for x in self.special):
-                out.append(self.whole(t))
-                continue
-            parts = self.parts(t)
-            ids: list[bytes | None] = list(map(known.get, parts))
-            out.append(ids)
-            i = -1
-            try:
-                while True:
-                    i = ids.index(None, i + 1)
-                    holes.append((ids, i, parts[i]))
-            except ValueError:
-                pass
-        new = list({p for _, _, p in holes})
-        for at in range(0, len(new), self.AT_ONCE):
-            some = new[at : at + self.AT_ONCE]
-            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-        for ids, i, p in holes:
-            ids[i] = known[p]
-        return [(x if isinstance(x, bytes) else b"".join(x)) + self.end for x in out]
+        self.end = end_id
+        first = made.get("pre_tokenizer") or {}
+        self.byte_level = first.get("type") == "ByteLevel" and not first.get("add_prefix_space", True) and first.get("use_regex", True) and made.get("normalizer") is None
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of pieces that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used, self.begin, self.size = np.zeros(1 << 16, "<u4"), 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _remember(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(self.known) + len(parts)
+        if m > len(self.begin):
+            self.begin, self.size = (np.resize(x, 2 * m) for x in (self.begin, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[n:m] = sizes
+        self.begin[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(parts, range(n, m), strict=True))
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Parts that begin with a space and hold no other go to the library side by side, as one text: each piece that begins with a space begins a part."""
+        joined, alone = [], []
+        for p in parts:
+            (joined if p[:1] == b" " and len(p) > 1 and p.count(b" ") == 1 and p.isascii() and p[1:2] not in b"\t\n\x0b\x0c\r" else alone).append(p)
+        at = 0
+        while at < len(joined):
+            end, total = at, 0
+            while end < len(joined) and total < self.AT_ONCE:
+                total += len(joined[end])
+                end += 1
+            ids = self.whole(b"".join(joined[at:end]).decode())
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != end - at:
+                raise ValueError("the vocabulary has pieces that hold spaces inside")
+            self._remember(joined[at:end], ids, np.diff(np.append(starts, len(ids))))
+            at = end
+        for at in range(0, len(alone), 2_000):
+            some = alone[at : at + 2_000]
+            ids = [e.ids for e in self.lib.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._remember(some, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
+
+    def encode(self, words: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids, the end id last."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        plain = []
+        for i, t in enumerate(words):
+            if not self.byte_level or t and any(x in t for x in self.special):
+                out[i] = np.append(self.whole(t or ""), np.uint32(self.end))
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        data = np.frombuffer(EDGE + EDGE.join((words[i] or "").encode() for i in plain) + EDGE, np.uint8)
+        cuts = cut_points(data)
+        begins, ends = cuts[:-1], cuts[1:]
+        edge = data[begins] == EDGE[0]  # between two texts
+        text_of, real = np.concatenate([[0], np.cumsum(edge)])[:-1], ~edge
+        begins, text_of = begins[real], text_of[real]
+        sizes = ends[real] - begins
+        if len(begins):
+            packed = data[data != EDGE[0]]
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            coded = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+            parts = coded.dictionary.to_pylist()
+            if len(self.known) > self.MOST:
+                self._forget()
+            self._learn([p for p in parts if p not in self.known])
+            place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[np.asarray(coded.indices)]
+            n_ids = self.size[place]
+            before = np.cumsum(n_ids) - n_ids
+            ids = self.flat[np.repeat(self.begin[place] - before, n_ids) + np.arange(int(n_ids.sum()))]
+            per_text = np.bincount(text_of, n_ids, len(plain)).astype(np.int64)
+        else:
+            ids, per_text = np.zeros(0, "<u4"), np.zeros(len(plain), np.int64)
+        ends = np.cumsum(per_text)
+        for k, (i, a, b) in enumerate(zip(plain, (ends - per_text).tolist(), ends.tolist(), strict=True)):
+            out[i] = np.append(ids[a:b], np.uint32(self.end))
+        return out
 
 
 _encoders: dict[tuple[str, int], ByteEncoder] = {}
 
 
-def write_ids(docs: DataFrame, file: str, path: str, end_id: int, partitions: int, planes: int = 4, block_ids: int = BLOCK_IDS, segment_ids: int = SEGMENT_IDS) -> None:
+def write_ids(docs: DataFrame, file: str, path: str, end_id: int, planes: int = 4, block_ids: int = BLOCK_IDS, segment_ids: int = SEGMENT_IDS, shard_ids: int = SHARD_IDS) -> None:
     """Encode each row's whole text and write segments to the Parquet folder path.
 
-    Rows go to range partitions of doc_id (null first) and are sorted there, so
-    the only shuffle is of the texts. A null text is empty: it has the end id
-    alone. Repeated rows and ids stay, side by side.
+    Texts are encoded where they lie; the ids go to range partitions of doc_id
+    (null first), as many as give about shard_ids each, and are sorted there.
+    Rows of one doc_id are dealt by a hash besides, so none of them gathers in
+    one task. A null text is empty: it has the end id alone. Repeated rows and
+    ids stay, side by side.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         if (file, end_id) not in _encoders:
             _encoders[file, end_id] = ByteEncoder(file, end_id)
-        encoder, shard, segment, held_docs, held, size = _encoders[file, end_id], TaskContext.get().partitionId(), 0, [], [], 0
+        encoder = _encoders[file, end_id]
+
+        def step(rows: pa.RecordBatch, words: list) -> dict:
+            ids = encoder.encode(words)
+            return {"n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([packed_ids(x) for x in ids], pa.binary())}
+
+        return step
+
+    encoded = settle(arrow_map(texts(docs), make, "n bigint, ids binary", keep=("doc_id",)), "ids").withColumn("salt", F.xxhash64("n", "ids"))
+    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = encoded.repartitionByRange(max(8, -(-total // shard_ids)), "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, segment, held_docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
         one = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()), pa.array([write_segment(held_docs, held, planes, block_ids)], pa.binary())], names=["shard", "segment", "n_ids", "payload"])
-        for rows, words in steps(batches):
-            for d, x in zip(rows.column(0).to_pylist(), encoder.encode(words), strict=True):
+        for rows in batches:
+            for d, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 held_docs.append(d)
-                held.append(x)
-                size += len(x) // 4
+                held.append(unpacked_ids(x))
+                size += len(held[-1])
                 if size >= segment_ids:
                     yield one()
                     segment, held_docs, held, size = segment + 1, [], [], 0
         if held:
             yield one()
 
-    (texts(docs).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "shard int, segment int, n_ids bigint, payload binary").write.parquet(path))
+    dealt.select("doc_id", "ids").mapInArrow(run, "shard int, segment int, n_ids bigint, payload binary").write.parquet(path)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids for a shuffle: two bytes each if all fit, and a last byte that says so."""
+    return ids.astype("<u2").tobytes() + b"\2" if ids.max(initial=0) < 65_536 else ids.astype("<u4").tobytes() + b"\4"
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[-1]}", (len(data) - 1) // data[-1]).astype("<u4")
 
 
 def read_ids(spark, path: str) -> DataFrame:

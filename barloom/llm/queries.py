@@ -69,8 +69,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
-    partitions = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bit_planes.write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2, partitions=partitions)
+    bit_planes.write_ids(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
     return bit_planes.read_ids(spark, path)
 
 

@@ -363,7 +363,7 @@ def test_bit_planes(spark, table, docs, empty, tmp_path, planes):
 
     lib = Tokenizer.from_file(BYTES)
     path = str(tmp_path / "ids")
-    bit_planes.write_ids(table, BYTES, path, 2, 3, planes=planes, block_ids=100, segment_ids=700)
+    bit_planes.write_ids(table, BYTES, path, 2, planes=planes, block_ids=100, segment_ids=700, shard_ids=3000)
     got = bit_planes.read_ids(spark, path).collect()
     rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
     ids = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows]
@@ -373,15 +373,17 @@ def test_bit_planes(spark, table, docs, empty, tmp_path, planes):
     assert [a for a, _, _ in at] == list(np.cumsum([0, *(n for _, n, _ in at)])[:-1])
     assert [d is None for _, _, d in at] == [i is None for i, _ in rows]
     assert [d for _, _, d in at if d is not None] == [i for i, _ in rows if i is not None]
-    bit_planes.write_ids(empty, BYTES, str(tmp_path / "none"), 2, 2)
+    bit_planes.write_ids(empty, BYTES, str(tmp_path / "none"), 2)
     assert bit_planes.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_byte_encoder_fuzz():
     e, rng = bit_planes.ByteEncoder(BYTES, 2), random.Random(1)
     texts = ["".join(rng.choice(" \n\t  ab'sé日<|endoftext|>.1,|word") for _ in range(60)) for _ in range(500)] + ["x  <|endoftext|> y", "naïve's 'tis", None]
+    texts += ["".join(rng.choice("ab  \n\t''s.,1²é\xa0 x日\u2003\u3000Ü×÷ŉ\x85\x1c\x1f\x00 tre'll'd") for _ in range(rng.randint(0, 30))) for _ in range(5000)]
     for a, t in zip(e.encode(texts), texts):
-        assert np.frombuffer(a, "<u4").tolist() == [*e.lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert a.tolist() == [*e.lib.encode(t or "", add_special_tokens=False).ids, 2]
+    assert bit_planes.unpacked_ids(bit_planes.packed_ids(np.array([70_000, 1], "<u4"))).tolist() == [70_000, 1]
 
 
 def test_host_path_and_rules(spark):
