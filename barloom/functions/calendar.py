@@ -19,15 +19,22 @@ def session_phase(dt: Column) -> Column:
     return F.when(h < 2, "sydney").when(h < 9, "tokyo").when(h < 13, "london").when(h < 22, "newyork").otherwise("pre_tokyo")
 
 
-# Weights of phases and regimes.
-PHASE_WEIGHT = {"sydney": 0.3, "tokyo": 0.6, "london": 1.0, "newyork": 1.0, "pre_tokyo": 0.4}
-REGIME_WEIGHT = {0: 0.5, 1: 1.0, 2: 0.7, 3: 0.4, 4: 0.2}
+# Weights of phases, and of the two severest regimes.
+PHASE_WEIGHT = {"pre_tokyo": 0.5, "tokyo": 0.6, "london": 0.8, "newyork": 1.0, "sydney": 0.4}
+REGIME_WEIGHT = {4: 0.3, 3: 0.7}
 
 
 def bridge_gate(dt: Column, regime: Column) -> Column:
-    """Weight of the phase times weight of the regime; 0 at weekends."""
-    pick = lambda c, table: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in table.items()), F.lit(0.0))
-    return F.when(F.weekday(dt) >= 5, 0.0).otherwise(pick(session_phase(dt), PHASE_WEIGHT) * pick(regime, REGIME_WEIGHT))
+    """Weight of the phase times weight of the regime's code (1 below 3); 0 at weekends."""
+    phase = session_phase(dt)
+    weight = F.coalesce(*(F.when(phase == k, F.lit(v)) for k, v in PHASE_WEIGHT.items()), F.lit(0.0))
+    severe = F.coalesce(*(F.when(regime >= k, F.lit(v)) for k, v in REGIME_WEIGHT.items()), F.lit(1.0))
+    return F.when(F.weekday(dt) >= 5, 0.0).otherwise(weight * severe)
+
+
+def slot_id(dt: Column) -> Column:
+    """Number of the five-minute slot within the week, Monday's first being 0."""
+    return F.weekday(dt) * 288 + F.hour(dt) * 12 + F.floor(F.minute(dt) / 5)
 
 
 def hour_of_week(dt: Column) -> Column:

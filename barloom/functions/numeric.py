@@ -18,6 +18,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b); null where b is 0 or the ratio is not positive."""
+    return F.log(F.try_divide(a, b))
+
+
 def norm_cdf(x: Column) -> Column:
     t = 1 / (1 + CDF_SCALE * F.abs(x))
     poly = F.lit(0.0)
@@ -42,7 +47,7 @@ def spread_cost(sp: Column, price: Column, pip: Column) -> Column:
 
 
 def liquidity_stress(sp: Column, price: Column, tk: Column) -> Column:
-    return sp / price + 1 / F.sqrt(tk + 1)
+    return F.try_divide(sp, price) + 1 / F.sqrt(tk + 1)
 
 
 def kelly_fraction(p: Column, payoff: Column, scale: float = 0.5, cap: float = 0.1) -> Column:
@@ -54,22 +59,45 @@ def position_size(balance: Column, risk: float, stop_pips: Column, pip_value: Co
     return clip(F.try_divide(balance * risk, stop_pips * pip_value), low, high)
 
 
+# Where each of seven indicators votes up, and where down.
+VOTES = {"rsi": (55.0, 45.0), "macd": (0.0, 0.0), "pct_b": (0.6, 0.4), "stoch_k": (60.0, 40.0), "cci": (50.0, -50.0), "will_r": (-40.0, -60.0), "mom5": (0.3, -0.3)}
+
+
 def indicator_votes(d: dict[str, Column]) -> Column:
-    """Sum of the signs of seven indicators against their thresholds, -7 to 7."""
-    def sign(up: Column, down: Column) -> Column:
-        return F.when(up, 1).when(down, -1).otherwise(0)
+    """Indicators above their upper mark less those below their lower one, -7 to 7; a null indicator has no vote."""
+    votes = F.lit(0)
+    for name, (up, down) in VOTES.items():
+        votes = votes + F.when(d[name] > up, 1).when(d[name] < down, -1).otherwise(0)
+    return votes
+
 
-    return (
-        sign(d["rsi"] < 30, d["rsi"] > 70)
-        + sign(d["macd"] > 0, d["macd"] < 0)
-        + sign(d["pct_b"] < 0.2, d["pct_b"] > 0.8)
-        + sign(d["stoch_k"] < 20, d["stoch_k"] > 80)
-        + sign(d["cci"] < -100, d["cci"] > 100)
-        + sign(d["will_r"] < -80, d["will_r"] > -20)
-        + sign(d["mom5"] > 0.5, d["mom5"] < -0.5)
-    )
+def vote_direction(votes: Column) -> Column:
+    """1 from 3 votes on, -1 from -3, else 0."""
+    return F.when(votes >= 3, 1).when(votes <= -3, -1).otherwise(0)
 
 
 def confidence_proxy(votes: Column, residual: Column, streak: Column) -> Column:
-    """0.4 of votes, 0.35 of the residual's size, 0.25 of the streak, each clipped to [0, 1]."""
-    return 0.4 * F.least(F.abs(votes) / 7, F.lit(1.0)) + 0.35 * F.least(F.abs(residual) / 1e-4, F.lit(1.0)) + 0.25 * F.least(streak / 10, F.lit(1.0))
+    """0.4 of the votes' share of 7, 0.35 of the residual over 5e-4, 0.25 of a bonus (streak / 5, at most .3, from 3 on); within [0, 1]."""
+    bonus = F.when(streak >= 3, F.least(streak / 5.0, F.lit(0.3))).otherwise(0.0)
+    return clip(0.4 * F.least(F.abs(votes) / 7.0, F.lit(1.0)) + 0.35 * F.least(F.abs(residual) / 5e-4, F.lit(1.0)) + 0.25 * bonus, 0.0, 1.0)
+
+
+# What a regime leaves of a signal and of a position; codes 0 LOW_VOL, 1 NORMAL, 2 TRANSITIONAL, 3 HIGH_STRESS, 4 FRAGMENTED.
+SIGNAL_SCALE = {"LOW_VOL": 1.0, "NORMAL": 1.0, "TRANSITIONAL": 0.7, "HIGH_STRESS": 0.5, "FRAGMENTED": 0.3}
+POSITION_SCALE = ((4.0, 0.35), (3.0, 0.55), (2.0, 0.75))
+
+
+def regime_scale(regime: Column) -> Column:
+    """Multiplier of a signal by the regime's name; 1 for others."""
+    out = F.lit(1.0)
+    for name, x in SIGNAL_SCALE.items():
+        out = F.when(regime == name, x).otherwise(out)
+    return out
+
+
+def regime_scale_of_code(code: Column) -> Column:
+    """Multiplier of a position by the regime's code; 1 below 2."""
+    out = F.lit(1.0)
+    for least, x in reversed(POSITION_SCALE):
+        out = F.when(code >= least, x).otherwise(out)
+    return out

@@ -112,7 +112,7 @@ def interval_join_window(anchors: DataFrame, micro: DataFrame, seconds: int) ->
     near = a.join(m, ["symbol", "__b"]).where((F.col("__t") < F.col("dt")) & (F.col("__t") >= F.col("dt") - F.expr(f"INTERVAL {seconds} SECONDS")))
     summed = near.groupBy("symbol", "dt").agg(
         F.count("*").alias("n"), F.avg("sp").alias("sp_mean"), F.max("sp").alias("sp_max"), F.max_by("sp", "__t").alias("sp_last"), F.sum("tk").alias("ticks"),
-        F.max_by("c", "__t").alias("c_last"), (F.max_by("c", "__t") / F.min_by("c", "__t") - 1).alias("drift"),
+        F.max_by("c", "__t").alias("c_last"), (F.try_divide(F.max_by("c", "__t"), F.min_by("c", "__t")) - 1).alias("drift"),
     )
     return anchors.join(summed, ["symbol", "dt"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ticks": F.coalesce("ticks", F.lit(0))})
 

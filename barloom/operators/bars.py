@@ -59,7 +59,7 @@ def bars_1s(ticks: DataFrame) -> DataFrame:
 
 def bars_1m(ticks: DataFrame, instrument: DataFrame) -> DataFrame:
     """One-minute bars whose spread is in pips, rounded to 2 places; instrument: (symbol, pip)."""
-    return bars(ticks, "minute").join(F.broadcast(instrument.select("symbol", "pip")), "symbol").withColumn("sp", F.round(F.col("sp") / F.col("pip"), 2)).drop("pip")
+    return bars(ticks, "minute").join(F.broadcast(instrument.select("symbol", "pip")), "symbol").withColumn("sp", F.round(F.try_divide(F.col("sp"), F.col("pip")), 2)).drop("pip")
 
 
 def tick_path(ticks: DataFrame, unit: str = "hour") -> DataFrame:

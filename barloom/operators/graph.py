@@ -40,10 +40,24 @@ def node_residual(edges: DataFrame, rets: DataFrame) -> DataFrame:
     return out.select("dt", "symbol", "degree", F.coalesce(F.col("ret") - F.try_divide(F.col("pull"), F.col("degree")), F.lit(0.0)).alias("residual"))
 
 
-def laplacian_spectrum(edges: DataFrame, every: int = 5, first: int = 10) -> DataFrame:
-    """(dt, gap, beta0, beta1, h1, trace) of the normalised Laplacian at bars first, first + every, ...; one group a bar, n x n in memory."""
+def spectrum_of(adjacency: np.ndarray) -> tuple[float, int, int, float, float]:
+    """(gap, beta0, beta1, h1, trace) of the normalised Laplacian of one bar's weights.
+
+    beta0 counts eigenvalues below .01, at least 1; beta1 those from .3 to .7
+    of the largest, both ends included; h1 is their spread, 0 if fewer than two.
+    """
+    root = 1 / np.sqrt(np.maximum(adjacency.sum(axis=1), 1e-10))
+    laplacian = np.eye(len(adjacency)) - root[:, None] * adjacency * root[None, :]
+    e = np.maximum(np.linalg.eigvalsh(laplacian), 0.0)
+    top = e[-1] if e[-1] > 1e-10 else 1.0
+    mid = e[(e >= 0.3 * top) & (e <= 0.7 * top)]
+    return float(e[1]) if len(e) > 1 else 0.0, max(1, int((e < 0.01).sum())), len(mid), float(mid[-1] - mid[0]) if len(mid) > 1 else 0.0, float(np.trace(laplacian))
+
+
+def laplacian_spectrum(edges: DataFrame, every: int = 5) -> DataFrame:
+    """(dt, gap, beta0, beta1, h1, trace) at the first bar with edges and each `every` bars after it; one group a bar, n x n in memory."""
     order = edges.select("dt").distinct().withColumn("__i", F.row_number().over(Window.orderBy("dt")) - 1)
-    chosen = edges.join(order.where(f"__i >= {first} and (__i - {first}) % {every} = 0"), "dt")
+    chosen = edges.join(order.where(f"__i % {every} = 0"), "dt")
 
     def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["a"]) | set(pdf["b"]))
@@ -51,11 +65,7 @@ def laplacian_spectrum(edges: DataFrame, every: int = 5, first: int = 10) -> Dat
         m = np.zeros((len(names), len(names)))
         i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
         m[i, j] = m[j, i] = pdf["adj"].to_numpy()
-        deg = m.sum(axis=1)
-        root = np.where(deg > 0, 1 / np.sqrt(np.maximum(deg, 1e-12)), 0.0)
-        e = np.linalg.eigvalsh(np.eye(len(names)) - root[:, None] * m * root[None, :])
-        mid = e[(e > 0.3 * e[-1]) & (e < 0.7 * e[-1])]
-        return pd.DataFrame({"dt": [pdf["dt"].iloc[0]], "gap": [e[1] if len(e) > 1 else 0.0], "beta0": [int((e < 0.01).sum())], "beta1": [len(mid)], "h1": [float(mid.max() - mid.min()) if len(mid) else 0.0], "trace": [float(e.sum())]})
+        return pd.DataFrame([(pdf["dt"].iloc[0], *spectrum_of(m))], columns=["dt", "gap", "beta0", "beta1", "h1", "trace"])
 
     return chosen.groupBy("dt").applyInPandas(spectrum, "dt timestamp_ntz, gap double, beta0 int, beta1 int, h1 double, trace double")
 
@@ -66,10 +76,18 @@ def held_spectrum(timeline: DataFrame, spectrum: DataFrame) -> DataFrame:
     return timeline.join(spectrum, "dt", "left").select("dt", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in ("gap", "beta0", "beta1", "h1", "trace")))
 
 
-def regime_class(gap: Column, beta0: Column, beta1: Column, h1: Column, n: int) -> Column:
-    """FRAGMENTED, HIGH_STRESS, TRANSITIONAL, LOW_VOL or NORMAL; count thresholds scale with the number of symbols over 35."""
-    scale = n / 35
-    return F.when(beta0 > 3 * scale, "FRAGMENTED").when(gap < 0.1, "HIGH_STRESS").when(beta1 > 10 * scale, "TRANSITIONAL").when(h1 < 0.05, "LOW_VOL").otherwise("NORMAL")
+def smoothed_h1(held: DataFrame, alpha: float = 0.3, frame: int = 200) -> DataFrame:
+    """h1_ema: EMA of h1 from 0 over the bars so far; beyond `frame` bars a value weighs less than a double shows. One row a bar."""
+    w = Window.orderBy("dt").rowsBetween(1 - frame, 0)
+    return held.withColumn("h1_ema", F.aggregate(F.collect_list("h1").over(w), F.lit(0.0), lambda s, x: alpha * x + (1 - alpha) * s))
+
+
+def regime_class(beta0: Column, beta1: Column, h1: Column, n: int) -> Column:
+    """FRAGMENTED, HIGH_STRESS, TRANSITIONAL, LOW_VOL or NORMAL, the severest first; h1 is smoothed_h1's, the counts' limits scale with n symbols over 35."""
+    return (
+        F.when(beta0 > round(20 * n / 35), "FRAGMENTED").when(h1 > 0.8, "HIGH_STRESS").when(beta1 > round(4 * n / 35), "TRANSITIONAL")
+        .when((beta1 <= 1) & (h1 < 0.2), "LOW_VOL").otherwise("NORMAL")
+    )
 
 
 def graph_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,13 +118,31 @@ def typed_edges(corr: DataFrame, members: DataFrame, sessions: DataFrame) -> Dat
     return all_.withColumn("weight", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy("kind", "src"))))
 
 
-def laggard_features(edges: DataFrame, rets: DataFrame) -> DataFrame:
-    """(dt, symbol, nb_momentum, lag_residual, nb_vol, laggard, strength) from signed correlations to neighbours at dt."""
-    both = edges.select("dt", F.col("a").alias("symbol"), F.col("b").alias("other"), "corr").unionByName(edges.select("dt", F.col("b").alias("symbol"), F.col("a").alias("other"), "corr")).where("corr is not null")
-    near = both.join(rets.select("dt", F.col("symbol").alias("other"), F.col("ret").alias("r")), ["dt", "other"])
-    s = near.groupBy("dt", "symbol").agg(F.try_divide(F.sum(F.col("corr") * F.col("r")), F.sum(F.abs("corr"))).alias("nb_momentum"), F.stddev_pop("r").alias("nb_vol"), F.avg(F.abs("corr")).alias("strength"))
-    out = s.join(rets.select("dt", "symbol", "ret"), ["dt", "symbol"]).withColumn("lag_residual", F.col("nb_momentum") - F.col("ret"))
-    return out.withColumn("laggard", F.coalesce(F.try_divide(F.col("lag_residual"), F.col("nb_vol") + 1e-10), F.lit(0.0)) * F.col("strength")).drop("ret")
+def laggard_features(rets: DataFrame, n: int = 60, overlap: int = 6, shrink: float = 0.85) -> DataFrame:
+    """(dt, symbol, nb_momentum, momentum_residual, nb_volatility, vol_laggard, laggard_score, strength) of each return's bar.
+
+    rets: (symbol, dt, ret), a row a true return. Correlations are of the last n
+    common returns, the bar's own included, 0 below `overlap` of them. A symbol's
+    volatility ratio is its root mean square of 6 returns over that of 12, its
+    momentum 3 returns over sqrt(3) of the latter; neighbours' are their means
+    by absolute (ratio) and by signed correlation (momentum) over the degree.
+    """
+    w = lambda k: Window.partitionBy("symbol").orderBy("dt").rowsBetween(1 - k, 0)
+    rms = lambda k: F.when(F.count("*").over(w(k)) > 1, F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(w(k)))).otherwise(0.0)
+    own = rets.withColumns({"__6": rms(6), "__12": rms(12), "__3": F.sum("ret").over(w(3))})
+    own = own.select("dt", "symbol", (F.col("__6") / F.greatest("__12", F.lit(1e-6))).alias("ratio"), (F.col("__3") / F.greatest(F.col("__12") * 3**0.5, F.lit(1e-6))).alias("momentum"))
+    p = Window.partitionBy("a", "b").orderBy("dt").rowsBetween(1 - n, 0)
+    flat = (F.stddev_pop("x").over(p) < 1e-6) | (F.stddev_pop("y").over(p) < 1e-6) | (F.count("*").over(p) < overlap)
+    rho = F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop("x", "y").over(p), F.stddev_pop("x").over(p) * F.stddev_pop("y").over(p)))
+    edges = pair_self_join(rets, "ret").select("dt", "a", "b", (shrink * rho).alias("corr"))
+    both = edges.select("dt", F.col("a").alias("symbol"), F.col("b").alias("other"), "corr").unionByName(edges.select("dt", F.col("b").alias("symbol"), F.col("a").alias("other"), "corr"))
+    near = both.join(own.select("dt", F.col("symbol").alias("other"), F.col("ratio").alias("r"), F.col("momentum").alias("m")), ["dt", "other"])
+    s = near.groupBy("dt", "symbol").agg(F.sum(F.abs("corr")).alias("degree"), F.sum(F.abs("corr") * F.col("r")).alias("vol"), F.sum(F.col("corr") * F.col("m")).alias("mom"), F.count("*").alias("others"))
+    floor = F.greatest("degree", F.lit(1e-6))
+    out = own.join(s, ["dt", "symbol"]).withColumns({"nb_momentum": F.col("mom") / floor, "nb_volatility": F.col("vol") / floor, "strength": F.col("degree") / F.col("others")})
+    out = out.withColumns({"momentum_residual": F.col("momentum") - F.col("nb_momentum"), "vol_laggard": F.col("nb_volatility") - F.col("ratio")})
+    score = F.greatest("vol_laggard", F.lit(0.0)) * F.least(F.abs("nb_momentum"), F.lit(3.0))
+    return out.select("dt", "symbol", "nb_momentum", "momentum_residual", "nb_volatility", "vol_laggard", score.alias("laggard_score"), "strength")
 
 
 def bucket_stats(rows: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import clip, liquidity_stress
+from barloom.functions.numeric import clip, liquidity_stress, log_ratio
 
 EPS = 1e-10
 
@@ -31,12 +31,12 @@ def log_ret(b: DataFrame, k: int = 1, clamp: bool = False) -> DataFrame:
     back = F.lag("c", k).over(by_time())
     if clamp:
         back = F.coalesce(back, F.first("c").over(rows(Window.unboundedPreceding)))
-    return b.withColumn(f"ret_{k}", F.coalesce(F.log(F.col("c") / back), F.lit(0.0)))
+    return b.withColumn(f"ret_{k}", F.coalesce(log_ratio(F.col("c"), back), F.lit(0.0)))
 
 
 def price_velocity(b: DataFrame) -> DataFrame:
     before = F.lag("c").over(by_time())
-    return b.withColumn("price_velocity", F.round(F.coalesce((F.col("c") - before) / (before + EPS), F.lit(0.0)), 8))
+    return b.withColumn("price_velocity", F.round(F.coalesce(F.try_divide(F.col("c") - before, before + EPS), F.lit(0.0)), 8))
 
 
 def spread_z_incl(b: DataFrame, column: str = "sp", n: int = 60) -> DataFrame:
@@ -50,7 +50,7 @@ def z_past(b: DataFrame, column: str, n: int = 60, floor: float = EPS, in_root:
     """z against the n rows before, population deviation; 0 on the first row. in_root: floor is added to the variance."""
     w = rows(-n, -1)
     std = F.sqrt(F.var_pop(column).over(w) + floor) if in_root else F.stddev_pop(column).over(w) + floor
-    return b.withColumn(f"{column}_z{n}", F.coalesce((F.col(column) - F.avg(column).over(w)) / std, F.lit(0.0)))
+    return b.withColumn(f"{column}_z{n}", F.coalesce(F.try_divide(F.col(column) - F.avg(column).over(w), std), F.lit(0.0)))
 
 
 def rsi(b: DataFrame, n: int = 14) -> DataFrame:
@@ -75,20 +75,21 @@ def ema(b: DataFrame, n: int, frame: int) -> DataFrame:
 def macd(b: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, frame: int = 120, least: int = 35, tail: int = 19) -> DataFrame:
     """macd and macd_signal, both EMAs seeded at the head of the frame; the signal is seeded anew on the last `tail` values."""
     def lines(values: Column) -> Column:
+        """The last `tail` values of the line."""
         steps = F.aggregate(
             values,
             F.struct(values[0].alias("f"), values[0].alias("s"), F.array().cast("array<double>").alias("line")),
             lambda s, x: F.struct(
                 (s["f"] + (2.0 / (fast + 1)) * (x - s["f"])).alias("f"),
                 (s["s"] + (2.0 / (slow + 1)) * (x - s["s"])).alias("s"),
-                F.concat(s["line"], F.array((s["f"] + (2.0 / (fast + 1)) * (x - s["f"])) - (s["s"] + (2.0 / (slow + 1)) * (x - s["s"])))).alias("line"),
+                F.concat(F.slice(s["line"], F.greatest(F.size(s["line"]) - (tail - 2), F.lit(1)), F.lit(tail - 1)), F.array((s["f"] + (2.0 / (fast + 1)) * (x - s["f"])) - (s["s"] + (2.0 / (slow + 1)) * (x - s["s"])))).alias("line"),
             ),
         )
         return steps["line"]
 
     held = b.withColumn("__w", F.collect_list("c").over(rows(1 - frame)))
     held = held.withColumn("__m", lines(F.col("__w")))
-    out = held.withColumns({"macd": full(least, F.element_at("__m", -1)), "macd_signal": full(least, ema_of(F.slice(F.col("__m"), F.greatest(F.size("__m") - tail + 1, F.lit(1)), F.lit(tail)), signal))})
+    out = held.withColumns({"macd": full(least, F.element_at("__m", -1)), "macd_signal": full(least, ema_of(F.col("__m"), signal))})
     return out.drop("__w", "__m")
 
 
@@ -98,7 +99,7 @@ def bollinger(b: DataFrame, n: int = 20) -> DataFrame:
     b = b.withColumns({"__m": F.avg("c").over(w), "__s": F.stddev_samp("c").over(w)})
     flat = F.col("__s") < EPS
     pct = F.when(flat, 0.5).otherwise(F.try_divide(F.col("c") - F.col("__m") + 2 * F.col("__s"), 4 * F.col("__s")))
-    width = F.when(flat, 0.0).otherwise(4 * F.col("__s") / F.col("__m"))
+    width = F.when(flat, 0.0).otherwise(F.try_divide(4 * F.col("__s"), F.col("__m")))
     return b.withColumns({"pct_b": full(n, pct), "bandwidth": full(n, width)}).drop("__m", "__s")
 
 
@@ -122,7 +123,7 @@ def atr_series(b: DataFrame, n: int = 14) -> DataFrame:
 
 def atr_norm(b: DataFrame, n: int = 14) -> DataFrame:
     """Mean true range of up to n rows, the first against its own close, over the price."""
-    return true_range(b, own_close=True).withColumn("atr_norm", F.avg("tr").over(rows(1 - n)) / F.abs("c")).drop("tr")
+    return true_range(b, own_close=True).withColumn("atr_norm", F.try_divide(F.avg("tr").over(rows(1 - n)), F.abs("c"))).drop("tr")
 
 
 def atr_proxy_24(b: DataFrame, n: int = 24) -> DataFrame:
@@ -160,7 +161,7 @@ def mom5(b: DataFrame, n: int = 5) -> DataFrame:
 def shape(b: DataFrame) -> DataFrame:
     """range_norm and body_ratio of each bar."""
     size = F.col("h") - F.col("l")
-    return b.withColumns({"range_norm": size / F.abs("c"), "body_ratio": F.when(size < EPS, 0.0).otherwise(F.try_divide(F.abs(F.col("c") - F.col("o")), size))})
+    return b.withColumns({"range_norm": F.try_divide(size, F.abs("c")), "body_ratio": F.when(size < EPS, 0.0).otherwise(F.try_divide(F.abs(F.col("c") - F.col("o")), size))})
 
 
 def pair_features_16(b: DataFrame) -> DataFrame:
@@ -264,7 +265,7 @@ def vol_percentile(b: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def horizon_return(b: DataFrame, k: int) -> DataFrame:
-    return b.withColumn(f"ret_h{k}", F.log(F.col("c") / F.lag("c", k).over(by_time())))
+    return b.withColumn(f"ret_h{k}", log_ratio(F.col("c"), F.lag("c", k).over(by_time())))
 
 
 def weekend_carry(b: DataFrame) -> DataFrame:
@@ -303,6 +304,45 @@ def session_local_features(b: DataFrame) -> DataFrame:
     return b.withColumn("stress", liquidity_stress(F.col("sp"), F.col("c"), F.col("tk")))
 
 
+#: Sessions in which trades are opened.
+TRADE_SESSIONS = (2, 3, 4)
+
+
+def scalp_context(b: DataFrame, session: str = "session_code", k: int = 3, least: float = 1e-6) -> DataFrame:
+    """b with 17 features of a bar's session and the last moves; rows are real bars, regime_signal is taken as it is.
+
+    The opening range is that of the session run's first k bars so far;
+    momentum is ln of the close over that 3, 6 and 12 bars back (0 without
+    them), volatility the root mean square of 6 and 12 returns (0 below three
+    bars), tick_shock the ticks' z against the 12 bars before (0 below four bars).
+    """
+    b = islands(b, session)
+    run = Window.partitionBy("symbol", "island").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("__c", F.greatest(F.col("c"), F.lit(least)))
+    back = lambda n: F.coalesce(log_ratio(F.col("__c"), F.lag("__c", n).over(by_time())), F.lit(0.0))
+    b = b.withColumns({"__seen": F.count("*").over(run), "__rn": F.row_number().over(by_time()), "__r": F.when(F.lag("__c").over(by_time()).isNotNull(), back(1)), "trade_session": F.col(session).isin(*TRADE_SESSIONS).cast("double"), **{f"momentum_{n}": back(n) for n in (3, 6, 12)}})
+    first = F.col("__seen") <= k
+    b = b.withColumns({"__hi": F.max(F.when(first, F.col("h"))).over(run), "__lo": F.min(F.when(first, F.col("l"))).over(run)})
+    b = b.withColumns({f"volatility_{n}": F.when(F.col("__rn") < 3, 0.0).otherwise(F.sqrt(F.avg(F.col("__r") * F.col("__r")).over(rows(1 - n)))) for n in (6, 12)})
+    width = F.greatest(F.col("__hi") - F.col("__lo"), F.col("__c") * least)
+    per_vol = lambda x: F.when(F.col("volatility_12") > 0, x / F.greatest("volatility_12", F.lit(least))).otherwise(0.0)
+    moves = [F.col(f"momentum_{n}") for n in (3, 6, 12)]
+    moved = sum((F.when(F.abs(m) > least, 1).otherwise(0) for m in moves), F.lit(0))
+    signs = sum((F.when(F.abs(m) > least, F.signum(m)).otherwise(0.0) for m in moves), F.lit(0.0))
+    before = rows(-12, -1)
+    dev = F.stddev_pop("tk").over(before)
+    trade = F.col("trade_session") > 0
+    b = b.withColumns(
+        {
+            "open_ready": F.when(trade & (F.col("__seen") >= k), 1.0).otherwise(0.0), "open_progress": F.when(trade, F.least(F.col("__seen") / float(k), F.lit(2.0))).otherwise(0.0),
+            "opening_range_width": width / F.col("__c"), "range_position": clip((F.col("__c") - F.col("__lo")) / width, -3.0, 3.0), "breakout_signed": clip((F.col("__c") - (F.col("__hi") + F.col("__lo")) / 2) / width, -4.0, 4.0),
+            "momentum_score": per_vol(F.abs("momentum_3")), "momentum_alignment": F.coalesce(F.try_divide(F.abs(signs), moved), F.lit(0.0)), "volatility_ratio": per_vol(F.col("volatility_6")),
+            "spread_stress": F.col("sp") / F.col("__c") / F.greatest("volatility_6", F.lit(least)), "tick_shock": F.when((F.col("__rn") < 4) | (dev < least), 0.0).otherwise(F.coalesce(F.try_divide(F.col("tk") - F.avg("tk").over(before), dev), F.lit(0.0))),
+        }
+    )
+    return b.drop("__seen", "__rn", "__c", "__r", "__hi", "__lo", "island")
+
+
 def drawdown(b: DataFrame, equity: str) -> DataFrame:
     """Running peak and drawdown of an equity column."""
     peak = F.max(equity).over(rows(Window.unboundedPreceding))

@@ -19,6 +19,21 @@ def classification(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     )
 
 
+def classification_of(scored: DataFrame, p: list[str], y: str = "y", bins: int = 10) -> DataFrame:
+    """n, log_loss, brier (mean over classes), accuracy and ece of probabilities of several classes; y numbers them from 0.
+
+    ece is by the greatest probability, the first at ties; a confidence of 1 is in the last bin. Two aggregations.
+    """
+    of = F.array(*(F.col(c).cast("double") for c in p))
+    best = F.array_max(of)
+    rows = scored.select(of.alias("p"), F.col(y).cast("int").alias("y"), best.alias("best"), (F.array_position(of, best) - 1 == F.col(y)).cast("double").alias("right"))
+    square = F.aggregate(F.transform("p", lambda x, i: F.pow(x - (i == F.col("y")).cast("double"), 2)), F.lit(0.0), lambda a, x: a + x) / len(p)
+    bin_ = F.least(F.floor(F.col("best") * bins), F.lit(bins - 1))
+    per = rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum(-F.log(clip(F.get("p", F.col("y")), 1e-7, 1 - 1e-7))).alias("loss"), F.sum(square).alias("square"), F.sum("right").alias("right"), F.sum("best").alias("best"))
+    total = F.nullif(F.sum("n"), F.lit(0))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("loss") / total).alias("log_loss"), (F.sum("square") / total).alias("brier"), (F.sum("right") / total).alias("accuracy"), (F.sum(F.abs(F.col("right") - F.col("best"))) / total).alias("ece"))
+
+
 def calibration_curve(scored: DataFrame, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
     """(bin, n, mean_p, rate); probability 1 is in the last bin."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
@@ -28,7 +43,7 @@ def calibration_curve(scored: DataFrame, bins: int = 10, p: str = "p", y: str =
 def ece(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error: gaps of the bins, weighted by their rows."""
     c = calibration_curve(scored, bins)
-    return c.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    return c.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"))
 
 
 def auc(scored: DataFrame, keys: list[str], p: str = "p", y: str = "y", order: str = "id", ties: str = "ordinal") -> DataFrame:
@@ -142,7 +157,7 @@ def daily_pnl(trades: DataFrame, day: str) -> DataFrame:
 def portfolio_stats(curve: DataFrame, periods: float) -> DataFrame:
     """sharpe, sortino, hit rate, turnover, calmar of an equity curve (dt, ret, turnover, equity)."""
     w = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    c = curve.withColumn("dd", 1 - F.col("equity") / F.max("equity").over(w))
+    c = curve.withColumn("dd", 1 - F.try_divide(F.col("equity"), F.max("equity").over(w)))
     s = c.agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("d"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"), F.avg("turnover").alias("turnover"), F.max("dd").alias("max_drawdown"))
     root = math.sqrt(periods)
     return s.select(F.try_divide(F.col("m") * root, F.col("s")).alias("sharpe"), F.try_divide(F.col("m") * root, F.col("d")).alias("sortino"), F.try_divide(F.col("m") * periods, F.col("max_drawdown")).alias("calmar"), "hit_rate", "turnover", "max_drawdown")

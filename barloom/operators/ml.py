@@ -95,3 +95,13 @@ def time_split(rows: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFram
     cut = t.withColumn("q", F.percent_rank().over(Window.orderBy("dt"))).where(F.col("q") >= share).agg(F.min("dt").alias("cut"))
     j = rows.join(F.broadcast(cut))
     return j.where("dt < cut").drop("cut"), j.where("dt >= cut").drop("cut")
+
+
+def meta_rows(coarse: DataFrame, fine: DataFrame, unit: str, context: DataFrame, laggards: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Rows of a second-stage model: each fine score (symbol, dt, p, entry) with the coarse one of its unit of time, confidences, context, neighbours' features (0 without) and label y."""
+    c = coarse.select("symbol", F.col("dt").alias("__unit"), F.col("p").alias("p_coarse"), F.col("entry").alias("entry_coarse"))
+    f = fine.select("symbol", "dt", F.date_trunc(unit, "dt").cast("timestamp_ntz").alias("__unit"), F.col("p").alias("p_fine"), F.col("entry").alias("entry_fine"))
+    y = labelled.where("label is not null").select("symbol", "dt", F.col("label").alias("y"))
+    rows = f.join(c, ["symbol", "__unit"]).join(context.drop("label"), ["symbol", "dt"]).join(y, ["symbol", "dt"]).join(laggards, ["symbol", "dt"], "left")
+    near = {n: F.coalesce(n, F.lit(0.0)) for n in laggards.columns if n not in ("symbol", "dt")}
+    return rows.withColumns({"conf_coarse": 2 * F.abs(F.col("p_coarse") - 0.5), "conf_fine": 2 * F.abs(F.col("p_fine") - 0.5), **near}).drop("__unit")

@@ -25,11 +25,11 @@ def session_pair_filter(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(a), (F.col("symbol") == F.col("__s")) & (hour >= F.col("lo")) & (hour < F.col("hi")), "left_semi")
 
 
-def entry_direction(p: Column, vol: Column, base: float = 0.55, slope: float = 2.0, cap: float = 0.98) -> Column:
-    """+1, -1 or 0: |2p - 1| must reach clip(base + slope * vol, .5, .9) less .5, doubled, and not exceed the cap."""
+def entry_direction(p: Column, vol: Column, base: float = 0.65, slope: float = 12.0, spread: float = 0.15, cap: float = 1.01) -> Column:
+    """+1 if p reaches the threshold clip(base + slope * vol, .5, .9), -1 if 1 - p does; 0 where |2p - 1| is below spread or the larger side above cap."""
     threshold = clip(base + slope * vol, 0.5, 0.9)
-    size = F.abs(2 * p - 1)
-    return F.when((size >= 2 * threshold - 1) & (F.greatest(p, 1 - p) <= cap), F.when(p >= 0.5, 1).otherwise(-1)).otherwise(0)
+    open_ = (F.greatest(p, 1 - p) <= cap) & (F.abs(2 * p - 1) >= spread)
+    return F.when(open_ & (p >= threshold), 1).when(open_ & (p <= 1 - threshold), -1).otherwise(0)
 
 
 def entry_gate(direction: Column, p_entry: Column, p: Column) -> tuple[Column, Column]:
@@ -152,18 +152,52 @@ def kelly_capped(rows: DataFrame, fraction: str, cap: float) -> DataFrame:
     return rows.withColumn("stake", F.when(total > cap, F.col(fraction) * cap / total).otherwise(F.col(fraction)))
 
 
-def reversal_decision(rows: DataFrame, p: dict[str, float]) -> DataFrame:
-    """Reversal at a profile's edge: outside the value area and turning back; reason tells what blocked it.
+# How far outside the value area a reversal begins, in ATR; what blocks it: another model's confidence, ATR over price, spread over ATR.
+OUTSIDE, MOST_OTHER, MOST_ATR_SHARE, MOST_SPREAD_SHARE = 0.08, 0.14, 0.0017, 0.22
 
-    Needs c, atr, val, vah, poc, ret_1, ret_3, sp.
+
+def reversal_decision(rows: DataFrame, least_bars: int = 48) -> DataFrame:
+    """direction, confidence, tp_dist, sl_dist, lots and reason of a reversal at the edge of the remembered value area.
+
+    Needs c, sp, atr, ret_1, ret_3, n (bars so far), other_direction and
+    other_confidence (another model's, which guards), and tpo_memory's columns.
+    A buy needs a price OUTSIDE * atr below the area, a rise that three bars
+    bear out by a quarter of the last, and a support of more than .1; a sale
+    mirrors it. The last guard that holds gives the reason.
     """
-    below, above = F.col("c") < F.col("val"), F.col("c") > F.col("vah")
-    up, down = (F.col("ret_1") > 0) & (F.col("ret_3") < 0), (F.col("ret_1") < 0) & (F.col("ret_3") > 0)
-    raw = F.when(below & up, 1).when(above & down, -1).otherwise(0)
-    reason = F.when(F.col("atr") <= 1e-6, "no_atr").when(F.col("sp") > p["spread_atr"] * F.col("atr"), "wide_spread").when(raw == 0, "no_setup").otherwise("ok")
-    rows = rows.withColumn("reason", reason)
-    far = F.try_divide(F.abs(F.col("c") - F.col("poc")), F.col("atr"))
-    return rows.withColumns({"direction": F.when(F.col("reason") == "ok", raw).otherwise(0), "confidence": clip(far / 4, 0.0, 1.0), "tp_dist": F.least(F.abs(F.col("c") - F.col("poc")), p["tp_atr"] * F.col("atr")), "sl_dist": p["sl_atr"] * F.col("atr")})
+    c, sp, atr = F.col("c"), F.col("sp"), F.col("atr")
+    safe = F.when(atr > 1e-6, atr)
+    side = lambda up, down, none: F.when(F.col("__raw") > 0, up).when(F.col("__raw") < 0, down).otherwise(none)
+    buy = (c < F.col("val") - OUTSIDE * atr) & (F.col("ret_1") > 0) & (F.col("ret_3") > 0.25 * F.col("ret_1")) & (F.col("tpo_support_score") > 0.1)
+    sell = (c > F.col("vah") + OUTSIDE * atr) & (F.col("ret_1") < 0) & (F.col("ret_3") < 0.25 * F.col("ret_1")) & (F.col("tpo_resistance_score") > 0.1)
+    conflict = (F.col("__raw") != 0) & (F.col("other_direction") == -F.col("__raw")) & (F.col("other_confidence") >= 0.75 * MOST_OTHER)
+    reason = (
+        F.when(safe.isNull(), "degenerate_atr").when(F.col("n") < least_bars, "insufficient_history").when(conflict, "legacy_direction_conflict")
+        .when(F.try_divide(sp, safe) >= MOST_SPREAD_SHARE, "spread_stress").when(F.try_divide(atr, F.greatest(F.abs(c), F.lit(1e-8))) >= MOST_ATR_SHARE, "atr_volatility")
+        .when(F.col("other_confidence") >= MOST_OTHER, "legacy_high_confidence").otherwise("")
+    )
+    enough = safe.isNotNull() & (F.col("n") >= least_bars)
+    r = rows.withColumn("__raw", F.when(enough & buy, 1).when(enough & sell, -1).otherwise(0)).withColumn("reason", reason)
+    r = r.withColumns(
+        {
+            "__far": F.greatest(F.try_divide(side(F.col("val") - c, c - F.col("vah"), F.lit(0.0)), safe), F.lit(0.0)),
+            "__memory": F.least(side(F.col("tpo_support_score"), F.col("tpo_resistance_score"), F.lit(0.0)) + 0.35 * F.col("tpo_rejection_score"), F.lit(1.0)),
+            "__trend": F.greatest(side(-F.col("tpo_poc_drift_atr"), F.col("tpo_poc_drift_atr"), F.lit(0.0)) - 0.85, F.lit(0.0)),
+            "__go": (F.col("__raw") != 0) & (F.col("reason") == ""),
+        }
+    )
+    score = 0.16 + 0.24 * F.col("__far") + 0.24 * F.try_divide(F.abs("ret_1"), safe) + 0.16 * F.col("tpo_balance_score") + 0.16 * F.col("__memory") + 0.08 * F.greatest("tpo_value_area_overlap", F.lit(0.0)) - 0.1 * F.col("__trend")
+    lots = clip(0.5 + 0.25 * F.col("__far") + 0.2 * F.col("__memory") + 0.1 * F.try_divide(F.abs(F.col("long_poc") - F.col("poc")), safe), 0.45, 1.35)
+    none = F.greatest(sp, F.lit(1e-6))
+    target = F.when(F.col("__raw") != 0, F.greatest(F.abs(F.col("poc") - c), F.abs(F.col("long_poc") - c), 0.9 * atr, 4 * sp)).otherwise(F.greatest(0.9 * atr, 4 * sp))
+    stop = F.when(F.col("__raw") != 0, F.greatest(0.6 * F.abs(side(F.col("deep_val"), F.col("deep_vah"), c) - c), 0.65 * atr, 3 * sp)).otherwise(F.greatest(0.65 * atr, 3 * sp))
+    r = r.withColumns(
+        {
+            "direction": F.when(F.col("__go"), F.col("__raw")).otherwise(0), "confidence": F.when(F.col("__go"), F.least(score, F.lit(0.96))).otherwise(0.0), "lots": F.when(F.col("__go"), lots).otherwise(0.0),
+            "tp_dist": F.when(safe.isNull(), none).when(F.col("n") < least_bars, F.greatest(atr, sp)).otherwise(target), "sl_dist": F.when(safe.isNull(), none).when(F.col("n") < least_bars, F.greatest(0.75 * atr, sp)).otherwise(stop),
+        }
+    )
+    return r.drop("__raw", "__far", "__memory", "__trend", "__go")
 
 
 def bar_exit(o: Column, h: Column, low: Column, c: Column, direction: Column, tp: Column, sl: Column) -> Column:

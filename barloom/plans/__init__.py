@@ -6,7 +6,7 @@ from importlib import import_module
 
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
-_MODULES = ["bar_queries", "indicator_queries", "graph_queries", "label_queries", "signal_queries", "metric_queries", "audit_queries", "model_queries", "stream_queries", "flagship"]
+_MODULES = ["bar_queries", "indicator_queries", "graph_queries", "label_queries", "signal_queries", "metric_queries", "audit_queries", "model_queries", "stream_queries", "source_queries", "flagship"]
 
 
 def _load() -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import align, bars
 from barloom.plans.registry import hourly, query, quotes, table, ticks
-from barloom.sources import readers, writers
+from barloom.sources import readers
 
 BAR = "symbol:s dt:t o:d h:d l:d c:d sp:d tk:i"
 
@@ -235,24 +235,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").where("o_totalprice > 400000").select("o_custkey").distinct())
 
 
-@query("union_files", "symbol:s ts:t mid:d", "SELECT DISTINCT ON (symbol, ts) symbol, ts, mid FROM quotes")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    q = quotes(spark, d).select("symbol", "ts", "mid")
-    return q.where("mid > 20").unionByName(q.where("mid <= 60")).dropDuplicates(["symbol", "ts"])
-
-
-@query("scan_json_bars", "symbol:s dt:t o:d h:d l:d c:d sp:d tk:i", "SELECT symbol, dt, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(sp, 6) AS sp, tk FROM bars")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    j = writers.bars_as_json(hourly(spark, d))
-    return readers.json_bars(j.select(F.concat(F.lit('{"'), "symbol", F.lit('":'), "bars", F.lit("}")).alias("j")), "j")
-
-
-@query("sink_quarterly_upsert", "symbol:s dt:t c:d", "SELECT symbol, dt, CASE WHEN dt >= TIMESTAMP '2024-01-15' THEN c * 2 ELSE c END AS c FROM bars")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    b = hourly(spark, d).select("symbol", "dt", "c")
-    return writers.merged_rows(b, b.where("dt >= TIMESTAMP_NTZ '2024-01-15 00:00:00'").withColumn("c", F.col("c") * 2), ["symbol", "dt"])
-
-
 @query("file_instrument_match", "file:s symbol:s", "SELECT file, symbol FROM (SELECT 'ticks/' || p_name || '_' || p_partkey || '.csv' AS file, b AS symbol, row_number() OVER (PARTITION BY p_partkey ORDER BY length(b) DESC NULLS LAST, b) AS rn FROM part LEFT JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS b FROM part) ON contains(upper('ticks/' || p_name || '_' || p_partkey || '.csv'), upper(b))) WHERE rn = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")

@@ -17,7 +17,7 @@ _BARS = """SELECT symbol, date_trunc('hour', ts) AS dt, arg_min(mid, id) AS o, m
 @query(
     "flagship",
     "symbol:s dt:t o:d h:d l:d c:d sp:d tk:i ret_1:d sp_z:d",
-    f"""SELECT *, coalesce(ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY dt)), 0) AS ret_1,
+    f"""SELECT *, coalesce(ln(nullif(c, 0) / nullif(lag(c) OVER (PARTITION BY symbol ORDER BY dt), 0)), 0) AS ret_1,
       round((sp - avg(sp) OVER w) / (coalesce(stddev_samp(sp) OVER w, 0) + 1e-10), 4) AS sp_z FROM ({_BARS})
       WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
 )

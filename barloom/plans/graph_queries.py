@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
+from barloom.functions.numeric import liquidity_stress
 from barloom.operators import graph, profile
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import SESSION, TR, over
-from barloom.plans.registry import hourly, query, returns
+from barloom.plans.registry import SQL, hourly, query, returns
 
 PAIR = "(PARTITION BY a, b ORDER BY dt ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
 PAIRS = "(SELECT x.dt, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y FROM rets x JOIN rets y ON x.dt = y.dt AND x.symbol < y.symbol)"
@@ -58,17 +59,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.held_spectrum(e.select("dt").distinct(), graph.laplacian_spectrum(e))
 
 
-@query("regime_class", "dt:t regime:s")
+def _regimes(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    held = graph.smoothed_h1(graph.held_spectrum(e.select("dt").distinct(), graph.laplacian_spectrum(e)))
+    return held.withColumn("regime", graph.regime_class(F.col("beta0"), F.col("beta1"), F.col("h1_ema"), 5))
+
+
+@query("regime_class", "dt:t h1_ema:d regime:s")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = graph.laplacian_spectrum(_edges(spark, d))
-    return s.withColumn("regime", graph.regime_class(F.col("gap"), F.col("beta0"), F.col("beta1"), F.col("h1"), 5))
+    return _regimes(spark, d)
 
 
-@query("graph_features_8", "dt:t res_mean:d res_std:d res_max:d corr_abs:d n_edges:i", f"SELECT * FROM (SELECT dt, avg(residual) AS res_mean, stddev_pop(residual) AS res_std, max(abs(residual)) AS res_max FROM {NODES} GROUP BY 1) JOIN (SELECT dt, avg(abs(corr)) AS corr_abs, count(*) AS n_edges FROM {ADJ} GROUP BY 1) USING (dt)")
+@query("graph_residual_features", "dt:t res_mean:d res_std:d res_max:d corr_abs:d n_edges:i", f"SELECT * FROM (SELECT dt, avg(residual) AS res_mean, stddev_pop(residual) AS res_std, max(abs(residual)) AS res_max FROM {NODES} GROUP BY 1) JOIN (SELECT dt, avg(abs(corr)) AS corr_abs, count(*) AS n_edges FROM {ADJ} GROUP BY 1) USING (dt)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_features(_edges(spark, d), _nodes(spark, d))
 
 
+@query("graph_features_8", "dt:t res_mean:d res_std:d res_max:d gap:d beta0:i beta1:i corr_abs:d trace:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_features(_edges(spark, d), _nodes(spark, d)).join(_regimes(spark, d), "dt")
+
+
 STATIC = f"(SELECT a, b, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS corr FROM {PAIRS} GROUP BY 1, 2 HAVING count(*) >= 16)"
 
 
@@ -88,15 +99,65 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.typed_edges(graph.static_graph(r), members, sessions)
 
 
-@query("laggard_features_6", "dt:t symbol:s nb_momentum:d nb_vol:d strength:d lag_residual:d laggard:d", f"SELECT n.dt, n.symbol, nb_momentum, nb_vol, strength, nb_momentum - r.ret AS lag_residual, coalesce((nb_momentum - r.ret) / (nb_vol + 1e-10), 0) * strength AS laggard FROM (SELECT e.dt, e.symbol, sum(corr * q.ret) / nullif(sum(abs(corr)), 0) AS nb_momentum, stddev_pop(q.ret) AS nb_vol, avg(abs(corr)) AS strength FROM {BOTH.format('corr', CORR)} e JOIN rets q ON q.dt = e.dt AND q.symbol = e.other WHERE corr IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) n JOIN rets r ON r.dt = n.dt AND r.symbol = n.symbol")
+TRUE_RETS = "(SELECT symbol, dt, ret FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM rets) WHERE rn > 1)"
+NEAR = "(PARTITION BY a, b ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+LAGGARD = f"""(WITH t AS {TRUE_RETS},
+  o AS (SELECT dt, symbol, v6 / greatest(v12, 1e-6) AS ratio, m3 / greatest(v12 * sqrt(3), 1e-6) AS momentum FROM (SELECT dt, symbol, CASE WHEN count(*) OVER {over(5)} > 1 THEN sqrt(avg(ret * ret) OVER {over(5)}) ELSE 0 END AS v6, CASE WHEN count(*) OVER {over(11)} > 1 THEN sqrt(avg(ret * ret) OVER {over(11)}) ELSE 0 END AS v12, sum(ret) OVER {over(2)} AS m3 FROM t)),
+  e AS (SELECT dt, a, b, 0.85 * CASE WHEN sx < 1e-6 OR sy < 1e-6 OR n < 6 THEN 0 ELSE cv / (sx * sy) END AS corr FROM (SELECT dt, a, b, count(*) OVER {NEAR} AS n, covar_pop(x, y) OVER {NEAR} AS cv, stddev_pop(x) OVER {NEAR} AS sx, stddev_pop(y) OVER {NEAR} AS sy FROM (SELECT x.dt, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y FROM t x JOIN t y ON x.dt = y.dt AND x.symbol < y.symbol))),
+  s AS (SELECT u.dt, u.symbol, sum(abs(corr)) AS degree, sum(abs(corr) * q.ratio) AS vol, sum(corr * q.momentum) AS mom, count(*) AS others FROM {BOTH.format('corr', 'e')} u JOIN o q ON q.dt = u.dt AND q.symbol = u.other GROUP BY 1, 2),
+  f AS (SELECT o.dt, o.symbol, ratio, momentum, mom / greatest(degree, 1e-6) AS nb_momentum, vol / greatest(degree, 1e-6) AS nb_volatility, degree / others AS strength FROM o JOIN s ON o.dt = s.dt AND o.symbol = s.symbol)
+  SELECT dt, symbol, nb_momentum, momentum - nb_momentum AS momentum_residual, nb_volatility, nb_volatility - ratio AS vol_laggard, greatest(nb_volatility - ratio, 0) * least(abs(nb_momentum), 3) AS laggard_score, strength FROM f)"""
+
+
+def true_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Returns but a symbol's first bar, which has none."""
+    return returns(spark, d).withColumn("__rn", F.row_number().over(ind.by_time())).where("__rn > 1").select("symbol", "dt", "ret")
+
+
+@query("laggard_features_6", "dt:t symbol:s nb_momentum:d momentum_residual:d nb_volatility:d vol_laggard:d laggard_score:d strength:d", f"SELECT * FROM {LAGGARD}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = _rets(spark, d)
-    return graph.laggard_features(graph.rolling_corr(r), r).where("nb_vol > 0")
+    return graph.laggard_features(true_returns(spark, d))
+
+
+LOCAL = f"""(SELECT l.*, coalesce(n.residual, 0) AS residual, {SESSION.format('l.dt')} AS session_code FROM (SELECT symbol, dt,
+  coalesce(ln(nullif(c, 0) / nullif(coalesce(lag(c) OVER w, c), 0)), 0) AS ret_1, coalesce(ln(nullif(c, 0) / nullif(coalesce(lag(c, 3) OVER w, first_value(c) OVER w), 0)), 0) AS ret_3, coalesce(ln(nullif(c, 0) / nullif(coalesce(lag(c, 6) OVER w, first_value(c) OVER w), 0)), 0) AS ret_6,
+  CASE WHEN rn <= 2 THEN h - l ELSE avg(tr) OVER {over(23)} END / nullif(abs(c), 0) AS atr_norm, (h - l) / nullif(abs(c), 0) AS range_norm, CASE WHEN h - l < 1e-10 THEN 0 ELSE abs(c - o) / (h - l) END AS body_ratio,
+  CASE WHEN rn <= 2 THEN 0 ELSE coalesce((sp - avg(sp) OVER {over(64, '1 PRECEDING')}) / sqrt(var_pop(sp) OVER {over(64, '1 PRECEDING')} + 1e-8), 0) END AS spread_z, CASE WHEN rn <= 2 THEN 0 ELSE coalesce((tk - avg(tk) OVER {over(64, '1 PRECEDING')}) / sqrt(var_pop(tk) OVER {over(64, '1 PRECEDING')} + 1e-8), 0) END AS tick_z,
+  sp / nullif(c, 0) + 1 / sqrt(tk + 1) AS stress FROM {TR} WINDOW w AS (PARTITION BY symbol ORDER BY dt)) l LEFT JOIN {NODES} n ON n.dt = l.dt AND n.symbol = l.symbol)"""
+LOCAL_STREAK = f"(SELECT *, CASE WHEN g = 0 THEN 0 ELSE row_number() OVER (PARTITION BY symbol, island ORDER BY dt) END AS streak FROM (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN g <> lag(g) OVER (PARTITION BY symbol ORDER BY dt) THEN 1 ELSE 0 END AS ch FROM (SELECT *, CASE WHEN abs(residual) <= 1e-5 THEN 0 ELSE sign(residual)::INT END AS g FROM {LOCAL}))))"
+LOCAL_COLUMNS = "symbol:s dt:t ret_1:d ret_3:d ret_6:d atr_norm:d range_norm:d body_ratio:d spread_z:d tick_z:d stress:d residual:d streak:i session_code:i"
+
+
+def _local(spark: SparkSession, d: str) -> DataFrame:
+    early = F.row_number().over(ind.by_time()) <= 2  # a single earlier row has no deviation
+    z = lambda c: F.when(early, 0.0).otherwise(F.col(c))
+    b = ind.session_local_features(hourly(spark, d)).withColumns({"spread_z": z("sp_z64"), "tick_z": z("tk_z64"), "session_code": calendar.session_code(F.col("dt")), "atr_norm": F.try_divide(F.col("atr_proxy"), F.abs("c"))})
+    b = b.join(_nodes(spark, d).select("symbol", "dt", "residual"), ["symbol", "dt"], "left").withColumn("residual", F.coalesce("residual", F.lit(0.0)))
+    return ind.residual_streak(b, "residual", 1e-5)
+
+
+@query("local_features_12", LOCAL_COLUMNS, f"SELECT * FROM {LOCAL_STREAK}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The local features without the spectral regime, which SQL can't express."""
+    return _local(spark, d)
+
+
+@query("local_features_13", LOCAL_COLUMNS + " regime:d")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    code = F.coalesce(*(F.when(F.col("regime") == n, F.lit(float(i))) for i, n in enumerate(("LOW_VOL", "NORMAL", "TRANSITIONAL", "HIGH_STRESS", "FRAGMENTED"))), F.lit(1.0))
+    return _local(spark, d).join(_regimes(spark, d).select("dt", "regime"), "dt", "left").withColumn("regime", code)
+
+
+@query("node_features_14", "symbol:s dt:t o:d h:d l:d c:d sp:d tk:i ret_1:d ret_3:d atr_norm:d range_norm:d lap_residual:d regime_signal:d session_code:i session_transition:b", f"SELECT b.symbol, b.dt, b.o, b.h, b.l, b.c, b.sp, b.tk, r.ret_1, r.ret_3, a.atr_norm, (h - l) / nullif(abs(c), 0) AS range_norm, coalesce(n.residual, 0) AS lap_residual, g.regime_signal, {SESSION.format('b.dt')} AS session_code, m.moved AS session_transition FROM bars b JOIN ({SQL['log_ret']}) r USING (symbol, dt) JOIN ({SQL['atr_norm']}) a USING (symbol, dt) JOIN ({SQL['regime_signal']}) g USING (symbol, dt) JOIN ({SQL['session_transition']}) m USING (symbol, dt) LEFT JOIN {NODES} n ON n.dt = b.dt AND n.symbol = b.symbol")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    b = ind.shape(ind.regime_signal(ind.log_ret(hourly(spark, d)))).withColumn("session_code", calendar.session_code(F.col("dt")))
+    b = ind.changes(b, "session_code", "session_transition").join(_nodes(spark, d).select("symbol", "dt", "residual"), ["symbol", "dt"], "left")
+    return b.withColumn("lap_residual", F.coalesce("residual", F.lit(0.0)))
 
 
-@query("bucket_stats", "dt:t bucket:s trend:d dispersion:d stress:d", f"SELECT dt, {CLASS} AS bucket, avg(ret) AS trend, stddev_pop(ret) AS dispersion, avg(sp / c + 1 / sqrt(tk + 1)) AS stress FROM rets GROUP BY 1, 2")
+@query("bucket_stats", "dt:t bucket:s trend:d dispersion:d stress:d", f"SELECT dt, {CLASS} AS bucket, avg(ret) AS trend, stddev_pop(ret) AS dispersion, avg(sp / nullif(c, 0) + 1 / sqrt(tk + 1)) AS stress FROM rets GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = returns(spark, d).withColumns({"real": F.lit(True), "stress": F.col("sp") / F.col("c") + 1 / F.sqrt(F.col("tk") + 1)})
+    r = returns(spark, d).withColumns({"real": F.lit(True), "stress": liquidity_stress(F.col("sp"), F.col("c"), F.col("tk"))})
     members = r.select("symbol", F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act").alias("bucket")).distinct()
     return graph.bucket_stats(r, members)
 
@@ -157,12 +218,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return wide.join(label, "dt", "left").withColumn("rn", rn).where("rn > 120 and (rn - 120) % 15 = 1")
 
 
-@query("tpo_profile", "symbol:s dt:t poc:d vah:d val:d balance:d dist_poc:d")
+@query("tpo_profile", "symbol:s dt:t poc:d vah:d val:d low:d high:d balance:d dist_poc:d width:d degenerate:b")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.tpo_profile(ind.atr_series(hourly(spark, d)), "atr_series")
 
 
-@query("tpo_memory_8", "symbol:s dt:t tpo_support:d tpo_resistance:d tpo_rejection:d tpo_poc_drift:d tpo_overlap:d tpo_balance:d tpo_dist_poc:d tpo_width:d")
+@query("tpo_memory_8", "symbol:s dt:t tpo_poc_distance_atr:d tpo_value_area_width_atr:d tpo_balance_score:d tpo_support_score:d tpo_resistance_score:d tpo_rejection_score:d tpo_poc_drift_atr:d tpo_value_area_overlap:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.tpo_memory(ind.atr_series(hourly(spark, d)), "atr_series")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import calendar
 from barloom.operators import indicators as ind
-from barloom.plans.registry import hourly, query, returns
+from barloom.plans.registry import SQL, hourly, query, returns
 
 KEY = "symbol:s dt:t"
 
@@ -17,22 +17,27 @@ def over(n: int, end: str = "CURRENT ROW") -> str:
     return f"(PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n} PRECEDING AND {end})"
 
 
+def ln(a: str, b: str) -> str:
+    """ln(a / b), null where either is 0."""
+    return f"ln(nullif({a}, 0) / nullif({b}, 0))"
+
+
 ALL = "(PARTITION BY symbol ORDER BY dt)"
 LAG = f"lag(c) OVER {ALL}"
 RN = f"row_number() OVER {ALL}"
 
 
-@query("log_ret", f"{KEY} ret_1:d ret_3:d", f"SELECT symbol, dt, coalesce(ln(c / {LAG}), 0) AS ret_1, coalesce(ln(c / lag(c, 3) OVER {ALL}), 0) AS ret_3 FROM bars")
+@query("log_ret", f"{KEY} ret_1:d ret_3:d", f"SELECT symbol, dt, coalesce({ln('c', LAG)}, 0) AS ret_1, coalesce({ln('c', f'lag(c, 3) OVER {ALL}')}, 0) AS ret_3 FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.log_ret(ind.log_ret(hourly(spark, d), 1), 3)
 
 
-@query("log_ret_clamped", f"{KEY} ret_6:d", f"SELECT symbol, dt, ln(c / coalesce(lag(c, 6) OVER {ALL}, first_value(c) OVER {ALL})) AS ret_6 FROM bars")
+@query("log_ret_clamped", f"{KEY} ret_6:d", f"SELECT symbol, dt, coalesce({ln('c', f'coalesce(lag(c, 6) OVER {ALL}, first_value(c) OVER {ALL})')}, 0) AS ret_6 FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.log_ret(hourly(spark, d), 6, clamp=True)
 
 
-@query("price_velocity", f"{KEY} velocity_pct:d", f"SELECT symbol, dt, 100 * coalesce((c - {LAG}) / ({LAG} + 1e-10), 0) AS velocity_pct FROM bars")
+@query("price_velocity", f"{KEY} velocity_pct:d", f"SELECT symbol, dt, 100 * coalesce((c - {LAG}) / nullif({LAG} + 1e-10, 0), 0) AS velocity_pct FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.price_velocity(hourly(spark, d)).withColumn("velocity_pct", 100 * F.col("price_velocity"))
 
@@ -72,12 +77,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.macd(hourly(spark, d))
 
 
-@query("macd_signal", f"{KEY} macd_signal:d")
+STEP = "list_reduce({0}, lambda s, x: s + ({1}.0::DOUBLE / {2}) * (x - s))"
+LINE = f"list_transform(range(greatest(len(w) - 18, 1), len(w) + 1), lambda i: {STEP.format('w[1:i]', 2, 13)} - {STEP.format('w[1:i]', 2, 27)})"
+
+
+@query("macd_signal", f"{KEY} macd_signal:d", f"SELECT symbol, dt, CASE WHEN rn >= 35 THEN list_reduce({LINE}, lambda s, x: 0.2::DOUBLE * x + (1 - 0.2::DOUBLE) * s) END AS macd_signal FROM (SELECT symbol, dt, {RN} AS rn, list(c) OVER {over(119)} AS w FROM bars)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.macd(hourly(spark, d))
 
 
-@query("bollinger", f"{KEY} pct_b:d bandwidth:d", f"SELECT symbol, dt, CASE WHEN rn < 20 THEN NULL WHEN s < 1e-10 THEN 0.5 ELSE (c - m + 2 * s) / (4 * s) END AS pct_b, CASE WHEN rn < 20 THEN NULL WHEN s < 1e-10 THEN 0 ELSE 4 * s / m END AS bandwidth FROM (SELECT *, {RN} AS rn, avg(c) OVER {over(19)} AS m, stddev_samp(c) OVER {over(19)} AS s FROM bars)")
+@query("bollinger", f"{KEY} pct_b:d bandwidth:d", f"SELECT symbol, dt, CASE WHEN rn < 20 THEN NULL WHEN s < 1e-10 THEN 0.5 ELSE (c - m + 2 * s) / (4 * s) END AS pct_b, CASE WHEN rn < 20 THEN NULL WHEN s < 1e-10 THEN 0 ELSE 4 * s / nullif(m, 0) END AS bandwidth FROM (SELECT *, {RN} AS rn, avg(c) OVER {over(19)} AS m, stddev_samp(c) OVER {over(19)} AS s FROM bars)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.bollinger(hourly(spark, d))
 
@@ -95,7 +104,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.atr_series(hourly(spark, d))
 
 
-@query("atr_norm", f"{KEY} atr_norm:d", f"SELECT symbol, dt, avg(tr0) OVER {over(13)} / abs(c) AS atr_norm FROM {TR}")
+@query("atr_norm", f"{KEY} atr_norm:d", f"SELECT symbol, dt, avg(tr0) OVER {over(13)} / nullif(abs(c), 0) AS atr_norm FROM {TR}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.atr_norm(hourly(spark, d))
 
@@ -125,22 +134,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.mom5(hourly(spark, d))
 
 
-@query("pair_features_16", f"{KEY} rsi:d macd:d macd_signal:d pct_b:d bandwidth:d atr_14:d stoch_k:d stoch_d:d cci:d will_r:d mom5:d ret_1:d range_norm:d body_ratio:d tk:i sp:d")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.pair_features_16(hourly(spark, d))
+SHAPE = "SELECT symbol, dt, (h - l) / nullif(abs(c), 0) AS range_norm, CASE WHEN h - l < 1e-10 THEN 0 ELSE abs(c - o) / (h - l) END AS body_ratio, tk, sp FROM bars"
+
 
+def together(*names: str) -> str:
+    """Queries' own SQL joined on the bar, with shape, ticks and spread."""
+    return f"SELECT * FROM ({SHAPE})" + "".join(f" JOIN ({SQL[n]}) USING (symbol, dt)" for n in names)
 
-@query("signal_features_7", f"{KEY} rsi:d pct_b:d bandwidth:d atr_14:d mom5:d ret_1:d tk:i")
+
+@query("pair_features_16", f"{KEY} rsi:d macd:d macd_signal:d pct_b:d bandwidth:d atr_14:d stoch_k:d stoch_d:d cci:d will_r:d mom5:d ret_1:d range_norm:d body_ratio:d tk:i sp:d", together("rsi", "macd", "macd_signal", "bollinger", "atr_14", "stochastic", "cci", "williams_r", "mom5", "log_ret"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.signal_features_7(hourly(spark, d))
+    return ind.pair_features_16(hourly(spark, d))
 
 
-@query("local_features_13", f"{KEY} ret_1:d ret_3:d ret_6:d atr_proxy:d range_norm:d body_ratio:d stress:d", f"SELECT symbol, dt, ln(c / coalesce({LAG}, c)) AS ret_1, ln(c / coalesce(lag(c, 3) OVER {ALL}, first_value(c) OVER {ALL})) AS ret_3, ln(c / coalesce(lag(c, 6) OVER {ALL}, first_value(c) OVER {ALL})) AS ret_6, CASE WHEN rn <= 2 THEN h - l ELSE avg(tr) OVER {over(23)} END AS atr_proxy, (h - l) / abs(c) AS range_norm, CASE WHEN h - l < 1e-10 THEN 0 ELSE abs(c - o) / (h - l) END AS body_ratio, sp / c + 1 / sqrt(tk + 1) AS stress FROM {TR}")
+@query("signal_features_7", f"{KEY} rsi:d pct_b:d bandwidth:d atr_14:d mom5:d ret_1:d tk:i", together("rsi", "bollinger", "atr_14", "mom5", "log_ret"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.session_local_features(hourly(spark, d))
+    return ind.signal_features_7(hourly(spark, d))
 
 
-@query("microstructure_4", f"{KEY} ofi:d velocity_pct:d", f"SELECT symbol, dt, tk * sign(coalesce(ln(c / {LAG}), 0)) AS ofi, 100 * coalesce((c - {LAG}) / ({LAG} + 1e-10), 0) AS velocity_pct FROM bars")
+@query("microstructure_4", f"{KEY} ofi:d velocity_pct:d", f"SELECT symbol, dt, tk * sign(coalesce({ln('c', LAG)}, 0)) AS ofi, 100 * coalesce((c - {LAG}) / nullif({LAG} + 1e-10, 0), 0) AS velocity_pct FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.microstructure_4(hourly(spark, d)).withColumn("velocity_pct", 100 * F.col("price_velocity"))
 
@@ -150,7 +162,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.rolling_vol_24(hourly(spark, d))
 
 
-@query("regime_signal", f"{KEY} regime_signal:d", f"SELECT symbol, dt, least(greatest(coalesce(r / nullif(abs(a), 0), 0), -5), 5) AS regime_signal FROM (SELECT symbol, dt, coalesce(ln(c / lag(c, 3) OVER {ALL}), 0) AS r, avg(tr0) OVER {over(13)} / abs(c) AS a FROM {TR})")
+@query("regime_signal", f"{KEY} regime_signal:d", f"SELECT symbol, dt, least(greatest(coalesce(r / nullif(abs(a), 0), 0), -5), 5) AS regime_signal FROM (SELECT symbol, dt, coalesce({ln('c', f'lag(c, 3) OVER {ALL}')}, 0) AS r, avg(tr0) OVER {over(13)} / nullif(abs(c), 0) AS a FROM {TR})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.regime_signal(hourly(spark, d))
 
@@ -174,15 +186,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).withColumn("phase", calendar.session_phase(F.col("dt")))
 
 
-@query("bridge_gate", f"{KEY} gate:d", f"SELECT symbol, dt, CASE WHEN isodow(dt) >= 6 THEN 0 ELSE CASE {PHASE.format('dt')} WHEN 'sydney' THEN 0.3 WHEN 'tokyo' THEN 0.6 WHEN 'pre_tokyo' THEN 0.4 ELSE 1.0 END * CASE tk % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.4 ELSE 0.2 END END AS gate FROM bars")
+@query("bridge_gate", f"{KEY} gate:d", f"SELECT symbol, dt, CASE WHEN isodow(dt) >= 6 THEN 0 ELSE CASE {PHASE.format('dt')} WHEN 'pre_tokyo' THEN 0.5 WHEN 'tokyo' THEN 0.6 WHEN 'london' THEN 0.8 WHEN 'sydney' THEN 0.4 ELSE 1.0 END * CASE WHEN tk % 5 >= 4 THEN 0.3 WHEN tk % 5 >= 3 THEN 0.7 ELSE 1.0 END END AS gate FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).withColumn("gate", calendar.bridge_gate(F.col("dt"), F.col("tk") % 5))
 
 
-@query("calendar_keys", f"{KEY} hour_of_week:i quarter:s week:t", "SELECT symbol, dt, (isodow(dt) - 1) * 24 + hour(dt) AS hour_of_week, year(dt) || 'Q' || quarter(dt) AS quarter, date_trunc('week', dt) AS week FROM bars")
+@query("calendar_keys", f"{KEY} hour_of_week:i slot:i quarter:s week:t", "SELECT symbol, dt, (isodow(dt) - 1) * 24 + hour(dt) AS hour_of_week, (isodow(dt) - 1) * 288 + hour(dt) * 12 + minute(dt) // 5 AS slot, year(dt) || 'Q' || quarter(dt) AS quarter, date_trunc('week', dt) AS week FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("dt")
-    return hourly(spark, d).withColumns({"hour_of_week": calendar.hour_of_week(c), "quarter": calendar.quarter_id(c), "week": calendar.week_start(c)})
+    return hourly(spark, d).withColumns({"hour_of_week": calendar.hour_of_week(c), "slot": calendar.slot_id(c), "quarter": calendar.quarter_id(c), "week": calendar.week_start(c)})
 
 
 SESSIONS = f"(SELECT *, {SESSION.format('dt')} AS s FROM rets)"
@@ -216,6 +228,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.opening_range(_sessions(spark, d), "s", safe=False)
 
 
+CONTEXT = f"""(WITH a AS (SELECT i.*, g.regime_signal, greatest(c, 1e-6) AS cc, {RN} AS rn, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS seen FROM {ISLANDS} i JOIN ({SQL['regime_signal']}) g USING (symbol, dt)),
+  m AS (SELECT *, coalesce(ln(cc / lag(cc, 3) OVER {ALL}), 0) AS momentum_3, coalesce(ln(cc / lag(cc, 6) OVER {ALL}), 0) AS momentum_6, coalesce(ln(cc / lag(cc, 12) OVER {ALL}), 0) AS momentum_12, ln(cc / lag(cc) OVER {ALL}) AS r, max(CASE WHEN seen <= 3 THEN h END) OVER u AS hi, min(CASE WHEN seen <= 3 THEN l END) OVER u AS lo FROM a WINDOW u AS (PARTITION BY symbol, island ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+  v AS (SELECT *, CASE WHEN rn < 3 THEN 0 ELSE sqrt(avg(r * r) OVER {over(5)}) END AS volatility_6, CASE WHEN rn < 3 THEN 0 ELSE sqrt(avg(r * r) OVER {over(11)}) END AS volatility_12, greatest(hi - lo, cc * 1e-6) AS width, avg(tk) OVER {over(12, '1 PRECEDING')} AS tm, stddev_pop(tk) OVER {over(12, '1 PRECEDING')} AS td,
+    (abs(momentum_3) > 1e-6)::INT + (abs(momentum_6) > 1e-6)::INT + (abs(momentum_12) > 1e-6)::INT AS moved, (CASE WHEN abs(momentum_3) > 1e-6 THEN sign(momentum_3) ELSE 0 END + CASE WHEN abs(momentum_6) > 1e-6 THEN sign(momentum_6) ELSE 0 END + CASE WHEN abs(momentum_12) > 1e-6 THEN sign(momentum_12) ELSE 0 END)::DOUBLE AS signs FROM m)
+  SELECT symbol, dt, (s >= 2)::INT AS trade_session, (s >= 2 AND seen >= 3)::INT AS open_ready, CASE WHEN s >= 2 THEN least(seen / 3.0, 2) ELSE 0 END AS open_progress, width / cc AS opening_range_width, least(greatest((cc - lo) / width, -3), 3) AS range_position, least(greatest((cc - (hi + lo) / 2) / width, -4), 4) AS breakout_signed, momentum_3, momentum_6, momentum_12,
+    CASE WHEN volatility_12 > 0 THEN abs(momentum_3) / greatest(volatility_12, 1e-6) ELSE 0 END AS momentum_score, coalesce(abs(signs) / nullif(moved, 0), 0) AS momentum_alignment, volatility_6, volatility_12, CASE WHEN volatility_12 > 0 THEN volatility_6 / greatest(volatility_12, 1e-6) ELSE 0 END AS volatility_ratio, sp / cc / greatest(volatility_6, 1e-6) AS spread_stress,
+    CASE WHEN rn < 4 OR td < 1e-6 THEN 0 ELSE coalesce((tk - tm) / nullif(td, 0), 0) END AS tick_shock, regime_signal FROM v)"""
+CONTEXT_COLUMNS = "trade_session open_ready open_progress opening_range_width range_position breakout_signed momentum_3 momentum_6 momentum_12 momentum_score momentum_alignment volatility_6 volatility_12 volatility_ratio spread_stress tick_shock regime_signal".split()
+
+
+def context(spark: SparkSession, d: str) -> DataFrame:
+    return ind.scalp_context(ind.regime_signal(hourly(spark, d)).withColumn("session_code", calendar.session_code(F.col("dt"))))
+
+
+@query("scalp_context_17", " ".join([KEY, *(f"{c}:d" for c in CONTEXT_COLUMNS)]), f"SELECT * FROM {CONTEXT}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return context(spark, d)
+
+
 SIGNS = f"(SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN g <> lag(g) OVER {ALL} THEN 1 ELSE 0 END AS ch FROM (SELECT *, CASE WHEN abs(ret) <= 0.05 THEN 0 ELSE sign(ret) END AS g FROM rets)))"
 
 
@@ -234,7 +265,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.vol_percentile(returns(spark, d).withColumn("v", F.abs("ret")), "v", 240)
 
 
-@query("horizon_return", f"{KEY} ret_h240:d", f"SELECT symbol, dt, ln(c / lag(c, 240) OVER {ALL}) AS ret_h240 FROM bars")
+@query("horizon_return", f"{KEY} ret_h240:d", f"SELECT symbol, dt, {ln('c', f'lag(c, 240) OVER {ALL}')} AS ret_h240 FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.horizon_return(hourly(spark, d), 240)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.classification(scored(spark, d))
 
 
+@query("class_scores", "n:i log_loss:d brier:d accuracy:d ece:d", """WITH r AS (SELECT [a, b, 1 - a - b] AS p, y FROM (SELECT 0.1::DOUBLE + p * 0.3 AS a, 0.1::DOUBLE + ((id % 11) / 20.0::DOUBLE) AS b, (id % 3)::INT AS y FROM scored)),
+  m AS (SELECT *, list_max(p) AS best, (list_position(p, list_max(p)) - 1 = y)::INT::DOUBLE AS hit FROM r), g AS (SELECT least(floor(best * 10), 9) AS bin, count(*) AS n, sum(hit) AS hit, sum(best) AS best FROM m GROUP BY 1)
+  SELECT count(*) AS n, avg(-ln(least(greatest(p[y + 1], 1e-7), 1 - 1e-7))) AS log_loss, avg((power(p[1] - (y = 0)::INT, 2) + power(p[2] - (y = 1)::INT, 2) + power(p[3] - (y = 2)::INT, 2)) / 3) AS brier, avg(hit) AS accuracy, (SELECT sum(abs(hit - best)) / sum(n) FROM g) AS ece FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).select((0.1 + F.col("p") * 0.3).alias("a"), (0.1 + F.col("id") % 11 / 20).alias("b"), (F.col("id") % 3).alias("y"))
+    return metrics.classification_of(s.withColumn("c", 1 - F.col("a") - F.col("b")), ["a", "b", "c"])
+
+
 @query("calibration_curve", "bin:i n:i mean_p:d rate:d", "SELECT least(floor(p * 8), 7) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM scored GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.calibration_curve(scored(spark, d), 8)
@@ -75,10 +85,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pbo_cscv(_folds(spark, d))
 
 
-@query("psr_dsr_wfe", "config:s psr:d target:d wfe:d")
+CDF = "CASE WHEN {0} >= 0 THEN 1 - {1} ELSE {1} END".format("z", "k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-z * z / 2) / sqrt(2 * pi())")
+
+
+def ppf(p: float) -> float:
+    """The rational form of the inverse normal distribution, for the SQL's constants."""
+    t = math.sqrt(-2 * math.log(min(p, 1 - p)))
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return z if p >= 0.5 else -z
+
+
+GREATEST = (1 - 0.5772156649015329) * ppf(1 - 1 / 5) + 0.5772156649015329 * ppf(1 - 1 / (5 * math.e))
+MOMENTS = f"""(SELECT config, count(*) AS n, avg(score) AS m, stddev_samp(score) AS s, avg(score) FILTER (fold >= 3) AS oos, avg(score) FILTER (fold < 3) AS ins, coalesce(sum(power(score - mu, 3)) / count(*) / power(nullif(stddev_pop(score), 0), 3), NULL) AS sk, sum(power(score - mu, 4)) / count(*) / power(nullif(stddev_pop(score), 0), 4) - 3 AS ku FROM (SELECT *, avg(score) OVER (PARTITION BY config) AS mu FROM {FOLDS}) GROUP BY 1)"""
+
+
+@query("psr_dsr_wfe", "config:s psr:d target:d wfe:d", f"SELECT config, {CDF} AS psr, target, wfe FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS k FROM (SELECT config, oos / nullif(ins, 0) AS wfe, stddev_samp(sharpe) OVER () * {GREATEST!r}::DOUBLE AS target, sharpe * sqrt(n - 1) / sqrt(greatest(1 - sk * sharpe + (ku - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM (SELECT *, coalesce(m / nullif(s, 0), 0) AS sharpe FROM {MOMENTS})))")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _folds(spark, d).groupBy("config").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"), F.skewness("score").alias("sk"), F.kurtosis("score").alias("ku"), F.count("*").alias("n"), F.avg(F.when(F.col("fold") >= 3, F.col("score"))).alias("oos"), F.avg(F.when(F.col("fold") < 3, F.col("score"))).alias("ins"))
-    sharpe = F.col("m") / F.col("s")
+    sharpe = F.coalesce(F.try_divide(F.col("m"), F.col("s")), F.lit(0.0))
     s = s.withColumns({"sharpe": sharpe, "target": metrics.dsr_target(F.stddev_samp(sharpe).over(Window.partitionBy()), F.lit(5.0))})
     return s.withColumns({"psr": metrics.psr(F.col("sharpe"), F.col("n"), F.col("sk"), F.col("ku"), F.lit(0.0)), "wfe": F.try_divide(F.col("oos"), F.col("ins"))})
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pyspark.ml.functions import array_to_vector
 
+from barloom.operators import graph, labels, ml
 from barloom.operators import indicators as ind
-from barloom.operators import labels, ml
-from barloom.plans.indicator_queries import ALL
-from barloom.plans.registry import hourly, query, scored, table
+from barloom.plans.graph_queries import LAGGARD, true_returns
+from barloom.plans.indicator_queries import ALL, CONTEXT, CONTEXT_COLUMNS, context
+from barloom.plans.registry import SQL, hourly, query, quotes, scored, table
 
 FEATURES = ["ret_1", "ret_3", "range_norm", "body_ratio", "tk"]
 
@@ -20,7 +21,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return ml.pooled_rows(ml.class_weights(b.where("label is not null"), "label"), FEATURES, "label", "w")
 
 
-@query("ml_pooled_rows", "symbol:s dt:t ret_1:d range_norm:d label:i", f"SELECT symbol, dt, ret AS ret_1, (h - l) / abs(c) AS range_norm, CASE WHEN nx > c THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(c) OVER {ALL} AS nx FROM rets) WHERE nx IS NOT NULL")
+@query("ml_pooled_rows", "symbol:s dt:t ret_1:d range_norm:d label:i", f"SELECT symbol, dt, ret AS ret_1, (h - l) / nullif(abs(c), 0) AS range_norm, CASE WHEN nx > c THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(c) OVER {ALL} AS nx FROM rets) WHERE nx IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
@@ -71,8 +72,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ml.outlier_consensus(v)
 
 
-@query("meta_feature_rows", "id:i p:d p2:d conf:d conf2:d y:i", "SELECT id, p, ((id * 37) % 101) / 100.0::DOUBLE AS p2, 2 * abs(p - 0.5) AS conf, 2 * abs(((id * 37) % 101) / 100.0::DOUBLE - 0.5) AS conf2, y FROM scored")
+def _model(rows: str, p: str, entry: str) -> str:
+    return f"SELECT symbol, dt, avg(({p} % 101) / 100.0::DOUBLE) AS p, avg(({entry} % 101) / 100.0::DOUBLE) AS entry FROM {rows} GROUP BY 1, 2"
+
+
+LAG_COLUMNS = "nb_momentum momentum_residual nb_volatility vol_laggard laggard_score strength".split()
+COARSE, FINE = _model("(SELECT symbol, date_trunc('day', ts) AS dt, id, k FROM quotes)", "k", "id * 53"), _model("(SELECT symbol, date_trunc('hour', ts) AS dt, id, k FROM quotes)", "id * 37", "k * 7")
+
+
+@query(
+    "meta_feature_rows", " ".join(["symbol:s dt:t p_coarse:d p_fine:d entry_coarse:d entry_fine:d conf_coarse:d conf_fine:d", *(f"{c}:d" for c in [*CONTEXT_COLUMNS, *LAG_COLUMNS]), "y:i"]),
+    f"SELECT f.symbol, f.dt, m.p AS p_coarse, f.p AS p_fine, m.entry AS entry_coarse, f.entry AS entry_fine, 2 * abs(m.p - 0.5) AS conf_coarse, 2 * abs(f.p - 0.5) AS conf_fine, {', '.join(f'x.{c}' for c in CONTEXT_COLUMNS)}, {', '.join(f'coalesce(l.{c}, 0) AS {c}' for c in LAG_COLUMNS)}, n.label AS y FROM ({FINE}) f JOIN ({COARSE}) m ON m.symbol = f.symbol AND m.dt = date_trunc('day', f.dt) JOIN {CONTEXT} x ON x.symbol = f.symbol AND x.dt = f.dt LEFT JOIN {LAGGARD} l ON l.symbol = f.symbol AND l.dt = f.dt JOIN ({SQL['label_next_bar']}) n ON n.symbol = f.symbol AND n.dt = f.dt WHERE n.label IS NOT NULL",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
-    other = s.select("id", (F.col("id") * 37 % 101 / 100).alias("p2"))
-    return s.join(other, "id").withColumns({"conf": 2 * F.abs(F.col("p") - 0.5), "conf2": 2 * F.abs(F.col("p2") - 0.5)})
+    """Two scored tables, a day's and an hour's; the model that scored them is stood for by columns of the events."""
+    q = quotes(spark, d)
+    score = lambda unit, p, e: q.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("dt")).agg(F.avg(p % 101 / 100).alias("p"), F.avg(e % 101 / 100).alias("entry"))
+    coarse, fine = score("day", F.col("k"), F.col("id") * 53), score("hour", F.col("id") * 37, F.col("k") * 7)
+    return ml.meta_rows(coarse, fine, "day", context(spark, d), graph.laggard_features(true_returns(spark, d)), labels.label_next_bar(hourly(spark, d)))

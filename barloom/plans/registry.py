@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import log_ratio
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The queries' own SQL, for those that build on others.
+SQL: dict[str, str] = {}
 
 #: Views of the given tables in SQL: ticks of event types, hourly bars, their returns, scored rows and a ledger.
 VIEWS = """
@@ -23,10 +27,10 @@ bars AS (
   SELECT symbol, date_trunc('hour', ts) AS dt, arg_min(mid, id) AS o, max(mid) AS h, min(mid) AS l, arg_max(mid, id) AS c, avg(spread) AS sp, count(*) AS tk
   FROM quotes GROUP BY 1, 2),
 rets AS (
-  SELECT *, coalesce(ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY dt)), 0) AS ret FROM bars),
+  SELECT *, coalesce(ln(nullif(c, 0) / nullif(lag(c) OVER (PARTITION BY symbol ORDER BY dt), 0)), 0) AS ret FROM bars),
 scored AS (
   SELECT id, symbol, ts AS dt, k / 100.0::DOUBLE AS p, CASE WHEN lead(mid) OVER (PARTITION BY symbol ORDER BY ts, id) > mid THEN 1 ELSE 0 END AS y,
-         ln(lead(mid) OVER (PARTITION BY symbol ORDER BY ts, id) / mid) AS fwd FROM quotes),
+         ln(nullif(lead(mid) OVER (PARTITION BY symbol ORDER BY ts, id), 0) / nullif(mid, 0)) AS fwd FROM quotes),
 ledger AS (
   SELECT l_extendedprice * (l_tax - l_discount) AS pnl, l_returnflag AS reason, l_quantity AS size, l_shipdate AS day, l_orderkey, l_linenumber FROM lineitem)
 """
@@ -48,6 +52,7 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Query],
         run.__name__, run.__doc__ = name, f.__doc__
         QUERIES[name] = run
         if sql is not None:
+            SQL[name] = sql
             out = {"d": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "a": "list_transform({0}, lambda x: round(x, 6) + 0.0) AS {0}"}
             ORACLES[name] = f"WITH {VIEWS}, result AS ({sql}) SELECT " + ", ".join(out.get(k, "{0}").format(c) for c, k in spec) + " FROM result"
         return f
@@ -87,7 +92,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     q = quotes(spark, sf_dir)
     ahead = F.lead("mid").over(Window.partitionBy("symbol").orderBy("ts", "id"))
-    return q.select("id", "symbol", F.col("ts").alias("dt"), (F.col("k") / 100).alias("p"), F.when(ahead > F.col("mid"), 1).otherwise(0).alias("y"), F.log(ahead / F.col("mid")).alias("fwd"))
+    return q.select("id", "symbol", F.col("ts").alias("dt"), (F.col("k") / 100).alias("p"), F.when(ahead > F.col("mid"), 1).otherwise(0).alias("y"), log_ratio(ahead, F.col("mid")).alias("fwd"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,14 @@ from barloom.operators import align, bars, profile, signals
 from barloom.operators import indicators as ind
 from barloom.plans.bar_queries import SECOND
 from barloom.plans.indicator_queries import ALL, KEY, RN, SESSION, TR, over
-from barloom.plans.registry import hourly, query, quotes, returns, scored, table
+from barloom.plans.registry import SQL, hourly, query, quotes, returns, scored, table
 
-DIR = "CASE WHEN abs(2 * p - 1) >= 2 * least(greatest(0.55 + 2 * vol, 0.5), 0.9) - 1 AND greatest(p, 1 - p) <= 0.98 THEN CASE WHEN p >= 0.5 THEN 1 ELSE -1 END ELSE 0 END"
-SCORED = f"(SELECT id, symbol, dt, p, y, fwd, (id % 7) / 70.0::DOUBLE AS vol, ((id * 37) % 101) / 100.0::DOUBLE AS p2, {DIR.replace('vol', '((id % 7) / 70.0::DOUBLE)')} AS direction FROM scored)"
+DIR = "CASE WHEN greatest(p, 1 - p) > 1.01 OR abs(2 * p - 1) < 0.15 THEN 0 WHEN p >= least(greatest(0.65 + 12 * vol, 0.5), 0.9) THEN 1 WHEN p <= 1 - least(greatest(0.65 + 12 * vol, 0.5), 0.9) THEN -1 ELSE 0 END"
+SCORED = f"(SELECT id, symbol, dt, p, y, fwd, (id % 7) / 470.0::DOUBLE AS vol, ((id * 37) % 101) / 100.0::DOUBLE AS p2, {DIR.replace('vol', '((id % 7) / 470.0::DOUBLE)')} AS direction FROM scored)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).withColumns({"vol": F.col("id") % 7 / 70, "p2": F.col("id") * 37 % 101 / 100})
+    s = scored(spark, d).withColumns({"vol": F.col("id") % 7 / 470, "p2": F.col("id") * 37 % 101 / 100})
     return s.withColumn("direction", signals.entry_direction(F.col("p"), F.col("vol")))
 
 
@@ -78,10 +78,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return signals.gate_rates(_gated(spark, d))
 
 
-@query("tpo_reversal_decision", f"{KEY} direction:i reason:s")
+@query("tpo_reversal_decision", f"{KEY} direction:i confidence:d tp_dist:d sl_dist:d lots:d reason:s")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = ind.log_ret(ind.log_ret(ind.atr_series(hourly(spark, d)), 1), 3).withColumn("atr", F.coalesce("atr_series", F.lit(0.0)))
-    return signals.reversal_decision(profile.tpo_profile(b, "atr"), {"spread_atr": 0.5, "tp_atr": 2.0, "sl_atr": 1.0})
+    b = ind.log_ret(ind.log_ret(ind.atr_series(hourly(spark, d)), 1), 3).withColumns({"atr": F.coalesce("atr_series", F.lit(0.0)), "n": F.row_number().over(ind.by_time())})
+    m = profile.tpo_memory(b, "atr").withColumns({"other_direction": F.lit(0), "other_confidence": F.lit(0.0)})
+    return signals.reversal_decision(m)
 
 
 EVENTS = f"(SELECT symbol, dt, CASE WHEN p >= 0.5 THEN 1 ELSE -1 END AS direction, p, c, sp, tk, sc FROM (SELECT *, (tk % 11) / 10.0::DOUBLE AS p, {SESSION.format('dt')} AS sc FROM bars) WHERE sc <> 0 AND tk > 1)"
@@ -156,7 +157,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return signals.kelly_capped(b, "f", 0.1)
 
 
-@query("scalar_costs", f"{KEY} cost:d stress:d lots:d scale:d", f"SELECT symbol, dt, greatest(CASE WHEN sp < 50 * 0.0001 THEN sp ELSE sp * 0.0001 / 10 END, 0) AS cost, sp / c + 1 / sqrt(tk + 1) AS stress, least(greatest(1000 * 0.01 / (h - l + 1), 0.01), 10) AS lots, CASE tk % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END AS scale FROM bars")
+@query("scalar_costs", f"{KEY} cost:d stress:d lots:d scale:d", f"SELECT symbol, dt, greatest(CASE WHEN sp < 50 * 0.0001 THEN sp ELSE sp * 0.0001 / 10 END, 0) AS cost, sp / nullif(c, 0) + 1 / sqrt(tk + 1) AS stress, least(greatest(1000 * 0.01 / (h - l + 1), 0.01), 10) AS lots, CASE tk % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END AS scale FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("tk") % 3
     return hourly(spark, d).withColumns({
@@ -165,16 +166,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query("indicator_votes", f"{KEY} votes:i")
+MARKS = {"rsi": (55, 45), "macd": (0, 0), "pct_b": (0.6, 0.4), "stoch_k": (60, 40), "cci": (50, -50), "will_r": (-40, -60), "mom5": (0.3, -0.3)}
+VOTES = f"(SELECT symbol, dt, {' + '.join(f'CASE WHEN {c} > {u} THEN 1 WHEN {c} < {v} THEN -1 ELSE 0 END' for c, (u, v) in MARKS.items())} AS votes FROM ({SQL['pair_features_16']}))"
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return ind.pair_features_16(hourly(spark, d)).withColumn("votes", numeric.indicator_votes({c: F.col(c) for c in MARKS}))
+
+
+@query("indicator_votes", f"{KEY} votes:i side:i", f"SELECT *, CASE WHEN votes >= 3 THEN 1 WHEN votes <= -3 THEN -1 ELSE 0 END AS side FROM {VOTES}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = ind.pair_features_16(hourly(spark, d)).dropna()
-    return b.withColumn("votes", numeric.indicator_votes({c: F.col(c) for c in ("rsi", "macd", "pct_b", "stoch_k", "cci", "will_r", "mom5")}))
+    return _votes(spark, d).withColumn("side", numeric.vote_direction(F.col("votes")))
 
 
-@query("confidence_proxy", f"{KEY} confidence:d", f"SELECT symbol, dt, 0.4 * least(tk / 7.0, 1) + 0.35 * least(abs(ret) / 1e-4, 1) + 0.25 * least({RN} / 10.0, 1) AS confidence FROM rets")
+@query("confidence_proxy", f"{KEY} confidence:d", f"SELECT symbol, dt, least(greatest(0.4 * least(abs(votes) / 7.0, 1) + 0.35 * least(abs(ret) / 5e-4, 1) + 0.25 * CASE WHEN streak >= 3 THEN least(streak / 5.0, 0.3) ELSE 0 END, 0), 1) AS confidence FROM {VOTES} JOIN (SELECT symbol, dt, ret FROM rets) USING (symbol, dt) JOIN ({SQL['residual_streak']}) USING (symbol, dt)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = returns(spark, d)
-    return r.withColumn("confidence", numeric.confidence_proxy(F.col("tk"), F.col("ret"), F.row_number().over(ind.by_time())))
+    r = ind.residual_streak(_votes(spark, d), "ret_1", 0.05)
+    return r.withColumn("confidence", numeric.confidence_proxy(F.col("votes"), F.col("ret_1"), F.col("streak")))
+
+
+@query("regime_scale", f"{KEY} of_name:d of_code:d", "SELECT symbol, dt, CASE tk % 6 WHEN 2 THEN 0.7 WHEN 3 THEN 0.5 WHEN 4 THEN 0.3 ELSE 1.0 END AS of_name, CASE tk % 6 WHEN 2 THEN 0.75 WHEN 3 THEN 0.55 WHEN 4 THEN 0.35 WHEN 5 THEN 0.35 ELSE 1.0 END AS of_code FROM bars")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    code = (F.col("tk") % 6).cast("int")
+    names = F.array(*map(F.lit, numeric.SIGNAL_SCALE))
+    return hourly(spark, d).withColumns({"of_name": numeric.regime_scale(F.get(names, code)), "of_code": numeric.regime_scale_of_code(code)})
 
 
 @query("norm_cdf_ppf", "id:i cdf:d ppf:d", """SELECT id, CASE WHEN x >= 0 THEN 1 - t ELSE t END AS cdf, CASE WHEN p <= 0 OR p >= 1 THEN NULL WHEN p < 0.5 THEN -z ELSE z END AS ppf FROM (SELECT *, k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-x * x / 2) / sqrt(2 * pi()) AS t,
@@ -196,7 +211,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("outcome", signals.bar_exit(*(F.col(x) for x in ("o1", "h1", "l1", "c1", "dir", "tp", "sl"))))
 
 
-@query("path_exit_resolution", f"{KEY} outcome:s")
+PATH = "(SELECT symbol, dt, o, list_filter(list_transform(path, lambda x: CASE WHEN x >= o * 1.3 THEN 'tp' WHEN x <= o * 0.8 THEN 'sl' END), lambda v: v IS NOT NULL) AS hits FROM (SELECT symbol, date_trunc('hour', ts) AS dt, list(mid ORDER BY id) AS path, arg_min(mid, id) AS o FROM quotes GROUP BY 1, 2))"
+
+
+@query("path_exit_resolution", f"{KEY} outcome:s", f"SELECT symbol, dt, coalesce(hits[1], 'open') AS outcome FROM {PATH}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     q = quotes(spark, d)
     b = hourly(spark, d).join(bars.tick_path(q, "hour"), ["symbol", "dt"])

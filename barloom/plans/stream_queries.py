@@ -15,8 +15,11 @@ from barloom.streaming import streams
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
+    """spark.checkpoint.dir; in local runs a folder of our own where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
 
 
 def drained(spark: SparkSession, rows: DataFrame, stream_of) -> DataFrame:

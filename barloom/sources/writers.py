@@ -50,3 +50,20 @@ def sink_feature_tables(features: DataFrame, path: str) -> DataFrame:
     manifest = features.groupBy("tf").agg(F.count("*").alias("rows"), F.min("dt").alias("first"), F.max("dt").alias("last"))
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
     return features.sparkSession.read.parquet(f"{path}/manifest")
+
+
+PACK = ["o", "h", "l", "c", "sp", "tk", "validity", "session_code", "session_transition", "regime_signal"]
+
+
+def export_feature_pack(features: DataFrame, path: str) -> DataFrame:
+    """Write (symbol, dt, tf) with the ten channels of PACK by tf, a repeated run rewriting its partitions only, and read it back.
+
+    features needs o, h, l, c, sp, tk, real, session (0 to 4), moved and trend.
+    Session codes are scaled to 1, the trend is 0 on bars that are not real.
+    """
+    rows = features.select(
+        "symbol", "dt", "tf", "o", "h", "l", "c", "sp", F.col("tk").cast("double").alias("tk"), F.col("real").cast("double").alias("validity"), (F.col("session") / 4).alias("session_code"),
+        F.col("moved").cast("double").alias("session_transition"), F.when(F.col("real"), F.col("trend")).otherwise(0.0).alias("regime_signal"),
+    )
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tf").parquet(path)
+    return features.sparkSession.read.parquet(path)

@@ -41,7 +41,7 @@ def stream_tick_ffill(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp, id bigint, bid double, ask double", "bid double, ask double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_hysteresis(scored: DataFrame, entry: float = 0.6, leave: float = 0.52) -> DataFrame:
+def stream_hysteresis(scored: DataFrame, entry: float = 0.6, leave: float = 0.52, edge: float = 0.0) -> DataFrame:
     """(symbol, dt, position) of the same machine as signals.hysteresis; state: one position a symbol."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,7 +50,7 @@ def stream_hysteresis(scored: DataFrame, entry: float = 0.6, leave: float = 0.52
         out = []
         for b, s in zip(pdf["p_buy"], pdf["p_sell"], strict=True):
             if now == 0:
-                now = 1 if b >= entry else -1 if s >= entry else 0
+                now = 1 if b >= entry and b - s >= edge else -1 if s >= entry and s - b >= edge else 0
             elif (now == 1 and b < leave) or (now == -1 and s < leave):
                 now = 0
             out.append(now)
@@ -96,10 +96,3 @@ def stream_session(bars: DataFrame, k: int = 3) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "dt", "session", "bars_in_run", "or_high", "or_low"])
 
     return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, dt timestamp, session int, bars_in_run int, or_high double, or_low double", "code int, n int, hi double, lo double", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a bounded stream to its end into a memory table, and return the table."""
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)

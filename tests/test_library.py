@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import align, bars, labels, metrics, profile, signals
+from barloom.functions import calendar, numeric
+from barloom.operators import align, bars, graph, labels, metrics, profile, signals
 from barloom.operators import indicators as ind
 from barloom.plans.registry import hourly, quotes, scored
 from barloom.plans.stream_queries import drained
@@ -44,6 +45,13 @@ def test_candle_tree(spark, tmp_path):
     alias = spark.createDataFrame([("BTCUSD.x", "BTCUSD")], "alias string, symbol string")
     rows = readers.scan_partitioned_tree(spark, str(tmp_path), alias).collect()
     assert [(r["symbol"], r["tf"], r["year"], r["quarter"], r["c"], r["tk"]) for r in rows] == [("BTCUSD", "M5", 2024, "Q1", 1.5, 7)]
+    other = tmp_path / "2024" / "Q2" / "BTCUSD.x"
+    other.mkdir(parents=True)
+    (other / "candles_M5.csv").write_text("<CLOSE>,<LOW>,<HIGH>,<OPEN>,<TICKVOL>,<SPREAD>,<TIME>\n1.5,0.5,2,1,7,3,2024.04.02 00:00:00\n")
+    both = readers.scan_partitioned_tree(spark, str(tmp_path)).orderBy("dt").collect()
+    assert [(r["o"], r["h"], r["l"], r["c"], r["sp"], r["tk"]) for r in both] == [(1.0, 2.0, 0.5, 1.5, 3.0, 7)] * 2
+    first = readers.scan_partitioned_tree(spark, str(tmp_path), start="2024-01-01", end="2024-03-31")
+    assert [r["quarter"] for r in first.collect()] == ["Q1"] and readers.scan_partitioned_tree(spark, str(tmp_path), start="2030-01-01", end="2030-02-01").count() == 0
     (tmp_path / "plain.csv").write_text("2024-01-02 00:00,1,2,0.5,1.5,7,3\n")
     assert readers.scan_candles(spark, str(tmp_path / "plain.csv"), header=False).first()["tk"] == 7
 
@@ -117,17 +125,121 @@ def test_exposure_cap(spark):
 
 def test_profile_bounds_and_degenerate_atr():
     c = np.linspace(1.095, 1.105, 60)
-    poc, vah, val, *_ = profile.profile_of(c + 0.0008, c - 0.0008, c, 0.0015, 16)
-    assert val <= poc <= vah and c.min() - 0.001 <= poc <= c.max() + 0.001
-    assert profile.profile_of(c + 1, c - 1, c, 1e-7, 16)[4:] == (0.0, 0.0, 0.0)
+    p = profile.profile_of((c + 0.0008)[-48:], (c - 0.0008)[-48:], c[-48:], 0.0015, 16)
+    assert p.val <= p.poc <= p.vah and p.low <= p.poc <= p.high and 0 < p.balance < 1
+    flat = profile.profile_of(c + 1, c - 1, c, 1e-7, 16)
+    assert flat.degenerate and flat[:5] == (c[-1],) * 5 and flat[5:8] == (0.0, 0.0, 0.0)
+    assert profile.profile_of(np.ones(5), np.ones(5), np.ones(5), 0.1).balance == 1.0
+    # bars 0-1, 1-2 and 1-3 over three bins of width 1: an upper edge is not in the bin above it
+    edges = profile.profile_of(np.array([1.0, 2.0, 3.0]), np.array([0.0, 1.0, 1.0]), np.array([0.5, 1.5, 2.5]), 1.0, 3, 0.5)
+    assert (edges.poc, edges.val, edges.vah, edges.balance) == (1.5, 1.0, 2.0, 0.5)
+
+
+def test_memory_scores():
+    c = np.concatenate([np.full(40, 10.0), np.full(12, 8.0)])
+    m = profile.memory_of(c + 0.1, c - 0.1, c, 0.5, (24, 48))
+    assert m.tpo_resistance_score == 0.0 and 0 <= m.tpo_support_score <= 1 and 0 <= m.tpo_value_area_overlap <= 1
+    assert profile.memory_of(c + 0.1, c - 0.1, c, 1e-7)[:8] == (0.0,) * 8
 
 
 def test_tpo_memory_zeros(spark):
     b = hourly(spark, SF).withColumn("atr", F.lit(1e-7))
-    r = profile.tpo_memory(b, "atr").agg(*(F.max(F.abs(c)) for c in ("tpo_support", "tpo_poc_drift", "tpo_width"))).first()
+    r = profile.tpo_memory(b, "atr").agg(*(F.max(F.abs(c)) for c in ("tpo_support_score", "tpo_poc_drift_atr", "tpo_value_area_width_atr"))).first()
     assert tuple(r) == (0.0, 0.0, 0.0)
 
 
+def test_reversal_buys_after_a_dip(spark):
+    rise, dip = np.linspace(1.0950, 1.1050, 50), np.array([1.1048, 1.1035, 1.1020, 1.1000, 1.0905, 1.0912])
+    c = np.concatenate([rise, dip])
+    rows = [("A", i, float(x), float(x) + 3e-4, float(x) - 3e-4, 8e-5) for i, x in enumerate(c)]
+    b = spark.createDataFrame(rows, "symbol string, dt int, c double, h double, l double, sp double").withColumns({"atr": F.lit(0.0012), "n": F.col("dt") + 1, "other_direction": F.lit(0), "other_confidence": F.lit(0.0)})
+    b = profile.tpo_memory(ind.log_ret(b, 1).withColumn("ret_3", F.lit(0.01)), "atr")
+    decide = lambda rows: signals.reversal_decision(rows).orderBy(F.col("dt").desc()).first()
+    r = decide(b)
+    assert (r["direction"], r["reason"]) == (1, "") and r["tpo_support_score"] > 0 and 0.16 < r["confidence"] <= 0.96 and 0.45 <= r["lots"] <= 1.35
+    assert decide(b.withColumn("other_confidence", F.lit(0.2)))["reason"] == "legacy_high_confidence"
+    assert decide(b.withColumn("sp", F.lit(0.001)))["reason"] == "spread_stress"
+    blocked = decide(b.withColumns({"other_direction": F.lit(-1), "other_confidence": F.lit(0.12)}))
+    assert (blocked["direction"], blocked["confidence"], blocked["reason"]) == (0, 0.0, "legacy_direction_conflict")
+
+
+def test_votes_gates_and_scales(spark):
+    one = spark.range(1)
+    value = lambda column: one.select(column.alias("x")).first()["x"]
+    up = dict(rsi=62, macd=0.5, pct_b=0.7, stoch_k=65, cci=80, will_r=-30, mom5=0.5)
+    down = dict(rsi=35, macd=-0.3, pct_b=0.3, stoch_k=30, cci=-70, will_r=-70, mom5=-0.5)
+    votes = lambda d: numeric.indicator_votes({k: F.lit(v) for k, v in d.items()})
+    assert (value(votes(up)), value(votes(down)), value(votes({**up, "rsi": None}))) == (7, -7, 6)
+    assert [value(numeric.vote_direction(F.lit(v))) for v in (7, 3, 2, -2, -3)] == [1, 1, 0, 0, -1]
+    proxy = lambda v, r, s: round(value(numeric.confidence_proxy(F.lit(v), F.lit(r), F.lit(s))), 6)
+    assert (proxy(7, 1.0, 10), proxy(-7, -2.5e-4, 2), proxy(0, 0.0, 3)) == (0.825, 0.575, 0.075)
+    gate = lambda t, r: value(calendar.bridge_gate(F.lit(at(t)).cast("timestamp_ntz"), F.lit(r)))
+    assert [round(gate(f"2024-01-02 {h:02d}:00:00", 0), 3) for h in (23, 3, 10, 15, 1)] == [0.5, 0.6, 0.8, 1.0, 0.4]
+    assert [round(gate("2024-01-02 15:00:00", r), 3) for r in (2, 3, 4)] == [1.0, 0.7, 0.3] and gate("2024-01-06 15:00:00", 0) == 0.0
+    assert [value(numeric.regime_scale_of_code(F.lit(c))) for c in (1, 2, 3, 4)] == [1.0, 0.75, 0.55, 0.35]
+    regime = lambda b0, b1, h1: value(graph.regime_class(F.lit(b0), F.lit(b1), F.lit(h1), 35))
+    assert [regime(21, 9, 1.0), regime(20, 9, 0.9), regime(1, 5, 0.5), regime(1, 1, 0.1), regime(1, 4, 0.1)] == ["FRAGMENTED", "HIGH_STRESS", "TRANSITIONAL", "LOW_VOL", "NORMAL"]
+    assert value(calendar.slot_id(F.lit(at("2024-01-02 03:17:00")).cast("timestamp_ntz"))) == 288 + 36 + 3
+
+
+def test_spectrum_of_small_graphs():
+    pair = np.array([[0.0, 1.0], [1.0, 0.0]])
+    assert np.allclose(graph.spectrum_of(pair), (2.0, 1, 0, 0.0, 2.0))
+    assert graph.spectrum_of(np.kron(np.eye(2), pair))[1] == 2
+    assert graph.spectrum_of(np.zeros((3, 3)))[1] == 1
+
+
+def test_entry_direction_needs_spread(spark):
+    d = lambda p, **k: spark.range(1).select(signals.entry_direction(F.lit(p), F.lit(0.0), **k).alias("x")).first()["x"]
+    assert [d(0.7), d(0.3), d(0.6)] == [1, -1, 0] and d(0.57, base=0.5) == 0 and d(0.58, base=0.5) == 1 and d(0.7, cap=0.69) == 0
+
+
+def test_laggards_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    r = rng.normal(0, 0.01, (20, 3))
+    rows = [("abc"[j], i, float(r[i, j])) for i in range(20) for j in range(3)]
+    got = {x["symbol"]: x for x in graph.laggard_features(spark.createDataFrame(rows, "symbol string, dt int, ret double")).where("dt = 19").collect()}
+    corr = 0.85 * np.corrcoef(r.T)
+    np.fill_diagonal(corr, 0)
+    rms = lambda k: np.sqrt((r[-k:] ** 2).mean(axis=0))
+    ratio, mom, deg = rms(6) / rms(12), r[-3:].sum(axis=0) / (rms(12) * 3**0.5), np.abs(corr).sum(axis=1)
+    nv, nm = np.abs(corr) @ ratio / deg, corr @ mom / deg
+    for j, s in enumerate("abc"):
+        want = (nm[j], mom[j] - nm[j], nv[j], nv[j] - ratio[j], max(nv[j] - ratio[j], 0) * min(abs(nm[j]), 3), deg[j] / 2)
+        assert np.allclose([got[s][c] for c in ("nb_momentum", "momentum_residual", "nb_volatility", "vol_laggard", "laggard_score", "strength")], want)
+
+
+def test_zeros_and_equal_folds_divide_safely(spark):
+    zero = spark.createDataFrame([("A", at(f"2024-01-01 00:{i:02d}:00"), x, x, x, x, 0.0, 1) for i, x in enumerate([0.0, 0.0, 1.0, 0.0, 2.0] * 5)], "symbol string, dt timestamp_ntz, o double, h double, l double, c double, sp double, tk int")
+    for f in (ind.pair_features_16, ind.session_local_features, ind.regime_signal, ind.microstructure_4, labels.forward_return, lambda b: labels.label_threshold(b, 3, 0.1), lambda b: ind.horizon_return(b, 2)):
+        assert f(zero).count() == len(f(zero).collect()) == 25
+    folds = spark.createDataFrame([("a", i, 1.0, 1.0) for i in range(4)], "config string, fold int, loss double, score double")
+    assert metrics.fold_summary(folds).first()["dispersion"] == 0.0 and metrics.pbo_cscv(folds).first()["n_splits"] == 6
+
+
+def test_class_scores(spark):
+    df = spark.createDataFrame([(0.7, 0.2, 0.1, 0), (0.2, 0.5, 0.3, 2)], "a double, b double, c double, y int")
+    r = metrics.classification_of(df, ["a", "b", "c"]).first()
+    assert abs(r["log_loss"] + (np.log(0.7) + np.log(0.3)) / 2) < 1e-9 and abs(r["brier"] - (0.14 + 0.78) / 6) < 1e-9
+    assert r["accuracy"] == 0.5 and abs(r["ece"] - (0.3 + 0.5) / 2) < 1e-9
+
+
+def test_stream_and_batch_positions_agree(spark):
+    """Both sides at the entry mark: the one that leads by the edge is taken, in both forms."""
+    rows = [("A", at(f"2024-01-01 00:00:0{i}"), b, s) for i, (b, s) in enumerate([(0.65, 0.72), (0.65, 0.5), (0.5, 0.5), (0.7, 0.7), (0.75, 0.6)])]
+    df = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, p_buy double, p_sell double")
+    batch = [r["position"] for r in signals.hysteresis(df, "p_buy", "p_sell", edge=0.05).orderBy("dt").collect()]
+    live = drained(spark, df.withColumn("dt", F.col("dt").cast("timestamp")), lambda s: streams.stream_hysteresis(s, edge=0.05))
+    assert [r["position"] for r in live.orderBy("dt").collect()] == batch == [-1, 0, 0, 0, 1]
+
+
+def test_folds_expand_over_blocks(spark):
+    b = spark.createDataFrame([("A", at(f"2024-01-{d:02d} 00:00:00"), d // 5 if d < 20 else None) for d in range(1, 25)], "symbol string, dt timestamp_ntz, blk int")
+    f = labels.folds_expanding(b, F.col("blk"), 2, purge=2)
+    got = {(r["fold"], r["part"]): (r["first"].day, r["last"].day, r["times"]) for r in labels.folds_metadata(f).collect()}
+    assert got == {(0, "train"): (1, 7, 7), (0, "valid"): (10, 14, 5), (1, "train"): (1, 12, 12), (1, "valid"): (15, 19, 5)}
+
+
 def test_triple_barrier_buys(spark):
     c = [1.0] * 16 + [1.0 + 0.01 * k for k in range(1, 8)]
     rows = [("A", at(f"2024-01-01 00:{i:02d}:00"), x, x + 0.005, x - 0.002, x, 1e-4, 0.01) for i, x in enumerate(c)]
