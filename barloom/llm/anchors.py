@@ -3,18 +3,23 @@
 A window is W consecutive units (bytes or words) of a text. Its anchor is the
 leftmost of its K-unit grams with the least hash, so equal windows have equal
 anchors at equal offsets. A run is a longest sequence of windows with one
-anchor; its units are its span, and its key is the anchor gram's hash. Hence:
-
-* runs with equal spans repeat each other as a whole, which hashes show;
-* all other repetitions lie between different spans of one key.
-
-About 2 / (W - K + 2) runs a unit take part, not every window. Each map batch
-sends a (key, span) once, however often the batch holds it, and the batch keeps
-its own list of runs; answers come back by batch. Only spans that may share a
-part of their windows with another span of their key are cut from the texts
-and handed, in full, to the caller's matcher. A key with very many different
-spans is split: its spans are cut into segments of windows, each dealt by the
-longer core of units that all windows of the segment share.
+anchor; its units are its span, and its key is the anchor gram's hash. So two
+equal windows lie in spans of one key, at equal distances from the anchor, and
+only keys that the corpus has twice can hold repetitions.
+
+1. Each map batch of texts asks once for each (key, span) it has, with how often
+   it has it and the least and greatest id of its texts, and keeps a list of its
+   own runs.
+2. For each key that the corpus has twice, one batch sends the units of each of
+   its different spans: equal spans are one query, as equal rows would be.
+3. The caller's matcher (sorted suffixes or an FM-index) says which windows of
+   each span are repeated, and in which least document.
+4. The answers go to every batch that asked and from there to the texts.
+
+All that is removed comes from step 3. A key with very many different spans is
+split: its spans are cut into segments of windows, each dealt by the longer core
+of units that all windows of the segment share; a core that still has very many
+segments is dealt by whole windows.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, arrow_map, scramble, settle, steps, window_hashes, words_of
+from barloom.llm.common import WordHashes, scramble, settle, steps, window_hashes, words_of
 
-#: Units of a batch's texts, about; spans of a key beyond which it is split; units handled at once of one text.
+#: Units of a batch's texts, about; spans of a key, or segments of a core, beyond which it is split; units handled at once.
 BATCH_UNITS, SPLIT_SPANS, PIECE = 4_000_000, 2_000, 1_000_000
 #: An id greater than all others, for rows without one; less than all others: covers whatever the reader's id is.
 NO_ID, ANY_ID = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -63,23 +69,19 @@ def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
     x = data.astype(np.uint64)
     for width in (1, 2, 4):
         x = x[:-width] | (x[width:] << np.uint64(8 * width))
-    return window_hashes_strided(x, k // 8, 8)
-
-
-def window_hashes_strided(x: np.ndarray, n: int, stride: int) -> np.ndarray:
-    m = len(x) - (n - 1) * stride
+    m = len(x) - (k // 8 - 1) * 8
     out = np.zeros(m, np.uint64)
-    for i in range(n):
-        out = (out ^ x[i * stride : i * stride + m]) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(k // 8):
+        out = (out ^ x[i * 8 : i * 8 + m]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return scramble(out)
 
 
-def runs(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor of each run; windows of `span` grams."""
+def anchors_of(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the leftmost least gram of each window of `span` grams; grams are compared by their high 40 bits, at most 2**24 at once."""
     n = len(grams) - span + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64)
     low = np.uint64((1 << 24) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     blocks = -(-len(grams) // span)
@@ -88,9 +90,7 @@ def runs(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     square = square.reshape(blocks, span)
     ahead = np.minimum.accumulate(square, axis=1).ravel()
     behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    anchor = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & low).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-    return first, np.diff(np.append(first, n)), anchor[first]
+    return (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & low).astype(np.int64)
 
 
 def units_of(text: str | None, plan: Plan, hashes: WordHashes) -> np.ndarray:
@@ -99,26 +99,52 @@ def units_of(text: str | None, plan: Plan, hashes: WordHashes) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def text_runs(units: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor offset in the span, key, span hash) of a text's runs."""
-    parts = []
-    raw = units.tobytes()
-    size = units.itemsize
-    total = len(units) - plan.window + 1
-    for at in range(0, max(0, total), PIECE):  # long texts in pieces of PIECE windows
-        piece = units[at : min(len(units), at + PIECE + plan.window - 1)]
-        grams = window_hashes(piece, plan.gram) if plan.words else byte_grams(piece, plan.gram)
-        first, n, anchor = runs(grams, plan.reach + 1)
-        spans = [xxhash.xxh3_64_intdigest(raw[a * size : b * size]) for a, b in zip((first + at).tolist(), (first + at + n + plan.window - 1).tolist(), strict=True)]
-        parts.append((first + at, n, anchor - first, grams[anchor], np.array(spans, np.uint64)))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def runs_of(texts: list[np.ndarray], plan: Plan) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, anchor's offset in the span, key, span hash) of the runs of some texts' units, in order.
+
+    The texts are handled as one sequence, PIECE units at a time; a run that a
+    piece's edge cuts is two, which every copy of it may be as well: runs are
+    compared window by window, not as wholes.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + sizes[end] <= PIECE):
+            total += int(sizes[end])
+            end += 1
+        whole = np.concatenate(texts[at:end]) if end - at > 1 else texts[at]
+        for lo in range(0, max(1, len(whole) - plan.window + 1), PIECE):  # one text longer than PIECE
+            part = whole[lo : lo + PIECE + plan.window - 1]
+            grams = window_hashes(part, plan.gram) if plan.words else byte_grams(part, plan.gram)
+            anchor = anchors_of(grams, plan.reach + 1)
+            if not len(anchor):
+                continue
+            begins = np.cumsum(sizes[at:end]) - sizes[at:end] - lo
+            owner = np.searchsorted(begins, np.arange(len(anchor)), side="right") - 1
+            inside = np.arange(len(anchor)) + plan.window <= begins[owner] + sizes[at:end][owner]
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new & inside)
+            if not len(first):
+                continue
+            stop = np.flatnonzero(np.append(new[1:], True) & inside) + 1
+            edge = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1  # the last window of a text ends its run
+            stop = np.unique(np.concatenate([stop, edge]))
+            n = stop[np.searchsorted(stop, first, side="right")] - first
+            raw, size = part.tobytes(), part.itemsize
+            spans = [xxhash.xxh3_64_intdigest(raw[a * size : b * size]) for a, b in zip(first.tolist(), (first + n + plan.window - 1).tolist(), strict=True)]
+            for held, x in zip(out, (owner[first] + at, first - begins[owner[first]], n, anchor[first] - first, grams[anchor[first]], np.array(spans, np.uint64)), strict=True):
+                held.append(x)
+        at = end
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True))
 
 
 _ASK = np.dtype([("key", "<u8"), ("span", "<u8"), ("count", "<u4"), ("index", "<u4"), ("least", "<i8"), ("most", "<i8")])
-_OWN = np.dtype([("index", "<u4"), ("first", "<u4"), ("n", "<u2"), ("at", "<u2")])
-_SAY = np.dtype([("index", "<u4"), ("least", "<i8")])
+_OWN = np.dtype([("index", "<u4"), ("first", "<u4"), ("n", "<u4"), ("at", "<u2")])
+_SAY = np.dtype([("index", "<u4"), ("from", "<u4"), ("to", "<u4"), ("least", "<i8")])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -148,7 +174,7 @@ def _batches(rows: DataFrame, plan: Plan, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             name = uuid.uuid4().int >> 65
-            first, n, at, key, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            n, first, at, key, span = (np.concatenate(x) for x in zip(*held, strict=True))
             doc = np.repeat(np.array(ids, np.int64), sizes)
             order = np.lexsort((span, key))
             k, s = key[order], span[order]
@@ -165,21 +191,25 @@ def _batches(rows: DataFrame, plan: Plan, buckets: int) -> DataFrame:
             own["index"], own["first"], own["n"], own["at"] = index, first, n, at
             yield _row(-1, name, rids, ids, sizes, _planes(own))
             dealt = (scramble(ask["key"]) % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(dealt).tolist():
-                yield _row(b, name, [], [], [], _planes(ask[dealt == b]))
+            order = np.argsort(dealt, kind="stable")
+            cuts = np.flatnonzero(np.diff(dealt[order])) + 1
+            for mine in np.split(order, cuts):
+                yield _row(int(dealt[mine[0]]), name, [], [], [], _planes(ask[mine]))
 
         for got, words in steps(batches):
-            for r, d, t in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), words, strict=True):
-                found = text_runs(units_of(t, plan, hashes), plan)
-                if len(found[0]):
-                    rids.append(r)
-                    ids.append(NO_ID if d is None else d)
-                    sizes.append(len(found[0]))
-                    held.append(found)
-                seen += len(t or "") // (6 if plan.words else 1)
-                if seen >= BATCH_UNITS and held:
-                    yield from flush()
-                    rids, ids, sizes, held, seen = [], [], [], [], 0
+            texts = [units_of(t, plan, hashes) for t in words]
+            text, first, n, at, key, span = runs_of(texts, plan)
+            owners, counts = np.unique(text, return_counts=True)
+            r, d = got.column(0).to_pylist(), got.column(1).to_pylist()
+            rids += [r[i] for i in owners.tolist()]
+            ids += [NO_ID if d[i] is None else d[i] for i in owners.tolist()]
+            sizes += counts.tolist()
+            if len(text):
+                held.append((n, first, at, key, span))
+            seen += sum(map(len, texts))
+            if seen >= BATCH_UNITS and held:
+                yield from flush()
+                rids, ids, sizes, held, seen = [], [], [], [], 0
         if held:
             yield from flush()
 
@@ -190,67 +220,63 @@ def _row(bucket: int, batch: int, rids: list, ids: list, sizes: list, payload: b
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([batch], pa.int64()), pa.array([rids], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([payload], pa.binary())], names=["bucket", "batch", "rids", "ids", "sizes", "payload"])
 
 
-def _answer(plan: Plan):
-    """applyInArrow over a bucket: to each batch, the spans covered as a whole and those to be matched in part."""
-
-    def answers(table: pa.Table) -> pa.Table:
-        parts, batch = [], []
-        for b, data in zip(table["batch"].to_pylist(), table["payload"], strict=True):
-            parts.append(_unplanes(data.as_py(), _ASK))
-            batch.append(np.full(len(parts[-1]), b, np.int64))
-        ask, batch = np.concatenate(parts), np.concatenate(batch)
-        order = np.lexsort((ask["span"], ask["key"]))
-        ask, batch = ask[order], batch[order]
-        new_key = np.ones(len(ask), bool)
-        new_key[1:] = ask["key"][1:] != ask["key"][:-1]
-        new = new_key.copy()
-        new[1:] |= ask["span"][1:] != ask["span"][:-1]
+def _asked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All that batches ask of a bucket, by (key, span); the batch of each; whether it begins a new (key, span)."""
+    parts, batch = [], []
+    for b, data in zip(table["batch"].to_pylist(), table["payload"], strict=True):
+        parts.append(_unplanes(data.as_py(), _ASK))
+        batch.append(np.full(len(parts[-1]), b, np.int64))
+    ask, batch = np.concatenate(parts), np.concatenate(batch)
+    order = np.lexsort((ask["span"], ask["key"]))
+    ask, batch = ask[order], batch[order]
+    new = np.ones(len(ask), bool)
+    new[1:] = (ask["key"][1:] != ask["key"][:-1]) | (ask["span"][1:] != ask["span"][:-1])
+    return ask, batch, new
+
+
+def _by_batch(batch: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(batch, its rows) of some rows."""
+    order = rows[np.argsort(batch[rows], kind="stable")]
+    for mine in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1) if len(order) else ():
+        yield int(batch[mine[0]]), mine
+
+
+def _choose(plan: Plan):
+    """applyInArrow over a bucket: the spans whose units one batch each shall send, with how often all batches have them."""
+
+    def chosen(table: pa.Table) -> pa.Table:
+        ask, batch, new = _asked(table)
         starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
         count = np.add.reduceat(ask["count"].astype(np.int64), starts)
-        least = np.minimum.reduceat(ask["least"], starts)
-        key_of = np.cumsum(new_key[starts]) - 1
-        spans = np.bincount(key_of)[key_of]
-        if plan.earlier:  # runs in later documents are covered; those of the first one are matched with the key's other spans
-            say = least[group] < ask["most"]
-            cover = least[group]
-            least_of_key = np.full(key_of[-1] + 1, NO_ID)
-            np.minimum.at(least_of_key, key_of, least)
-            open_ = (spans > 1) & (least > least_of_key[key_of])
-            part = ((spans > 1)[group]) & (ask["least"] == least[group])
+        least, most = np.minimum.reduceat(ask["least"], starts), np.maximum.reduceat(ask["most"], starts)
+        key = ask["key"][starts]
+        of_key = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        spans = np.diff(np.append(of_key, len(starts)))
+        if plan.earlier:
+            may = np.minimum.reduceat(least, of_key) < np.maximum.reduceat(most, of_key)
         else:
-            say = (count > 1)[group]
-            cover = np.full(len(ask), ANY_ID)
-            open_ = (spans > 1) & (count == 1)
-            any_open = np.zeros(key_of[-1] + 1, bool)
-            any_open[key_of[open_]] = True
-            part = any_open[key_of][group]
-        first_of = np.zeros(len(ask), bool)
-        at = np.flatnonzero(part)
-        _, lead = np.unique(group[at], return_index=True)
-        first_of[at[lead]] = True
-        want = np.flatnonzero(part & ((open_[group]) | first_of))  # each batch of an open span; one of a span that only others are matched with
-        out_batch, out_say, out_part = [], [], []
-        for b in np.unique(batch).tolist():
-            mine = np.flatnonzero(say & (batch == b))
-            said = np.zeros(len(mine), _SAY)
-            said["index"], said["least"] = ask["index"][mine], cover[mine]
-            ours = want[batch[want] == b]
-            if len(mine) or len(ours):
-                out_batch.append(b)
-                out_say.append(_planes(said))
-                out_part.append([{"index": i, "key": k, "span": s, "open": o, "lead": f, "many": m, "least": y} for i, k, s, o, f, m, y in zip(ask["index"][ours].tolist(), ask["key"][ours].view(np.int64).tolist(), ask["span"][ours].view(np.int64).tolist(), open_[group[ours]].tolist(), first_of[ours].tolist(), (spans[group[ours]] > SPLIT_SPANS).tolist(), least[group[ours]].tolist(), strict=True)])
-        return pa.table({"batch": pa.array(out_batch, pa.int64()), "said": pa.array(out_say, pa.binary()), "part": pa.array(out_part, _PART)})
-
-    return answers
-
-
-_PART = pa.list_(pa.struct([("index", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("open", pa.bool_()), ("lead", pa.bool_()), ("many", pa.bool_()), ("least", pa.int64())]))
-_PART_SQL = "array<struct<index:bigint,key:bigint,span:bigint,open:boolean,lead:boolean,many:boolean,least:bigint>>"
-_WANT_SQL = "array<struct<first:int,n:int,at:int,key:bigint,span:bigint,open:boolean,lead:boolean,many:boolean,least:bigint>>"
-_WANT = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("open", pa.bool_()), ("lead", pa.bool_()), ("many", pa.bool_()), ("least", pa.int64())]))
+            may = np.add.reduceat(count, of_key) > 1
+        wanted = np.flatnonzero(np.repeat(may, spans))
+        many = np.repeat(spans > SPLIT_SPANS, spans)
+        out: list[list] = [[], []]
+        for b, mine in _by_batch(batch[starts], wanted):
+            out[0].append(b)
+            at = starts[mine]
+            out[1].append([dict(zip(_ASKED, x, strict=True)) for x in zip(ask["index"][at].tolist(), ask["key"][at].view(np.int64).tolist(), ask["span"][at].view(np.int64).tolist(), count[mine].tolist(), least[mine].tolist(), many[mine].tolist(), strict=True)])
+        return pa.table({"batch": pa.array(out[0], pa.int64()), "part": pa.array(out[1], _PART)})
+
+    return chosen
+
+
+_ASKED = ("index", "key", "span", "count", "least", "many")
+_PART = pa.list_(pa.struct([("index", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("count", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())]))
+_PART_SQL = "array<struct<index:bigint,key:bigint,span:bigint,count:bigint,least:bigint,many:boolean>>"
+_WANT_SQL = "array<struct<first:int,n:int,at:int,key:bigint,span:bigint,count:bigint,least:bigint,many:boolean>>"
+_WANT = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("count", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())]))
 RANGES = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 RANGES_SQL = "array<struct<from:int,to:int>>"
+#: What a matcher returns: windows [from, to) of a span, counted from its first, that repeat, and the least id of a document that has them.
+FOUND_SQL = "key bigint, span bigint, from int, to int, least bigint"
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,147 +291,217 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[starts], b[np.append(starts[1:], len(a)) - 1]
 
 
-def _read(plan: Plan):
-    """mapInArrow over a batch's own runs with all answers: per text, covered ranges and the runs to be matched."""
+def _wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over batches' own runs with the spans they shall send: per text, where those lie."""
+    for got in batches:
+        col = lambda c: got.column(got.schema.get_field_index(c))  # noqa: B023, E731
+        for r in range(got.num_rows):
+            rids, sizes = col("rids")[r].as_py(), col("sizes")[r].as_py()
+            own = _unplanes(col("payload")[r].as_py(), _OWN)
+            parts = {x["index"]: x for y in col("part")[r].as_py() for x in y}
+            _, lead = np.unique(own["index"], return_index=True)  # the first run of each span
+            lead = np.sort(lead[np.isin(own["index"][lead], np.fromiter(parts, np.int64, len(parts)))])
+            owner = np.searchsorted(np.cumsum(sizes), lead, side="right")
+            out: dict[int, list] = {}
+            for i, o in zip(lead.tolist(), owner.tolist(), strict=True):
+                m, x = own[i], parts[int(own["index"][i])]
+                out.setdefault(o, []).append({"first": int(m["first"]), "n": int(m["n"]), "at": int(m["at"]), **{c: x[c] for c in _ASKED[1:]}})
+            yield pa.RecordBatch.from_arrays([pa.array([rids[o] for o in out], pa.int64()), pa.array(list(out.values()), _WANT)], names=["rid", "wants"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            col = lambda c: got.column(got.schema.get_field_index(c))  # noqa: B023, E731
-            for r in range(got.num_rows):
-                rids, ids, sizes = (col(c)[r].as_py() for c in ("rids", "ids", "sizes"))
-                own = _unplanes(col("payload")[r].as_py(), _OWN)
-                said = np.concatenate([_unplanes(x, _SAY) for x in col("said")[r].as_py()])
-                cover = np.full(int(own["index"].max()) + 1, NO_ID)
-                cover[said["index"]] = said["least"]
-                doc = np.repeat(np.array(ids, np.int64), sizes)
-                whole = doc > cover[own["index"]]
-                parts = {x["index"]: x for y in col("part")[r].as_py() for x in y}
-                flag = np.zeros(len(cover), bool)
-                flag[list(parts)] = True
-                chosen = flag[own["index"]]
-                out = [[], [], []]
-                at, taken = 0, set()
-                for rid, d, n in zip(rids, ids, sizes, strict=True):
-                    mine, w = own[at : at + n], whole[at : at + n]
-                    a, b = merged(mine["first"][w].astype(np.int64), mine["first"][w].astype(np.int64) + mine["n"][w] + plan.window - 1)
-                    wants = []
-                    for i in np.flatnonzero(chosen[at : at + n]).tolist():
-                        x, m = parts[int(mine["index"][i])], mine[i]
-                        if w[i] and not x["lead"]:
-                            continue
-                        lead = x["lead"] and x["index"] not in taken
-                        if x["open"] and not w[i] or lead:
-                            taken.add(x["index"])
-                            wants.append({"first": int(m["first"]), "n": int(m["n"]), "at": int(m["at"]), "key": x["key"], "span": x["span"], "open": x["open"] and not bool(w[i]), "lead": lead, "many": x["many"], "least": x["least"]})
-                    if len(a) or wants:
-                        out[0].append(rid)
-                        out[1].append([{"from": p, "to": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)])
-                        out[2].append(wants)
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], RANGES), pa.array(out[2], _WANT)], names=["rid", "ranges", "wants"])
 
-    return run
+_PIECE_COLUMNS = {"key": "bigint", "span": "bigint", "many": "boolean", "core": "bigint", "part": "bigint", "skip": "int", "n": "int", "at": "int", "count": "bigint", "least": "bigint", "units": "binary"}
+_PIECE_SQL = ", ".join(f"{c} {t}" for c, t in _PIECE_COLUMNS.items())
+#: What a matcher gets: distinct spans of a key, with the number of their windows, the anchor's place, how often the corpus has them and the least id.
+SPAN_SQL = "key bigint, span bigint, n int, at int, count bigint, least bigint, units binary"
+
+
+def _hash(units: np.ndarray, seed: int = 0) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(units.tobytes(), seed)).view(np.int64))
+
+
+def segments(units: np.ndarray, n: int, at: int, width: int, plan: Plan) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(core, windows skipped, windows, anchor's place, units) of a span's windows, by groups of `width` offsets of the anchor that share a core."""
+    for lo in range(0, plan.reach + 1, width):
+        hi = min(lo + width - 1, plan.reach)
+        s0, s1 = max(0, at - hi), min(n - 1, at - lo)
+        if s0 <= s1:
+            yield _hash(units[at - lo : at - hi + plan.window], lo + 1 + (plan.reach + 1) * width), s0, s1 - s0 + 1, at - s0, units[s0 : s1 + plan.window]
 
 
 def _cut(plan: Plan):
-    """mapInArrow over texts with their wants: (group, rid, first, n, at, open, least, units), split where many."""
-    segment = max(1, (plan.reach + 8) // 8)
+    """mapInArrow over texts with their wants: _PIECE_SQL, in segments where many."""
+    width = max(1, (plan.reach + 8) // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for got, words in steps(batches):
-            cols: list[list] = [[] for _ in range(9)]
-            wants = got.column(got.schema.get_field_index("wants")).to_pylist()
-            for rid, t, ws in zip(got.column(got.schema.get_field_index("rid")).to_pylist(), words, wants, strict=True):
+            out: list[list] = []
+            for t, ws in zip(words, got.column(got.schema.get_field_index("wants")).to_pylist(), strict=True):
                 units = units_of(t, plan, hashes)
                 for w in ws:
-                    pieces = [(w["first"], w["n"], w["at"], w["key"])]
+                    own = units[w["first"] : w["first"] + w["n"] + plan.window - 1]
                     if w["many"]:
-                        pieces, anchor = [], w["first"] + w["at"]
-                        for lo in range(0, plan.reach + 1, segment):  # windows with the anchor at offsets lo to hi share a core
-                            hi = min(lo + segment - 1, plan.reach)
-                            s0, s1 = max(w["first"], anchor - hi), min(w["first"] + w["n"] - 1, anchor - lo)
-                            if s0 <= s1:
-                                core = xxhash.xxh3_64_intdigest(units[anchor - lo : anchor - hi + plan.window].tobytes(), lo + 1)
-                                pieces.append((s0, s1 - s0 + 1, anchor - s0, int(np.uint64(core).view(np.int64))))
-                    for first, n, at, key in pieces:
-                        for c, v in zip(cols, (key, w["span"], rid, first, n, at, w["open"], w["least"], units[first : first + n + plan.window - 1].tobytes()), strict=True):
-                            c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(_SPAN_COLUMNS))
+                        for core, skip, n, at, part in segments(own, w["n"], w["at"], width, plan):
+                            out.append([w["key"], w["span"], True, core, _hash(part, at + 1), skip, n, at, w["count"], w["least"], part.tobytes()])
+                    else:
+                        out.append([w["key"], w["span"], False, w["key"], w["span"], 0, w["n"], w["at"], w["count"], w["least"], own.tobytes()])
+            yield _pieces(out)
 
     return run
 
 
-_SPAN_COLUMNS = {"key": "bigint", "span": "bigint", "rid": "bigint", "first": "int", "n": "int", "at": "int", "open": "boolean", "least": "bigint", "units": "binary"}
-SPAN_SQL = ", ".join(f"{c} {t}" for c, t in _SPAN_COLUMNS.items())
+def _pieces(rows: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names=list(_PIECE_COLUMNS))
+
+
+def _windows(plan: Plan):
+    """mapInArrow over pieces: each window by itself, its core the whole of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            out = []
+            for x in got.to_pylist():
+                units = np.frombuffer(x["units"], np.uint64 if plan.words else np.uint8)
+                for core, skip, n, at, part in segments(units, x["n"], x["at"], 1, plan):
+                    out.append([x["key"], x["span"], True, core, _hash(part, at + 1), x["skip"] + skip, n, at, x["count"], x["least"], part.tobytes()])
+            yield _pieces(out)
+
+    return run
+
+
+def _matched(pieces: DataFrame, plan: Plan, match: Callable[[DataFrame, Plan], DataFrame]) -> DataFrame:
+    """FOUND_SQL of whole and of segmented spans; equal segments and windows of different spans go to the matcher once."""
+    whole = pieces.where("not many").select("key", "span", "n", "at", "count", "least", "units")
+    cut = pieces.where("many")
+    hot = cut.groupBy("core").agg(F.approx_count_distinct("part").alias("m")).where(F.col("m") > SPLIT_SPANS).select("core")
+    single = cut.join(hot, "core", "left_semi").select(*_PIECE_COLUMNS).mapInArrow(_windows(plan), _PIECE_SQL)
+    cut = settle(cut.join(hot, "core", "left_anti").select(*_PIECE_COLUMNS).unionByName(single), "segments")
+    once = cut.groupBy("core", "part").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sum("count").alias("count"), F.min("least").alias("least"), F.first("units").alias("units"))
+    found = match(once.withColumnsRenamed({"core": "key", "part": "span"}), plan).withColumnsRenamed({"key": "core", "span": "part"}).join(cut.select("core", "part", "key", "span", "skip"), ["core", "part"])
+    moved = found.select("key", "span", (F.col("from") + F.col("skip")).alias("from"), (F.col("to") + F.col("skip")).alias("to"), "least")
+    return match(whole, plan).unionByName(moved)
+
+
+def _tell(plan: Plan):
+    """cogrouped applyInArrow over a bucket's asks and its found windows: to each batch, what of its spans is covered."""
+
+    def told(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if not asked.num_rows or not found.num_rows:
+            return pa.table({"batch": pa.array([], pa.int64()), "said": pa.array([], pa.binary())})
+        ask, batch, new = _asked(asked)
+        starts = np.flatnonzero(new)
+        pair = np.stack([ask["key"][starts], ask["span"][starts]])
+        got = np.stack([np.asarray(found[c].combine_chunks()).view(np.uint64) for c in ("key", "span")])
+        order = np.lexsort((got[1], got[0]))
+        got = got[:, order]
+        first, last, least = (np.asarray(found[c].combine_chunks())[order] for c in ("from", "to", "least"))
+        name = lambda x: scramble(x[0]) ^ x[1]
+        a, b = name(pair), name(got)
+        by = np.argsort(b, kind="stable")
+        lo, hi = np.searchsorted(b[by], a, side="left"), np.searchsorted(b[by], a, side="right")
+        group = np.cumsum(new) - 1
+        n = (hi - lo)[group]
+        row = np.repeat(np.arange(len(ask)), n)
+        which = by[lo[group][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+        right = (pair[:, group[row]] == got[:, which]).all(axis=0)
+        if plan.earlier:
+            right &= least[which] < ask["most"][row]
+        row, which = row[right], which[right]
+        said = np.zeros(len(row), _SAY)
+        said["index"], said["from"], said["to"], said["least"] = ask["index"][row], first[which], last[which], least[which]
+        out = [(b, _planes(said[mine])) for b, mine in _by_batch(batch[row], np.arange(len(row)))]
+        return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "said": pa.array([x for _, x in out], pa.binary())})
+
+    return told
+
+
+def _covered(plan: Plan):
+    """mapInArrow over batches' own runs with all that was said: the covered units of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            col = lambda c: got.column(got.schema.get_field_index(c))  # noqa: B023, E731
+            for r in range(got.num_rows):
+                rids, ids, sizes = (col(c)[r].as_py() for c in ("rids", "ids", "sizes"))
+                own = _unplanes(col("payload")[r].as_py(), _OWN)
+                said = np.concatenate([_unplanes(x, _SAY) for x in col("said")[r].as_py()])
+                said = said[np.argsort(said["index"], kind="stable")]
+                lo, hi = np.searchsorted(said["index"], own["index"], side="left"), np.searchsorted(said["index"], own["index"], side="right")
+                n = hi - lo
+                run_ = np.repeat(np.arange(len(own)), n)
+                x = said[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(run_))]
+                owner = np.repeat(np.arange(len(sizes)), sizes)[run_]
+                hit = x["least"] < np.array(ids, np.int64)[owner] if plan.earlier else np.ones(len(x), bool)
+                owner, a, b = owner[hit], own["first"][run_][hit].astype(np.int64) + x["from"][hit], own["first"][run_][hit].astype(np.int64) + x["to"][hit] + plan.window - 1
+                far = (1 + int(b.max(initial=0))) * owner  # each text's ranges beyond the one before's
+                p, q = merged(a + far, b + far)
+                of = p // (1 + int(b.max(initial=0)))
+                texts, starts = np.unique(of, return_index=True)
+                base = of * (1 + int(b.max(initial=0)))
+                ranges = pa.StructArray.from_arrays([pa.array(p - base, pa.int32()), pa.array(q - base, pa.int32())], names=["from", "to"])
+                offsets = pa.array(np.append(starts, len(of)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([rids[i] for i in texts.tolist()], pa.int64()), pa.ListArray.from_arrays(offsets, ranges)], names=["rid", "ranges"])
+
+    return run
 
 
 def repeated(rows: DataFrame, plan: Plan, match: Callable[[DataFrame, Plan], DataFrame]) -> DataFrame:
-    """(rid, ranges): units of each of identified() rows in repeated windows, ranges in any order and overlapping.
+    """(rid, ranges): units of each of identified() rows in repeated windows, ranges in order, once or (repeated rows) more a rid.
 
-    match gets the spans (SPAN_SQL; equal keys belong together, whole windows
-    may be equal only at equal anchor offsets) and returns (rid, ranges) of the
-    open ones.
+    match gets SPAN_SQL (equal keys belong together, windows may be equal only
+    at equal distances from the anchor) and returns FOUND_SQL.
     """
     spark = rows.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = settle(_batches(rows, plan, buckets), "anchors")
-    answers = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(_answer(plan), f"batch bigint, said binary, part {_PART_SQL}")
-    by_batch = answers.groupBy("batch").agg(F.collect_list("said").alias("said"), F.collect_list("part").alias("part"))
-    own = asked.where("bucket = -1").select("batch", "rids", "ids", "sizes", "payload").join(by_batch, "batch")
-    found = settle(own.mapInArrow(_read(plan), f"rid bigint, ranges {RANGES_SQL}, wants {_WANT_SQL}"), "answers")
-    wanted = found.where(F.size("wants") > 0).groupBy("rid").agg(F.flatten(F.collect_list("wants")).alias("wants"))
-    spans = rows.select("rid", "text").join(wanted, "rid").mapInArrow(_cut(plan), SPAN_SQL)
-    more = match(spans, plan)
-    return found.where(F.size("ranges") > 0).select("rid", "ranges").unionByName(more.select("rid", "ranges"))
+    batches = settle(_batches(rows, plan, buckets), "anchors")
+    asked = batches.where("bucket >= 0").select("bucket", "batch", "payload")
+    own = batches.where("bucket = -1").select("batch", "rids", "ids", "sizes", "payload")
+    parts = asked.groupBy("bucket").applyInArrow(_choose(plan), f"batch bigint, part {_PART_SQL}").groupBy("batch").agg(F.collect_list("part").alias("part"))
+    wants = own.join(parts, "batch").mapInArrow(_wants, f"rid bigint, wants {_WANT_SQL}").groupBy("rid").agg(F.flatten(F.collect_list("wants")).alias("wants"))
+    texts = rows.select("rid", "text").join(wants, "rid")
+    found = settle(_matched(settle(texts.mapInArrow(_cut(plan), _PIECE_SQL), "pieces"), plan, match), "found")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            key = np.asarray(got.column(0)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((scramble(key) % np.uint64(buckets)).astype(np.int32)), *got.columns], names=["bucket", *got.schema.names])
+
+    dealt = found.mapInArrow(named, f"bucket int, {FOUND_SQL}")
+    said = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_tell(plan), "batch bigint, said binary").groupBy("batch").agg(F.collect_list("said").alias("said"))
+    return own.join(said, "batch").mapInArrow(_covered(plan), f"rid bigint, ranges {RANGES_SQL}")
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Rows in tables of whole keys, of about `most` units; the rows come sorted by key, keys of one row are left out."""
+    """Rows in tables of whole keys, of about `most` bytes of units; the rows come sorted by key."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
     for batch in batches:
         key = np.asarray(batch.column(batch.schema.get_field_index("key")))
         if not len(key):
             continue
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        total = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("units")))), dtype=np.int64)])
+        begins = np.flatnonzero(np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]]))
         at = 0
-        if held and key[0] != held[-1].column(held[-1].schema.get_field_index("key"))[-1].as_py() and size >= most:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-        lengths = np.cumsum([len(x) if (x := u.as_py()) else 0 for u in batch.column(batch.schema.get_field_index("units"))])
-        for c in cuts.tolist():
-            if size + int(lengths[c - 1]) - (int(lengths[at - 1]) if at else 0) >= most:
-                held.append(batch.slice(at, c - at))
-                yield pa.Table.from_batches(held)
+        for c in begins.tolist():
+            if size + int(total[c] - total[at]) >= most:
+                if c > at:
+                    held.append(batch.slice(at, c - at))
+                if held:
+                    yield pa.Table.from_batches(held)
                 held, size, at = [], 0, c
         held.append(batch.slice(at))
-        size += int(lengths[-1]) - (int(lengths[at - 1]) if at else 0)
+        size += int(total[-1] - total[at])
+        last = key[-1]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def shared_only(table: pa.Table) -> pa.Table | None:
-    """The rows whose key has several rows, at least one of them open."""
-    key = np.asarray(table["key"].combine_chunks())
-    _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    opened = np.bincount(at, np.asarray(table["open"].combine_chunks(), np.float64))
-    keep = (count[at] > 1) & (opened[at] > 0)
-    return table.filter(pa.array(keep)) if keep.any() else None
-
-
-def found_ranges(rid: np.ndarray, first: np.ndarray, rows: np.ndarray, windows: np.ndarray, window: int) -> pa.RecordBatch:
-    """(rid, ranges) from covered windows: row and window within the row, sorted by both."""
-    a = first[rows].astype(np.int64) + windows
-    new = np.ones(len(a), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (a[1:] > a[:-1] + 1)
+def found_windows(table: pa.Table, rows: np.ndarray, windows: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    """FOUND_SQL from repeated windows: row and window within the row, sorted by both; neighbours with one least id join."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1] + 1) | (least[1:] != least[:-1])
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(a)) - 1
-    owner = rows[starts]
-    lead = np.ones(len(owner), bool)
-    lead[1:] = owner[1:] != owner[:-1]
-    offsets = np.append(np.flatnonzero(lead), len(owner)).astype(np.int32)
-    ranges = pa.StructArray.from_arrays([pa.array(a[starts], pa.int32()), pa.array(a[ends] + window, pa.int32())], names=["from", "to"])
-    return pa.RecordBatch.from_arrays([pa.array(rid[owner[lead]], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), ranges)], names=["rid", "ranges"])
+    ends = np.append(starts[1:], len(rows)) - 1
+    of = pa.array(rows[starts])
+    return pa.RecordBatch.from_arrays([table["key"].combine_chunks().take(of), table["span"].combine_chunks().take(of), pa.array(windows[starts], pa.int32()), pa.array(windows[ends] + 1, pa.int32()), pa.array(least[starts], pa.int64())], names=["key", "span", "from", "to", "least"])

@@ -252,7 +252,7 @@ def write_ids(docs: DataFrame, file: str, path: str, end_id: int, planes: int =
 
         def step(rows: pa.RecordBatch, words: list) -> dict:
             ids = encoder.encode(words)
-            return {"n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([packed_ids(x) for x in ids], pa.binary())}
+            return {"n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(list(map(packed_ids, ids)), pa.binary())}
 
         return step
 
@@ -277,13 +277,20 @@ def write_ids(docs: DataFrame, file: str, path: str, end_id: int, planes: int =
     dealt.select("doc_id", "ids").mapInArrow(run, "shard int, segment int, n_ids bigint, payload binary").write.parquet(path)
 
 
+_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed_ids(ids: np.ndarray) -> bytes:
-    """Ids for a shuffle: two bytes each if all fit, and a last byte that says so."""
-    return ids.astype("<u2").tobytes() + b"\2" if ids.max(initial=0) < 65_536 else ids.astype("<u4").tobytes() + b"\4"
+    """Ids for a shuffle: two byte planes if all fit, else four, compressed; the last byte is their number."""
+    width = 2 if ids.max(initial=0) < 65_536 else 4
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return _press.compress(np.ascontiguousarray(planes).tobytes()) + bytes([width])
 
 
 def unpacked_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[-1]}", (len(data) - 1) // data[-1]).astype("<u4")
+    width = data[-1]
+    planes = np.frombuffer(_open.decompress(data[:-1]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype("<u4")
 
 
 def read_ids(spark, path: str) -> DataFrame:

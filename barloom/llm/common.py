@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named

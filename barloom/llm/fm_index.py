@@ -1,12 +1,13 @@
 """Removal of word runs that an earlier document has, by compressed FM-indexes of shards.
 
-Texts are reduced to the spans around content-chosen anchors that may share
-windows (anchors.py); equal anchors meet in one shard. A shard's spans form a
-text over word ids whose Burrows-Wheeler transform is kept in a wavelet matrix
-of packed bits. Every span streams through the index: backward search, all
-windows of the shard at a time, extends the match that ends at each word until
-only the window itself is left or its full length is matched. The ids of the
-documents in the matched range tell whether an earlier one has the window.
+Texts are reduced to the spans around content-chosen anchors whose key the
+corpus has twice (anchors.py); equal spans are one, and equal anchors meet in
+one shard. The Burrows-Wheeler transform of a shard's spans over word ids is
+kept in a wavelet matrix of packed bits, beside the counts of ids and, as 32-bit
+ranks, the document of each row; neither text nor suffix array stays. The words
+of each span then stream through the index: backward search from the end of each
+window extends the match until it has its full length, or only the window itself
+is left, and the least document of the matched range tells who has it first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.anchors import RANGES_SQL, Plan, found_ranges, groups, identified, merged, repeated, shared_only
+from barloom.llm.anchors import FOUND_SQL, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
 from barloom.llm.common import WORD, steps
 
 #: Words of a repeated window; words of an anchor; bytes of word hashes of one index.
@@ -50,37 +51,37 @@ class WaveletMatrix:
         return at
 
 
+def sorted_suffixes(symbols: np.ndarray, n_symbols: int, n_ends: int) -> np.ndarray:
+    """Order of the suffixes of spans, each of which ends with 0, by prefix doubling; each end is a symbol of its own."""
+    n, ends = len(symbols), symbols == 0
+    rank = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + n_ends - 1)
+    step = 1
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - step] = rank[step:] + 1
+        pair = rank * (n + n_symbols + 2) + ahead
+        order = np.argsort(pair, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = pair[order][1:] != pair[order][:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        if new.all():
+            return order
+        step *= 2
+
+
 class FMIndex:
-    def __init__(self, spans: list[np.ndarray]):
-        sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-        self.begins = np.cumsum(sizes + 1) - sizes - 1
-        n = int((sizes + 1).sum())
-        ends = np.zeros(n, bool)
-        ends[self.begins + sizes] = True
-        flat = np.zeros(n, np.int64)
-        names, ids = np.unique(np.concatenate(spans), return_inverse=True)
-        flat[~ends] = ids + 1  # 0 ends a span
-        self.text, self.span_of = flat, np.repeat(np.arange(len(spans)), sizes + 1)
-        rank = np.where(ends, np.cumsum(ends) - 1, flat + len(spans) - 1)  # each end is a symbol of its own
-        step = 1
-        while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - step] = rank[step:] + 1
-            pair = rank * (n + len(names) + 2) + ahead
-            order = np.argsort(pair, kind="stable")
-            new = np.ones(n, bool)
-            new[1:] = pair[order][1:] != pair[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if new.all():
-                break
-            step *= 2
-        self.suffixes = order
-        last = flat[order - 1]  # of suffix 0 the symbol at the end, which is an end
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names) + 1))])
-        self.wavelet = WaveletMatrix(last, max(1, int(len(names)).bit_length()))
-        every = np.arange(len(names) + 1)
-        self.base = self.wavelet.down(every, np.zeros(len(every), np.int64))
+    """Backward search over spans of symbols from 1 on; value: an integer of each span, of which least() gives the least in a range."""
+
+    def __init__(self, symbols: np.ndarray, n_symbols: int, value: np.ndarray):
+        """symbols: the spans one after the other, each followed by 0."""
+        self.n = len(symbols)
+        order = sorted_suffixes(symbols, n_symbols, len(value))
+        self.values, rank = np.unique(value, return_inverse=True)
+        self.documents = rank.astype(np.int32)[(np.cumsum(symbols == 0) - (symbols == 0))[order]]
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=n_symbols + 1))])
+        self.wavelet = WaveletMatrix(symbols[order - 1], max(1, int(n_symbols).bit_length()))  # before suffix 0 lies the last end
+        self.base = self.wavelet.down(np.arange(n_symbols + 1), np.zeros(n_symbols + 1, np.int64))
 
     def extend(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that begin with id, then what [low, high) begin with."""
@@ -88,17 +89,24 @@ class FMIndex:
         shift = self.below[ids] - self.base[ids]
         return both[: len(ids)] + shift, both[len(ids) :] + shift
 
-    def match(self, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows of the text by start: those that occur twice or more (their place in starts), and their ranges."""
-        alive = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
-        for k in reversed(range(window)):
-            low, high = self.extend(self.text[starts[alive] + k], low, high)
+    def statistics(self, words: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed words, which the index has: of each place in ends the length, at most `most`,
+        of the longest run up to it that occurs twice or more in the index, and the range of the runs of full length."""
+        length = np.full(len(ends), most)
+        alive = np.arange(len(ends))
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        for k in range(most):
+            low, high = self.extend(words[ends[alive] - 1 - k], low, high)
             more = high - low > 1
+            length[alive[~more]] = k
             alive, low, high = alive[more], low[more], high[more]
             if not len(alive):
                 break
-        return alive, low, high
+        return length, low, high
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least value of the spans of each range, not empty."""
+        return self.values[range_least(self.documents, low, high)]
 
 
 def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -116,17 +124,24 @@ def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
     return out
 
 
-def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and windows within them of open spans that an earlier document has, sorted; for spans of whole keys."""
+def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, windows within them and the least document of each window that the corpus has in two documents, or may have, sorted; for spans of whole keys."""
     spans = [np.frombuffer(u, np.uint64) for u in table["units"].to_pylist()]
-    n, least, opened = np.asarray(table["n"].combine_chunks()), np.asarray(table["least"].combine_chunks()), np.asarray(table["open"].combine_chunks(), bool)
-    index = FMIndex(spans)
-    rows = np.repeat(np.flatnonzero(opened), n[opened])
-    windows = np.arange(len(rows)) - np.repeat(np.cumsum(n[opened]) - n[opened], n[opened])
-    hit, low, high = index.match(index.begins[rows] + windows, plan.window)
-    earliest = range_least(least[index.span_of[index.suffixes]], low, high)
-    hit = hit[earliest < least[rows[hit]]]
-    return rows[hit], windows[hit]
+    n, times, least = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("n", "count", "least"))
+    sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+    names, ids = np.unique(np.concatenate(spans), return_inverse=True)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    words = np.zeros(int((sizes + 1).sum()), np.int32)
+    words[np.arange(len(ids)) + np.repeat(np.arange(len(spans)), sizes)] = ids + 1
+    index = FMIndex(words, len(names), least)
+    rows = np.repeat(np.arange(len(spans)), n)
+    windows = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    length, low, high = index.statistics(words, begins[rows] + windows + plan.window, plan.window)
+    full = length == plan.window
+    first = least[rows]  # a shorter match is the window itself alone, which its own span's documents have
+    first[full] = index.least(low, high)
+    hit = np.flatnonzero((times[rows] > 1) | (first < least[rows]))
+    return rows[hit], windows[hit], first[hit]
 
 
 def _match(spans: DataFrame, plan: Plan) -> DataFrame:
@@ -134,14 +149,11 @@ def _match(spans: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, SHARD):
-            table = shared_only(table)
-            if table is None:
-                continue
-            rows, windows = covered(table, plan)
+            rows, windows, least = covered(table, plan)
             if len(rows):
-                yield found_ranges(np.asarray(table["rid"].combine_chunks()), np.asarray(table["first"].combine_chunks()), rows, windows, plan.window)
+                yield found_windows(table, rows, windows, least)
 
-    return spans.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, f"rid bigint, ranges {RANGES_SQL}")
+    return spans.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(run, FOUND_SQL)
 
 
 def _words_removed(docs: DataFrame, window: int, gram: int) -> DataFrame:

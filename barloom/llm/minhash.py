@@ -167,11 +167,12 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(least: float, percent: int):
-    """applyInArrow over a group (key, a, b, left, cid, label, n, fine): likely pairs of different components.
+    """applyInArrow over a group (key, a, b, left, cid, label, n, fine, bands): likely pairs of different components.
 
     Where all rows are left, each class outside the group's largest component is
     held against all others at once, by bit counts of the finer sketches; else
-    each class of the side with fewer against the other side. Only likely pairs leave.
+    each class of the side with fewer against the other side. Only likely pairs
+    leave, and each from the first bucket that holds both.
     """
     chance = 2.0**-FINE_BITS
     low_bits = np.uint64(0x5555555555555555)
@@ -179,6 +180,8 @@ def _between(least: float, percent: int):
     def pairs(table: pa.Table) -> pa.Table:
         cid, label, n, left = (np.asarray(table[c].combine_chunks()) for c in ("cid", "label", "n", "left"))
         sig = np.asarray(table["fine"].combine_chunks().flatten()).view(np.uint64).reshape(len(cid), -1)
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(cid), -1)
+        before = bands[:, : int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])]
         out_a, out_b, out_est = [], [], []
         place = np.full(len(cid), -1)
         if left.all():
@@ -195,10 +198,12 @@ def _between(least: float, percent: int):
             d = sig[near] ^ sig[i]
             unequal = np.bitwise_count((d | (d >> np.uint64(1))) & low_bits).sum(axis=1)
             est = ((1 - unequal / FINE_K) - chance) / (1 - chance)
-            hit = near[est >= least]
+            likely = est >= least
+            likely[likely] = ~(before[near[likely]] == before[i]).any(axis=1)
+            hit = near[likely]
             out_a.append(np.minimum(cid[hit], cid[i]))
             out_b.append(np.maximum(cid[hit], cid[i]))
-            out_est.append(est[est >= least])
+            out_est.append(est[likely])
         cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table({"a": cat(out_a, pa.int64()), "b": cat(out_b, pa.int64()), "est": cat(out_est, pa.float64())})
 
@@ -206,17 +211,18 @@ def _between(least: float, percent: int):
 
 
 def _fine(held: DataFrame, n: int) -> DataFrame:
-    """(cid, fine) of held (cid, text)."""
+    """(cid, fine, bands) of held (cid, text)."""
 
     def make():
         hashes = WordHashes()
 
         def step(rows: pa.RecordBatch, words: list) -> dict:
-            return {"fine": array_of([signature(minima(shingles(t, hashes, n), FINE_K), FINE_BITS) for t in words], pa.int64())}
+            low = [minima(shingles(t, hashes, n), FINE_K) for t in words]
+            return {"fine": array_of([signature(x, FINE_BITS) for x in low], pa.int64()), "bands": array_of([band_keys(x[:K]) for x in low], pa.int64())}
 
         return step
 
-    return arrow_map(held, make, "fine array<bigint>", keep=("cid",))
+    return arrow_map(held, make, "fine array<bigint>, bands array<bigint>", keep=("cid",))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataFrame:
@@ -251,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS) -> DataF
     fine = settle(_fine(held, n), "fine")
     more = _blocks(members, percent).join(fine, "cid").groupBy("key", "a", "b").applyInArrow(_between(cutoff(percent, FINE_K, FINE_BITS, FINE_SLACK), percent), "a bigint, b bigint, est double")
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(tried, ["a", "b"], "left_anti"), "more")
+    more = settle(more.join(tried, ["a", "b"], "left_anti"), "more")
     labels = _confirm_all(more, labels, held, percent, n)
 
     firsts = nodes.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
@@ -309,6 +315,14 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> D
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, n: int = WORDS) -> DataFrame:
-    """docs, with all its columns, without the rows that near_duplicates() does not keep."""
-    gone = near_duplicates(docs, percent, n).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs, with all its columns, without the rows that near_duplicates() does not keep, and one row of those with equal doc_id and text.
+
+    Of such repeated rows, whatever their other columns, any one stays; rows
+    without a doc_id stay all. An empty table gives none.
+    """
+    marks = near_duplicates(docs, percent, n).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept"), F.count("*").alias("__n")).where("not __kept or __n > 1")
+    rows = docs.select(F.struct("*").alias("__row"), docs["doc_id"].cast("long").alias("__own"), docs["text"].alias("__text"))
+    rows = rows.join(marks, F.col("__own") == F.col("__id"), "left")
+    once = rows.where("__id is null").select("__row.*")
+    again = rows.where("__kept").select("__row", "__own", F.xxhash64("__text").alias("__hash"), F.length("__text").alias("__size")).dropDuplicates(["__own", "__hash", "__size"]).select("__row.*")
+    return once.unionByName(again)

@@ -1,13 +1,13 @@
 """Removal of byte strings that occur twice, by range-partitioned and locally sorted suffixes.
 
 Suffixes start at content-chosen anchors (anchors.py), which leaves one in
-about 85 positions. Those that may match in part are dealt to range partitions
-by their leading bytes, at splitters that Spark samples; equal leading bytes
-stay together, so no match crosses a boundary, and leading bytes with very many
-suffixes are dealt by a longer core. A bucket sorts its suffixes, and what lies
-before them read backwards, by multikey quicksort; common prefixes of
-neighbours on both sides give the strings of full length that start elsewhere
-as well.
+about 85 positions, and equal spans are sorted once with their number. They are
+dealt to range partitions by their leading bytes, at splitters that Spark
+samples; leading bytes with very many suffixes are dealt by a longer core. A
+bucket sorts its suffixes, and what lies before them read backwards, by multikey
+quicksort; common prefixes of neighbours on both sides give the strings of full
+length that start elsewhere as well. Equal leading bytes share a partition, so
+no two equal strings lie on different sides of a boundary.
 """
 
 from __future__ import annotations
@@ -19,42 +19,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.anchors import RANGES_SQL, Plan, found_ranges, groups, identified, merged, repeated, shared_only
+from barloom.llm.anchors import ANY_ID, FOUND_SQL, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
 from barloom.llm.common import steps
 
 #: Bytes of a string that is removed where it repeats; bytes of an anchor; bytes of suffixes sorted at once.
 LENGTH, GRAM, BUCKET = 200, 32, 3_000_000
 
 
-def multikey_sort(rows: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of zero-padded byte rows by (group, bytes, length), and each one's common prefix with the one before it.
+def multikey_quicksort(chars: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order of rows of words by (group, words), by three-way partition of all parts at once.
 
-    Eight bytes at a time: rows that are alone in their class drop out, the
-    others are split by the next eight; -1 marks the first row of a group.
+    Each part has a depth. Its rows are split at the word there of its middle
+    row: less, equal, greater; the equal ones go one word deeper. Parts of one
+    row, and those past the last word, are done.
     """
+    order = np.argsort(group, kind="stable")
+    part = np.cumsum(np.concatenate([[0], np.diff(group[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+    at, depth = np.arange(len(order)), np.zeros(int(part[-1]) + 1 if len(part) else 0, np.int64)
+    while True:
+        size = np.bincount(part, minlength=len(depth))
+        live = (size > 1) & (depth < chars.shape[1])
+        keep = live[part]
+        at, part = at[keep], (np.cumsum(live) - 1)[part[keep]]
+        depth, size = depth[live], size[live]
+        if not len(at):
+            return order
+        word = chars[order[at], depth[part]]
+        pivot = word[np.cumsum(size) - size + size // 2][part]
+        side = 3 * part + (word > pivot) + (word >= pivot)
+        by = np.argsort(side, kind="stable")
+        order[at], side = order[at[by]], side[by]
+        new = np.concatenate([[0], np.cumsum(side[1:] != side[:-1])])
+        first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+        depth, part = depth[side[first] // 3] + (side[first] % 3 == 1), new
+
+
+def multikey_sort(rows: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of zero-padded byte rows by (group, bytes, length), and each one's common prefix with the one before it; -1 marks the first row of a group."""
     n, width = rows.shape
-    chars = np.ascontiguousarray(rows).view(">u8").astype(np.uint64) if width % 8 == 0 else np.pad(rows, ((0, 0), (0, 8 - width % 8))).view(">u8").astype(np.uint64)
-    order = np.lexsort((length, group))
-    kind = group[order].astype(np.int64)
-    kind = np.cumsum(np.concatenate([[0], kind[1:] != kind[:-1]]))
-    active = np.arange(n)  # places in order
-    for level in range(chars.shape[1]):
-        same = kind[active]
-        tied = np.zeros(len(active), bool)
-        if len(active) > 1:
-            eq = same[1:] == same[:-1]
-            tied[1:] |= eq
-            tied[:-1] |= eq
-        active = active[tied]
-        if not len(active):
-            break
-        same, word = kind[active], chars[order[active], level]
-        by = np.lexsort((word, same))
-        order[active] = order[active][by]
-        same, word = same[by], word[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (same[1:] != same[:-1]) | (word[1:] != word[:-1])
-        kind[active] = active[np.flatnonzero(new)][np.cumsum(new) - 1] + n * np.int64(level + 1)
+    padded = np.pad(rows, ((0, 0), (0, -width % 8)))
+    chars = np.concatenate([np.ascontiguousarray(padded).view(">u8").astype(np.uint64), length[:, None].astype(np.uint64)], axis=1)
+    order = multikey_quicksort(chars, group)
     lcp = np.full(n, -1, np.int64)
     if n > 1:
         a, b = order[1:], order[:-1]
@@ -71,37 +76,37 @@ def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width), length
 
 
-def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and windows within them of open spans that are repeated, sorted; for spans of whole keys."""
-    col = lambda c: np.asarray(table[c].combine_chunks())
-    key, n, at, opened, least = col("key"), col("n").astype(np.int64), col("at").astype(np.int64), np.asarray(table["open"].combine_chunks(), bool), col("least")
+def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, windows within them and least ids of the windows that are repeated, sorted; for spans of whole keys."""
+    col = lambda c: np.asarray(table[c].combine_chunks()).astype(np.int64)
+    key, n, at, times, least = (col(c) for c in ("key", "n", "at", "count", "least"))
     _, group = np.unique(key, return_inverse=True)
     units = table["units"].to_pylist()
     place = at.tolist()
     right, right_len = _padded([u[a:] for u, a in zip(units, place, strict=True)], -(-plan.window // 8) * 8)
     left, left_len = _padded([u[:a][::-1] for u, a in zip(units, place, strict=True)], -(-max(plan.reach, 1) // 8) * 8)
     (by_right, lcp_right), (by_left, lcp_left) = multikey_sort(right, right_len, group), multikey_sort(left, left_len, group)
-    rows, windows = [], []
+    out: list[list[np.ndarray]] = [[], [], []]
     count = len(key)
     class_left, class_right = np.empty(count, np.int64), np.empty(count, np.int64)
     for before in range(plan.reach + 1):  # windows with `before` bytes in front of the anchor
         valid = np.flatnonzero((before <= at) & (before >= at - n + 1))
-        if len(valid) < 2:
+        if not len(valid):
             continue
         class_left[by_left] = np.cumsum(lcp_left < before)
         class_right[by_right] = np.cumsum(lcp_right < plan.window - before)
-        _, kind, size = np.unique(class_left[valid] * (count + 1) + class_right[valid], return_inverse=True, return_counts=True)
+        _, kind = np.unique(class_left[valid] * (count + 1) + class_right[valid], return_inverse=True)
+        total = np.bincount(kind, times[valid])
+        low = np.full(len(total), ANY_ID)
         if plan.earlier:
-            low = np.full(len(size), np.iinfo(np.int64).max)
+            low[:] = np.iinfo(np.int64).max
             np.minimum.at(low, kind, least[valid])
-            hit = valid[(low[kind] < least[valid]) & opened[valid]]
-        else:
-            hit = valid[(size[kind] > 1) & opened[valid]]
-        rows.append(hit)
-        windows.append(at[hit] - before)
-    rows, windows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, windows))
+        hit = np.flatnonzero(total[kind] > 1)
+        for held, x in zip(out, (valid[hit], at[valid[hit]] - before, low[kind[hit]]), strict=True):
+            held.append(x)
+    rows, windows, low = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
     order = np.lexsort((windows, rows))
-    return rows[order], windows[order]
+    return rows[order], windows[order], low[order]
 
 
 def _match(spans: DataFrame, plan: Plan) -> DataFrame:
@@ -109,15 +114,12 @@ def _match(spans: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, BUCKET):
-            table = shared_only(table)
-            if table is None:
-                continue
-            rows, windows = covered(table, plan)
+            rows, windows, least = covered(table, plan)
             if len(rows):
-                yield found_ranges(np.asarray(table["rid"].combine_chunks()), np.asarray(table["first"].combine_chunks()), rows, windows, plan.window)
+                yield found_windows(table, rows, windows, least)
 
     leading = spans.withColumn("lead", F.expr(f"substring(units, at + 1, {plan.gram})"))
-    return leading.repartitionByRange(partitions, "lead", "key").sortWithinPartitions("lead", "key").drop("lead").mapInArrow(run, f"rid bigint, ranges {RANGES_SQL}")
+    return leading.repartitionByRange(partitions, "lead", "key").sortWithinPartitions("lead", "key").drop("lead").mapInArrow(run, FOUND_SQL)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

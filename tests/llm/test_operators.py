@@ -263,15 +263,41 @@ def test_many_spans_of_one_anchor(spark, monkeypatch):
     assert sorted(got, key=key) == sorted(brute_words(rows, 20), key=key)
 
 
-def test_fm_index_counts():
+def test_removal_comes_from_the_matchers(table, monkeypatch):
+    """With a matcher that finds nothing, nothing is removed."""
+    from pyspark.sql import functions as F
+
+    for module, remove in ((fm_index, fm_index.remove_earlier), (suffix_buckets, suffix_buckets.remove_repeats)):
+        monkeypatch.setattr(module, "_match", lambda spans, plan: spans.select("key", "span", F.col("n").alias("from"), F.col("n").alias("to"), "least").limit(0))
+        assert remove(table).where(F.size("spans") > 0).count() == 0
+
+
+def test_fm_index_statistics():
     rng = np.random.default_rng(4)
-    spans = [rng.integers(0, 4, rng.integers(5, 30)).astype(np.uint64) for _ in range(20)]
-    index = fm_index.FMIndex(spans)
-    starts = np.concatenate([b + np.arange(len(s) - 3) for b, s in zip(index.begins, spans)])
-    hit, lo, hi = index.match(starts, 4)
-    grams = Counter(tuple(s[k : k + 4].tolist()) for s in spans for k in range(len(s) - 3))
-    names = [tuple(s[k : k + 4].tolist()) for s in spans for k in range(len(s) - 3)]
-    assert {int(h): int(b - a) for h, a, b in zip(hit, lo, hi)} == {i: grams[x] for i, x in enumerate(names) if grams[x] > 1}
+    spans = [rng.integers(1, 5, rng.integers(5, 30)) for _ in range(20)]
+    flat = np.concatenate([np.append(s, 0) for s in spans]).astype(np.int32)
+    index = fm_index.FMIndex(flat, 4, np.arange(20) * 10 % 70)
+    begins = np.cumsum([0, *(len(s) + 1 for s in spans)])[:-1]
+    ends = np.concatenate([b + np.arange(6, len(s) + 1) for b, s in zip(begins, spans)])
+    length, lo, hi = index.statistics(flat, ends, 6)
+    runs = Counter(tuple(s[k : k + m].tolist()) for s in spans for m in range(1, 7) for k in range(len(s) - m + 1))
+    of = lambda e, m: tuple(flat[e - m : e].tolist())
+    assert length.tolist() == [max((m for m in range(7) if m == 0 or runs[of(e, m)] > 1), default=0) for e in ends.tolist()]
+    full = ends[length == 6].tolist()
+    assert (hi - lo).tolist() == [runs[of(e, 6)] for e in full]
+    owners = {x: min(i * 10 % 70 for i, s in enumerate(spans) if any(tuple(s[k : k + 6].tolist()) == x for k in range(len(s) - 5))) for x in {of(e, 6) for e in full}}
+    assert index.least(lo, hi).tolist() == [owners[of(e, 6)] for e in full]
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (0, 30, 5, 200, 49, 50, 0, 51, 400)]
+    plan = anchors.Plan(50, 8, True, True)
+    text, first, n, at, key, span = anchors.runs_of(texts, plan)
+    for i, u in enumerate(texts):
+        one = anchors.runs_of([u], plan)
+        assert all(np.array_equal(x[text == i], y) for x, y in zip((first, n, at, key, span), one[1:]))
+        assert n[text == i].sum() == max(0, len(u) - 49)
 
 
 def test_multikey_sort():
