@@ -42,8 +42,10 @@ WIDER = 40
 FINE_K, FINE_BITS = 4096, 2
 #: Classes of such a bucket that are held against each other at once; a larger one is cut into blocks of about as many.
 BLOCK = 1024
-_A = np.random.default_rng(7).integers(1, 2**63, FINE_K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(8).integers(0, 2**63, FINE_K, dtype=np.uint64)
+#: Numbers of a minima step that are held at once; they fit a core's cache.
+CELLS = 131_072
+_A = np.random.default_rng(7).integers(0, 2**31, FINE_K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = np.random.default_rng(8).integers(0, 2**32, FINE_K, dtype=np.uint32)
 
 
 def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -55,12 +57,17 @@ def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray
 
 
 def minima(items: np.ndarray, k: int = K) -> np.ndarray:
-    low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-    step = max(1, 262_144 // k)
-    for at in range(0, len(items), step):
-        part = items[at : at + step]
-        np.minimum(low, ((part[None, :] ^ _B[:k, None]) * _A[:k, None]).min(axis=1), out=low)
-    return low
+    """The least of the items' high 32 bits under each of k bijections of 32-bit words."""
+    x = (items >> np.uint64(32)).astype(np.uint32)
+    low, step = np.full(k, np.iinfo(np.uint32).max, np.uint32), max(1, CELLS // k)
+    held = np.empty((min(step, len(x)), k), np.uint32)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        moved = held[: len(part)]
+        np.bitwise_xor(part[:, None], _B[None, :k], out=moved)
+        np.multiply(moved, _A[None, :k], out=moved)
+        np.minimum(low, moved.min(axis=0), out=low)
+    return low.astype(np.uint64)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
