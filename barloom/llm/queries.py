@@ -49,20 +49,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", _covered("spans").alias("n_removed"), F.sha2(F.array_join(words_column(F.col("kept")), " "), 256).alias("kept_sha256"))
 
 
-#: Sites whose pages are listed; a page is listed by its own host and path.
+#: Sites all of whose pages are listed, and marks of junk in a page's html that put its url on the list.
 LISTED_SITES = ["ads-track.example.com", "casino-win.example.net", "spam-farm.example.org", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net"]
+JUNK = r"%%%|\*\*\*|###"
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Listed are the keys (host and path) of pages of some sites and of pages whose content is junk: the url alone does not show which."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.col("html").rlike(JUNK).alias("junk"))
     host, path = url_cascade.host_path(F.col("url"))
-    pages = pages.select("page_id", host.alias("host"), path.alias("path"))
+    pages = pages.select("page_id", host.alias("host"), path.alias("path"), "junk")
     key = F.concat("host", "path")
-    on_list = F.lit(False)
+    on_list = F.coalesce("junk", F.lit(False))
     for site in LISTED_SITES:
         on_list = on_list | (F.col("host") == site) | F.col("host").endswith("." + site)
-    judged = url_cascade.listed_urls(pages, key, pages.where(on_list).select(key.alias("key")))
+    judged = url_cascade.listed_urls(pages.drop("junk"), key, pages.where(on_list).select(key.alias("key")))
     rule, action = url_cascade.longest_rule(F.col("host"), F.col("path"), RULES)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 

@@ -34,10 +34,10 @@ c AS (SELECT p.doc_id, x, i, coalesce(max(h.k) OVER (PARTITION BY p.doc_id ORDER
 a AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM c GROUP BY 1)
 SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN a ON a.doc_id = w.doc_id""",
     "op7_url_filters": rf"""
-WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages),
-k AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), {LOWER}) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+WITH u AS (SELECT page_id, coalesce(regexp_matches(html, '%%%|\*\*\*|###'), false) AS junk, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+k AS (SELECT page_id, junk, translate(regexp_extract(r, '^[^/?#]*', 0), {LOWER}) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 l AS (SELECT unnest(['ads-track.example.com', 'casino-win.example.net', 'spam-farm.example.org', 'adult-x.example.com', 'cheap-pills.example.net', 'free-bets.example.net']) AS site),
 r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'example.net', '/de/8'), ('allow', 'net', '/de/'), ('block', 'org', '/es/')) t(action, h, p)),
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM k JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
-SELECT k.page_id, host, path, rule, coalesce(action, CASE WHEN EXISTS (SELECT 1 FROM l WHERE host = site OR ends_with(host, '.' || site)) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN m ON k.page_id = m.page_id""",
+SELECT k.page_id, host, path, rule, coalesce(action, CASE WHEN host || path IN (SELECT host || path FROM k WHERE junk OR EXISTS (SELECT 1 FROM l WHERE host = site OR ends_with(host, '.' || site))) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN m ON k.page_id = m.page_id""",
 }

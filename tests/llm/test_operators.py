@@ -143,6 +143,15 @@ def test_near_duplicates(table, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_repeated_row(spark, empty):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    df = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (1, b, "z"), (2, a, "x"), (None, a, "x"), (None, a, "x"), (5, None, "x"), (5, None, "x")], "doc_id bigint, text string, __id string")
+    got = sorted(str((r["doc_id"], r["text"])) for r in minhash.one_of_each(df).collect())
+    assert got == sorted(str(x) for x in [(1, a), (1, b), (None, a), (None, a), (5, None)])
+    assert minhash.one_of_each(empty).count() == 0
+
+
 def test_near_duplicates_chain(spark):
     """Links that run only through the middle of a chain are found."""
     rng = random.Random(2)
@@ -352,6 +361,7 @@ def test_token_counts(spark, table, docs, file):
     lib = token_count.library(file)
     want = [(i, len((t or "").encode()), lib.counts([t])[0] if t else 0) for i, t in docs]
     same(token_count.token_counts(table, file, chunk=500, overlap=8), want)
+    assert token_count.token_counts(table.limit(0), file).count() == 0
 
 
 def test_chunked_counts_fuzz():

@@ -63,3 +63,27 @@ def test_columns(spark, corpus):
         docs = stage(spark, docs, corpus[0])
         assert docs.columns == names
     assert re.match("quality", corpus_pipeline.STAGES[0][0])
+
+
+def test_empty_table(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, corpus[0])
+        assert docs.count() == 0
+
+
+def test_repeated_null_and_long_rows(spark, corpus, tmp_path):
+    """Of repeated rows one stays; rows without an id stay; a very long text goes through whole."""
+    import random
+
+    from barloom.llm.quality import COMMON_WORDS
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(COMMON_WORDS["en"]) if rng.random() < 0.4 else prose(rng, 1) for _ in range(n))
+    one, long, lost = text(120), text(30_000), text(120)
+    rows = [(1, one), (1, one), (2, long), (None, lost), (3, None), (4, "")] + [(10 + i, text(150)) for i in range(6)]
+    folder = str(tmp_path / "more")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    got = [(r["doc_id"], len(WORD.findall(r["text"]))) for r in corpus_pipeline.run(spark, folder).collect()]
+    assert sorted(got, key=str) == sorted([(1, 120), (2, 30_000), (None, 120)] + [(10 + i, 150) for i in range(6)], key=str)
