@@ -48,10 +48,12 @@ def ece(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def auc(scored: DataFrame, keys: list[str], p: str = "p", y: str = "y", order: str = "id", ties: str = "ordinal") -> DataFrame:
     """Rank-sum AUC a group of keys: ties by position (ordinal) or at their mean rank (average); null with one class only."""
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(p, order)).cast("double")
-    if ties == "average":
-        rank = F.rank().over(w.orderBy(p)) + (F.count("*").over(Window.partitionBy(*keys, p)) - 1) / 2
+    if ties == "average":  # counts of distinct values first: the window runs over those, not over rows
+        per = scored.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
+        below = F.sum("n0").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n0") / 2
+        won = per.withColumn("__won", F.col("n1") * below).groupBy(*keys).agg(F.sum("__won").alias("won"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        return won.select(*keys, F.try_divide(F.col("won"), F.col("n1") * F.col("n0")).alias("auc"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p, order)).cast("double")
     r = scored.withColumn("__r", rank).groupBy(*keys).agg(F.sum(F.when(F.col(y) == 1, F.col("__r"))).alias("s"), F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
     return r.select(*keys, F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
 
