@@ -73,7 +73,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(rows: str, p: str, entry: str) -> str:
-    return f"SELECT symbol, dt, avg(({p} % 101) / 100.0::DOUBLE) AS p, avg(({entry} % 101) / 100.0::DOUBLE) AS entry FROM {rows} GROUP BY 1, 2"
+    return f"SELECT symbol, dt, avg(({p} % 101) / 101.37::DOUBLE) AS p, avg(({entry} % 101) / 101.37::DOUBLE) AS entry FROM {rows} GROUP BY 1, 2"
 
 
 LAG_COLUMNS = "nb_momentum momentum_residual nb_volatility vol_laggard laggard_score strength".split()
@@ -87,6 +87,6 @@ COARSE, FINE = _model("(SELECT symbol, date_trunc('day', ts) AS dt, id, k FROM q
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Two scored tables, a day's and an hour's; the model that scored them is stood for by columns of the events."""
     q = quotes(spark, d)
-    score = lambda unit, p, e: q.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("dt")).agg(F.avg(p % 101 / 100).alias("p"), F.avg(e % 101 / 100).alias("entry"))
+    score = lambda unit, p, e: q.groupBy("symbol", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("dt")).agg(F.avg(p % 101 / 101.37).alias("p"), F.avg(e % 101 / 101.37).alias("entry"))
     coarse, fine = score("day", F.col("k"), F.col("id") * 53), score("hour", F.col("id") * 37, F.col("k") * 7)
     return ml.meta_rows(coarse, fine, "day", context(spark, d), graph.laggard_features(true_returns(spark, d)), labels.label_next_bar(hourly(spark, d)))
