@@ -102,21 +102,39 @@ def exposure_cap(rows: DataFrame, score: str, cap: int) -> DataFrame:
 def hysteresis(rows: DataFrame, buy: str, sell: str, entry: float = 0.6, leave: float = 0.52, edge: float = 0.0) -> DataFrame:
     """position: flat enters +-1 where its probability reaches entry (and leads by edge), and leaves where it falls below leave; never flips at once.
 
-    A row at which every state becomes flat cuts the series; within a cut the
-    state is folded over the rows so far. Cuts are independent, so long
-    histories spread over tasks, and nothing is ordered across symbols.
+    A row maps each state to the next one. Where the maps of four rows leave
+    one state, whatever the state before them, the series is cut; within a cut
+    the state is folded over the maps that change anything, so a long hold
+    costs no more than a short one, and cuts are independent of one another.
     """
     b, s = F.col(buy), F.col(sell)
-    cut = (F.greatest(b, s) < F.lit(leave)).cast("int")
-    rows = rows.withColumn("__cut", F.sum(cut).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy("symbol", "__cut").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.collect_list(F.struct(b.alias("b"), s.alias("s"))).over(inner)
+    enter = F.when((b >= entry) & (b - s >= edge), 1).when((s >= entry) & (s - b >= edge), -1).otherwise(0)
+    order = by_time()
+    flat = _state_map(F.lit(0), F.lit(0), F.lit(0))
+    r = rows.withColumn("__map", _state_map(F.when(s < leave, 0).otherwise(-1), enter, F.when(b < leave, 0).otherwise(1)))
+    r = r.withColumn("__two", _then(F.coalesce(F.lag("__map", 1).over(order), flat), F.col("__map")))
+    r = r.withColumn("__four", _then(F.coalesce(F.lag("__two", 2).over(order), flat), F.col("__two")))
+    m, four = F.col("__map"), F.col("__four")
+    sure = (_state_after(four, F.lit(-1)) == _state_after(four, F.lit(0))) & (_state_after(four, F.lit(0)) == _state_after(four, F.lit(1)))
+    idle = (m == F.lag("__map", 1).over(order)) & (_then(m, m) == m)  # the same again, to no effect
+    r = r.withColumns({"__step": F.when(sure, four).when(~F.coalesce(idle, F.lit(False)), m), "__cut": F.sum(sure.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    steps = F.collect_list("__step").over(Window.partitionBy("symbol", "__cut").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0))
+    out = r.withColumn("position", F.aggregate(steps, F.lit(0), lambda state, x: _state_after(x, state)))
+    return out.drop("__map", "__two", "__four", "__step", "__cut")
 
-    def step(state: Column, x: Column) -> Column:
-        enter = F.when((x["b"] >= entry) & (x["b"] - x["s"] >= edge), 1).when((x["s"] >= entry) & (x["s"] - x["b"] >= edge), -1).otherwise(0)
-        return F.when(state == 0, enter).when(state == 1, F.when(x["b"] < leave, 0).otherwise(1)).otherwise(F.when(x["s"] < leave, 0).otherwise(-1))
 
-    return rows.withColumn("position", F.aggregate(held, F.lit(0), step)).drop("__cut")
+def _state_map(short: Column, none: Column, long: Column) -> Column:
+    """Where the states -1, 0 and 1 go, as the digits of a number to base 3."""
+    return ((short + 1) * 9 + (none + 1) * 3 + (long + 1)).cast("int")
+
+
+def _state_after(m: Column, state: Column) -> Column:
+    return (F.floor(m / F.when(state < 0, 9).when(state > 0, 1).otherwise(3)) % 3).cast("int") - 1
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The map of two maps in turn."""
+    return _state_map(*(_state_after(second, _state_after(first, F.lit(x))) for x in (-1, 0, 1)))
 
 
 def sized_signal(direction: Column, confidence: Column, regime_scale: Column) -> Column:
