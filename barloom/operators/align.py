@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.carry import carry, numbered
+
 PRICES = ["o", "h", "l", "c"]
 
 
@@ -41,7 +43,7 @@ def align_union(b: DataFrame, symbols: DataFrame) -> DataFrame:
 def align_union_ffill(b: DataFrame, symbols: DataFrame) -> DataFrame:
     """align_union with prices carried forward, from each symbol's first bar."""
     full = align_union(b, symbols)
-    return full.withColumns({p: F.last(p, ignorenulls=True).over(_past()) for p in PRICES}).where("c is not null")
+    return carry(full, [F.col("dt")], past={p: F.col(p) for p in PRICES}).where("c is not null")
 
 
 def align_calendar_mask(b: DataFrame, symbols: DataFrame, step: str) -> DataFrame:
@@ -52,7 +54,8 @@ def align_calendar_mask(b: DataFrame, symbols: DataFrame, step: str) -> DataFram
 
 def align_carry(aligned: DataFrame) -> DataFrame:
     """Prices carried forward, then backward over leading gaps; real tells which rows had a bar."""
-    return aligned.withColumns({p: F.coalesce(F.last(p, ignorenulls=True).over(_past()), F.first(p, ignorenulls=True).over(_ahead())) for p in PRICES})
+    both = carry(aligned, [F.col("dt")], past={f"__l_{p}": F.col(p) for p in PRICES}, ahead={f"__n_{p}": F.col(p) for p in PRICES})
+    return both.select(*(F.coalesce(f"__l_{c}", f"__n_{c}").alias(c) if c in PRICES else F.col(c) for c in aligned.columns))
 
 
 def align_intersect(b: DataFrame) -> DataFrame:
@@ -79,18 +82,17 @@ def interpolate_linear(aligned: DataFrame, columns: list[str]) -> DataFrame:
 def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], clamp: bool = False) -> DataFrame:
     """left (symbol, dt, ...) with right's columns from its last row at or before dt.
 
-    One shuffle by symbol for both sides, whatever their sizes. With clamp,
+    One shuffle by symbol and day for both sides, whatever their sizes. With clamp,
     times before right's first row take that row (which looks ahead); otherwise null.
     """
     marks = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in ("symbol", "dt")]
     value = F.struct(*columns)
     kind = right.select(value.alias("v")).schema["v"].dataType
     both = left.withColumns({"__right": F.lit(False), "__v": F.lit(None).cast(kind)}).unionByName(right.select("symbol", "dt", *marks, F.lit(True).alias("__right"), value.alias("__v")))
-    w = Window.partitionBy("symbol").orderBy("dt", F.col("__right").desc())
-    got = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp:
-        got = F.coalesce(got, F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return both.withColumn("__got", got).where("not __right").select(*left.columns, *(F.col("__got")[c].alias(c) for c in columns))
+    order = [F.col("dt"), (~F.col("__right")).alias("__left")]  # right's rows first at equal times
+    found = carry(both, order, past={"__got": F.col("__v")}, ahead={"__next": F.col("__v")} if clamp else None).where("not __right")
+    got = F.coalesce("__got", "__next") if clamp else F.col("__got")
+    return found.select(*left.columns, *(got[c].alias(c) for c in columns))
 
 
 def pair_self_join(rows: DataFrame, value: str) -> DataFrame:
@@ -127,8 +129,8 @@ def first_fill_join(events: DataFrame, micro: DataFrame, bars_ahead: int, throug
     first bars_ahead ones, by an equi-join on the number; horizon_s drops those
     of them that are not within so many seconds.
     """
-    m = micro.select("symbol", F.col("dt").alias("t"), "h", "l", "c", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")).alias("__no"))
-    e = asof_backward(events, m.select("symbol", F.col("t").alias("dt"), "t", F.col("__no").alias("__last")).withColumnRenamed("t", "__t"), ["__t", "__last"])
+    m = numbered(micro.select("symbol", F.col("dt").alias("t"), "h", "l", "c"), "__no", [F.col("t")], time="t")
+    e = asof_backward(events, m.select("symbol", F.col("t").alias("dt"), F.col("t").alias("__t"), F.col("__no").alias("__last")), ["__t", "__last"])
     begin = F.when(F.col("__t") == F.col("dt"), F.col("__last")).otherwise(F.coalesce("__last", F.lit(0)) + 1)
     e = e.withColumn("__no", F.explode(F.sequence(begin, begin + (bars_ahead - 1)))).drop("__t", "__last")
     ahead = e.join(m, ["symbol", "__no"])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.carry import carry
+
 
 def tick_ffill(ticks: DataFrame) -> DataFrame:
     """Last known bid and ask of each symbol at each tick, in order of (ts, id)."""
-    w = Window.partitionBy("symbol").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("bid", "ask")})
+    return carry(ticks, [F.col("ts"), F.col("id")], past={c: F.col(c) for c in ("bid", "ask")}, time="ts")
 
 
 def drop_unquoted(ticks: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Literal cases: dialects, through-fills, look-ahead, degenerate inputs, state machines, streams against batch."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar, numeric
-from barloom.operators import align, bars, graph, labels, metrics, profile, signals
+from barloom.operators import align, bars, carry, graph, labels, metrics, profile, signals
 from barloom.operators import indicators as ind
 from barloom.plans.registry import hourly, quotes, scored
 from barloom.plans.stream_queries import drained
@@ -103,6 +104,29 @@ def test_hysteresis_positions(spark):
     assert got == [1, 1, 0, 1, 0]
 
 
+def test_hysteresis_long_holds(spark):
+    """Probabilities that do not add up to 1, and walks that stay above the lower bound for long."""
+    rng, rows, want = np.random.default_rng(3), [], []
+    for k in range(12):
+        n = 300
+        b, s = rng.random(n), rng.random(n)
+        if k % 2:
+            b, s = np.clip(0.55 + 0.015 * np.cumsum(rng.normal(0, 1, n)), 0, 1), np.clip(rng.normal(0.56, 0.03, n), 0, 1)
+        state = 0
+        for i, (x, y) in enumerate(zip(b.tolist(), s.tolist(), strict=True)):
+            if state == 0:
+                state = 1 if x >= 0.6 else -1 if y >= 0.6 else 0
+                if x >= 0.6 and y >= 0.6:
+                    state = 1 if x >= y else -1
+            elif (x if state == 1 else y) < 0.52:
+                state = 0
+            rows.append((f"s{k}", at("2024-01-01 00:00:00") + timedelta(minutes=i), x, y))
+            want.append(state)
+    df = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, b double, s double")
+    got = {(r["symbol"], r["dt"]): r["position"] for r in signals.hysteresis(df, "b", "s").collect()}
+    assert [got[r[0], r[1]] for r in rows] == want
+
+
 def test_hysteresis_against_loop(spark):
     s = scored(spark, SF).withColumn("q", 1 - F.col("p"))
     got = {(r["symbol"], r["id"]): r["position"] for r in signals.hysteresis(s, "p", "q", 0.8, 0.3).collect()}
@@ -280,3 +304,21 @@ def test_first_fill_join_sees_sparse_bars(spark):
     events = spark.sql("SELECT id AS event_id, 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1.0 * id) AS dt, 1 AS direction, 5.0D AS limit FROM VALUES (0L), (1L), (200000L) AS t(id)")
     got = {r["event_id"]: (r["n_seen"], r["filled"], r["fill_dt"] and r["fill_dt"].hour) for r in align.first_fill_join(events, micro, 5, 0.01).collect()}
     assert got == {0: (5, False, None), 1: (5, True, 1), 200000: (0, False, None)}
+
+
+def test_carry_across_buckets(spark):
+    """Values pass over day bounds, empty days and leading gaps; numbers go on from day to day. Held to a loop."""
+    rng = random.Random(5)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(hours=7 * i + rng.randrange(5)), rng.choice([None, None, float(i)])) for s in "ab" for i in range(40) if i % 11 < 7]
+    df = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, x double")
+    got = carry.carry(carry.numbered(df, "no", [F.col("dt")]), [F.col("dt")], past={"back": F.col("x")}, ahead={"next": F.col("x")})
+    found = {(r["symbol"], r["dt"]): (r["no"], r["back"], r["next"]) for r in got.collect()}
+    want = {}
+    for s in "ab":
+        mine = sorted(r[1:] for r in rows if r[0] == s)
+        for i, (t, _) in enumerate(mine):
+            back = [x for _, x in mine[: i + 1] if x is not None]
+            ahead = [x for _, x in mine[i:] if x is not None]
+            want[s, t] = (i + 1, back[-1] if back else None, ahead[0] if ahead else None)
+    assert found == want
+    assert carry.carry(df.limit(0), [F.col("dt")], past={"x": F.col("x")}).count() == 0
