@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bit_planes, decontaminate, fm_index, minhash, piece_codec, pitman_yor, quality, sql, suffix_buckets, token_count, url_cascade
+from barloom.llm import bit_planes, byte_cnn, decontaminate, fm_index, importance, minhash, piece_codec, pitman_yor, quality, spelling, sql, suffix_buckets, token_count, url_cascade
 from barloom.llm.common import documents, shared_dir, words_column
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +84,24 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), least=7, times=2, factor=10)
+
+
+def op12_importance_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = importance.importance_ranks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, least_words=20, seed=7)
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    scored = byte_cnn.quality_scores(docs, byte_cnn.learn(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_distribution_divergence, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op9_pitman_yor_scores, op10_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_token_counts, op6_substring_dedup, op7_url_filters, op8_bit_plane_ids, op9_pitman_yor_scores, op10_sentencepiece_codec, op11_spelling_variants, op12_importance_ranks, op13_byte_cnn_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
