@@ -41,6 +41,19 @@ def norm_ppf(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), None).when(p < 0.5, -z).otherwise(z)
 
 
+# Pips of symbols that are not plain pairs.
+PIPS = {
+    "BTCUSD": 1.0, "AUS200": 1.0, "US30": 1.0, "GER40": 1.0, "UK100": 1.0, "NAS100": 1.0, "EUSTX50": 1.0, "JPN225": 1.0,
+    "SPX500": 0.1, "XAUUSD": 0.1, "XTIUSD": 0.01, "XBRUSD": 0.01, "XAGUSD": 0.01,
+}
+
+
+def pip_size(symbol: Column, default: float = 1e-4) -> Column:
+    """A symbol's pip: listed, a hundredth for pairs quoted in yen, a ten-thousandth for other pairs of six letters, else the default."""
+    listed = F.create_map(*(F.lit(x) for pair in PIPS.items() for x in pair))
+    return F.coalesce(F.try_element_at(listed, symbol), F.when(symbol.rlike("^[A-Z]{3}JPY$"), 0.01).when(symbol.rlike("^[A-Z]{6}$"), 1e-4).otherwise(default))
+
+
 def spread_cost(sp: Column, price: Column, pip: Column) -> Column:
     """A spread as a price: below 50 pips it is one already, otherwise it is points, ten to a pip; never below 0."""
     return F.greatest(F.when(sp < 50 * pip, sp).otherwise(sp * pip / 10), F.lit(0.0))

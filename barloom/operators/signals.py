@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip
+from barloom.operators.carry import composed
 
 
 def by_time() -> Window:
@@ -102,25 +103,15 @@ def exposure_cap(rows: DataFrame, score: str, cap: int) -> DataFrame:
 def hysteresis(rows: DataFrame, buy: str, sell: str, entry: float = 0.6, leave: float = 0.52, edge: float = 0.0) -> DataFrame:
     """position: flat enters +-1 where its probability reaches entry (and leads by edge), and leaves where it falls below leave; never flips at once.
 
-    A row maps each state to the next one. Where the maps of four rows leave
-    one state, whatever the state before them, the series is cut; within a cut
-    the state is folded over the maps that change anything, so a long hold
-    costs no more than a short one, and cuts are independent of one another.
+    A row maps each state to the next one; maps are put together by a scan
+    over blocks of rows, so neither a long hold nor a long series lies in one task.
     """
     b, s = F.col(buy), F.col(sell)
     enter = F.when((b >= entry) & (b - s >= edge), 1).when((s >= entry) & (s - b >= edge), -1).otherwise(0)
-    order = by_time()
-    flat = _state_map(F.lit(0), F.lit(0), F.lit(0))
-    r = rows.withColumn("__map", _state_map(F.when(s < leave, 0).otherwise(-1), enter, F.when(b < leave, 0).otherwise(1)))
-    r = r.withColumn("__two", _then(F.coalesce(F.lag("__map", 1).over(order), flat), F.col("__map")))
-    r = r.withColumn("__four", _then(F.coalesce(F.lag("__two", 2).over(order), flat), F.col("__two")))
-    m, four = F.col("__map"), F.col("__four")
-    sure = (_state_after(four, F.lit(-1)) == _state_after(four, F.lit(0))) & (_state_after(four, F.lit(0)) == _state_after(four, F.lit(1)))
-    idle = (m == F.lag("__map", 1).over(order)) & (_then(m, m) == m)  # the same again, to no effect
-    r = r.withColumns({"__step": F.when(sure, four).when(~F.coalesce(idle, F.lit(False)), m), "__cut": F.sum(sure.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    steps = F.collect_list("__step").over(Window.partitionBy("symbol", "__cut").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0))
-    out = r.withColumn("position", F.aggregate(steps, F.lit(0), lambda state, x: _state_after(x, state)))
-    return out.drop("__map", "__two", "__four", "__step", "__cut")
+    step = _state_map(F.when(s < leave, 0).otherwise(-1), enter, F.when(b < leave, 0).otherwise(1))
+    ends = lambda m, x: _state_after(m, F.lit(x))
+    constant = lambda m: (ends(m, -1) == ends(m, 0)) & (ends(m, 0) == ends(m, 1))
+    return composed(rows, step, _then, _state_map(*map(F.lit, (-1, 0, 1))), _state_after, constant, F.lit(0), "position")
 
 
 def _state_map(short: Column, none: Column, long: Column) -> Column:

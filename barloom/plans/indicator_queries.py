@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
+from barloom.functions.numeric import pip_size
 from barloom.operators import indicators as ind
 from barloom.plans.registry import SQL, hourly, query, returns
 
@@ -134,22 +135,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.mom5(hourly(spark, d))
 
 
-SHAPE = "SELECT symbol, dt, (h - l) / nullif(abs(c), 0) AS range_norm, CASE WHEN h - l < 1e-10 THEN 0 ELSE abs(c - o) / (h - l) END AS body_ratio, tk, sp FROM bars"
+PIPPED = f"""(SELECT *, lag(c) OVER {ALL} AS before, {RN} AS bar FROM bars)"""
 
 
-def together(*names: str) -> str:
-    """Queries' own SQL joined on the bar, with shape, ticks and spread."""
-    return f"SELECT * FROM ({SHAPE})" + "".join(f" JOIN ({SQL[n]}) USING (symbol, dt)" for n in names)
-
-
-@query("pair_features_16", f"{KEY} rsi:d macd:d macd_signal:d pct_b:d bandwidth:d atr_14:d stoch_k:d stoch_d:d cci:d will_r:d mom5:d ret_1:d range_norm:d body_ratio:d tk:i sp:d", together("rsi", "macd", "macd_signal", "bollinger", "atr_14", "stochastic", "cci", "williams_r", "mom5", "log_ret"))
+@query(
+    "pair_features_16",
+    " ".join([KEY, *(f"{c}:d" for c in ind.PAIR_FEATURES)]),
+    f"""SELECT symbol, dt, rsi, macd * 1e4 AS macd, (macd - macd_signal) * 1e4 AS macd_hist, pct_b AS bb_pct_b, bandwidth AS bb_bandwidth, atr_14 * 1e4 AS atr_pips, stoch_k, stoch_d, cci, will_r AS willr,
+      CASE WHEN before IS NOT NULL THEN CASE WHEN before > 0 THEN ln(c / before) ELSE 0 END END AS log_ret, CASE WHEN before IS NOT NULL THEN tk END AS tick_vel, CASE WHEN before IS NOT NULL THEN sp END AS spread_pip,
+      CASE WHEN before IS NOT NULL THEN (h - l) * 1e4 END AS range_pips, CASE WHEN before IS NOT NULL THEN CASE WHEN h - l > 1e-10 THEN abs(c - o) / (h - l) ELSE 0 END END AS body_ratio, CASE WHEN before IS NOT NULL THEN coalesce(mom5, 0) END AS mom5
+    FROM {PIPPED} """
+    + " ".join(f"JOIN ({SQL[n]}) USING (symbol, dt)" for n in ("rsi", "macd", "macd_signal", "bollinger", "atr_14", "stochastic", "cci", "williams_r", "mom5")),
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.pair_features_16(hourly(spark, d))
+    return ind.pair_features_16(hourly(spark, d), pip_size(F.col("symbol.name")))
 
 
-@query("signal_features_7", f"{KEY} rsi:d pct_b:d bandwidth:d atr_14:d mom5:d ret_1:d tk:i", together("rsi", "bollinger", "atr_14", "mom5", "log_ret"))
+@query(
+    "signal_features_7",
+    " ".join([KEY, *(f"{c}:d" for c in ind.SIGNAL_FEATURES)]),
+    f"""SELECT symbol, dt, CASE WHEN before IS NOT NULL THEN CASE WHEN before > 1e-10 THEN ln(c / before) ELSE 0 END END AS log_ret, rsi AS rsi_14, macd - macd_signal AS macd_hist, bandwidth AS bb_bandwidth, atr_14, cci AS cci_20,
+      ret - avg(ret) OVER (PARTITION BY dt) AS laplacian_residual
+    FROM {PIPPED} JOIN (SELECT symbol, dt, ret FROM rets) USING (symbol, dt) """
+    + " ".join(f"JOIN ({SQL[n]}) USING (symbol, dt)" for n in ("rsi", "macd", "macd_signal", "bollinger", "atr_14", "cci")),
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.signal_features_7(hourly(spark, d))
+    """The residual is a return's distance from the bar's mean return, the residual of a graph whose edges all weigh the same."""
+    b = returns(spark, d)
+    b = b.withColumn("__residual", F.col("ret") - F.avg("ret").over(Window.partitionBy("dt")))
+    return ind.signal_features_7(b, pip_size(F.col("symbol.name"), 1.0), F.col("__residual"))
 
 
 @query("microstructure_4", f"{KEY} ofi:d velocity_pct:d", f"SELECT symbol, dt, tk * sign(coalesce({ln('c', LAG)}, 0)) AS ofi, 100 * coalesce((c - {LAG}) / nullif({LAG} + 1e-10, 0), 0) AS velocity_pct FROM bars")
@@ -197,12 +211,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).withColumns({"hour_of_week": calendar.hour_of_week(c), "slot": calendar.slot_id(c), "quarter": calendar.quarter_id(c), "week": calendar.week_start(c)})
 
 
-SESSIONS = f"(SELECT *, {SESSION.format('dt')} AS s FROM rets)"
+SESSIONS = f"(SELECT *, {SESSION.format('dt')} AS s, {PHASE.format('dt')} AS phase, tk % 5 <> 0 AS real FROM rets)"
 ISLANDS = f"(SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <> lag(s) OVER {ALL} THEN 1 ELSE 0 END AS ch FROM {SESSIONS}))"
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    return returns(spark, d).withColumns({"s": calendar.session_code(F.col("dt")), "real": F.lit(True)})
+    return returns(spark, d).withColumns({"s": calendar.session_code(F.col("dt")), "phase": calendar.session_phase(F.col("dt")), "real": F.col("tk") % 5 != 0})
 
 
 @query("session_transition", f"{KEY} moved:b", f"SELECT symbol, dt, ch = 1 AS moved FROM {ISLANDS}")
@@ -210,20 +224,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.changes(_sessions(spark, d), "s", "moved")
 
 
-@query("session_progress", f"{KEY} progress:i", f"SELECT symbol, dt, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS progress FROM {ISLANDS}")
+@query("session_progress", f"{KEY} progress:i", f"SELECT symbol, dt, CASE WHEN s IN (2, 3, 4) THEN row_number() OVER (PARTITION BY symbol, island ORDER BY dt) ELSE 0 END AS progress FROM {ISLANDS}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.run_length(_sessions(spark, d), "s", "progress")
+    return ind.session_progress(_sessions(spark, d), "s")
 
 
-OPENING = f"(SELECT *, max(CASE WHEN n <= 3 THEN h END) OVER (PARTITION BY symbol, island) AS hi, min(CASE WHEN n <= 3 THEN l END) OVER (PARTITION BY symbol, island) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS n FROM {ISLANDS}))"
+OPENING = f"""(SELECT *, greatest(hi - lo, greatest(top, 1e-6) * 1e-6) AS width, s IN (2, 3, 4) AND seen >= 3 AS has FROM (
+  SELECT *, max(CASE WHEN real AND n <= 3 THEN h END) OVER run AS hi, min(CASE WHEN real AND n <= 3 THEN l END) OVER run AS lo, max(CASE WHEN real AND n <= 3 THEN c END) OVER run AS top, max(n) OVER run AS seen
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS bar, sum(real::INT) OVER (PARTITION BY symbol, island ORDER BY dt ROWS UNBOUNDED PRECEDING) AS n FROM {ISLANDS}) WINDOW run AS (PARTITION BY symbol, island)))"""
+RANGE = """SELECT symbol, dt, CASE WHEN {0} THEN hi END AS or_high, CASE WHEN {0} THEN lo END AS or_low, CASE WHEN {0} THEN width / greatest(c, 1e-6) ELSE 0 END AS or_width,
+  CASE WHEN {0} THEN (c - (hi + lo) / 2) / width ELSE 0 END AS or_breakout, s IN (2, 3, 4) AND bar >= 3 AS or_ready FROM """ + OPENING
 
 
-@query("opening_range", f"{KEY} or_high:d or_low:d or_width:d or_breakout:i or_ready:b", f"SELECT symbol, dt, CASE WHEN n >= 3 THEN hi END AS or_high, CASE WHEN n >= 3 THEN lo END AS or_low, CASE WHEN n >= 3 THEN hi - lo END AS or_width, CASE WHEN n >= 3 AND c > hi THEN 1 WHEN n >= 3 AND c < lo THEN -1 ELSE 0 END AS or_breakout, n >= 3 AS or_ready FROM {OPENING}")
+@query("opening_range", f"{KEY} or_high:d or_low:d or_width:d or_breakout:d or_ready:b", RANGE.format("has AND n >= 3"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.opening_range(_sessions(spark, d), "s")
 
 
-@query("opening_range_unsafe", f"{KEY} or_high:d or_low:d or_breakout:i", f"SELECT symbol, dt, hi AS or_high, lo AS or_low, CASE WHEN c > hi THEN 1 WHEN c < lo THEN -1 ELSE 0 END AS or_breakout FROM {OPENING}")
+@query("opening_range_unsafe", f"{KEY} or_high:d or_low:d or_width:d or_breakout:d or_ready:b", RANGE.format("has"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.opening_range(_sessions(spark, d), "s", safe=False)
 
@@ -255,27 +273,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.residual_streak(returns(spark, d), "ret", 0.05)
 
 
-@query("regime_memory", f"{KEY} regime_before:i regime_age:d regime_change:b regime_ema:d", f"SELECT symbol, dt, lag(s) OVER {ALL} AS regime_before, ln(1 + row_number() OVER (PARTITION BY symbol, island ORDER BY dt)) AS regime_age, ch = 1 AS regime_change, list_reduce(list(s::DOUBLE) OVER {over(199)}, lambda a, x: 0.1::DOUBLE * x + (1 - 0.1::DOUBLE) * a) AS regime_ema FROM {ISLANDS}")
+@query(
+    "regime_memory", f"{KEY} regime_before:d regime_age:d regime_ema:d session_transition:b",
+    f"""SELECT symbol, dt, coalesce(lag(s) OVER {ALL}, 2) AS regime_before, ln(row_number() OVER (PARTITION BY symbol, island ORDER BY dt) + CASE WHEN island = 0 AND s = 2 THEN 1 ELSE 0 END) AS regime_age,
+      list_reduce(list_prepend(2.0::DOUBLE, list(s::DOUBLE) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)), lambda a, x: 0.1::DOUBLE * x + (1 - 0.1::DOUBLE) * a) AS regime_ema,
+      coalesce(phase <> lag(phase) OVER {ALL}, true) AS session_transition FROM {ISLANDS}""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.regime_memory(_sessions(spark, d), "s")
+    return ind.regime_memory(_sessions(spark, d), "s", "phase")
 
 
-@query("vol_percentile", f"{KEY} vol_pct:d", f"WITH r AS (SELECT symbol, dt, abs(ret) AS v, {RN} AS rn FROM rets) SELECT a.symbol, a.dt, avg(CASE WHEN b.v < a.v THEN 1.0 ELSE 0.0 END) FILTER (b.v IS NOT NULL) AS vol_pct FROM r a LEFT JOIN r b ON a.symbol = b.symbol AND b.rn < a.rn AND b.rn >= a.rn - 240 GROUP BY 1, 2")
+@query(
+    "vol_percentile", f"{KEY} vol_pct:d",
+    f"""WITH r AS (SELECT symbol, dt, abs(ret) AS v, sum((abs(ret) > 0)::INT) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS pn FROM rets)
+      SELECT a.symbol, a.dt, CASE WHEN a.pn <= 1 THEN 0.5 WHEN NOT coalesce(a.v > 0, false) THEN 0 ELSE avg(CASE WHEN b.v < a.v THEN 1.0 ELSE 0.0 END) END AS vol_pct
+      FROM r a LEFT JOIN r b ON a.symbol = b.symbol AND b.v > 0 AND b.pn <= a.pn AND b.pn > a.pn - 240 GROUP BY a.symbol, a.dt, a.pn, a.v""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ind.vol_percentile(returns(spark, d).withColumn("v", F.abs("ret")), "v", 240)
 
 
-@query("horizon_return", f"{KEY} ret_h240:d", f"SELECT symbol, dt, {ln('c', f'lag(c, 240) OVER {ALL}')} AS ret_h240 FROM bars")
+@query("horizon_return", f"{KEY} ret_h240:d gap_delta:d", f"SELECT symbol, dt, coalesce({ln('c', f'coalesce(lag(c, 240) OVER {ALL}, first_value(c) OVER {ALL})')}, 0) AS ret_h240, coalesce(sp - lag(sp, 59) OVER {ALL}, 0) AS gap_delta FROM bars")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.horizon_return(hourly(spark, d), 240)
+    return ind.gap_delta(ind.horizon_return(hourly(spark, d), 240), "sp", 60)
 
 
 PASTW = "(PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)"
 
 
-@query("weekend_carry", f"{KEY} weekend_open:d weekend_close:d weekend_shift:d", f"SELECT *, weekend_close - weekend_open AS weekend_shift FROM (SELECT symbol, dt, last_value(CASE WHEN isodow(dt) = 6 AND hour(dt) = 0 THEN c END IGNORE NULLS) OVER {PASTW} AS weekend_open, last_value(CASE WHEN isodow(dt) = 7 AND hour(dt) = 23 THEN c END IGNORE NULLS) OVER {PASTW} AS weekend_close FROM bars)")
+@query(
+    "weekend_carry", f"{KEY} weekend_regime:i weekend_shift:i",
+    f"""WITH m AS (SELECT *, (isodow(dt) = 6 AND hour(dt) * 60 + minute(dt) < 360) AS opens, (isodow(dt) = 7 AND hour(dt) * 60 + minute(dt) >= 1080) AS closes FROM (SELECT symbol, dt, tk % 5 AS regime FROM bars)),
+      o AS (SELECT *, coalesce(last_value(CASE WHEN opens THEN regime END IGNORE NULLS) OVER {PASTW}, 1) AS opened, closes AND row_number() OVER (PARTITION BY symbol, CASE WHEN closes THEN dt::DATE END, closes ORDER BY dt) = 1 AS first FROM m),
+      l AS (SELECT *, last_value(CASE WHEN first THEN regime END IGNORE NULLS) OVER {PASTW} AS r, last_value(CASE WHEN first THEN regime - opened END IGNORE NULLS) OVER {PASTW} AS s FROM o)
+      SELECT symbol, dt, coalesce(r, 1) AS weekend_regime, coalesce(s, 0) AS weekend_shift FROM l""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ind.weekend_carry(hourly(spark, d))
+    """Bars are hourly, so a weekend's start and end are its first and last six hours."""
+    return ind.weekend_carry(hourly(spark, d).withColumn("regime", F.col("tk") % 5), "regime", 360)
 
 
 @query("atr_ratio", f"{KEY} atr_ratio:d", f"SELECT symbol, dt, a / avg(a) OVER {over(59)} AS atr_ratio FROM (SELECT symbol, dt, CASE WHEN rn >= 15 THEN avg(tr) OVER {over(13)} END AS a FROM {TR})")

@@ -92,7 +92,7 @@ def test_no_look_ahead(spark):
     b = hourly(spark, SF)
     cut = b.agg(F.percentile_approx(F.unix_seconds(F.col("dt").cast("timestamp")), 0.6)).first()[0]
     early = F.unix_seconds(F.col("dt").cast("timestamp")) <= cut
-    full, part = (ind.opening_range(ind.pair_features_16(x).withColumns({"real": F.lit(True), "s": F.hour("dt") % 3}), "s") for x in (b, b.where(early)))
+    full, part = (ind.opening_range(ind.pair_features_16(x, F.lit(1e-4)).withColumns({"real": F.lit(True), "s": F.hour("dt") % 3}), "s") for x in (b, b.where(early)))
     assert sorted(map(str, full.where(early).collect())) == sorted(map(str, part.collect()))
 
 
