@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.numeric import pip_size
 from barloom.operators.carry import carry, numbered
 
 PRICES = ["o", "h", "l", "c"]
@@ -102,57 +103,80 @@ def pair_self_join(rows: DataFrame, value: str) -> DataFrame:
     return a.join(b, "dt").where("a < b")
 
 
-def interval_join_window(anchors: DataFrame, micro: DataFrame, seconds: int) -> DataFrame:
-    """Micro bars (symbol, dt, c, sp, tk) in [anchor - seconds, anchor) of each anchor (symbol, dt), summarised; none gives zeros and nulls.
+#: Features of interval_join_window, in order.
+MICRO = "tick_velocity_mean tick_velocity_std spread_z_mean spread_z_last bid_ask_imbalance_mean bid_ask_imbalance_abs_max price_velocity_last".split()
 
-    A range join by buckets of the window's length: an anchor meets the two
-    buckets its window can touch, so the join is an equi-join.
+
+def interval_join_window(anchors: DataFrame, micro: DataFrame, seconds: int = 60) -> DataFrame:
+    """anchors (symbol, dt) with n and the seven features of MICRO of the micro bars in [anchor - seconds, anchor); none gives zeros.
+
+    micro: (symbol, dt, tick_velocity, spread_z, bid_ask_imbalance,
+    price_velocity), nulls counting as 0. A range join by buckets of the
+    window's length: an anchor meets the two buckets its window can touch, so
+    the join is an equi-join.
     """
     bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
-    m = micro.select("symbol", F.col("dt").alias("__t"), "c", "sp", "tk", bucket(F.col("dt")).alias("__b"))
+    of = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    m = micro.select("symbol", F.col("dt").alias("__t"), *map(of, ("tick_velocity", "spread_z", "bid_ask_imbalance", "price_velocity")), bucket(F.col("dt")).alias("__b"))
     a = anchors.select("symbol", "dt").distinct().withColumn("__b", F.explode(F.array(bucket(F.col("dt")) - 1, bucket(F.col("dt")))))
     near = a.join(m, ["symbol", "__b"]).where((F.col("__t") < F.col("dt")) & (F.col("__t") >= F.col("dt") - F.expr(f"INTERVAL {seconds} SECONDS")))
-    summed = near.groupBy("symbol", "dt").agg(
-        F.count("*").alias("n"), F.avg("sp").alias("sp_mean"), F.max("sp").alias("sp_max"), F.max_by("sp", "__t").alias("sp_last"), F.sum("tk").alias("ticks"),
-        F.max_by("c", "__t").alias("c_last"), (F.try_divide(F.max_by("c", "__t"), F.min_by("c", "__t")) - 1).alias("drift"),
-    )
-    return anchors.join(summed, ["symbol", "dt"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ticks": F.coalesce("ticks", F.lit(0))})
+    made = [
+        F.avg("tick_velocity"), F.stddev_pop("tick_velocity"), F.avg("spread_z"), F.max_by("spread_z", "__t"), F.avg("bid_ask_imbalance"), F.max(F.abs("bid_ask_imbalance")), F.max_by("price_velocity", "__t")
+    ]
+    summed = near.groupBy("symbol", "dt").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in zip(MICRO, made, strict=True)))
+    return anchors.join(summed, ["symbol", "dt"], "left").withColumns({"n": F.coalesce("n", F.lit(0))} | {c: F.coalesce(c, F.lit(0.0)) for c in MICRO})
+
+
+# An order's actions by number; what waiting and an unfilled limit cost; weights of the best and worst price after a fill.
+ACTIONS = ("reject_wait", "market_now", "limit_2tick", "limit_3tick", "limit_half_atr", "passive_limit_1tick")
+WAIT_REWARD, UNFILLED_REWARD, BEST_WEIGHT, WORST_WEIGHT = -5e-5, -2.5e-5, 0.25, 0.1
+
 
+def first_fill_join(events: DataFrame, micro: DataFrame, bars_ahead: int = 10, pip: Column | None = None, atr_slip: float = 0.01, pip_slip: float = 1.0) -> DataFrame:
+    """What each action would have given for each event: a row an event and action.
 
-def first_fill_join(events: DataFrame, micro: DataFrame, bars_ahead: int, through: float, horizon_s: int | None = None) -> DataFrame:
-    """Limit orders against later bars: filled if price trades through the limit by `through` within the first bars_ahead bars.
+    events: (event_id, symbol, dt, direction, atr); micro: (symbol, dt, o, h, l, c).
+    The first bars_ahead bars at or after the event count; the first one's open
+    is the price a market order slips from, by the greater of atr_slip ATR and
+    pip_slip pips, and limits lie 2, 3 or 1 pips or half an ATR behind. A limit
+    is filled by the first bar that trades through it by a pip, and is a near
+    miss if some bar came within a pip and none went through. After the fill
+    (that bar included) mfe and mae are the farthest price for and against the
+    order, and the reward the last close's gain plus a quarter of mfe less a
+    tenth of mae. Waiting and unfilled limits have fixed rewards; without bars
+    nothing is filled and the reward is 0.
 
-    events: (event_id, symbol, dt, direction, limit); micro: (symbol, dt, h, l, c).
-    Returns event_id, n_seen, filled, near_miss (touched, not through), fill_dt,
-    mfe, mae and terminal PnL per unit over the bars seen after the fill.
     The bars of a symbol are numbered by time, so an event meets exactly its
-    first bars_ahead ones, by an equi-join on the number; horizon_s drops those
-    of them that are not within so many seconds.
+    bars_ahead ones by an equi-join on the number; they are put into one short
+    array, which the six actions fold over.
     """
-    m = numbered(micro.select("symbol", F.col("dt").alias("t"), "h", "l", "c"), "__no", [F.col("t")], time="t")
-    e = asof_backward(events, m.select("symbol", F.col("t").alias("dt"), F.col("t").alias("__t"), F.col("__no").alias("__last")), ["__t", "__last"])
+    m = numbered(micro.select("symbol", F.col("dt").alias("t"), "o", "h", "l", "c"), "__no", [F.col("t")], time="t")
+    e = asof_backward(events.select("event_id", "symbol", "dt"), m.select("symbol", F.col("t").alias("dt"), F.col("t").alias("__t"), F.col("__no").alias("__last")), ["__t", "__last"])
     begin = F.when(F.col("__t") == F.col("dt"), F.col("__last")).otherwise(F.coalesce("__last", F.lit(0)) + 1)
     e = e.withColumn("__no", F.explode(F.sequence(begin, begin + (bars_ahead - 1)))).drop("__t", "__last")
-    ahead = e.join(m, ["symbol", "__no"])
-    if horizon_s is not None:
-        ahead = ahead.where(F.col("t") < F.col("dt") + F.expr(f"INTERVAL {horizon_s} SECONDS"))
-    rn = F.row_number().over(Window.partitionBy("event_id").orderBy("t"))
-    seen = ahead.withColumn("rn", rn).where(F.col("rn") <= bars_ahead)
-    buy = F.col("direction") > 0
-    crossed = F.when(buy, F.col("l") <= F.col("limit") - through).otherwise(F.col("h") >= F.col("limit") + through)
-    touched = F.when(buy, F.col("l") <= F.col("limit")).otherwise(F.col("h") >= F.col("limit"))
-    first = F.min(F.when(crossed, F.col("rn"))).over(Window.partitionBy("event_id"))
-    side = F.when(buy, 1.0).otherwise(-1.0)
-    after = F.col("rn") >= F.col("first")
-    best = F.when(buy, F.col("h")).otherwise(F.col("l"))
-    worst = F.when(buy, F.col("l")).otherwise(F.col("h"))
-    out = seen.withColumns({"first": first, "touched": touched, "best": side * (best - F.col("limit")), "worst": side * (worst - F.col("limit")), "end": side * (F.col("c") - F.col("limit"))})
-    found = out.groupBy("event_id").agg(
-        F.count("*").alias("n_seen"), F.max(F.col("first").isNotNull()).alias("filled"), F.max("touched").alias("was_touched"), F.min(F.when(F.col("rn") == F.col("first"), F.col("t"))).alias("fill_dt"),
-        F.max(F.when(after, F.col("best"))).alias("mfe"), F.min(F.when(after, F.col("worst"))).alias("mae"), F.max_by(F.when(after, F.col("end")), "rn").alias("pnl"),
-    )
-    joined = events.select("event_id").join(found, "event_id", "left").withColumns({"n_seen": F.coalesce("n_seen", F.lit(0)), "filled": F.coalesce("filled", F.lit(False))})
-    return joined.withColumn("near_miss", F.coalesce(F.col("was_touched"), F.lit(False)) & ~F.col("filled")).drop("was_touched")
+    seen = e.join(m, ["symbol", "__no"]).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("__no", "t", "o", "h", "l", "c"))).alias("bars"))
+    number = {n: i for i, n in enumerate(ACTIONS)}
+    rows = events.join(seen, "event_id", "left").withColumn("action", F.explode(F.array(*map(F.lit, range(len(ACTIONS))))))
+    pip = pip_size(F.col("symbol")) if pip is None else pip
+    side, first, act = F.when(F.col("direction") > 0, 1.0).otherwise(-1.0), F.get("bars", F.lit(0))["o"], F.col("action")
+    behind = F.when(act == number["limit_2tick"], 2 * pip).when(act == number["limit_3tick"], 3 * pip).when(act == number["limit_half_atr"], 0.5 * F.col("atr")).when(act == number["passive_limit_1tick"], pip)
+    rows = rows.withColumns({"__pip": pip, "__side": side, "__first": first, "limit": first - side * behind})
+    reach = lambda x, by: F.when(F.col("__side") > 0, x["l"] <= F.col("limit") + by).otherwise(x["h"] >= F.col("limit") - by)
+    market = act == number["market_now"]
+    rows = rows.withColumns({"__at": F.when(market & first.isNotNull(), F.lit(1).cast("bigint")).otherwise(F.array_position(F.transform("bars", lambda x: reach(x, -F.col("__pip"))), True)), "__near": F.exists("bars", lambda x: reach(x, F.col("__pip")))})
+    slipped = F.col("__first") + F.col("__side") * F.greatest(atr_slip * F.greatest("atr", F.lit(1e-8)), pip_slip * F.col("__pip"))
+    waits, none = act == number["reject_wait"], F.col("__first").isNull()
+    filled = ~waits & ~none & F.coalesce(F.col("__at") > 0, F.lit(False))
+    rows = rows.withColumn("filled", filled).withColumn("fill_price", F.when(F.col("filled"), F.when(market, slipped).otherwise(F.col("limit"))))
+    rows = rows.withColumn("__rest", F.when(F.col("filled"), F.slice("bars", F.col("__at").cast("int"), bars_ahead)))
+    gain = lambda x: (x - F.col("fill_price")) * F.col("__side")
+    best = F.array_max(F.transform("__rest", lambda x: gain(F.when(F.col("__side") > 0, x["h"]).otherwise(x["l"]))))
+    worst = F.array_max(F.transform("__rest", lambda x: -gain(F.when(F.col("__side") > 0, x["l"]).otherwise(x["h"]))))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    rows = rows.withColumns({"mfe": zero(best), "mae": zero(worst), "edge": zero(gain(F.col("__first"))), "slippage": zero(F.abs(F.col("fill_price") - F.col("__first"))), "__end": gain(F.element_at("__rest", -1)["c"])})
+    reward = F.when(waits, WAIT_REWARD).when(none, 0.0).when(~F.col("filled"), UNFILLED_REWARD).otherwise(F.col("__end") + BEST_WEIGHT * F.greatest("mfe", F.lit(0.0)) - WORST_WEIGHT * F.greatest("mae", F.lit(0.0)))
+    out = rows.withColumns({"reward": reward, "no_fill": ~waits & ~F.col("filled"), "near_miss": ~waits & ~none & ~F.col("filled") & F.coalesce("__near", F.lit(False)), "fill_dt": F.get("__rest", F.lit(0))["t"]})
+    return out.select("event_id", F.get(F.array(*map(F.lit, ACTIONS)), act).alias("action"), "filled", "no_fill", "near_miss", "fill_dt", "fill_price", "reward", "edge", "slippage", "mfe", "mae")
 
 
 def shared_currency(symbols: DataFrame) -> DataFrame:

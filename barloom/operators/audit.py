@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.quantiles import exact_quantiles
+
 
 def audit_coverage(b: DataFrame, expected: DataFrame, period: Column, step_s: int, trading: float = 5 / 7) -> DataFrame:
     """(period, symbol, n, first, last, expected, pct, status) for every period seen and expected symbol."""
@@ -37,7 +39,9 @@ def audit_intraday(b: DataFrame, active: float = 0.35) -> DataFrame:
 
 
 def audit_spreads(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy("symbol").agg(F.min("spread").alias("min"), F.max("spread").alias("max"), F.avg("spread").alias("mean"), F.percentile("spread", F.lit(0.5)).alias("median"), F.count_if(F.col("spread") == 0).alias("zeros"), F.count_if(F.col("spread") < 0).alias("negative"))
+    """(symbol, min, max, mean, median, zeros, negative) of the spreads; the median is exact, without a symbol's spreads in one task."""
+    m = ticks.groupBy("symbol").agg(F.min("spread").alias("min"), F.max("spread").alias("max"), F.avg("spread").alias("mean"), F.count_if(F.col("spread") == 0).alias("zeros"), F.count_if(F.col("spread") < 0).alias("negative"))
+    return m.join(exact_quantiles(ticks, ["symbol"], "spread", [0.5]).withColumnRenamed("q0", "median"), "symbol", "left")
 
 
 def top_flags(ticks: DataFrame, k: int = 5) -> DataFrame:
@@ -58,9 +62,9 @@ def inspect_table(b: DataFrame) -> DataFrame:
 def seasonal_profile_fill(b: DataFrame, column: str, key: Column) -> DataFrame:
     """Nulls of a column filled with the median of their season (hour of week), else the overall median."""
     keyed = b.withColumn("__k", key)
-    by = keyed.where(F.col(column).isNotNull()).groupBy("__k").agg(F.percentile(column, F.lit(0.5)).alias("__m"))
-    overall = keyed.agg(F.percentile(column, F.lit(0.5)).alias("__g"))
-    return keyed.join(F.broadcast(by), "__k", "left").join(F.broadcast(overall)).withColumn(column, F.coalesce(column, "__m", "__g")).drop("__k", "__m", "__g")
+    by = exact_quantiles(keyed, ["__k"], column, [0.5]).withColumnRenamed("q0", "__m")
+    overall = exact_quantiles(keyed, [], column, [0.5]).withColumnRenamed("q0", "__g")
+    return keyed.join(by, "__k", "left").join(F.broadcast(overall), how="left").withColumn(column, F.coalesce(column, "__m", "__g")).drop("__k", "__m", "__g")
 
 
 def dataset_coverage(rows: DataFrame, values: list[str], label: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip
 from barloom.operators.align import pair_self_join
+from barloom.operators.quantiles import exact_quantiles
 
 
 def rolling_corr(rets: DataFrame, n: int = 60, least: int = 10, shrink: float = 0.85) -> DataFrame:
@@ -103,19 +104,35 @@ def static_graph(rets: DataFrame, least: int = 16) -> DataFrame:
     return pairs.where(F.col("n") >= least)
 
 
-def typed_edges(corr: DataFrame, members: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(kind, src, dst, weight): correlation, same class and same session edges both ways, weights of a (kind, src) summing to 1.
+def typed_edges(corr: DataFrame, members: DataFrame, opened: DataFrame) -> DataFrame:
+    """(dt, kind, src, dst, weight) of each bar: three relations both ways, weights of a (dt, kind, src) summing to 1.
 
-    corr: (a, b, corr); members: (symbol, class); sessions: (symbol, session).
+    corr: (dt, a, b, corr) of each bar's pairs, null counting as 0; members:
+    (symbol, class), a small table; opened: (dt, symbol, open). rolling_corr
+    weighs by the Gaussian kernel of the distance, its scale the bar's median
+    distance; fundamental is 1 within a class and .8 between six-letter symbols
+    that share a currency; session joins symbols whose markets are open at the
+    bar. All three are read off one row a pair and bar. A relation without
+    weight has no rows.
     """
-    both = lambda e: e.unionByName(e.select("kind", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-
-    def common(t: DataFrame, by: str, kind: str, weight: float) -> DataFrame:
-        a, b = t.select(F.col("symbol").alias("src"), by), t.select(F.col("symbol").alias("dst"), by)
-        return a.join(b, by).where("src < dst").select("src", "dst").distinct().select(F.lit(kind).alias("kind"), "src", "dst", F.lit(weight).alias("weight"))
-
-    all_ = both(corr.select(F.lit("corr").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), F.abs("corr").alias("weight")).unionByName(common(members, "class", "class", 1.0)).unionByName(common(sessions, "session", "session", 1.0)))
-    return all_.withColumn("weight", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy("kind", "src"))))
+    rho = F.coalesce("corr", F.lit(0.0))
+    pairs = corr.select("dt", "a", "b", F.sqrt(F.greatest(2 * (1 - rho), F.lit(1e-8))).alias("dist"))
+    sigma = pairs.groupBy("dt").agg(F.greatest(F.percentile("dist", F.lit(0.5)), F.lit(1e-4)).alias("sigma"))  # a bar's pairs
+    side = lambda t, s, *c: t.select(*("dt" for _ in [0] if "dt" in t.columns), F.col("symbol").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in c))
+    j = pairs.join(sigma, "dt")
+    for s in ("a", "b"):
+        j = j.join(side(members, s, "class"), s, "left").join(side(opened, s, "open"), ["dt", s], "left")
+    legs = lambda s: F.array(F.substring(s, 1, 3), F.substring(s, 4, 3))
+    money = (F.length("a") >= 6) & (F.length("b") >= 6) & F.arrays_overlap(legs("a"), legs("b"))
+    weights = F.array(
+        F.struct(F.lit("rolling_corr").alias("kind"), F.exp(-F.col("dist") * F.col("dist") / (2 * F.col("sigma") * F.col("sigma"))).alias("w")),
+        F.struct(F.lit("fundamental").alias("kind"), F.when(F.col("class_a") == F.col("class_b"), 1.0).when(money, 0.8).otherwise(0.0).alias("w")),
+        F.struct(F.lit("session").alias("kind"), F.when(F.col("open_a") & F.col("open_b"), 1.0).otherwise(0.0).alias("w")),
+    )
+    one = j.select("dt", "a", "b", F.explode(weights).alias("x")).where("x.w > 0")
+    both = one.select("dt", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "x.kind", "x.w")
+    total = F.sum("w").over(Window.partitionBy("dt", "kind", "e.src"))
+    return both.select("dt", "kind", "e.src", "e.dst", (F.col("w") / F.when(total < 1e-8, 1.0).otherwise(total)).alias("weight"))
 
 
 def laggard_features(rets: DataFrame, n: int = 60, overlap: int = 6, shrink: float = 0.85) -> DataFrame:
@@ -152,11 +169,15 @@ def bucket_stats(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def global_regime_stress(rets: DataFrame) -> DataFrame:
-    """(dt, stress, regime): the bar's median absolute return, coded 1 to 4 by its quantiles .5, .75 and .9 over all bars."""
-    per = rets.groupBy("dt").agg(F.percentile(F.abs("ret"), F.lit(0.5)).alias("stress"))
-    q = per.agg(*(F.percentile("stress", F.lit(p)).alias(f"q{i}") for i, p in enumerate((0.5, 0.75, 0.9))))
+    """(dt, stress, regime): the bar's median absolute return, coded 2, 3 or 4 from the quantiles .5, .75 and .9 over all bars on, else 1.
+
+    A return is null where the bar or the one before is not valid; a bar
+    without any has no stress and regime 1.
+    """
+    per = rets.groupBy("dt").agg(F.percentile(F.abs("ret"), F.lit(0.5)).alias("stress"))  # a bar's symbols
+    q = exact_quantiles(per, [], "stress", [0.5, 0.75, 0.9])
     s = F.col("stress")
-    return per.join(F.broadcast(q)).select("dt", "stress", F.when(s <= F.col("q0"), 1).when(s <= F.col("q1"), 2).when(s <= F.col("q2"), 3).otherwise(4).alias("regime"))
+    return per.join(F.broadcast(q), how="left").select("dt", "stress", F.when(s >= F.col("q2"), 4).when(s >= F.col("q1"), 3).when(s >= F.col("q0"), 2).otherwise(1).alias("regime"))
 
 
 def basket_index(rets: DataFrame, weights: DataFrame) -> DataFrame:
@@ -170,11 +191,17 @@ def net_score(nodes: DataFrame, dead: float = 1e-4) -> DataFrame:
     return nodes.groupBy("dt").agg(((F.count_if(F.col("residual") > dead) - F.count_if(F.col("residual") < -dead)) / F.count("*")).alias("net"))
 
 
-def agreement_ratio(signals: DataFrame, floor: float) -> DataFrame:
-    """(dt, agreement): of signals at or above the confidence floor, the share that has the bar's net direction."""
-    high = signals.where(F.col("confidence") >= floor)
-    net = high.groupBy("dt").agg(F.signum(F.sum("direction")).alias("net"))
-    return high.join(net, "dt").groupBy("dt").agg(F.avg((F.col("direction") == F.col("net")).cast("double")).alias("agreement"))
+def agreement_ratio(nodes: DataFrame, floor: float, dead: float = 1e-4) -> DataFrame:
+    """(dt, agreement): of a bar's symbols at or above the confidence floor, the share whose residual lies beyond the dead zone on the net score's side.
+
+    nodes: (dt, symbol, residual, confidence). The net score counts all
+    symbols; 0 where it is 0, or no symbol reaches the floor.
+    """
+    r, high = F.col("residual"), F.col("confidence") >= floor
+    up, down = (F.count_if(x).alias(n) for x, n in ((r > dead, "up"), (r < -dead, "down")))
+    s = nodes.groupBy("dt").agg(up, down, F.count_if(high).alias("n"), F.count_if(high & (r > dead)).alias("with_up"), F.count_if(high & (r < -dead)).alias("with_down"))
+    aligned = F.when(F.col("up") > F.col("down"), F.col("with_up")).when(F.col("up") < F.col("down"), F.col("with_down")).otherwise(0)
+    return s.select("dt", F.coalesce(F.try_divide(aligned, F.col("n")), F.lit(0.0)).alias("agreement"))
 
 
 def region_influence(rets: DataFrame, influence: DataFrame) -> DataFrame:

@@ -520,11 +520,20 @@ def drawdown(b: DataFrame, equity: str) -> DataFrame:
     return running(b, tops={"peak": F.col(equity)}).withColumn("drawdown", F.try_divide(F.col("peak") - F.col(equity), F.col("peak")))
 
 
-def equity_curve(weights: DataFrame, cost: float, capital: float = 1.0) -> DataFrame:
-    """(dt, ret, turnover, equity) from (symbol, dt, w, ret): w is held over ret, changes cost.
+def rebalanced(weights: DataFrame, every: int) -> DataFrame:
+    """(symbol, dt, w, ret) whose w is taken at every `every`-th bar and held until the next; bars are the distinct times."""
+    bars = weights.select("dt").distinct().withColumn("__i", F.row_number().over(Window.orderBy("dt")) - 1)  # one row a bar
+    w = weights.join(bars, "dt")
+    return running(w, lasts={"__held": F.when(F.col("__i") % every == 0, F.col("w"))}).withColumn("w", F.coalesce("__held", F.lit(0.0))).drop("__i", "__held")
+
+
+def equity_curve(weights: DataFrame, cost: float, capital: float = 1.0, every: int = 1) -> DataFrame:
+    """(dt, ret, turnover, equity) from (symbol, dt, w, ret): w, taken at every `every`-th bar, is held over ret; changes cost.
 
     The running product is over one row a time, not a symbol.
     """
-    per = weights.withColumn("turn", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by_time()), F.lit(0.0))))
+    if every > 1:
+        weights = rebalanced(weights, every)
+    per = in_blocks(weights, 1, lambda x: x.withColumn("turn", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by_time()), F.lit(0.0)))))
     step = per.groupBy("dt").agg(F.sum(F.col("w") * F.col("ret")).alias("gross"), F.sum("turn").alias("turnover")).withColumn("ret", F.col("gross") - F.col("turnover") * cost)
     return step.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)))).drop("gross")

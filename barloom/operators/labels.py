@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.numeric import clip, log_ratio
+from barloom.functions.numeric import clip, log_ratio, spread_cost
 from barloom.operators.indicators import TRADE_SESSIONS, islands
 
 
@@ -35,31 +35,44 @@ def label_threshold(b: DataFrame, h: int, threshold: float) -> DataFrame:
     return b.withColumn("label", F.when(F.col("fwd_sum") - cost > threshold, 2).when(F.col("fwd_sum") + cost < -threshold, 0).otherwise(1)).drop("__r")
 
 
-def label_quantile(b: DataFrame, share_percent: int) -> DataFrame:
-    """Rank labels by forward return within a symbol: the lowest and highest floor(n * share) rows sell (0) and buy (2); ties in order of dt."""
-    b = forward_return(b).where("fwd is not null")
-    up, all_ = Window.partitionBy("symbol").orderBy("fwd", "dt"), Window.partitionBy("symbol")
-    b = b.withColumns({"__rn": F.row_number().over(up), "__n": F.count("*").over(all_)}).withColumn("__k", F.floor(F.col("__n") * share_percent / 100))
-    return b.withColumn("label", F.when(F.col("__rn") <= F.col("__k"), 0).when(F.col("__rn") > F.col("__n") - F.col("__k"), 2).otherwise(1)).drop("__rn", "__n", "__k")
+def label_quantile(b: DataFrame, horizon: int, buy_percent: int = 30, sell_percent: int = 30, real: str | None = None) -> DataFrame:
+    """Rank labels by the sum of the next `horizon` returns: the lowest and highest floor(n * percent / 100) rows sell (0) and buy (2), the rest hold (1).
 
-
-def label_triple_barrier(b: DataFrame, horizon: int, atr: str, spread_share: float = 2.0, atr_share: float = 0.35, start: int = 14) -> DataFrame:
-    """First touch of +-max(spread_share * sp, atr_share * atr) within horizon rows: 1 up, -1 down, 0 none; both in one row: the sign of its close.
-
-    barrier_valid from row `start` on, where horizon rows follow and ATR is known.
+    n counts a symbol's rows that have so many after them and are real; others
+    hold. Ties are in order of dt.
+    """
+    t = by_time()
+    b = b.withColumn("__r", F.coalesce(log_ratio(F.col("c"), F.lag("c").over(t)), F.lit(0.0)))
+    ahead = t.rowsBetween(1, horizon)
+    b = b.withColumn("fwd", F.when(F.count("*").over(ahead) == horizon, F.sum("__r").over(ahead)))
+    b = b.withColumn("__able", F.col("fwd").isNotNull() & (F.coalesce(F.col(real), F.lit(False)) if real else F.lit(True)))
+    w = Window.partitionBy("symbol", "__able")
+    b = b.withColumns({"__rn": F.row_number().over(w.orderBy("fwd", "dt")), "__n": F.count("*").over(w)})
+    low, high = F.floor(F.col("__n") * sell_percent / 100), F.floor(F.col("__n") * buy_percent / 100)
+    label = F.when(~F.col("__able"), 1).when(F.col("__rn") > F.col("__n") - high, 2).when(F.col("__rn") <= low, 0).otherwise(1)
+    return b.withColumn("label", label).drop("__r", "__able", "__rn", "__n")
+
+
+def label_triple_barrier(b: DataFrame, horizon: int, atr: str, pip: Column, spread_share: float = 2.0, atr_share: float = 0.35, start: int = 14, binary: bool = True) -> DataFrame:
+    """First touch of +-max(spread_share * spread cost, atr_share * atr) within horizon rows: 1 up, -1 down, 0 none.
+
+    Both in one row: up if its close is not below the entry. barrier_valid from
+    row `start` on, where horizon rows follow and ATR is known; the binary form
+    takes no row without a touch.
     """
-    barrier = F.greatest(spread_share * F.col("sp"), atr_share * F.col(atr))
+    barrier = F.greatest(spread_share * spread_cost(F.col("sp"), F.col("c"), pip), atr_share * F.col(atr))
     ahead = F.collect_list(F.struct("h", "l", "c")).over(by_time().rowsBetween(1, horizon))
     b = b.withColumns({"barrier": barrier, "__a": ahead, "__rn": F.row_number().over(by_time()) - 1})
     up, down = F.col("c") + F.col("barrier"), F.col("c") - F.col("barrier")
 
     def touch(x: Column) -> Column:
         hi, lo = x["h"] >= up, x["l"] <= down
-        return F.when(hi & lo, F.signum(x["c"] - F.col("c"))).when(hi, 1.0).when(lo, -1.0).otherwise(0.0)
+        return F.when(hi & lo, F.when(x["c"] >= F.col("c"), 1.0).otherwise(-1.0)).when(hi, 1.0).when(lo, -1.0).otherwise(0.0)
 
     first = F.aggregate("__a", F.lit(0.0), lambda s, x: F.when(s != 0, s).otherwise(touch(x)))
+    b = b.withColumn("label", F.when(F.col("barrier").isNotNull(), first).cast("int"))
     valid = (F.col("__rn") >= start) & (F.size("__a") == horizon) & F.col(atr).isNotNull()
-    return b.withColumns({"label": F.when(F.col("barrier").isNotNull(), first).cast("int"), "barrier_valid": valid}).drop("__a", "__rn")
+    return b.withColumn("barrier_valid", valid & (F.col("label") != 0) if binary else valid).drop("__a", "__rn")
 
 
 def label_smooth(y: Column, eps: float) -> Column:
@@ -116,25 +129,25 @@ def valid_rows(b: DataFrame, warm_up: int = 32, tail: int = 6) -> DataFrame:
     return b.where(F.col("real") & (F.col("__rn") >= warm_up) & (F.col("__rn") < F.col("__n") - tail) & (F.col("__real") >= warm_up)).drop("__rn", "__n", "__real")
 
 
-def folds_by_block(b: DataFrame, block: Column, holdout: int = 1, purge: int = 5) -> DataFrame:
+def folds_by_block(b: DataFrame, block: Column, holdout: int = 1, purge: int = 6, least: int = 2) -> DataFrame:
     """(fold, symbol, dt, part): expanding folds over blocks of time.
 
-    Fold k trains on blocks 0..k, validates on block k + 1; the last `holdout`
-    blocks are every fold's holdout. The last `purge` bars of training are left
-    out. Blocks are numbered on the list of distinct times, which is small.
+    Fold k trains on the first `least` + k blocks and validates on the next; the
+    last `holdout` blocks are every fold's holdout. The last `purge` bars of
+    training are left out. Blocks are numbered on the list of distinct times, which is small.
     """
     times = b.select("dt", block.alias("__b")).distinct()
     numbered = times.select("dt", (F.dense_rank().over(Window.orderBy("__b")) - 1).alias("blk"), F.row_number().over(Window.orderBy("dt")).alias("bar"))
     ends = numbered.groupBy("blk").agg(F.max("bar").alias("end"))
     last = numbered.agg((F.max("blk") - holdout).alias("last"))
-    folds = ends.join(F.broadcast(last)).where("blk < last").select(F.col("blk").alias("fold"), F.col("end").alias("train_end"), "last")
-    parts = numbered.join(F.broadcast(folds), (F.col("blk") <= F.col("fold") + 1) | (F.col("blk") > F.col("last")))
-    part = F.when(F.col("blk") > F.col("last"), "holdout").when(F.col("blk") == F.col("fold") + 1, "valid").when(F.col("bar") <= F.col("train_end") - purge, "train")
+    folds = ends.join(F.broadcast(last)).where(f"blk < last and blk >= {least - 1}").select((F.col("blk") - (least - 1)).alias("fold"), F.col("end").alias("train_end"), "last")
+    parts = numbered.join(F.broadcast(folds), (F.col("blk") <= F.col("fold") + least) | (F.col("blk") > F.col("last")))
+    part = F.when(F.col("blk") > F.col("last"), "holdout").when(F.col("blk") == F.col("fold") + least, "valid").when(F.col("bar") <= F.col("train_end") - purge, "train")
     return b.select("symbol", "dt").join(parts.select("dt", "fold", part.alias("part")).where("part is not null"), "dt").select("fold", "symbol", "dt", "part")
 
 
-def folds_walkforward(b: DataFrame, unit: str = "week", holdout: int = 1, purge: int = 5) -> DataFrame:
-    return folds_by_block(b, F.date_trunc(unit, F.col("dt")), holdout, purge)
+def folds_walkforward(b: DataFrame, unit: str = "week", holdout: int = 1, purge: int = 6, least: int = 2) -> DataFrame:
+    return folds_by_block(b, F.date_trunc(unit, F.col("dt")), holdout, purge, least)
 
 
 def folds_expanding(b: DataFrame, block: Column, min_train: int = 1, purge: int = 5) -> DataFrame:

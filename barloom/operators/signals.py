@@ -33,30 +33,46 @@ def entry_direction(p: Column, vol: Column, base: float = 0.65, slope: float = 1
     return F.when(open_ & (p >= threshold), 1).when(open_ & (p <= 1 - threshold), -1).otherwise(0)
 
 
-def entry_gate(direction: Column, p_entry: Column, p: Column) -> tuple[Column, Column]:
-    """Whether the second probability agrees, and the lesser confidence of the two."""
-    agrees = ((direction > 0) & (p_entry >= 0.5)) | ((direction < 0) & (p_entry < 0.5))
-    return agrees, F.least(F.abs(2 * p - 1), F.abs(2 * p_entry - 1))
+def entry_gate(direction: Column, p_entry: Column, p: Column, threshold: float = 0.5) -> tuple[Column, Column]:
+    """Whether the second probability backs the direction, and the trade's confidence.
 
+    Each probability counts for the direction's side, p for a buy and 1 - p for
+    a sale. The second one passes at the threshold, and if it is missing. The
+    confidence is the lesser of the two, or the first alone. Without a direction
+    nothing passes and there is no confidence.
+    """
+    side = lambda x: F.when(direction > 0, x).when(direction < 0, 1 - x)
+    agrees = (direction != 0) & (p_entry.isNull() | F.coalesce(side(p_entry) >= threshold, F.lit(False)))
+    return agrees, F.least(side(p), side(p_entry))
+
+
+def bracket_prices(rows: DataFrame, atr: str, slip: float = 0.05, tp: float = 2.0, sl: float = 1.0, atr_cap: float = 0.02, most_loss: float = 0.01, spread: Column | None = None, tp_spreads: float = 5.0, sl_spreads: float = 3.0) -> DataFrame:
+    """entry, tp and sl prices of a direction: ATR capped at a share of the price and never 0, the loss capped at another share of the entry.
 
-def bracket_prices(rows: DataFrame, atr: str, slip: float = 0.05, tp: float = 2.0, sl: float = 1.0, atr_cap: float = 0.02, most_loss: float = 0.01) -> DataFrame:
-    """entry, tp and sl prices of a direction: ATR capped at a share of the price, the loss at another."""
-    a = F.least(F.col(atr), F.abs("c") * atr_cap)
+    With a spread, target and stop lie at least tp_spreads and sl_spreads of it away.
+    """
+    a = F.greatest(F.least(F.col(atr), F.greatest(F.abs("c"), F.lit(1e-8)) * atr_cap), F.lit(1e-8))
     d = F.col("direction")
     rows = rows.withColumns({"entry_px": F.col("c") + d * slip * a, "__a": a})
-    loss = F.least(sl * F.col("__a"), F.col("entry_px") * most_loss)
-    return rows.withColumns({"tp_px": F.col("entry_px") + d * tp * F.col("__a"), "sl_px": F.col("entry_px") - d * loss}).drop("__a")
+    gain, loss = tp * F.col("__a"), F.least(sl * F.col("__a"), F.greatest(F.abs("entry_px"), F.lit(1e-8)) * most_loss)
+    if spread is not None:
+        gain, loss = F.greatest(gain, tp_spreads * spread), F.greatest(loss, sl_spreads * spread)
+    return rows.withColumns({"tp_px": F.col("entry_px") + d * gain, "sl_px": F.col("entry_px") - d * loss}).drop("__a")
+
+
+# Fixed values of the gates: net score, confidence, ATR ratio from and to, agreement, spectral gap; the regime that closes them.
+NET, CONFIDENCE, ATR_FROM, ATR_TO, AGREEMENT, GAP, CLOSED = 0.15, 0.55, 0.3, 2.8, 0.5, 0.004, "FRAGMENTED"
 
 
 def six_gates(rows: DataFrame) -> DataFrame:
-    """Six boolean gates and all_pass; needs net, confidence, trend, direction, atr_ratio, agreement, regime."""
+    """Six boolean gates and all_pass; needs net, confidence, trend, direction, atr_ratio, agreement, regime (by name) and gap. A null closes its gate."""
     gates = {
-        "g_net": F.abs("net") >= 0.1,
-        "g_conf": F.col("confidence") >= 0.3,
-        "g_trend": F.signum("trend") == F.col("direction"),
-        "g_atr": F.col("atr_ratio").between(0.5, 2.5),
-        "g_agree": F.col("agreement") >= 0.5,
-        "g_regime": F.col("regime") < 4,
+        "g_net": F.abs("net") >= NET,
+        "g_conf": F.col("confidence") >= CONFIDENCE,
+        "g_trend": ((F.col("direction") > 0) & (F.col("trend") > 0)) | ((F.col("direction") < 0) & (F.col("trend") < 0)),
+        "g_atr": F.col("atr_ratio").between(ATR_FROM, ATR_TO),
+        "g_agree": F.col("agreement") >= AGREEMENT,
+        "g_regime": (F.col("regime") != CLOSED) & (F.col("gap") > GAP),
     }
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in gates.items()})
     every = F.lit(True)
@@ -87,17 +103,24 @@ def latest_snapshot(b: DataFrame) -> DataFrame:
     return top.select("symbol", "x.*")
 
 
-def exposure_cap(rows: DataFrame, score: str, cap: int) -> DataFrame:
-    """Greedy acceptance within a bar by score: refused when `cap` accepted symbols share a currency.
+def exposure_cap(rows: DataFrame, score: str, cap: int, opened: DataFrame | None = None) -> DataFrame:
+    """Greedy acceptance within a bar by score, ties by symbol: refused when `cap` accepted or open positions share a currency.
 
-    The fold holds one bar's symbols, of which there are at most as many as instruments.
+    opened: (dt, symbol), positions open at a bar. The fold holds one bar's
+    symbols, of which there are at most as many as instruments.
     """
-    item = F.struct((-F.col(score)).alias("k"), "symbol", F.array(F.substring("symbol", 1, 3), F.substring("symbol", 4, 3)).alias("legs"))
+    legs = F.array(F.substring("symbol", 1, 3), F.substring("symbol", 4, 3))
+    item = F.struct((-F.col(score)).alias("k"), "symbol", legs.alias("legs"))
     held = rows.groupBy("dt").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = "array<struct<symbol:string,legs:array<string>>>"
+    before = F.array().cast(kind)
+    if opened is not None:
+        held = held.join(opened.groupBy("dt").agg(F.collect_list(F.struct("symbol", legs.alias("legs"))).alias("open")), "dt", "left")
+        before = F.coalesce("open", before)
     busy = lambda s, x: F.size(F.filter(s, lambda y: F.arrays_overlap(y["legs"], x["legs"])))
-    taken = F.aggregate("items", F.array().cast(kind), lambda s, x: F.when(busy(s, x) < cap, F.concat(s, F.array(F.struct(x["symbol"].alias("symbol"), x["legs"].alias("legs"))))).otherwise(s))
-    return held.select("dt", F.explode(taken).alias("x")).select("dt", F.col("x.symbol").alias("symbol"))
+    taken = F.aggregate("items", before, lambda s, x: F.when(busy(s, x) < cap, F.concat(s, F.array(F.struct(x["symbol"].alias("symbol"), x["legs"].alias("legs"))))).otherwise(s))
+    new = F.slice(taken, F.size(before) + 1, F.size("items")) if opened is not None else taken
+    return held.select("dt", F.explode(new).alias("x")).select("dt", F.col("x.symbol").alias("symbol"))
 
 
 def hysteresis(rows: DataFrame, buy: str, sell: str, entry: float = 0.6, leave: float = 0.52, edge: float = 0.0) -> DataFrame:
@@ -129,7 +152,8 @@ def _then(first: Column, second: Column) -> Column:
 
 
 def sized_signal(direction: Column, confidence: Column, regime_scale: Column) -> Column:
-    return direction * confidence * regime_scale
+    """0 without a direction."""
+    return F.coalesce(direction * confidence, F.lit(0.0)) * regime_scale
 
 
 def order_events(scored: DataFrame) -> DataFrame:
@@ -138,10 +162,24 @@ def order_events(scored: DataFrame) -> DataFrame:
     return open_.select("symbol", "dt", F.when(F.col("p") >= 0.5, 1).otherwise(-1).alias("direction"), "p", "c", "sp", "tk", "session_code")
 
 
+# The sessions' names by code, and an order state's columns in order.
+SESSIONS = ("closed", "tokyo", "london", "newyork", "overlap")
+STATE = (
+    "prob_buy", "prob_entry", "atr", "volatility", "spread", "tick_count", *(f"session_{s}" for s in SESSIONS),
+    "tpo_poc_distance_atr", "tpo_value_area_width_atr", "tpo_balance_score", "tpo_support_score", "tpo_resistance_score", "tpo_rejection_score", "tpo_poc_drift_atr", "tpo_value_area_overlap",
+    "tick_velocity_mean", "tick_velocity_std", "spread_z_mean", "spread_z_last", "bid_ask_imbalance_mean", "bid_ask_imbalance_abs_max", "price_velocity_last",
+)
+
+
 def order_state(events: DataFrame, micro: DataFrame) -> DataFrame:
-    """order_events with the five sessions one-hot and the micro window's summary; micro keyed (symbol, dt)."""
-    hot = {f"session_{i}": (F.col("session_code") == i).cast("int") for i in range(5)}
-    return events.join(micro, ["symbol", "dt"], "left").withColumns(hot)
+    """events with the 26 columns of STATE; micro: interval_join_window's seven features keyed (symbol, dt).
+
+    events: p, p_entry (may be null: .5), atr, volatility, sp, tk, session_code
+    and the eight features of tpo_memory. A code that is no session gives zeros.
+    """
+    hot = {f"session_{s}": F.coalesce((F.col("session_code") == i).cast("double"), F.lit(0.0)) for i, s in enumerate(SESSIONS)}
+    own = {"prob_buy": F.col("p"), "prob_entry": F.coalesce("p_entry", F.lit(0.5)), "spread": F.col("sp"), "tick_count": F.col("tk").cast("double")}
+    return events.join(micro, ["symbol", "dt"], "left").withColumns(hot | own).select("symbol", "dt", "direction", *STATE)
 
 
 def market_neutral(rows: DataFrame, raw: str, gross: float = 1.0) -> DataFrame:

@@ -191,29 +191,48 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return align.pair_self_join(hourly(spark, d), "c")
 
 
-SECOND = "(SELECT symbol, date_trunc('second', ts) AS dt, arg_max(mid, id) AS c, max(mid) AS h, min(mid) AS l, avg(spread) AS sp, count(*) AS tk FROM quotes GROUP BY 1, 2)"
+SECOND = "(SELECT symbol, date_trunc('second', ts) AS dt, arg_min(mid, id) AS o, arg_max(mid, id) AS c, max(mid) AS h, min(mid) AS l, avg(spread) AS sp, count(*) AS tk FROM quotes GROUP BY 1, 2)"
 
 
-@query("interval_join_window", "symbol:s dt:t n:i sp_mean:d sp_max:d sp_last:d ticks:i c_last:d drift:d", f"""
-  SELECT b.symbol, b.dt, count(m.dt) AS n, avg(m.sp) AS sp_mean, max(m.sp) AS sp_max, arg_max(m.sp, m.dt) AS sp_last, coalesce(sum(m.tk), 0) AS ticks, arg_max(m.c, m.dt) AS c_last, arg_max(m.c, m.dt) / arg_min(m.c, m.dt) - 1 AS drift
-  FROM bars b LEFT JOIN {SECOND} m ON m.symbol = b.symbol AND m.dt < b.dt AND m.dt >= b.dt - INTERVAL 3600 SECOND GROUP BY 1, 2""")
+MICRO_BARS = f"(SELECT *, tk AS tick_velocity, sp * 1e3 AS spread_z, 2 * c - h - l AS bid_ask_imbalance, c - o AS price_velocity FROM {SECOND})"
+MICRO_SQL = f"""SELECT b.symbol, b.dt, count(m.dt) AS n, coalesce(avg(tick_velocity), 0) AS tick_velocity_mean, coalesce(stddev_pop(tick_velocity), 0) AS tick_velocity_std, coalesce(avg(spread_z), 0) AS spread_z_mean, coalesce(arg_max(spread_z, m.dt), 0) AS spread_z_last,
+  coalesce(avg(bid_ask_imbalance), 0) AS bid_ask_imbalance_mean, coalesce(max(abs(bid_ask_imbalance)), 0) AS bid_ask_imbalance_abs_max, coalesce(arg_max(price_velocity, m.dt), 0) AS price_velocity_last
+  FROM bars b LEFT JOIN {MICRO_BARS} m ON m.symbol = b.symbol AND m.dt < b.dt AND m.dt >= b.dt - INTERVAL 3600 SECOND GROUP BY 1, 2"""
+
+
+def micro_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Second bars with the four channels that windows before an entry are summed up from."""
+    b = bars.bars_1s(quotes(spark, d))
+    return b.withColumns({"tick_velocity": F.col("tk"), "spread_z": F.col("sp") * 1e3, "bid_ask_imbalance": 2 * F.col("c") - F.col("h") - F.col("l"), "price_velocity": F.col("c") - F.col("o")})
+
+
+@query("interval_join_window", " ".join(["symbol:s dt:t n:i", *(f"{c}:d" for c in align.MICRO)]), MICRO_SQL)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return align.interval_join_window(hourly(spark, d).select("symbol", "dt"), bars.bars_1s(quotes(spark, d)), 3600)
+    """Events are sparse, so the window is an hour."""
+    return align.interval_join_window(hourly(spark, d).select("symbol", "dt"), micro_bars(spark, d), 3600)
+
+
+FILLED = """
+  WITH e AS (SELECT id AS event_id, symbol, ts AS dt, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dir, mid * 0.05 AS atr, mid * 0.01 AS pip FROM quotes),
+  n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS no FROM """ + SECOND + """),
+  f AS (SELECT e.*, (SELECT min(no) FROM n WHERE n.symbol = e.symbol AND n.dt >= e.dt) AS no FROM e),
+  b AS (SELECT event_id, list({'t': n.dt, 'o': n.o, 'h': n.h, 'l': n.l, 'c': n.c} ORDER BY n.dt) AS bars FROM f JOIN n ON n.symbol = f.symbol AND n.no >= f.no AND n.no < f.no + 5 GROUP BY 1),
+  x AS (SELECT e.*, b.bars, b.bars[1].o AS mid, unnest(range(6)) AS act FROM e LEFT JOIN b USING (event_id)),
+  l AS (SELECT *, mid - dir * CASE act WHEN 2 THEN 2 * pip WHEN 3 THEN 3 * pip WHEN 4 THEN 0.5 * atr WHEN 5 THEN pip END AS lim FROM x),
+  r AS (SELECT *, CASE WHEN act = 1 AND mid IS NOT NULL THEN 1 ELSE list_position(list_transform(bars, lambda v: CASE WHEN dir > 0 THEN v.l <= lim - pip ELSE v.h >= lim + pip END), true) END AS pos, len(list_filter(bars, lambda v: CASE WHEN dir > 0 THEN v.l <= lim + pip ELSE v.h >= lim - pip END)) > 0 AS near FROM l),
+  p AS (SELECT *, act <> 0 AND mid IS NOT NULL AND coalesce(pos > 0, false) AS filled, CASE WHEN act = 1 THEN mid + dir * greatest(0.01 * greatest(atr, 1e-8), pip) ELSE lim END AS price FROM r),
+  q AS (SELECT *, CASE WHEN filled THEN bars[pos:] END AS rest FROM p),
+  g AS (SELECT *, CASE WHEN filled THEN list_max(list_transform(rest, lambda v: dir * (CASE WHEN dir > 0 THEN v.h ELSE v.l END - price))) ELSE 0 END AS mfe, CASE WHEN filled THEN list_max(list_transform(rest, lambda v: -dir * (CASE WHEN dir > 0 THEN v.l ELSE v.h END - price))) ELSE 0 END AS mae FROM q)
+  SELECT event_id, ['reject_wait', 'market_now', 'limit_2tick', 'limit_3tick', 'limit_half_atr', 'passive_limit_1tick'][act + 1] AS action, filled, act <> 0 AND NOT filled AS no_fill, act <> 0 AND mid IS NOT NULL AND NOT filled AND coalesce(near, false) AS near_miss, rest[1].t AS fill_dt, CASE WHEN filled THEN price END AS fill_price,
+    CASE WHEN act = 0 THEN -5e-5 WHEN mid IS NULL THEN 0 WHEN NOT filled THEN -2.5e-5 ELSE dir * (rest[-1].c - price) + 0.25 * greatest(mfe, 0) - 0.1 * greatest(mae, 0) END AS reward, CASE WHEN filled THEN dir * (mid - price) ELSE 0 END AS edge, CASE WHEN filled THEN abs(price - mid) ELSE 0 END AS slippage, mfe, mae FROM g"""
 
 
-@query("first_fill_join", "event_id:i n_seen:i filled:b near_miss:b fill_dt:t mfe:d mae:d pnl:d", f"""
-  WITH e AS (SELECT id AS event_id, symbol, ts AS dt, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dir, mid * CASE WHEN k % 2 = 0 THEN 0.9 ELSE 1.1 END AS lim FROM quotes),
-  s AS (SELECT * FROM (SELECT e.*, m.dt AS t, m.h, m.l, m.c, row_number() OVER (PARTITION BY event_id ORDER BY m.dt) AS rn FROM e JOIN {SECOND} m ON m.symbol = e.symbol AND m.dt >= e.dt AND m.dt < e.dt + INTERVAL 7200 SECOND) WHERE rn <= 5),
-  x AS (SELECT *, min(CASE WHEN (dir > 0 AND l <= lim - 0.01) OR (dir < 0 AND h >= lim + 0.01) THEN rn END) OVER (PARTITION BY event_id) AS f FROM s),
-  g AS (SELECT event_id, count(*) AS n_seen, max(f) IS NOT NULL AS filled, bool_or((dir > 0 AND l <= lim) OR (dir < 0 AND h >= lim)) AS touched, min(CASE WHEN rn = f THEN t END) AS fill_dt,
-    max(CASE WHEN rn >= f THEN dir * (CASE WHEN dir > 0 THEN h ELSE l END - lim) END) AS mfe, min(CASE WHEN rn >= f THEN dir * (CASE WHEN dir > 0 THEN l ELSE h END - lim) END) AS mae,
-    arg_max(CASE WHEN rn >= f THEN dir * (c - lim) END, rn) AS pnl FROM x GROUP BY 1)
-  SELECT e.event_id, coalesce(n_seen, 0) AS n_seen, coalesce(filled, false) AS filled, coalesce(touched, false) AND NOT coalesce(filled, false) AS near_miss, fill_dt, mfe, mae, pnl FROM e LEFT JOIN g USING (event_id)""")
+@query("first_fill_join", "event_id:i action:s filled:b no_fill:b near_miss:b fill_dt:t fill_price:d reward:d edge:d slippage:d mfe:d mae:d", FILLED)
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """A pip is a hundredth of the event's price, so that prices of events far apart fill and miss."""
     q = quotes(spark, d)
-    even = F.col("k") % 2 == 0
-    events = q.select(F.col("id").alias("event_id"), "symbol", F.col("ts").alias("dt"), F.when(even, 1).otherwise(-1).alias("direction"), (F.col("mid") * F.when(even, 0.9).otherwise(1.1)).alias("limit"))
-    return align.first_fill_join(events, bars.bars_1s(q), 5, 0.01, 7200)
+    events = q.select(F.col("id").alias("event_id"), "symbol", F.col("ts").alias("dt"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("direction"), (F.col("mid") * 0.05).alias("atr"), (F.col("mid") * 0.01).alias("pip"))
+    return align.first_fill_join(events, bars.bars_1s(q), 5, F.col("pip"))
 
 
 LEGS = "SELECT DISTINCT upper(substr(p_name, 1, 6)) AS symbol FROM part WHERE length(p_name) >= 6"

@@ -9,7 +9,8 @@ from barloom.functions import calendar
 from barloom.functions.numeric import liquidity_stress
 from barloom.operators import graph, profile
 from barloom.operators import indicators as ind
-from barloom.plans.indicator_queries import SESSION, TR, over
+from barloom.operators.carry import in_blocks
+from barloom.plans.indicator_queries import ALL, SESSION, TR, over
 from barloom.plans.registry import SQL, hourly, query, returns
 
 PAIR = "(PARTITION BY a, b ORDER BY dt ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
@@ -91,12 +92,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 CLASS = "CASE WHEN symbol IN ('view', 'click') THEN 'browse' ELSE 'act' END"
 
 
-@query("typed_edges", "kind:s src:s dst:s weight:d", f"WITH m AS (SELECT DISTINCT symbol, {CLASS} AS class FROM bars), s AS (SELECT DISTINCT symbol, {SESSION.format('dt')} AS session FROM bars), u AS (SELECT 'corr' AS kind, a, b, abs(corr) AS w FROM {STATIC} UNION ALL SELECT DISTINCT 'class', x.symbol, y.symbol, 1.0 FROM m x JOIN m y ON x.class = y.class AND x.symbol < y.symbol UNION ALL SELECT DISTINCT 'session', x.symbol, y.symbol, 1.0 FROM s x JOIN s y ON x.session = y.session AND x.symbol < y.symbol), f AS (SELECT kind, a AS src, b AS dst, w FROM u UNION ALL SELECT kind, b, a, w FROM u) SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS weight FROM f")
+EDGE_DIST = f"(SELECT dt, a, b, sqrt(greatest(2 * (1 - coalesce(corr, 0)), 1e-8)) AS dist FROM {CORR})"
+
+
+@query("typed_edges", "dt:t kind:s src:s dst:s weight:d", f"""
+  WITH p AS (SELECT d.*, sigma FROM {EDGE_DIST} d JOIN (SELECT dt, greatest(quantile_cont(dist, 0.5), 1e-4) AS sigma FROM {EDGE_DIST} GROUP BY 1) s ON s.dt = d.dt),
+  o AS (SELECT symbol, dt, tk % 2 = 0 AND {SESSION.format('dt')} <> 0 AS open FROM bars), m AS (SELECT DISTINCT symbol, {CLASS} AS class FROM bars),
+  j AS (SELECT p.*, x.class = y.class AS alike, u.open AND v.open AS opened, length(a) >= 6 AND length(b) >= 6 AND list_has_any([substr(a, 1, 3), substr(a, 4, 3)], [substr(b, 1, 3), substr(b, 4, 3)]) AS money
+    FROM p JOIN m x ON x.symbol = a JOIN m y ON y.symbol = b JOIN o u ON u.symbol = a AND u.dt = p.dt JOIN o v ON v.symbol = b AND v.dt = p.dt),
+  w AS (SELECT dt, a, b, 'rolling_corr' AS kind, exp(-dist * dist / (2 * sigma * sigma)) AS w FROM j UNION ALL SELECT dt, a, b, 'fundamental', CASE WHEN alike THEN 1.0 WHEN money THEN 0.8 ELSE 0.0 END FROM j UNION ALL SELECT dt, a, b, 'session', CASE WHEN opened THEN 1.0 ELSE 0.0 END FROM j),
+  f AS (SELECT dt, kind, a AS src, b AS dst, w FROM w WHERE w > 0 UNION ALL SELECT dt, kind, b, a, w FROM w WHERE w > 0)
+  SELECT dt, kind, src, dst, w / sum(w) OVER (PARTITION BY dt, kind, src) AS weight FROM f""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = _rets(spark, d)
+    r = returns(spark, d)
     members = r.select("symbol", F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act").alias("class")).distinct()
-    sessions = r.select("symbol", calendar.session_code(F.col("dt")).alias("session")).distinct()
-    return graph.typed_edges(graph.static_graph(r), members, sessions)
+    opened = r.select("symbol", "dt", ((F.col("tk") % 2 == 0) & (calendar.session_code(F.col("dt")) != 0)).alias("open"))
+    return graph.typed_edges(graph.rolling_corr(r.select("symbol", "dt", "ret")), members, opened)
 
 
 TRUE_RETS = "(SELECT symbol, dt, ret FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM rets) WHERE rn > 1)"
@@ -162,9 +173,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.bucket_stats(r, members)
 
 
-@query("global_regime_stress", "dt:t stress:d regime:i", "WITH p AS (SELECT dt, quantile_cont(abs(ret), 0.5) AS stress FROM rets GROUP BY 1), q AS (SELECT quantile_cont(stress, 0.5) AS a, quantile_cont(stress, 0.75) AS b, quantile_cont(stress, 0.9) AS c FROM p) SELECT dt, stress, CASE WHEN stress <= a THEN 1 WHEN stress <= b THEN 2 WHEN stress <= c THEN 3 ELSE 4 END AS regime FROM p, q")
+@query("global_regime_stress", "dt:t stress:d regime:i", f"WITH v AS (SELECT dt, CASE WHEN tk % 5 <> 0 AND lag(tk % 5 <> 0, 1, true) OVER {ALL} THEN abs(ret) END AS x FROM rets), p AS (SELECT dt, quantile_cont(x, 0.5) AS stress FROM v GROUP BY 1), q AS (SELECT quantile_cont(stress, 0.5) AS a, quantile_cont(stress, 0.75) AS b, quantile_cont(stress, 0.9) AS c FROM p) SELECT dt, stress, CASE WHEN stress >= c THEN 4 WHEN stress >= b THEN 3 WHEN stress >= a THEN 2 ELSE 1 END AS regime FROM p, q")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.global_regime_stress(_rets(spark, d))
+    real = F.col("tk") % 5 != 0
+    both = in_blocks(returns(spark, d), 1, lambda x: x.withColumn("ok", real & F.coalesce(F.lag(real).over(ind.by_time()), F.lit(True))))
+    return graph.global_regime_stress(both.select("dt", F.when(F.col("ok"), F.col("ret")).alias("ret")))
 
 
 @query("basket_index", "dt:t basket:d", "SELECT dt, sum(w * ret) / sum(abs(w)) AS basket FROM (SELECT dt, ret, CASE symbol WHEN 'view' THEN 0.5 WHEN 'click' THEN -0.3 WHEN 'purchase' THEN 0.2 END AS w FROM rets) WHERE w IS NOT NULL GROUP BY 1")
@@ -179,9 +192,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.net_score(_nodes(spark, d))
 
 
-@query("agreement_ratio", "dt:t agreement:d", "WITH s AS (SELECT dt, sign(ret)::INT AS direction, least(abs(ret), 1) AS conf FROM rets), n AS (SELECT dt, sign(sum(direction)) AS net FROM s WHERE conf >= 0.3 GROUP BY 1) SELECT s.dt, avg(CASE WHEN direction = net THEN 1.0 ELSE 0.0 END) AS agreement FROM s JOIN n ON s.dt = n.dt WHERE conf >= 0.3 GROUP BY 1")
+@query("agreement_ratio", "dt:t agreement:d", f"WITH n AS (SELECT n.*, (tk % 10) / 10.0::DOUBLE AS conf FROM {NODES} n JOIN bars b ON b.dt = n.dt AND b.symbol = n.symbol), s AS (SELECT dt, count(*) FILTER (residual > 1e-4) AS up, count(*) FILTER (residual < -1e-4) AS down, count(*) FILTER (conf >= 0.2) AS n, count(*) FILTER (conf >= 0.2 AND residual > 1e-4) AS wu, count(*) FILTER (conf >= 0.2 AND residual < -1e-4) AS wd FROM n GROUP BY 1) SELECT dt, coalesce(CASE WHEN up > down THEN wu WHEN up < down THEN wd ELSE 0 END / nullif(n, 0), 0) AS agreement FROM s")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.agreement_ratio(_rets(spark, d).select("dt", F.signum("ret").cast("int").alias("direction"), F.least(F.abs("ret"), F.lit(1.0)).alias("confidence")), 0.3)
+    n = _nodes(spark, d).join(hourly(spark, d).select("symbol", "dt", (F.col("tk") % 10 / 10).alias("confidence")), ["symbol", "dt"])
+    return graph.agreement_ratio(n, 0.2)
 
 
 @query("region_influence", "dt:t target:s pull:d", "SELECT dt, target, avg(ret) AS pull FROM rets JOIN (SELECT DISTINCT x.symbol AS source, y.symbol AS target FROM bars x, bars y WHERE x.symbol < y.symbol) ON source = symbol GROUP BY 1, 2")
@@ -218,12 +232,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return wide.join(label, "dt", "left").withColumn("rn", rn).where("rn > 120 and (rn - 120) % 15 = 1")
 
 
-@query("tpo_profile", "symbol:s dt:t poc:d vah:d val:d low:d high:d balance:d dist_poc:d width:d degenerate:b")
+def _profiles(windows: str, bins: int) -> str:
+    """Profiles of windows (symbol, dt, k, c, atr, w): each value area grows by a recursion over rows."""
+    edge = "CASE WHEN {0} = %d THEN hi ELSE lo + {0} * st END" % bins
+    unit = "least(greatest({0}, {1}), 50)"
+    return f"""(WITH RECURSIVE x AS (SELECT *, list_min(list_transform(w, lambda v: v.l)) AS lo, list_max(list_transform(w, lambda v: v.h)) AS hi FROM {windows}),
+      s AS (SELECT *, (hi - lo) / {bins} AS st FROM x WHERE atr > 1e-6 AND hi - lo >= 1e-8),
+      n AS (SELECT * EXCLUDE (w), list_transform(range({bins}), lambda b: len(list_filter(w, lambda v: least(floor((v.l - lo) / st), {bins - 1}) <= b AND b < greatest(least(ceil((v.h - lo) / st), {bins}), 1)))) AS n FROM s),
+      t AS (SELECT *, list_sum(n) AS al, list_max(n) AS top, list_position(n, list_max(n)) - 1 AS poc FROM n),
+      g AS (SELECT symbol, dt, k, n, al, poc AS i, poc AS j, top::DOUBLE AS has FROM t UNION ALL
+        SELECT symbol, dt, k, n, al, CASE WHEN up THEN i ELSE i - 1 END, CASE WHEN up THEN j + 1 ELSE j END, has + CASE WHEN up THEN n[j + 2] ELSE n[i] END
+        FROM (SELECT *, i = 0 OR (j < {bins - 1} AND n[j + 2] >= n[i]) AS up FROM g WHERE has < 0.7 * al AND (i > 0 OR j < {bins - 1}))),
+      a AS (SELECT symbol, dt, k, min(i) AS i, max(j) AS j FROM g GROUP BY ALL),
+      r AS (SELECT symbol, dt, k, ({edge.format('poc')} + {edge.format('(poc + 1)')}) / 2 AS poc, {edge.format('(j + 1)')} AS vah, {edge.format('i')} AS val, lo, hi, top / al AS balance FROM t JOIN a USING (symbol, dt, k))
+      SELECT x.symbol, x.dt, x.k, x.c, x.atr, x.w, coalesce(poc, c) AS poc, coalesce(vah, c) AS vah, coalesce(val, c) AS val, coalesce(r.lo, c) AS low, coalesce(r.hi, c) AS high, coalesce(balance, CASE WHEN atr > 1e-6 THEN 1 ELSE 0 END) AS balance,
+        CASE WHEN poc IS NULL THEN 0 ELSE {unit.format('(c - poc) / atr', '-50')} END AS dist_poc, CASE WHEN poc IS NULL THEN 0 ELSE {unit.format('(vah - val) / atr', '0')} END AS width, NOT coalesce(atr > 1e-6, false) AS degenerate FROM x LEFT JOIN r USING (symbol, dt, k))"""
+
+
+ATRS = f"(SELECT b.*, a.atr_series AS atr FROM bars b JOIN ({SQL['atr_series']}) a USING (symbol, dt))"
+LAST_48 = f"(SELECT symbol, dt, 48 AS k, c, atr, list({{'h': h, 'l': l, 'c': c}}) OVER {over(47)} AS w FROM {ATRS})"
+LOOKBACKS = f"(SELECT symbol, dt, k, c, atr, w[greatest(len(w) - k, 0) + 1:] AS w FROM (SELECT symbol, dt, c, atr, list({{'h': h, 'l': l, 'c': c}}) OVER {over(191)} AS w FROM {ATRS}), (SELECT unnest([24, 48, 96, 192]) AS k))"
+
+
+@query("tpo_profile", "symbol:s dt:t poc:d vah:d val:d low:d high:d balance:d dist_poc:d width:d degenerate:b", f"SELECT * FROM {_profiles(LAST_48, 24)}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.tpo_profile(ind.atr_series(hourly(spark, d)), "atr_series")
 
 
-@query("tpo_memory_8", "symbol:s dt:t tpo_poc_distance_atr:d tpo_value_area_width_atr:d tpo_balance_score:d tpo_support_score:d tpo_resistance_score:d tpo_rejection_score:d tpo_poc_drift_atr:d tpo_value_area_overlap:d")
+MEMORY = f"""(WITH p AS (SELECT *, 1 / sqrt(len(w)) AS wt FROM {_profiles(LOOKBACKS, 32)}),
+  m AS (SELECT symbol, dt, any_value(c) AS c, any_value(atr) AS atr, max(len(w)) AS n, bool_or(degenerate) AS degenerate, arg_max(w, k) AS w, sum(wt * dist_poc) / sum(wt) AS dist, sum(wt * width) / sum(wt) AS width, sum(wt * balance) / sum(wt) AS balance,
+    sum(CASE WHEN c < val THEN wt ELSE 0 END) / sum(wt) AS support, sum(CASE WHEN c > vah THEN wt ELSE 0 END) / sum(wt) AS resistance, list(wt ORDER BY k) AS wts, list(poc ORDER BY k) AS pocs, list(vah ORDER BY k) AS vahs, list(val ORDER BY k) AS vals,
+    arg_min(dist_poc, k) AS d1, arg_min(width, k) AS w1, arg_min(balance, k) AS b1 FROM p GROUP BY 1, 2),
+  z AS (SELECT *, vahs[1] + list_sum(list_transform(range(1, 5), lambda i: wts[i] * (vahs[i] - vahs[1]))) / list_sum(wts) AS mvah, vals[1] + list_sum(list_transform(range(1, 5), lambda i: wts[i] * (vals[i] - vals[1]))) / list_sum(wts) AS mval FROM m),
+  o AS (SELECT *, list_avg(list_transform(w[greatest(n - 12, 0) + 1:], lambda v: CASE WHEN v.c >= mval AND v.c <= mvah THEN 1.0 ELSE 0.0 END)) AS inside, list_avg(list_transform(range(1, 4), lambda i: greatest(least(vahs[i], vahs[i + 1]) - greatest(vals[i], vals[i + 1]), 0) / greatest(vahs[i] - vals[i], vahs[i + 1] - vals[i + 1], 1e-8))) AS shared FROM z)
+  SELECT symbol, dt, CASE WHEN degenerate THEN 0 WHEN n < 12 THEN d1 ELSE dist END AS tpo_poc_distance_atr, CASE WHEN degenerate THEN 0 WHEN n < 12 THEN w1 ELSE width END AS tpo_value_area_width_atr, CASE WHEN degenerate THEN 0 WHEN n < 12 THEN b1 ELSE balance END AS tpo_balance_score,
+    CASE WHEN degenerate OR n < 12 THEN 0 ELSE support END AS tpo_support_score, CASE WHEN degenerate OR n < 12 THEN 0 ELSE resistance END AS tpo_resistance_score, CASE WHEN degenerate OR n < 12 THEN 0 ELSE 1 - inside END AS tpo_rejection_score,
+    CASE WHEN degenerate OR n < 12 THEN 0 ELSE least(greatest((pocs[1] - pocs[4]) / atr, -50), 50) END AS tpo_poc_drift_atr, CASE WHEN degenerate THEN 0 WHEN n < 12 THEN 1 ELSE shared END AS tpo_value_area_overlap FROM o)"""
+
+
+@query("tpo_memory_8", "symbol:s dt:t tpo_poc_distance_atr:d tpo_value_area_width_atr:d tpo_balance_score:d tpo_support_score:d tpo_resistance_score:d tpo_rejection_score:d tpo_poc_drift_atr:d tpo_value_area_overlap:d", f"SELECT * FROM {MEMORY}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return profile.tpo_memory(ind.atr_series(hourly(spark, d)), "atr_series")
 

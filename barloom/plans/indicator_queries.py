@@ -336,11 +336,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 CURVE = f"(SELECT dt, r AS ret, turnover, exp(sum(ln(1 + r)) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS equity FROM (SELECT dt, sum(w * ret) - sum(turn) * 0.001 AS r, sum(turn) AS turnover FROM (SELECT *, abs(w - coalesce(lag(w) OVER {ALL}, 0)) AS turn FROM (SELECT symbol, dt, ret, CASE WHEN tk % 2 = 0 THEN 0.02 ELSE -0.01 END AS w FROM rets)) GROUP BY 1))"
 
 
+def held(spark: SparkSession, d: str) -> DataFrame:
+    return returns(spark, d).select("symbol", "dt", F.when(F.col("tk") % 2 == 0, 0.02).otherwise(-0.01).alias("w"), "ret")
+
+
 def curve(spark: SparkSession, d: str) -> DataFrame:
-    w = returns(spark, d).withColumn("w", F.when(F.col("tk") % 2 == 0, 0.02).otherwise(-0.01))
-    return ind.equity_curve(w.select("symbol", "dt", "w", "ret"), 0.001)
+    return ind.equity_curve(held(spark, d), 0.001)
 
 
 @query("equity_curve", "dt:t ret:d turnover:d equity:d", f"SELECT * FROM {CURVE}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return curve(spark, d)
+
+
+HELD = f"(SELECT symbol, dt, ret, coalesce(last_value(CASE WHEN i % 4 = 0 THEN w END IGNORE NULLS) OVER {PASTW}, 0) AS w FROM (SELECT symbol, dt, ret, CASE WHEN tk % 2 = 0 THEN 0.02 ELSE -0.01 END AS w, dense_rank() OVER (ORDER BY dt) - 1 AS i FROM rets))"
+
+
+@query("equity_curve_rebalanced", "dt:t ret:d turnover:d equity:d", f"SELECT dt, r AS ret, turnover, exp(sum(ln(1 + r)) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS equity FROM (SELECT dt, sum(w * ret) - sum(turn) * 0.001 AS r, sum(turn) AS turnover FROM (SELECT *, abs(w - coalesce(lag(w) OVER {ALL}, 0)) AS turn FROM {HELD}) GROUP BY 1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ind.equity_curve(held(spark, d), 0.001, every=4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions import calendar
+from barloom.functions import calendar, numeric
 from barloom.operators import indicators as ind
 from barloom.operators import labels
 from barloom.plans.indicator_queries import ALL, KEY, SESSION, TR, over
@@ -30,20 +30,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_threshold(hourly(spark, d), 5, 0.5)
 
 
-@query("label_quantile", f"{KEY} label:i", f"SELECT symbol, dt, CASE WHEN rn <= floor(n * 30 / 100) THEN 0 WHEN rn > n - floor(n * 30 / 100) THEN 2 ELSE 1 END AS label FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fwd, dt) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM {FWD} WHERE fwd IS NOT NULL)")
+@query("label_quantile", f"{KEY} label:i", """
+  WITH f AS (SELECT symbol, dt, CASE WHEN count(*) OVER w = 3 THEN sum(ret) OVER w END AS fwd, tk % 5 <> 0 AS real FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY symbol, able ORDER BY fwd, dt) AS rn, count(*) OVER (PARTITION BY symbol, able) AS n FROM (SELECT *, fwd IS NOT NULL AND real AS able FROM f))
+  SELECT symbol, dt, CASE WHEN NOT able THEN 1 WHEN rn > n - floor(n * 30 / 100) THEN 2 WHEN rn <= floor(n * 30 / 100) THEN 0 ELSE 1 END AS label FROM r""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_quantile(hourly(spark, d), 30)
+    return labels.label_quantile(hourly(spark, d).withColumn("real", F.col("tk") % 5 != 0), 3, 30, 30, "real")
 
 
 AHEAD = "(PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)"
 
 
+COST = "greatest(CASE WHEN sp < 50 * 1e-4 THEN sp ELSE sp * 1e-4 / 10 END, 0)"
+
+
 @query("label_triple_barrier", f"{KEY} barrier:d label:i barrier_valid:b", f"""
-  WITH a AS (SELECT *, greatest(2 * sp, CASE WHEN rn >= 3 THEN 0.35 * avg(tr) OVER {over(13)} END) AS barrier, CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END AS atr, list({{'h': h, 'l': l, 'x': c}}) OVER {AHEAD} AS w FROM {TR}),
-  t AS (SELECT *, list_filter(list_transform(coalesce(w, []), lambda x: CASE WHEN x.h >= c + barrier AND x.l <= c - barrier THEN sign(x.x - c) WHEN x.h >= c + barrier THEN 1 WHEN x.l <= c - barrier THEN -1 ELSE 0 END), lambda v: v <> 0) AS hits FROM a)
-  SELECT symbol, dt, barrier, CASE WHEN barrier IS NOT NULL THEN coalesce(hits[1], 0) END AS label, rn - 1 >= 14 AND len(coalesce(w, [])) = 6 AND atr IS NOT NULL AS barrier_valid FROM t""")
+  WITH a AS (SELECT *, greatest(2 * {COST}, CASE WHEN rn >= 3 THEN 0.35 * avg(tr) OVER {over(13)} END) AS barrier, CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END AS atr, list({{'h': h, 'l': l, 'x': c}}) OVER {AHEAD} AS w FROM {TR}),
+  t AS (SELECT *, list_filter(list_transform(coalesce(w, []), lambda x: CASE WHEN x.h >= c + barrier AND x.l <= c - barrier THEN CASE WHEN x.x >= c THEN 1 ELSE -1 END WHEN x.h >= c + barrier THEN 1 WHEN x.l <= c - barrier THEN -1 ELSE 0 END), lambda v: v <> 0) AS hits FROM a)
+  SELECT symbol, dt, barrier, CASE WHEN barrier IS NOT NULL THEN coalesce(hits[1], 0) END AS label, rn - 1 >= 14 AND len(coalesce(w, [])) = 6 AND atr IS NOT NULL AND len(hits) > 0 AS barrier_valid FROM t""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_triple_barrier(ind.atr_series(hourly(spark, d)), 6, "atr_series")
+    return labels.label_triple_barrier(ind.atr_series(hourly(spark, d)), 6, "atr_series", numeric.pip_size(F.col("symbol")))
 
 
 @query("label_smooth", f"{KEY} smooth:d", f"SELECT symbol, dt, CASE WHEN lead(c) OVER {ALL} > c THEN 1 ELSE 0 END * 0.9 + 0.05 AS smooth FROM bars")
@@ -62,7 +68,7 @@ ENTRY = f"""(WITH i AS (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt
 
 @query("label_entry_scalp", f"{KEY} spread_quality:d entry_score:d entry:i", f"SELECT *, CASE WHEN barrier_valid AND real AND ready AND spread_quality >= 0.2 AND entry_score >= 0.48 THEN 1 ELSE 0 END AS entry FROM {ENTRY}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = labels.label_triple_barrier(ind.atr_series(hourly(spark, d)), 6, "atr_series").withColumns({"session_code": calendar.session_code(F.col("dt")), "real": F.col("tk") > 1})
+    b = labels.label_triple_barrier(ind.atr_series(hourly(spark, d)), 6, "atr_series", numeric.pip_size(F.col("symbol"))).withColumns({"session_code": calendar.session_code(F.col("dt")), "real": F.col("tk") > 1})
     return labels.label_entry(labels.entry_quality(b, "session_code", "label"))
 
 
@@ -73,8 +79,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocks(block: str) -> str:
     return f"""WITH n AS (SELECT dt, dense_rank() OVER (ORDER BY b) - 1 AS blk, row_number() OVER (ORDER BY dt) AS bar FROM (SELECT DISTINCT dt, {block} AS b FROM bars)),
-      f AS (SELECT blk AS fold, max(bar) AS train_end, (SELECT max(blk) - 1 FROM n) AS last FROM n GROUP BY 1 HAVING blk < (SELECT max(blk) - 1 FROM n)),
-      p AS (SELECT dt, fold, CASE WHEN blk > last THEN 'holdout' WHEN blk = fold + 1 THEN 'valid' WHEN bar <= train_end - 5 THEN 'train' END AS part FROM n JOIN f ON blk <= fold + 1 OR blk > last)
+      f AS (SELECT blk - 1 AS fold, max(bar) AS train_end, (SELECT max(blk) - 1 FROM n) AS last FROM n GROUP BY blk HAVING blk < (SELECT max(blk) - 1 FROM n) AND blk >= 1),
+      p AS (SELECT dt, fold, CASE WHEN blk > last THEN 'holdout' WHEN blk = fold + 2 THEN 'valid' WHEN bar <= train_end - 6 THEN 'train' END AS part FROM n JOIN f ON blk <= fold + 2 OR blk > last)
       SELECT fold, symbol, b.dt, part FROM bars b JOIN p ON b.dt = p.dt WHERE part IS NOT NULL"""
 
 

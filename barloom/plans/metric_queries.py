@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics
-from barloom.plans.indicator_queries import CURVE, curve
+from barloom.plans.indicator_queries import CURVE, curve, held
 from barloom.plans.registry import ledger, query, scored, table
 
 
@@ -56,23 +56,43 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.strategy_sharpe(scored(spark, d), (2 * F.col("p") - 1) * F.col("fwd"), 252)
 
 
-@query("kelly_eval", "sharpe:d trades:i win_rate:d mean_stake:d", "SELECT avg(f * fwd) / nullif(stddev_samp(f * fwd), 0) AS sharpe, count(*) AS trades, avg(CASE WHEN f * fwd > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(f) AS mean_stake FROM (SELECT fwd, CASE WHEN p >= 0.55 THEN least(greatest((1.5 * p - (1 - p)) / 1.5 * 0.5, 0), 0.1) ELSE 0 END AS f FROM scored) WHERE f > 0 AND fwd IS NOT NULL")
+STAKES = """(WITH a AS (SELECT *, CASE WHEN p >= 0.58 THEN 1 WHEN p <= 0.42 THEN -1 ELSE 0 END AS s0, (id % 9) / 4.0::DOUBLE AS mom, (id % 13) / 5.0::DOUBLE AS vr, (id % 11 - 5) / 5.0::DOUBLE AS brk, (id % 17 - 8) / 8.0::DOUBLE AS nb, (id % 19) / 10.0::DOUBLE AS lag, id % 5 <> 0 AS sess FROM scored),
+  b AS (SELECT *, CASE WHEN sess THEN s0 ELSE 0 END AS s1 FROM a),
+  c AS (SELECT *, CASE WHEN s1 <> 0 THEN least(greatest(0.35 + 0.65 * least(greatest(mom / 0.7, 0), 1.5), 0.25), 1.25) ELSE 1 END AS m1, CASE WHEN s1 <> 0 THEN least(1.0, least(greatest(vr / 0.6, 0.25), 1), least(greatest(2.0 / greatest(vr, 1e-6), 0.25), 1)) ELSE 1 END AS m2, CASE WHEN s1 > 0 THEN brk WHEN s1 < 0 THEN -brk ELSE 0 END AS along FROM b),
+  d AS (SELECT *, CASE WHEN along > 0 THEN s1 ELSE 0 END AS side FROM c),
+  e AS (SELECT *, CASE WHEN side <> 0 THEN least(greatest(0.35 + 0.65 * least(greatest(along / 0.4, 0), 1.5), 0.25), 1.25) ELSE 1 END AS m3 FROM d),
+  f AS (SELECT *, least(greatest((1.5 * w - (1 - w)) / 1.5 * 0.25, 0), 0.05) * (m1 + m2 + m3) / 3 * least(greatest(1 + 0.35 * (exp(2 * side * nb) - 1) / (exp(2 * side * nb) + 1), 0.5), 1.5) * least(greatest(0.65 + 0.35 * least(greatest(lag / 0.9, 0), 1), 0.5), 1) AS raw FROM (SELECT *, CASE WHEN side > 0 THEN p ELSE 1 - p END AS w FROM e))
+  SELECT id, p, y, fwd, side, CASE WHEN side <> 0 THEN least(greatest(raw * (1 + 0.2 * least(greatest(lag, 0), 1)), 0), 0.05) ELSE 0 END AS stake FROM f)"""
+
+
+def _staked(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    s = scored(spark, d).withColumns({"mom": i % 9 / 4, "vr": i % 13 / 5, "brk": (i % 11 - 5) / 5, "nb": (i % 17 - 8) / 8, "lag": i % 19 / 10, "sess": i % 5 != 0})
+    return metrics.kelly_stakes(s, "p", 0.08, 1.5, session="sess", momentum="mom", momentum_floor=0.7, vol_ratio="vr", vol_floor=0.6, vol_cap=2.0, breakout="brk", breakout_floor=0.4, neighbours="nb", laggard="lag", laggard_floor=0.9, boost=0.2)
+
+
+@query("kelly_stakes", "id:i side:i stake:d", f"SELECT * FROM {STAKES}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _staked(spark, d)
+
+
+@query("kelly_eval", "sharpe:d trades:i win_rate:d mean_stake:d hit_rate:d mean_return:d", f"SELECT avg(x) / stddev_pop(x) * sqrt(252 * 78) AS sharpe, count(*) AS trades, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(stake) AS mean_stake, avg(CASE WHEN (p >= 0.5)::INT = y THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(x) AS mean_return FROM (SELECT *, side * fwd * stake AS x FROM {STAKES} WHERE side <> 0 AND fwd IS NOT NULL)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.kelly_eval(scored(spark, d), "p", "fwd", 1.5, 0.5, 0.55)
+    return metrics.kelly_eval(_staked(spark, d).where("fwd is not null"), "p", "y", "fwd")
 
 
-@query("param_grid", "cfg:i entry:d trades:i score:d rank:i", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cfg) AS rank FROM (SELECT cfg, entry, count(x) AS trades, coalesce(avg(x) / nullif(stddev_samp(x), 0), 0) - CASE WHEN count(x) < 10 THEN 1 ELSE 0 END AS score FROM (SELECT cfg, entry, CASE WHEN p >= entry THEN fwd WHEN p <= 1 - entry THEN -fwd END AS x FROM scored, (SELECT n_nationkey AS cfg, 0.5051 + n_nationkey * 0.019 AS entry FROM nation)) GROUP BY 1, 2)) WHERE rank <= 5")
+@query("param_grid", "cfg:i entry:d trades:i score:d rank:i", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cfg) AS rank FROM (SELECT cfg, entry, count(x) AS trades, coalesce(avg(x) / nullif(stddev_samp(x), 0), 0) - CASE WHEN count(x) < 10 OR count(x) > 0.5 * count(*) THEN 1 ELSE 0 END AS score FROM (SELECT cfg, entry, CASE WHEN p >= entry THEN fwd WHEN p <= 1 - entry THEN -fwd END AS x FROM scored, (SELECT n_nationkey AS cfg, 0.5051 + n_nationkey * 0.019 AS entry FROM nation)) GROUP BY 1, 2)) WHERE rank <= 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
     grid = table(spark, d, "nation").select(F.col("n_nationkey").alias("cfg"), (0.5051 + F.col("n_nationkey") * 0.019).alias("entry"))
     return metrics.param_grid(scored(spark, d), grid, "p", "fwd", 5)
 
 
-FOLDS = "(SELECT symbol AS config, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', dt)) // 5 AS BIGINT) AS fold, avg((p - y) * (p - y)) AS loss, avg((2 * p - 1) * fwd) AS score FROM scored GROUP BY 1, 2)"
+FOLDS = "(SELECT symbol AS config, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', dt)) // 5 AS BIGINT) AS fold, avg((p - y) * (p - y)) AS loss, avg((2 * p - 1) * fwd) AS score, count(*) AS n FROM scored GROUP BY 1, 2)"
 
 
 def _folds(spark: SparkSession, d: str) -> DataFrame:
     day = F.floor(F.timestamp_diff("DAY", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("dt")) / 5)
-    return scored(spark, d).groupBy(F.col("symbol").alias("config"), day.alias("fold")).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("loss"), F.avg((2 * F.col("p") - 1) * F.col("fwd")).alias("score"))
+    return scored(spark, d).groupBy(F.col("symbol").alias("config"), day.alias("fold")).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("loss"), F.avg((2 * F.col("p") - 1) * F.col("fwd")).alias("score"), F.count("*").alias("n"))
 
 
 @query("fold_summary", "config:s mean:d worst:d dispersion:d n:i accepted:b", f"SELECT config, avg(score) AS mean, min(score) AS worst, stddev_pop(score) AS dispersion, count(*) AS n, avg(score) >= 6 AND min(score) > -2 AS accepted FROM {FOLDS} GROUP BY 1")
@@ -88,33 +108,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 CDF = "CASE WHEN {0} >= 0 THEN 1 - {1} ELSE {1} END".format("z", "k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))) * exp(-z * z / 2) / sqrt(2 * pi())")
 
 
-def ppf(p: float) -> float:
-    """The rational form of the inverse normal distribution, for the SQL's constants."""
-    t = math.sqrt(-2 * math.log(min(p, 1 - p)))
-    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
-    return z if p >= 0.5 else -z
+def _ppf(p: str) -> str:
+    """The rational form of the inverse normal distribution, for p of .5 or more."""
+    return "(SELECT t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308))) FROM (SELECT sqrt(-2 * ln(1 - (%s))) AS t))" % p
 
 
-GREATEST = (1 - 0.5772156649015329) * ppf(1 - 1 / 5) + 0.5772156649015329 * ppf(1 - 1 / (5 * math.e))
-MOMENTS = f"""(SELECT config, count(*) AS n, avg(score) AS m, stddev_samp(score) AS s, avg(score) FILTER (fold >= 3) AS oos, avg(score) FILTER (fold < 3) AS ins, coalesce(sum(power(score - mu, 3)) / count(*) / power(nullif(stddev_pop(score), 0), 3), NULL) AS sk, sum(power(score - mu, 4)) / count(*) / power(nullif(stddev_pop(score), 0), 4) - 3 AS ku FROM (SELECT *, avg(score) OVER (PARTITION BY config) AS mu FROM {FOLDS}) GROUP BY 1)"""
+MOMENTS = f"""(SELECT config, count(*) AS n, avg(score) AS m, stddev_samp(score) AS s, coalesce(sum(power(score - mu, 3)) / count(*) / power(nullif(stddev_pop(score), 0), 3), NULL) AS sk, sum(power(score - mu, 4)) / count(*) / power(nullif(stddev_pop(score), 0), 4) - 3 AS ku FROM (SELECT *, avg(score) OVER (PARTITION BY config) AS mu FROM {FOLDS}) GROUP BY 1)"""
+CHANCE = f"(SELECT config, {CDF} AS chance FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS k FROM {{0}}))"
+BEST = f"""(SELECT config, (sharpe - greatest(0, top / sqrt(greatest(mean, 2)))) * sqrt(bars - 1) / sqrt(greatest(1 - 0.25 * sharpe * sharpe, 1e-12)) AS z FROM (SELECT config, max(score) AS sharpe, arg_max(n, score) AS bars, avg(n) AS mean, (1 - 0.5772156649) * {_ppf('1 - 1 / trials')} + 0.5772156649 * {_ppf('1 - 1 / (trials * exp(1))')} AS top
+  FROM (SELECT *, count(*) OVER (PARTITION BY config) AS trials FROM {FOLDS}) GROUP BY config, trials))"""
 
 
-@query("psr_dsr_wfe", "config:s psr:d target:d wfe:d", f"SELECT config, {CDF} AS psr, target, wfe FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS k FROM (SELECT config, oos / nullif(ins, 0) AS wfe, stddev_samp(sharpe) OVER () * {GREATEST!r}::DOUBLE AS target, sharpe * sqrt(n - 1) / sqrt(greatest(1 - sk * sharpe + (ku - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM (SELECT *, coalesce(m / nullif(s, 0), 0) AS sharpe FROM {MOMENTS})))")
+@query("psr_dsr_wfe", "config:s psr:d dsr:d wfe:d", f"""SELECT p.config, p.chance AS psr, d.chance AS dsr, w.wfe FROM {CHANCE.format('(SELECT config, sharpe * sqrt(n - 1) / sqrt(greatest(1 - sk * sharpe + (ku - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM (SELECT *, coalesce(m / nullif(s, 0), 0) AS sharpe FROM ' + MOMENTS + '))')} p
+  JOIN {CHANCE.format(BEST)} d USING (config) JOIN (SELECT config, round(avg(score) / avg(1 / (1 + greatest(loss, 0))), 4) AS wfe FROM {FOLDS} GROUP BY 1) w USING (config)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = _folds(spark, d).groupBy("config").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"), F.skewness("score").alias("sk"), F.kurtosis("score").alias("ku"), F.count("*").alias("n"), F.avg(F.when(F.col("fold") >= 3, F.col("score"))).alias("oos"), F.avg(F.when(F.col("fold") < 3, F.col("score"))).alias("ins"))
+    f = _folds(spark, d)
+    s = f.groupBy("config").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s"), F.skewness("score").alias("sk"), F.kurtosis("score").alias("ku"), F.count("*").alias("n"))
     sharpe = F.coalesce(F.try_divide(F.col("m"), F.col("s")), F.lit(0.0))
-    s = s.withColumns({"sharpe": sharpe, "target": metrics.dsr_target(F.stddev_samp(sharpe).over(Window.partitionBy()), F.lit(5.0))})
-    return s.withColumns({"psr": metrics.psr(F.col("sharpe"), F.col("n"), F.col("sk"), F.col("ku"), F.lit(0.0)), "wfe": F.try_divide(F.col("oos"), F.col("ins"))})
+    s = s.select("config", metrics.psr(sharpe, F.col("n"), F.col("sk"), F.col("ku"), F.lit(0.0)).alias("psr"))
+    return s.join(metrics.dsr(f), "config").join(metrics.wfe(f), "config")
 
 
-@query("ledger_metrics", "trades:i win_rate:d avg_win:d avg_loss:d expectancy:d profit_factor:d sharpe:d", "SELECT count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl <= 0) AS avg_loss, avg(pnl) AS expectancy, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, avg(pnl) / stddev_samp(pnl) AS sharpe FROM ledger")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ledger_metrics(ledger(spark, d), ["day"])
+LEDGER = "(SELECT *, size * 0.37 AS cost FROM ledger)"
 
 
-@query("ledger_drawdown", "drawdown_k:d", "SELECT max(greatest(peak, 0) - eq) / 1e6 AS drawdown_k FROM (SELECT eq, max(eq) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT day, sum(x) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq FROM (SELECT day, sum(pnl) AS x FROM ledger GROUP BY 1)))")
+@query(
+    "ledger_metrics", "trades:i winners:i losers:i win_rate:d avg_win:d avg_loss:d ev:d profit_factor:d sharpe:d spread_drag_k:d return_share:d drawdown:d",
+    f"""WITH m AS (SELECT count(*) AS trades, count(*) FILTER (pnl > 0) AS winners, count(*) FILTER (pnl <= 0) AS losers, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(pnl) FILTER (pnl > 0) AS avg_win, avg(-pnl) FILTER (pnl <= 0) AS avg_loss,
+      sum(pnl) FILTER (pnl > 0) / sum(-pnl) FILTER (pnl <= 0) AS profit_factor, avg(pnl) / (stddev_pop(pnl) + 1e-10) * sqrt(252) AS sharpe, sum(cost) / 1e6 AS spread_drag_k, sum(pnl) / 1e8 AS return_share FROM {LEDGER}),
+      e AS (SELECT day, 1e8 + sum(x) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq FROM (SELECT day, sum(pnl) AS x FROM ledger GROUP BY 1)), k AS (SELECT eq, greatest(max(eq) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 1e8) AS peak FROM e)
+      SELECT m.*, win_rate * avg_win - (1 - win_rate) * avg_loss AS ev, (SELECT max((peak - eq) / peak) FROM k) AS drawdown FROM m""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ledger_metrics(ledger(spark, d), ["day"]).withColumn("drawdown_k", F.col("drawdown") / 1e6)
+    trades = ledger(spark, d).withColumn("cost", F.col("size") * 0.37)
+    return metrics.ledger_metrics(trades, ["day"], "cost", 1e8).withColumn("spread_drag_k", F.col("spread_drag") / 1e6)
 
 
 @query("ledger_breakdown", "reason:s tercile:s trades:i pnl_k:d win_rate:d", "WITH q AS (SELECT quantile_cont(size, 1.0::DOUBLE / 3) AS a, quantile_cont(size, 2.0::DOUBLE / 3) AS b FROM ledger) SELECT reason, CASE WHEN size <= a THEN 'low' WHEN size <= b THEN 'mid' ELSE 'high' END AS tercile, count(*) AS trades, sum(pnl) / 1e6 AS pnl_k, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM ledger, q GROUP BY 1, 2")
@@ -138,9 +165,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.daily_pnl(ledger(spark, d), "day").withColumns({"pnl_k": F.col("pnl") / 1e6, "cumulative_k": F.col("cumulative") / 1e6})
 
 
-@query("portfolio_stats", "sharpe:d sortino:d hit_rate:d turnover:d max_drawdown:d", f"SELECT avg(ret) * sqrt(252) / stddev_samp(ret) AS sharpe, avg(ret) * sqrt(252) / sqrt(avg(least(ret, 0) * least(ret, 0))) AS sortino, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(turnover) AS turnover, max(dd) AS max_drawdown FROM (SELECT *, 1 - equity / max(equity) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS dd FROM {CURVE})")
+WEIGHTS = "(SELECT symbol, dt, ret, CASE WHEN tk % 2 = 0 THEN 0.02 ELSE -0.01 END AS w FROM rets)"
+
+
+@query("portfolio_stats", "total_return:d sharpe:d sortino:d calmar:d max_drawdown:d hit_rate:d bars:i turnover:d long:d short:d gross:d net:d", f"""
+  WITH c AS (SELECT *, (peak - equity) / (peak + 1e-10) AS dd FROM (SELECT *, greatest(max(equity) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING), 1) AS peak FROM {CURVE})),
+  e AS (SELECT avg(u) AS long, avg(v) AS short FROM (SELECT sum(greatest(w, 0)) AS u, sum(greatest(-w, 0)) AS v FROM {WEIGHTS} GROUP BY dt)),
+  s AS (SELECT arg_max(equity, dt) - 1 AS total_return, avg(ret) * sqrt(252) / stddev_pop(ret) AS sharpe, avg(ret) * sqrt(252) / (stddev_pop(ret) FILTER (ret < 0)) AS sortino, max(dd) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, count(*) AS bars, avg(turnover) AS turnover FROM c)
+  SELECT s.*, total_return / max_drawdown AS calmar, long, short, long + short AS gross, long - short AS net FROM s, e""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.portfolio_stats(curve(spark, d), held(spark, d))
+
+
+@query("attribution", "symbol:s pnl:d", f"SELECT symbol, sum(w * ret) AS pnl FROM {WEIGHTS} GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.portfolio_stats(curve(spark, d), 252)
+    return metrics.attribution(held(spark, d))
 
 
 @query("rejection_waterfall", "reason:s n:i rate:d", "SELECT reason, count(*) AS n, count(*) / (SELECT count(*) FROM ledger) AS rate FROM ledger GROUP BY 1")

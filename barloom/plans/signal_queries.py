@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barloom.functions import calendar, numeric
 from barloom.operators import align, bars, profile, signals
 from barloom.operators import indicators as ind
-from barloom.plans.bar_queries import SECOND
+from barloom.plans import graph_queries  # noqa: F401 (its SQL is used below)
+from barloom.plans.bar_queries import MICRO_SQL, micro_bars
 from barloom.plans.indicator_queries import ALL, KEY, RN, SESSION, TR, over
 from barloom.plans.registry import SQL, hourly, query, quotes, returns, scored, table
 
@@ -39,31 +40,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)
 
 
-@query("entry_gate", "id:i agrees:b confidence:d", f"SELECT id, (direction > 0 AND p2 >= 0.5) OR (direction < 0 AND p2 < 0.5) AS agrees, least(abs(2 * p - 1), abs(2 * p2 - 1)) AS confidence FROM {SCORED}")
+@query("entry_gate", "id:i agrees:b confidence:d", f"""SELECT id, direction <> 0 AND (q IS NULL OR coalesce(CASE WHEN direction > 0 THEN q WHEN direction < 0 THEN 1 - q END >= 0.55, false)) AS agrees,
+  least(CASE WHEN direction > 0 THEN p WHEN direction < 0 THEN 1 - p END, CASE WHEN direction > 0 THEN q WHEN direction < 0 THEN 1 - q END) AS confidence FROM (SELECT *, CASE WHEN id % 10 <> 0 THEN p2 END AS q FROM {SCORED})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d)
-    agrees, conf = signals.entry_gate(F.col("direction"), F.col("p2"), F.col("p"))
+    s = _scored(spark, d).withColumn("q", F.when(F.col("id") % 10 != 0, F.col("p2")))
+    agrees, conf = signals.entry_gate(F.col("direction"), F.col("q"), F.col("p"), 0.55)
     return s.withColumns({"agrees": agrees, "confidence": conf})
 
 
 SIDE = "CASE WHEN tk % 2 = 0 THEN 1 ELSE -1 END"
 
 
-@query("bracket_prices", f"{KEY} entry_px:d tp_px:d sl_px:d", f"SELECT symbol, dt, e AS entry_px, e + dir * 2 * a AS tp_px, e - dir * least(a, e * 0.0103471) AS sl_px FROM (SELECT *, c + dir * 0.0517093 * a AS e FROM (SELECT symbol, dt, c, {SIDE} AS dir, least(CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END, abs(c) * 0.02) AS a, rn FROM {TR}) WHERE rn >= 3)")
+BRACKET = f"(SELECT symbol, dt, c, dir, a, sp, c + dir * 0.0517093 * a AS e FROM (SELECT symbol, dt, c, sp, {SIDE} AS dir, greatest(least(CASE WHEN rn >= 3 THEN avg(tr) OVER {over(13)} END, greatest(abs(c), 1e-8) * 0.02), 1e-8) AS a, rn FROM {TR}) WHERE rn >= 3)"
+
+
+def _bracketed(spark: SparkSession, d: str) -> DataFrame:
+    return ind.atr_series(hourly(spark, d)).where("atr_series is not null").withColumn("direction", F.when(F.col("tk") % 2 == 0, 1).otherwise(-1))
+
+
+@query("bracket_prices", f"{KEY} entry_px:d tp_px:d sl_px:d", f"SELECT symbol, dt, e AS entry_px, e + dir * 2 * a AS tp_px, e - dir * least(a, greatest(abs(e), 1e-8) * 0.0103471) AS sl_px FROM {BRACKET}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return signals.bracket_prices(_bracketed(spark, d), "atr_series", slip=0.0517093, most_loss=0.0103471)
+
+
+@query("bracket_by_spread", f"{KEY} entry_px:d tp_px:d sl_px:d", f"SELECT symbol, dt, e AS entry_px, e + dir * greatest(2 * a, 5 * 40 * sp) AS tp_px, e - dir * greatest(least(1.5 * a, greatest(abs(e), 1e-8) * 0.0103471), 3 * 40 * sp) AS sl_px FROM {BRACKET}")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = ind.atr_series(hourly(spark, d)).where("atr_series is not null").withColumn("direction", F.when(F.col("tk") % 2 == 0, 1).otherwise(-1))
-    return signals.bracket_prices(b, "atr_series", slip=0.0517093, most_loss=0.0103471)
+    """Spreads of the events are small against their ATR; forty of them count as one."""
+    return signals.bracket_prices(_bracketed(spark, d), "atr_series", slip=0.0517093, sl=1.5, most_loss=0.0103471, spread=40 * F.col("sp"))
 
 
-GATED = f"(SELECT symbol, dt, ret AS net, least(abs(ret), 1) AS conf, sum(ret) OVER {over(4)} AS trend, {SIDE} AS dir, sp / avg(sp) OVER {over(59)} AS ar, tk / 5.0 AS ag, tk % 5 AS rg FROM rets)"
-GATES = "abs(net) >= 0.1 AS g_net, conf >= 0.3 AS g_conf, sign(trend) = dir AS g_trend, ar BETWEEN 0.5 AND 2.5 AS g_atr, ag >= 0.5 AS g_agree, rg < 4 AS g_regime"
+GATED = f"(SELECT symbol, dt, ret AS net, 0.5 + least(abs(ret), 1) / 2 AS conf, sum(ret) OVER {over(4)} AS trend, {SIDE} AS dir, sp / avg(sp) OVER {over(59)} AS ar, tk / 5.0 AS ag, CASE WHEN tk % 5 = 4 THEN 'FRAGMENTED' ELSE 'NORMAL' END AS rg, 0.002 * tk AS gap FROM rets)"
+GATES = "abs(net) >= 0.15 AS g_net, conf >= 0.55 AS g_conf, (dir > 0 AND trend > 0) OR (dir < 0 AND trend < 0) AS g_trend, ar BETWEEN 0.3 AND 2.8 AS g_atr, ag >= 0.5 AS g_agree, rg <> 'FRAGMENTED' AND gap > 0.004 AS g_regime"
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
     r = returns(spark, d)
     rows = r.select(
-        "symbol", "dt", F.col("ret").alias("net"), F.least(F.abs("ret"), F.lit(1.0)).alias("confidence"), F.sum("ret").over(ind.rows(-4)).alias("trend"), F.when(F.col("tk") % 2 == 0, 1).otherwise(-1).alias("direction"),
-        (F.col("sp") / F.avg("sp").over(ind.rows(-59))).alias("atr_ratio"), (F.col("tk") / 5.0).alias("agreement"), (F.col("tk") % 5).alias("regime"),
+        "symbol", "dt", F.col("ret").alias("net"), (0.5 + F.least(F.abs("ret"), F.lit(1.0)) / 2).alias("confidence"), F.sum("ret").over(ind.rows(-4)).alias("trend"), F.when(F.col("tk") % 2 == 0, 1).otherwise(-1).alias("direction"),
+        (F.col("sp") / F.avg("sp").over(ind.rows(-59))).alias("atr_ratio"), (F.col("tk") / 5.0).alias("agreement"), F.when(F.col("tk") % 5 == 4, "FRAGMENTED").otherwise("NORMAL").alias("regime"), (0.002 * F.col("tk")).alias("gap"),
     )
     return signals.six_gates(rows)
 
@@ -81,7 +95,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("tpo_reversal_decision", f"{KEY} direction:i confidence:d tp_dist:d sl_dist:d lots:d reason:s")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = ind.log_ret(ind.log_ret(ind.atr_series(hourly(spark, d)), 1), 3).withColumns({"atr": F.coalesce("atr_series", F.lit(0.0)), "n": F.row_number().over(ind.by_time())})
-    m = profile.tpo_memory(b, "atr").withColumns({"other_direction": F.lit(0), "other_confidence": F.lit(0.0)})
+    m = profile.tpo_memory(b, "atr").withColumns({"other_direction": (F.col("tk") % 3 - 1).cast("int"), "other_confidence": F.col("tk") % 4 * 0.045})
     return signals.reversal_decision(m)
 
 
@@ -97,11 +111,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d)
 
 
-@query("order_state_26", f"{KEY} direction:i session_1:i session_4:i n:i sp_mean:d", f"SELECT e.symbol, e.dt, any_value(direction) AS direction, any_value((sc = 1)::INT) AS session_1, any_value((sc = 4)::INT) AS session_4, count(m.dt) AS n, avg(m.sp) AS sp_mean FROM {EVENTS} e LEFT JOIN {SECOND} m ON m.symbol = e.symbol AND m.dt < e.dt AND m.dt >= e.dt - INTERVAL 600 SECOND GROUP BY 1, 2")
+@query(
+    "order_state_26", " ".join([KEY, "direction:i", *(f"{c}:d" for c in signals.STATE)]),
+    f"""SELECT e.symbol, e.dt, direction, p AS prob_buy, coalesce(CASE WHEN tk % 3 <> 0 THEN (tk % 7) / 7.0::DOUBLE END, 0.5) AS prob_entry, coalesce(a.atr_series, 0) AS atr, v.vol_24 AS volatility, sp AS spread, tk AS tick_count,
+      {', '.join(f'(sc = {i})::INT AS session_{n}' for i, n in enumerate(signals.SESSIONS))}, t.* EXCLUDE (symbol, dt), {', '.join(align.MICRO)}
+      FROM {EVENTS} e JOIN ({SQL['atr_series']}) a ON a.symbol = e.symbol AND a.dt = e.dt JOIN ({SQL['rolling_vol_24']}) v ON v.symbol = e.symbol AND v.dt = e.dt
+      JOIN ({SQL['tpo_memory_8']}) t ON t.symbol = e.symbol AND t.dt = e.dt JOIN ({MICRO_SQL}) m ON m.symbol = e.symbol AND m.dt = e.dt""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    micro = align.interval_join_window(e.select("symbol", "dt"), bars.bars_1s(quotes(spark, d)), 600)
-    return signals.order_state(e, micro.drop("c_last"))
+    b = ind.rolling_vol_24(ind.atr_series(hourly(spark, d))).withColumns({"atr": F.coalesce("atr_series", F.lit(0.0)), "volatility": F.col("vol_24"), "p_entry": F.when(F.col("tk") % 3 != 0, F.col("tk") % 7 / 7)})
+    more = profile.tpo_memory(b, "atr").select("symbol", "dt", "atr", "volatility", "p_entry", *profile.MEMORY[:8])
+    micro = align.interval_join_window(b.select("symbol", "dt"), micro_bars(spark, d), 3600)
+    return signals.order_state(_events(spark, d).join(more, ["symbol", "dt"]), micro)
 
 
 @query("topk_candidates", "dt:t symbol:s rank:i score:d", "SELECT * FROM (SELECT dt, symbol, abs(ret) * tk AS score, row_number() OVER (PARTITION BY dt ORDER BY abs(ret) * tk DESC, symbol) AS rank FROM rets) WHERE rank <= 2")
@@ -124,7 +145,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").where("length(p_name) >= 6").select(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.col("p_size"), F.lit(0)).alias("dt"), F.upper(F.substring("p_name", 1, 6)).alias("symbol"), "p_retailprice")
     best = p.groupBy("dt", "symbol").agg(F.max("p_retailprice").alias("score"))
-    return signals.exposure_cap(best, "score", 2)
+    opened = table(spark, d, "part").where("length(p_name) >= 6 and p_partkey % 40 = 0").select(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.col("p_size"), F.lit(0)).alias("dt"), F.upper(F.substring("p_name", 2, 6)).alias("symbol"))
+    return signals.exposure_cap(best, "score", 2, opened)
 
 
 @query("hysteresis_signal", "id:i position:i")
@@ -133,7 +155,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return signals.hysteresis(s, "p", "q", 0.6, 0.52)
 
 
-@query("sized_signal", "id:i signal:d", f"SELECT id, direction * least(abs(2 * p - 1), abs(2 * p2 - 1)) * CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END AS signal FROM {SCORED}")
+@query("sized_signal", "id:i signal:d", f"SELECT id, coalesce(direction * least(CASE WHEN direction > 0 THEN p WHEN direction < 0 THEN 1 - p END, CASE WHEN direction > 0 THEN p2 WHEN direction < 0 THEN 1 - p2 END), 0) * CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END AS signal FROM {SCORED}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d)
     r = F.col("id") % 4
@@ -166,12 +188,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-MARKS = {"rsi": (55, 45), "macd": (0, 0), "pct_b": (0.6, 0.4), "stoch_k": (60, 40), "cci": (50, -50), "will_r": (-40, -60), "mom5": (0.3, -0.3)}
+MARKS = {"rsi": (55, 45), "macd": (0, 0), "bb_pct_b": (0.6, 0.4), "stoch_k": (60, 40), "cci": (50, -50), "willr": (-40, -60), "mom5": (0.3, -0.3)}
 VOTES = f"(SELECT symbol, dt, {' + '.join(f'CASE WHEN {c} > {u} THEN 1 WHEN {c} < {v} THEN -1 ELSE 0 END' for c, (u, v) in MARKS.items())} AS votes FROM ({SQL['pair_features_16']}))"
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
-    return ind.pair_features_16(hourly(spark, d)).withColumn("votes", numeric.indicator_votes({c: F.col(c) for c in MARKS}))
+    b = ind.pair_features_16(hourly(spark, d), numeric.pip_size(F.col("symbol.name")))
+    return b.withColumns({"votes": numeric.indicator_votes({v: F.col(c) for v, c in zip(numeric.VOTES, MARKS, strict=True)}), "ret_1": F.coalesce("log_ret", F.lit(0.0))})
 
 
 @query("indicator_votes", f"{KEY} votes:i side:i", f"SELECT *, CASE WHEN votes >= 3 THEN 1 WHEN votes <= -3 THEN -1 ELSE 0 END AS side FROM {VOTES}")

@@ -74,18 +74,31 @@ def test_writers(spark, tmp_path):
 
 
 def test_window_ends_before_anchor(spark):
-    m = [("A", at(f"2024-01-01 {t}"), c, s, 1) for t, c, s in (("00:59:58", 10.0, 3.0), ("00:59:59", 11.0, 7.0), ("01:00:00", 99.0, 99.0))]
-    micro = spark.createDataFrame(m, "symbol string, dt timestamp_ntz, c double, sp double, tk bigint")
-    r = align.interval_join_window(spark.createDataFrame([("A", at("2024-01-01 01:00:00"))], "symbol string, dt timestamp_ntz"), micro, 60).first()
-    assert (r["n"], r["sp_last"], r["c_last"]) == (2, 7.0, 11.0)
+    """The bar at the anchor itself is not seen."""
+    m = [("A", at(f"2024-01-01 {t}"), 1.0, z, i, v) for t, z, i, v in (("00:59:58", 3.0, -0.5, 10.0), ("00:59:59", 7.0, 0.25, 11.0), ("01:00:00", 99.0, 99.0, 99.0))]
+    micro = spark.createDataFrame(m, "symbol string, dt timestamp_ntz, tick_velocity double, spread_z double, bid_ask_imbalance double, price_velocity double")
+    anchors = spark.createDataFrame([("A", at("2024-01-01 01:00:00")), ("B", at("2024-01-01 01:00:00"))], "symbol string, dt timestamp_ntz")
+    a, b = align.interval_join_window(anchors, micro, 60).orderBy("symbol").collect()
+    assert (a["n"], a["spread_z_last"], a["price_velocity_last"], a["spread_z_mean"], a["bid_ask_imbalance_abs_max"], a["tick_velocity_std"]) == (2, 7.0, 11.0, 5.0, 0.5, 0.0)
+    assert [b[c] for c in align.MICRO] == [0.0] * 7
 
 
 def test_fill_must_trade_through(spark):
-    m = [("A", at("2024-01-01 01:00:00"), 1.1001, 1.0998, 1.1), ("A", at("2024-01-01 01:00:01"), 1.1001, 1.0997, 1.1)]
-    micro = spark.createDataFrame(m, "symbol string, dt timestamp_ntz, h double, l double, c double")
-    e = spark.createDataFrame([(1, "A", at("2024-01-01 01:00:00"), 1, 1.0998)], "event_id int, symbol string, dt timestamp_ntz, direction int, limit double")
-    one, two = (align.first_fill_join(e, micro, n, 0.00009, 60).first() for n in (1, 2))
-    assert (one["filled"], one["near_miss"]) == (False, True) and two["filled"]
+    """A buy two pips below 1.1000: a low at the limit is a near miss, one a pip below it a fill."""
+    m = [("EURUSD", at("2024-01-01 01:00:00"), 1.1, 1.1001, 1.0998, 1.1), ("EURUSD", at("2024-01-01 01:00:01"), 1.1, 1.1001, 1.0997, 1.1)]
+    micro = spark.createDataFrame(m, "symbol string, dt timestamp_ntz, o double, h double, l double, c double")
+    e = spark.createDataFrame([(1, "EURUSD", at("2024-01-01 01:00:00"), 1, 0.001), (2, "EURUSD", at("2024-01-01 02:00:00"), 1, 0.001)], "event_id int, symbol string, dt timestamp_ntz, direction int, atr double")
+    pip = F.lit(0.0001 - 1e-12)  # the lows lie on the limits
+    one, two = ({(r["event_id"], r["action"]): r for r in align.first_fill_join(e, micro, n, pip).collect()} for n in (1, 2))
+    limit = one[1, "limit_2tick"]
+    assert (limit["filled"], limit["no_fill"], limit["near_miss"], limit["reward"]) == (False, True, True, -2.5e-5)
+    assert two[1, "limit_2tick"]["filled"] and two[1, "limit_2tick"]["fill_price"] == pytest.approx(1.0998)
+    assert two[1, "limit_2tick"]["mae"] == pytest.approx(0.0001) and two[1, "limit_2tick"]["mfe"] == pytest.approx(0.0003)
+    assert two[1, "limit_2tick"]["reward"] == pytest.approx(0.0002 + 0.25 * 0.0003 - 0.1 * 0.0001)
+    assert one[1, "reject_wait"]["reward"] == -5e-5 and not one[1, "reject_wait"]["no_fill"]
+    market = one[1, "market_now"]
+    assert market["filled"] and market["fill_price"] == pytest.approx(1.1001) and market["slippage"] == pytest.approx(1e-4)
+    assert (one[2, "market_now"]["filled"], one[2, "market_now"]["no_fill"], one[2, "market_now"]["reward"]) == (False, True, 0.0)
 
 
 def test_no_look_ahead(spark):
@@ -147,23 +160,53 @@ def test_exposure_cap(spark):
     assert {r["symbol"] for r in got.collect()} == {"EURUSD", "GBPUSD", "AUDNZD"}
 
 
-def test_profile_bounds_and_degenerate_atr():
+def _bars_of(spark, high, low, close, atr):
+    rows = [("A", i, float(h), float(lo), float(c), float(atr)) for i, (h, lo, c) in enumerate(zip(high, low, close, strict=True))]
+    return spark.createDataFrame(rows, "symbol string, dt int, h double, l double, c double, atr double")
+
+
+def _last_profile(spark, high, low, close, atr, **named):
+    """dt counts bars, so its unit is a second."""
+    b = _bars_of(spark, high, low, close, atr).withColumn("dt", F.timestamp_seconds("dt").cast("timestamp_ntz"))
+    return profile.tpo_profile(b, "atr", **named).orderBy(F.col("dt").desc()).first()
+
+
+def test_profile_bounds_and_degenerate_atr(spark):
     c = np.linspace(1.095, 1.105, 60)
-    p = profile.profile_of((c + 0.0008)[-48:], (c - 0.0008)[-48:], c[-48:], 0.0015, 16)
+    p = _last_profile(spark, c + 0.0008, c - 0.0008, c, 0.0015, lookback=48, bins=16)
     assert p.val <= p.poc <= p.vah and p.low <= p.poc <= p.high and 0 < p.balance < 1
-    flat = profile.profile_of(c + 1, c - 1, c, 1e-7, 16)
-    assert flat.degenerate and flat[:5] == (c[-1],) * 5 and flat[5:8] == (0.0, 0.0, 0.0)
-    assert profile.profile_of(np.ones(5), np.ones(5), np.ones(5), 0.1).balance == 1.0
+    flat = _last_profile(spark, c + 1, c - 1, c, 1e-7)
+    assert flat.degenerate and (flat.poc, flat.vah, flat.val, flat.low, flat.high) == (c[-1],) * 5 and (flat.balance, flat.dist_poc, flat.width) == (0.0, 0.0, 0.0)
+    assert _last_profile(spark, np.ones(5), np.ones(5), np.ones(5), 0.1).balance == 1.0
     # bars 0-1, 1-2 and 1-3 over three bins of width 1: an upper edge is not in the bin above it
-    edges = profile.profile_of(np.array([1.0, 2.0, 3.0]), np.array([0.0, 1.0, 1.0]), np.array([0.5, 1.5, 2.5]), 1.0, 3, 0.5)
-    assert (edges.poc, edges.val, edges.vah, edges.balance) == (1.5, 1.0, 2.0, 0.5)
-
-
-def test_memory_scores():
+    edges = _last_profile(spark, [1.0, 2.0, 3.0], [0.0, 1.0, 1.0], [0.5, 1.5, 2.5], 1.0, bins=3)
+    assert (edges.poc, edges.val, edges.vah, edges.balance) == (1.5, 1.0, 3.0, 0.5)
+
+
+def test_profiles_against_counting(spark):
+    """Random bars: counts bin by bin, the area by trying the two neighbours in turn."""
+    rng = np.random.default_rng(5)
+    c = 10 + np.cumsum(rng.normal(0, 0.3, 90))
+    h, low = c + rng.random(90), c - rng.random(90)
+    b = _bars_of(spark, h, low, c, 0.4).withColumn("dt", F.timestamp_seconds("dt").cast("timestamp_ntz"))
+    for i, r in enumerate(profile.tpo_profile(b, "atr", 30, 12).orderBy("dt").collect()):
+        w = slice(max(0, i - 29), i + 1)
+        edges = np.linspace(low[w].min(), h[w].max(), 13)
+        n = [int(((low[w] < edges[k + 1]) & (h[w] > edges[k])).sum()) for k in range(12)]
+        area = [n.index(max(n))]
+        while sum(n[k] for k in area) < 0.7 * sum(n):
+            near = [k for k in (max(area) + 1, min(area) - 1) if 0 <= k < 12]
+            area.append(max(near, key=lambda k: n[k]))  # the first, upper one at ties
+        assert r["val"] == pytest.approx(edges[min(area)]) and r["vah"] == pytest.approx(edges[max(area) + 1]) and r["balance"] == pytest.approx(max(n) / sum(n))
+
+
+def test_memory_scores(spark):
     c = np.concatenate([np.full(40, 10.0), np.full(12, 8.0)])
-    m = profile.memory_of(c + 0.1, c - 0.1, c, 0.5, (24, 48))
+    b = _bars_of(spark, c + 0.1, c - 0.1, c, 0.5).withColumn("dt", F.timestamp_seconds("dt").cast("timestamp_ntz"))
+    m = profile.tpo_memory(b, "atr", (24, 48)).orderBy(F.col("dt").desc()).first()
     assert m.tpo_resistance_score == 0.0 and 0 <= m.tpo_support_score <= 1 and 0 <= m.tpo_value_area_overlap <= 1
-    assert profile.memory_of(c + 0.1, c - 0.1, c, 1e-7)[:8] == (0.0,) * 8
+    short = profile.tpo_memory(b, "atr", (24, 48)).orderBy("dt").first()
+    assert (short.tpo_value_area_overlap, short.tpo_rejection_score, short.tpo_balance_score > 0) == (1.0, 0.0, True)
 
 
 def test_tpo_memory_zeros(spark):
@@ -177,6 +220,7 @@ def test_reversal_buys_after_a_dip(spark):
     c = np.concatenate([rise, dip])
     rows = [("A", i, float(x), float(x) + 3e-4, float(x) - 3e-4, 8e-5) for i, x in enumerate(c)]
     b = spark.createDataFrame(rows, "symbol string, dt int, c double, h double, l double, sp double").withColumns({"atr": F.lit(0.0012), "n": F.col("dt") + 1, "other_direction": F.lit(0), "other_confidence": F.lit(0.0)})
+    b = b.withColumn("dt", F.timestamp_seconds("dt").cast("timestamp_ntz"))
     b = profile.tpo_memory(ind.log_ret(b, 1).withColumn("ret_3", F.lit(0.01)), "atr")
     decide = lambda rows: signals.reversal_decision(rows).orderBy(F.col("dt").desc()).first()
     r = decide(b)
@@ -235,7 +279,7 @@ def test_laggards_against_numpy(spark):
 
 def test_zeros_and_equal_folds_divide_safely(spark):
     zero = spark.createDataFrame([("A", at(f"2024-01-01 00:{i:02d}:00"), x, x, x, x, 0.0, 1) for i, x in enumerate([0.0, 0.0, 1.0, 0.0, 2.0] * 5)], "symbol string, dt timestamp_ntz, o double, h double, l double, c double, sp double, tk int")
-    for f in (ind.pair_features_16, ind.session_local_features, ind.regime_signal, ind.microstructure_4, labels.forward_return, lambda b: labels.label_threshold(b, 3, 0.1), lambda b: ind.horizon_return(b, 2)):
+    for f in (lambda b: ind.pair_features_16(b, F.lit(1e-4)), ind.session_local_features, ind.regime_signal, ind.microstructure_4, labels.forward_return, lambda b: labels.label_threshold(b, 3, 0.1), lambda b: ind.horizon_return(b, 2)):
         assert f(zero).count() == len(f(zero).collect()) == 25
     folds = spark.createDataFrame([("a", i, 1.0, 1.0) for i in range(4)], "config string, fold int, loss double, score double")
     assert metrics.fold_summary(folds).first()["dispersion"] == 0.0 and metrics.pbo_cscv(folds).first()["n_splits"] == 6
@@ -268,7 +312,7 @@ def test_triple_barrier_buys(spark):
     c = [1.0] * 16 + [1.0 + 0.01 * k for k in range(1, 8)]
     rows = [("A", at(f"2024-01-01 00:{i:02d}:00"), x, x + 0.005, x - 0.002, x, 1e-4, 0.01) for i, x in enumerate(c)]
     b = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, o double, h double, l double, c double, sp double, atr double")
-    assert labels.label_triple_barrier(b, 3, "atr").where("barrier_valid and label = 1").count() > 0
+    assert labels.label_triple_barrier(b, 3, "atr", F.lit(1e-4)).where("barrier_valid and label = 1").count() > 0
 
 
 def test_folds_are_purged(spark):
@@ -299,11 +343,12 @@ def test_asof_clamp(spark):
 
 
 def test_first_fill_join_sees_sparse_bars(spark):
-    """Without a horizon the first five bars count, however late; an event on a bar meets that bar."""
-    micro = spark.sql("SELECT 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 5 * id) AS dt, 10.0D + id AS h, 9.0D - id AS l, 9.5D AS c FROM range(8)")
-    events = spark.sql("SELECT id AS event_id, 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1.0 * id) AS dt, 1 AS direction, 5.0D AS limit FROM VALUES (0L), (1L), (200000L) AS t(id)")
-    got = {r["event_id"]: (r["n_seen"], r["filled"], r["fill_dt"] and r["fill_dt"].hour) for r in align.first_fill_join(events, micro, 5, 0.01).collect()}
-    assert got == {0: (5, False, None), 1: (5, True, 1), 200000: (0, False, None)}
+    """The first five bars count, however late; an event on a bar meets that bar. The limit, half an ATR behind, is 5."""
+    micro = spark.sql("SELECT 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 5 * id) AS dt, 9.5D AS o, 10.0D + id AS h, 9.0D - id AS l, 9.5D AS c FROM range(8)")
+    events = spark.sql("SELECT id AS event_id, 'a' AS symbol, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 1.0 * id) AS dt, 1 AS direction, 9.0D AS atr FROM VALUES (0L), (1L), (200000L) AS t(id)")
+    rows = align.first_fill_join(events, micro, 5, F.lit(0.01)).where("action = 'limit_half_atr'").collect()
+    got = {r["event_id"]: (r["near_miss"], r["filled"], r["fill_dt"] and r["fill_dt"].hour) for r in rows}
+    assert got == {0: (True, False, None), 1: (False, True, 1), 200000: (False, False, None)}
 
 
 def test_carry_across_buckets(spark):
@@ -322,3 +367,66 @@ def test_carry_across_buckets(spark):
             want[s, t] = (i + 1, back[-1] if back else None, ahead[0] if ahead else None)
     assert found == want
     assert carry.carry(df.limit(0), [F.col("dt")], past={"x": F.col("x")}).count() == 0
+
+
+def test_gates_by_their_limits(spark):
+    one = spark.range(1)
+    of = lambda d, q, p: one.select(*(x.alias(n) for n, x in zip(("ok", "conf"), signals.entry_gate(F.lit(d), F.lit(q).cast("double"), F.lit(p)), strict=True))).first()
+    assert tuple(of(1, 0.7, 0.9)) == (True, 0.7) and tuple(of(1, None, 0.9)) == (True, 0.9) and of(1, 0.49, 0.9)["ok"] is False
+    assert of(-1, 0.2, 0.1)["conf"] == pytest.approx(0.8) and of(-1, 0.6, 0.1)["ok"] is False and tuple(of(0, 0.9, 0.5)) == (False, None)
+    row = dict(net=0.15, confidence=0.55, trend=0.1, direction=1, atr_ratio=2.8, agreement=0.5, regime="NORMAL", gap=0.0041)
+    gate = lambda **x: signals.six_gates(one.select(*(F.lit(v).alias(k) for k, v in {**row, **x}.items()))).first()["all_pass"]
+    assert gate() and not any(gate(**x) for x in ({"net": 0.14}, {"confidence": 0.54}, {"trend": -0.1}, {"direction": 0}, {"atr_ratio": 2.9}, {"atr_ratio": 0.29}, {"agreement": 0.4}, {"regime": "FRAGMENTED"}, {"gap": 0.004}))
+
+
+def test_both_barriers_in_one_bar(spark):
+    """Both touched and a close at the entry: up. No touch at all is no row of the binary form."""
+    flat = [("EURUSD", at("2024-01-01 00:00:00") + timedelta(hours=i), 1.0, 1.0, 1.0, 0.0, 0.001) for i in range(16)]
+    both = [("EURUSD", at("2024-01-01 16:00:00") + timedelta(hours=i), 1.01, 0.99, 1.0, 0.0, 0.001) for i in range(1)] + [("EURUSD", at("2024-01-01 17:00:00") + timedelta(hours=i), 1.0, 1.0, 1.0, 0.0, 0.001) for i in range(8)]
+    b = spark.createDataFrame(flat + both, "symbol string, dt timestamp_ntz, h double, l double, c double, sp double, atr double")
+    got = {r["dt"].hour: (r["label"], r["barrier_valid"]) for r in labels.label_triple_barrier(b, 6, "atr", F.lit(1e-4)).where("dt < timestamp'2024-01-02'").collect()}
+    assert got[15] == (1, True) and got[16] == (0, False) and got[9] == (0, False) and got[14] == (1, True)
+
+
+def test_net_direction_rules_agreement(spark):
+    rows = [(1, "a", 0.5, 0.9), (1, "b", 0.5, 0.1), (1, "c", -0.5, 0.9), (2, "a", 0.5, 0.9), (2, "b", -0.5, 0.9), (3, "a", 0.5, 0.1)]
+    got = {r["dt"]: r["agreement"] for r in graph.agreement_ratio(spark.createDataFrame(rows, "dt int, symbol string, residual double, confidence double"), 0.5).collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+def test_deflated_sharpe_and_efficiency(spark):
+    import math
+
+    from barloom.operators import metrics
+
+    f = spark.createDataFrame([("x", i, s, 0.5, 100) for i, s in enumerate((0.1, 0.3, 0.2))] + [("y", 0, 0.3, 1.0, 1)], "config string, fold int, score double, loss double, n int")
+    got = {r["config"]: r["dsr"] for r in metrics.dsr(f).collect()}
+    z = (0.3 - 0.0837) * math.sqrt(99) / math.sqrt(1 - 0.25 * 0.09)
+    assert got["y"] == 0.5 and got["x"] == pytest.approx(0.5 * (1 + math.erf(z / math.sqrt(2))), abs=0.01)
+    assert {r["config"]: r["wfe"] for r in metrics.wfe(f).collect()} == {"x": 0.3, "y": 0.6}
+
+
+def test_kelly_within_bounds(spark):
+    from barloom.operators import metrics
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate((0.57, 0.61, 0.53, 0.9, 0.1, 0.5))], "i int, p double")
+    s = metrics.kelly_stakes(rows, "p", 0.05, 1.5, cap=0.1).orderBy("i").collect()
+    assert [r["side"] for r in s] == [1, 1, 0, 1, -1, 0] and all(0 <= r["stake"] <= 0.1 for r in s)
+    assert s[0]["stake"] == pytest.approx((1.5 * 0.57 - 0.43) / 1.5 * 0.25) and s[3]["stake"] == s[4]["stake"] == 0.1
+
+
+@pytest.mark.parametrize("few", [5, 200])
+def test_exact_quantiles(spark, few):
+    """Ties, outliers of many sizes, a group of one, null keys, nulls and NaN; few forces many passes."""
+    from barloom.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(7)
+    rows = [("a", float(x)) for x in 10.0 ** rng.integers(-300, 300, 400)] + [("b", float(x)) for x in rng.integers(0, 4, 300)] + [("c", 7.5)] + [(None, float(x)) for x in rng.normal(0, 1, 250)] + [("b", None), ("d", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.77, 1.0]
+    got = {r["k"]: list(r)[1:] for r in exact_quantiles(df, ["k"], "x", shares, few).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k in got:
+        x = np.array([v for q, v in rows if q == k and v is not None and v == v])
+        assert np.allclose(got[k], np.quantile(x, shares), rtol=1e-12, atol=0)
+    assert exact_quantiles(df.limit(0), ["k"], "x", [0.5]).collect() == []
