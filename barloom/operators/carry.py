@@ -8,6 +8,7 @@ and bucket, and the joins back follow that partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,7 +69,20 @@ BLOCK = 4_096
 
 def _placed(rows: DataFrame, time: str, size: int) -> DataFrame:
     """rows with __no, their number in the symbol from 1, and __block, that number's block."""
-    return numbered(rows, "__no", [F.col(time)], time).withColumn("__block", F.floor((F.col("__no") - 1) / size))
+    given = rows if "__no" in rows.columns else numbered(rows, "__no", [F.col(time)], time)
+    return given.withColumn("__block", F.floor((F.col("__no") - 1) / size))
+
+
+def numbered_first(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Numbers a function's rows by (symbol, dt) once, in column __no, for all the scans and windows over blocks that it chains."""
+
+    @wraps(f)
+    def run(rows: DataFrame, *args: object, **named: object) -> DataFrame:
+        if "__no" in rows.columns:
+            return f(rows, *args, **named)
+        return f(numbered(rows, "__no", [F.col("dt")]), *args, **named).drop("__no")
+
+    return run
 
 
 def in_blocks(rows: DataFrame, lookback: int, f: Callable[[DataFrame], DataFrame], time: str = "dt", size: int | None = None) -> DataFrame:
@@ -89,7 +103,7 @@ def in_blocks(rows: DataFrame, lookback: int, f: Callable[[DataFrame], DataFrame
     copies = placed.withColumn("__for", F.explode(F.when(last, F.array("__block", F.col("__block") + 1)).otherwise(F.array("__block"))))
     out = f(copies.withColumn("symbol", F.struct(F.col("symbol").alias("name"), F.col("__for").alias("block"))))
     own = out.where(F.col("__block") == F.col("symbol.block"))
-    return own.withColumn("symbol", F.col("symbol.name")).drop("__no", "__block", "__for")
+    return own.withColumn("symbol", F.col("symbol.name")).drop("__block", "__for", *(() if "__no" in rows.columns else ("__no",)))
 
 
 def running(rows: DataFrame, sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, time: str = "dt", size: int = BLOCK) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import clip, liquidity_stress, log_ratio
-from barloom.operators.carry import in_blocks, running
+from barloom.operators.carry import in_blocks, numbered_first, running
 
 EPS = 1e-10
 
@@ -303,11 +303,13 @@ def changes(b: DataFrame, column: str, name: str) -> DataFrame:
     return b.withColumn(name, F.coalesce(F.col(column) != F.lag(column).over(by_time()), F.lit(False)))
 
 
+@numbered_first
 def islands(b: DataFrame, column: str, name: str = "island") -> DataFrame:
     """Number of the run of equal values that a row lies in, by symbol: a running sum of changes."""
     return running(changes(b, column, "__change"), sums={name: F.col("__change").cast("int")}).drop("__change")
 
 
+@numbered_first
 def run_length(b: DataFrame, column: str, name: str) -> DataFrame:
     """How many rows of its run of equal values a row ends: its number less that of the last change."""
     b = running(changes(b, column, "__change"), sums={"__at": F.lit(1)}, lasts={"__since": F.when(F.col("__change") | (F.col("__no") == 1), F.col("__no"))})
@@ -318,6 +320,7 @@ def run_length(b: DataFrame, column: str, name: str) -> DataFrame:
 TRADE_SESSIONS = (2, 3, 4)
 
 
+@numbered_first
 def session_progress(b: DataFrame, session: str) -> DataFrame:
     """progress: how many bars of its run a bar of a trade session ends, 0 in other sessions."""
     b = run_length(b, session, "__run")
@@ -357,6 +360,7 @@ def residual_streak(b: DataFrame, column: str, dead: float) -> DataFrame:
     return b.withColumn("streak", streak).withColumn("streak_bonus", F.when(F.col("streak") >= 3, F.log2("streak")).otherwise(0.0)).drop("__sign", "__run")
 
 
+@numbered_first
 def regime_memory(b: DataFrame, column: str, phase: str, alpha: float = 0.1, start: float = 2.0) -> DataFrame:
     """regime_before, regime_age (log1p of bars since the change), regime_ema (from `start`), session_transition (phase differs from the bar before's).
 
@@ -398,7 +402,9 @@ def vol_percentile(b: DataFrame, column: str, n: int) -> DataFrame:
     rows with the n before it is ranked at once, in log2(n) steps a row.
     """
     b = running(b, sums={"__seen": (F.coalesce(F.col(column), F.lit(0.0)) > 0).cast("int")})
-    counted = b.where(F.col(column) > 0)
+    counted = b.where(F.col(column) > 0)  # numbered among themselves
+    if "__no" in b.columns:
+        raise ValueError("rows must not be numbered yet")
 
     def ranked(x: DataFrame) -> DataFrame:
         def of(key: tuple, t: pa.Table) -> pa.Table:
@@ -432,6 +438,7 @@ def gap_delta(b: DataFrame, column: str, n: int = 60) -> DataFrame:
 NORMAL = 1
 
 
+@numbered_first
 def weekend_carry(b: DataFrame, regime: str, step_minutes: int = 5) -> DataFrame:
     """weekend_regime, the code of `regime` (0 to 4) at the last Sunday's end, and weekend_shift from the Saturday's start before it.
 
@@ -456,6 +463,7 @@ def atr_ratio(b: DataFrame, n: int = 60) -> DataFrame:
     return b.withColumn("atr_ratio", F.try_divide(F.col("atr_14"), F.avg("atr_14").over(rows(1 - n))))
 
 
+@numbered_first
 def cooldown_mask(b: DataFrame, stop: str, n: int) -> DataFrame:
     """For n rows after a stop event: locked, and rows left."""
     b = running(b, sums={"__at": F.lit(1)}, lasts={"__stop": F.when(F.col(stop), F.col("__no"))})

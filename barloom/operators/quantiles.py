@@ -33,8 +33,9 @@ def _own(application: str) -> str:
     return tempfile.mkdtemp(prefix="barloom-")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/barloom-quantiles-{uuid.uuid4().hex}"
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: what follows does not repeat what came before."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/barloom-kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,11 +48,11 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     """
     few = few or FEW
     names = [f"__k{i}" for i in range(len(keys))]
-    v = _kept(rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)"))
+    v = kept(rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)"))
     groups = v.groupBy(*names).agg(F.count("*").alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     # an open range of a group: values in [lo, hi], the number of those below it, and the ranks that lie in it
     ranks = F.flatten(F.array(*(F.array(F.floor(F.lit(s) * (F.col("__n") - 1)), F.ceil(F.lit(s) * (F.col("__n") - 1))) for s in shares)))
-    opened = _kept(groups.select(*names, F.lit(0).cast("bigint").alias("below"), "lo", "hi", F.col("__n").alias("count"), F.array_distinct(ranks).alias("ranks")))
+    opened = kept(groups.select(*names, F.lit(0).cast("bigint").alias("below"), "lo", "hi", F.col("__n").alias("count"), F.array_distinct(ranks).alias("ranks")))
     found = None
     while True:
         done = opened.where(f"count <= {few} or lo = hi")
@@ -59,7 +60,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
         sorted_ = inside.groupBy(*(F.col(f"r.{n}").alias(n) for n in names), F.col("r.below").alias("below"), F.col("r.ranks").alias("ranks")).agg(F.array_sort(F.collect_list("v.__v")).alias("x"))
         picked = sorted_.select(*names, F.explode("ranks").alias("rank"), "below", "x").select(*names, "rank", F.get("x", (F.col("rank") - F.col("below")).cast("int")).alias("x"))
         alike = done.where("lo = hi").select(*names, F.explode("ranks").alias("rank"), F.col("lo").alias("x"))
-        part = _kept(picked.unionAll(alike))
+        part = kept(picked.unionAll(alike))
         found = part if found is None else found.unionAll(part)
         wide = opened.where(f"count > {few} and lo < hi")
         if wide.isEmpty():
@@ -73,7 +74,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
         w = Window.partitionBy(*names, "base").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         bins = bins.withColumn("below", F.col("base") + F.coalesce(F.sum("count").over(w), F.lit(0)))
         bins = bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("count")))).where(F.size("ranks") > 0)
-        opened = _kept(bins.select(*names, "below", "lo", "hi", "count", "ranks"))
+        opened = kept(bins.select(*names, "below", "lo", "hi", "count", "ranks"))
     at_rank = found.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("m"))
     out = groups.alias("g").join(at_rank.alias("f"), _match("g", "f", names))
     made = []

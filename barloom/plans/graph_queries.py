@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
-from barloom.functions.numeric import liquidity_stress
-from barloom.operators import graph, profile
+from barloom.functions.numeric import liquidity_stress, pip_size
+from barloom.operators import graph, matrix, profile
 from barloom.operators import indicators as ind
 from barloom.operators.carry import in_blocks
-from barloom.plans.indicator_queries import ALL, SESSION, TR, over
+from barloom.plans.indicator_queries import ALL, PHASE, RN, SESSION, TR, over
+from barloom.plans.indicator_queries import PASTW as PAST
 from barloom.plans.registry import SQL, hourly, query, returns
 
 PAIR = "(PARTITION BY a, b ORDER BY dt ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
@@ -213,23 +214,80 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return n.orderBy(F.abs("residual").desc(), "dt", "symbol").limit(10)
 
 
-@query("cross_bridge_features", "dt:t symbol:s ret:d trend:d basket:d gate:d", f"SELECT r.dt, r.symbol, r.ret, t.trend, k.basket, CASE WHEN isodow(r.dt) >= 6 THEN 0.0 ELSE 1.0 END AS gate FROM rets r LEFT JOIN (SELECT dt, avg(ret) AS trend FROM rets WHERE {CLASS} = 'act' GROUP BY 1) t ON r.dt = t.dt LEFT JOIN (SELECT dt, avg(ret) AS basket FROM rets WHERE {CLASS} = 'browse' GROUP BY 1) k ON r.dt = k.dt")
+LEAD, CROSSES, BASKET = "purchase", ["view", "click"], {"view": 0.5, "click": -0.3, "signup": 0.2}
+PHASE_CODES = ["sydney", "tokyo", "london", "newyork", "pre_tokyo"]
+PHASE_CODE = f"list_position({PHASE_CODES!r}, {PHASE.format('dt')}) - 1"
+STATE = f"(SELECT dt, count(*) AS beta0, sum(tk) % 4 AS beta1, max(sp) AS h1, avg(sp) AS gap, sum(tk) % 5 AS regime FROM bars GROUP BY 1)"
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """A state of each bar: any numbers will do for the columns that come from a spectrum, here counts and spreads."""
+    return hourly(spark, d).groupBy("dt").agg(F.count("*").alias("beta0"), (F.sum("tk") % 4).alias("beta1"), F.max("sp").alias("h1"), F.avg("sp").alias("gap"), (F.sum("tk") % 5).cast("int").alias("regime"))
+
+
+BRIDGE = f"""
+  WITH l AS (SELECT r.symbol, r.dt, c, sp, tk, abs(ret) AS v, beta0, beta1, h1, gap, regime, {PHASE_CODE.replace('dt', 'r.dt')} AS phase FROM rets r JOIN {STATE} s ON s.dt = r.dt WHERE symbol = '{LEAD}'),
+  a AS (SELECT *, {RN} AS rn, sum((v > 0)::INT) OVER {PAST} AS pn, isodow(dt) = 6 AND hour(dt) * 60 + minute(dt) < 5 AS opens, isodow(dt) = 7 AND hour(dt) * 60 + minute(dt) >= 1435 AS closes,
+    ln(c / coalesce(lag(c, 24) OVER {ALL}, first_value(c) OVER {ALL})) AS risk, coalesce(gap - lag(gap, 59) OVER {ALL}, 0) AS gd, CASE WHEN {RN} <= 2 THEN NULL ELSE (tk - avg(tk) OVER {over(60, '1 PRECEDING')}) / (stddev_pop(tk) OVER {over(60, '1 PRECEDING')} + 1e-10) END AS tz,
+    CASE WHEN {RN} <= 2 THEN NULL ELSE (sp - avg(sp) OVER {over(60, '1 PRECEDING')}) / (stddev_pop(sp) OVER {over(60, '1 PRECEDING')} + 1e-10) END AS sz, coalesce(lag(regime) OVER {ALL}, 2) AS prev, coalesce(phase <> lag(phase) OVER {ALL}, true)::INT AS moved,
+    list_reduce(list_prepend(2.0::DOUBLE, list(regime::DOUBLE) OVER {PAST}), lambda u, x: 0.1::DOUBLE * x + (1 - 0.1::DOUBLE) * u) AS ema, CASE WHEN regime <> lag(regime) OVER {ALL} THEN 1 ELSE 0 END AS ch FROM l),
+  i AS (SELECT *, sum(ch) OVER {PAST} AS island FROM a),
+  k AS (SELECT *, ln(row_number() OVER (PARTITION BY island ORDER BY dt) + CASE WHEN island = 0 AND regime = 2 THEN 1 ELSE 0 END) AS age FROM i),
+  p AS (SELECT x.dt, CASE WHEN x.pn <= 1 THEN 0.5 WHEN NOT x.v > 0 THEN 0 ELSE avg(CASE WHEN y.v < x.v THEN 1.0 ELSE 0.0 END) END AS pct FROM a x LEFT JOIN a y ON y.v > 0 AND y.pn <= x.pn AND y.pn > x.pn - 240 GROUP BY x.dt, x.pn, x.v),
+  z AS (SELECT *, CASE WHEN {RN} <= 2 THEN NULL ELSE (sp - avg(sp) OVER {over(60, '1 PRECEDING')}) / (stddev_pop(sp) OVER {over(60, '1 PRECEDING')} + 1e-10) END AS gz FROM rets WHERE symbol <> '{LEAD}'),
+  g AS (SELECT dt, avg(ret) AS summary, sum(CASE symbol WHEN 'view' THEN 0.5 WHEN 'click' THEN -0.3 WHEN 'signup' THEN 0.2 END * ret) / sum(CASE symbol WHEN 'view' THEN 0.5 WHEN 'click' THEN 0.3 WHEN 'signup' THEN 0.2 END) AS dxy, avg(gz) AS spread, avg(ret) FILTER (symbol IN ('view', 'click')) AS crosses FROM z GROUP BY 1),
+  t AS (SELECT *, CASE WHEN isodow(dt) >= 6 THEN 0 ELSE CASE {PHASE.format('dt')} WHEN 'pre_tokyo' THEN 0.5 WHEN 'tokyo' THEN 0.6 WHEN 'london' THEN 0.8 WHEN 'sydney' THEN 0.4 ELSE 1.0 END * CASE WHEN regime >= 4 THEN 0.3 WHEN regime >= 3 THEN 0.7 ELSE 1.0 END END AS gate FROM k)
+  SELECT t.dt, 1 * gate AS btc_weekend_regime, 0 * gate AS btc_weekend_regime_shift, pct * gate AS btc_vol_percentile, risk * gate AS btc_risk_sentiment, gd * gate AS btc_spectral_gap_delta, tz * gate AS btc_tick_velocity_z, sz * gate AS btc_spread_z, h1 * gate AS btc_h1_lifespan, gate AS btc_bridge_gate,
+    phase AS fx_session_phase, coalesce(summary, 0) AS fx_regime_summary, coalesce(dxy, 0) AS fx_dxy_proxy, coalesce(spread, 0) AS fx_avg_spread_z, coalesce(crosses, 0) AS fx_jpy_cross_mean_ret, gap AS fx_spectral_gap,
+    beta0 AS graph_betti_0, beta1 AS graph_betti_1, h1 AS graph_max_h1_life, gap AS graph_spectral_gap, regime AS graph_regime, prev AS prev_regime, age AS bars_in_regime, moved AS session_transition, ema AS regime_ema FROM t JOIN p ON p.dt = t.dt LEFT JOIN g ON g.dt = t.dt"""
+
+
+def _bridge(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(spark, d)
+    lead = r.where(F.col("symbol") == LEAD).select("symbol", "dt", "c", "sp", "tk", F.abs("ret").alias("atr"))
+    phase = F.array_position(F.array(*map(F.lit, PHASE_CODES)), calendar.session_phase(F.col("dt"))) - 1
+    gate = calendar.bridge_gate(F.col("dt"), F.col("regime"))
+    return matrix.cross_bridge(lead, r.where(F.col("symbol") != LEAD).select("symbol", "dt", "ret", "sp"), _state(spark, d), BASKET, CROSSES, phase, gate, horizon=24, history=240)
+
+
+BRIDGE_COLUMNS = [*matrix.TO_GROUP, "btc_bridge_gate", *matrix.TO_LEAD, *matrix.SHARED]
+
+
+@query("cross_bridge_features", " ".join(["dt:t", *(f"{c}:d" for c in BRIDGE_COLUMNS)]))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = _rets(spark, d)
-    side = F.when(F.col("symbol").isin("view", "click"), "browse").otherwise("act")
-    per = r.groupBy("dt").agg(F.avg(F.when(side == "act", F.col("ret"))).alias("trend"), F.avg(F.when(side == "browse", F.col("ret"))).alias("basket"))
-    return r.join(per, "dt", "left").withColumn("gate", F.when(F.weekday("dt") >= 5, 0.0).otherwise(1.0))
+    return _bridge(spark, d)
+
 
+#: Columns whose first rows differ by how a deviation of one value is written, and weekends' ends that hourly bars do not reach.
+SETTLED = [c for c in BRIDGE_COLUMNS if c not in ("btc_tick_velocity_z", "btc_spread_z", "fx_avg_spread_z", "btc_weekend_regime", "btc_weekend_regime_shift")]
 
-@query("feature_matrix_wide", "dt:t click:d error:d purchase:d signup:d view:d label:i", "SELECT * FROM (SELECT dt, " + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN ret END) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + ", max(CASE WHEN symbol = 'view' THEN up END) AS label, row_number() OVER (ORDER BY dt) AS rn FROM (SELECT *, CASE WHEN lead(c) OVER (PARTITION BY symbol ORDER BY dt) > c THEN 1 WHEN lead(c) OVER (PARTITION BY symbol ORDER BY dt) <= c THEN 0 END AS up FROM rets) GROUP BY dt) WHERE rn > 120 AND (rn - 120) % 15 = 1")
+
+@query("cross_bridge_settled", " ".join(["dt:t", *(f"{c}:d" for c in SETTLED)]), BRIDGE)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    return _bridge(spark, d)
+
 
-    r = returns(spark, d).withColumn("up", (F.lead("c").over(ind.by_time()) > F.col("c")).cast("int"))
-    wide = r.groupBy("dt").pivot("symbol", ["click", "error", "purchase", "signup", "view"]).agg(F.max("ret"))
-    label = r.where("symbol = 'view'").select("dt", F.col("up").alias("label"))
-    rn = F.row_number().over(Window.orderBy("dt"))
-    return wide.join(label, "dt", "left").withColumn("rn", rn).where("rn > 120 and (rn - 120) % 15 = 1")
+TRADED, INFORMING = ["purchase", "signup", "view"], ["click", "error"]
+WIDE = f"""
+  WITH p AS ({SQL['pair_features_16']}), s AS ({SQL['signal_features_7']}), n AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DISTINCT dt FROM bars)), w AS (SELECT dt FROM n WHERE i >= 120 AND (i - 120) % 15 = 0),
+  x AS (SELECT dt, {', '.join(f"max(CASE WHEN symbol = '{t}' THEN {f} END) AS {t}_{f}" for t in TRADED for f in ind.PAIR_FEATURES)} FROM p GROUP BY 1),
+  y AS (SELECT dt, {', '.join(f"max(CASE WHEN symbol = '{t}' THEN {f} END) AS {t}_{f}" for t in INFORMING for f in ind.SIGNAL_FEATURES)} FROM s GROUP BY 1),
+  l AS (SELECT dt, CASE WHEN lead(c) OVER (ORDER BY dt) > c THEN 1 WHEN lead(c) OVER (ORDER BY dt) <= c THEN 0 END AS label FROM bars WHERE symbol = 'view'),
+  g AS (SELECT * FROM ({SQL['graph_residual_features']}))
+  SELECT * FROM w LEFT JOIN x USING (dt) LEFT JOIN y USING (dt) LEFT JOIN g USING (dt) LEFT JOIN l USING (dt)"""
+WIDE_COLUMNS = [*(f"{t}_{f}" for t in TRADED for f in ind.PAIR_FEATURES), *(f"{t}_{f}" for t in INFORMING for f in ind.SIGNAL_FEATURES)]
+
+
+@query("feature_matrix_wide", " ".join(["dt:t", *(f"{c}:d" for c in WIDE_COLUMNS), "res_mean:d res_std:d res_max:d corr_abs:d n_edges:i label:i"]), WIDE)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol of the table, 16 or 7 features each; the graph's columns are those that need no spectrum."""
+    r = returns(spark, d)
+    residual = r.withColumn("__residual", F.col("ret") - F.avg("ret").over(Window.partitionBy("dt")))
+    labelled = in_blocks(r.where("symbol = 'view'").withColumn("__t", -F.unix_seconds(F.col("dt").cast("timestamp"))), 1, lambda x: x.withColumn("label", (F.lag("c").over(Window.partitionBy("symbol").orderBy("__t")) > F.col("c")).cast("int")), time="__t")
+    return matrix.feature_matrix(
+        ind.pair_features_16(r, pip_size(F.col("symbol.name"))), TRADED, ind.signal_features_7(residual, pip_size(F.col("symbol.name"), 1.0), F.col("__residual")), INFORMING,
+        graph.graph_features(_edges(spark, d), _nodes(spark, d)), labelled, matrix.sampled_bars(r),
+    )
 
 
 def _profiles(windows: str, bins: int) -> str:

@@ -48,10 +48,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_tree_suite", "model:s auc:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ml.tree_suite(*ml.time_split(_rows(spark, d)))
+    return ml.tree_suite(*ml.time_split(_rows(spark, d)), FEATURES)[0]
 
 
-@query("ml_walkforward", "fold:i n_valid:i auc:d")
+@query("ml_importances", "feature:s mean_rank:d mean_importance:d rank:i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return ml.top_importances(ml.tree_suite(*ml.time_split(_rows(spark, d)), FEATURES)[1], 2, ["ret_1"])
+
+
+@query("ml_walkforward", "fold:i part:s n:i auc:d brier:d brier_cal:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return ml.walkforward(_rows(spark, d), labels.folds_walkforward(hourly(spark, d)))
 

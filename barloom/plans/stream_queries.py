@@ -24,13 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def drained(spark: SparkSession, rows: DataFrame, stream_of) -> DataFrame:
     """Write rows as a replayable source, run stream_of(source) over all of it, and return what it wrote."""
+    return drained_counted(spark, rows, stream_of)[0]
+
+
+def drained_counted(spark: SparkSession, rows: DataFrame, stream_of, files_per_trigger: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """What stream_of() wrote, and how many rows came too late in each micro-batch; files are read in the order of their names."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
-    source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/in")
     out = stream_of(source)
     q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return spark.read.schema(out.schema).parquet(f"{base}/out"), streams.late_rows(q)
 
 
 def _ntz(rows: DataFrame, *columns: str) -> DataFrame:
@@ -70,3 +75,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = _ntz(hourly(spark, d).select("symbol", "dt", calendar.session_code(F.col("dt")).alias("session"), "h", "l"), "dt")
     return drained(spark, b, streams.stream_session).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+@query("stream_late_rows", "dropped:i", "WITH m AS (SELECT max(ts) AS top FROM quotes) SELECT count(DISTINCT (symbol, date_trunc('hour', ts))) AS dropped FROM quotes, m WHERE id % 50 = 0 AND ts < top - INTERVAL 2 HOUR")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every quote, the last one again, then each fiftieth again: by the third file the watermark has passed all but the last hours.
+
+    The aggregation drops what reaches it, a row a symbol and hour.
+    """
+    q = _ntz(quotes(spark, d).select("symbol", "ts", "id", "mid"), "ts")
+    base, top = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}", q.agg(F.max("ts").alias("top"))
+    joined = q.join(F.broadcast(top))
+    for rows in (q, joined.where("ts = top").drop("top"), joined.where("id % 50 = 0 and ts < top - INTERVAL 2 HOURS").drop("top")):
+        rows.coalesce(1).write.mode("append").parquet(base)
+    out = streams.stream_bars(spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(base))
+    run = out.writeStream.format("noop").option("checkpointLocation", f"{base}-check").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return streams.late_rows(run).agg(F.sum("dropped").alias("dropped"))

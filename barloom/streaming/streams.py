@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -96,3 +97,18 @@ def stream_session(bars: DataFrame, k: int = 3) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "dt", "session", "bars_in_run", "or_high", "or_low"])
 
     return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, dt timestamp, session int, bars_in_run int, or_high double, or_low double", "code int, n int, hi double, lo double", "append", GroupStateTimeout.NoTimeout)
+
+
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """(batch, operator, dropped): rows that came behind the watermark, by micro-batch and stateful operator of a query, from its progress.
+
+    Rows are counted as they reach the operator: before an aggregation the
+    rows of a group and partition are one. A batch drops what lies behind the
+    watermark of the batch before it.
+
+    The query keeps as many of its last progress reports as
+    spark.sql.streaming.numRecentProgressUpdates says.
+    """
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    rows = [(p["batchId"], s["operatorName"], s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"]]
+    return spark.createDataFrame(rows, "batch bigint, operator string, dropped bigint").groupBy("batch", "operator").agg(F.sum("dropped").alias("dropped"))
