@@ -122,9 +122,11 @@ def neighbour_distances(points: DataFrame, k: int = 5, seed: int = 7, tables: in
     bucket's size. Each table gives a row its k best, tables are merged by id.
     """
     n, width = points.agg(F.count("*"), F.max(F.size("x"))).first()
-    rng, parts = np.random.default_rng(seed), max(1, -(-n // PART_ROWS))
+    if not n:
+        return points.select("id", F.lit(None).cast("double").alias("distance"))
+    rng, parts = np.random.default_rng(seed), -(-n // PART_ROWS)
     kind, found = points.schema["id"].dataType.simpleString(), None
-    spread = points.agg(*(F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(width or 0))).first() if n else []
+    spread = points.agg(*(F.stddev_pop(F.col("x")[i]).alias(str(i)) for i in range(width))).first()
     scale = float(np.sqrt(sum((v or 0.0) ** 2 for v in spread))) or 1.0
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
