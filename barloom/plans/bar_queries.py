@@ -213,7 +213,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILLED = """
-  WITH e AS (SELECT id AS event_id, symbol, ts AS dt, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dir, mid * 0.05 AS atr, mid * 0.01 AS pip FROM quotes),
+  WITH e AS (SELECT id AS event_id, symbol, ts AS dt, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END AS dir, mid * 0.051709318273 AS atr, mid * 0.010347123457 AS pip FROM quotes),
   n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS no FROM """ + SECOND + """),
   f AS (SELECT e.*, (SELECT min(no) FROM n WHERE n.symbol = e.symbol AND n.dt >= e.dt) AS no FROM e),
   b AS (SELECT event_id, list({'t': n.dt, 'o': n.o, 'h': n.h, 'l': n.l, 'c': n.c} ORDER BY n.dt) AS bars FROM f JOIN n ON n.symbol = f.symbol AND n.no >= f.no AND n.no < f.no + 5 GROUP BY 1),
@@ -229,9 +229,9 @@ FILLED = """
 
 @query("first_fill_join", "event_id:i action:s filled:b no_fill:b near_miss:b fill_dt:t fill_price:d reward:d edge:d slippage:d mfe:d mae:d", FILLED)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """A pip is a hundredth of the event's price, so that prices of events far apart fill and miss."""
+    """A pip is about a hundredth of the event's price, so that prices of events far apart fill and miss; the factors keep rewards off rounding ties."""
     q = quotes(spark, d)
-    events = q.select(F.col("id").alias("event_id"), "symbol", F.col("ts").alias("dt"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("direction"), (F.col("mid") * 0.05).alias("atr"), (F.col("mid") * 0.01).alias("pip"))
+    events = q.select(F.col("id").alias("event_id"), "symbol", F.col("ts").alias("dt"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1).alias("direction"), (F.col("mid") * 0.051709318273).alias("atr"), (F.col("mid") * 0.010347123457).alias("pip"))
     return align.first_fill_join(events, bars.bars_1s(q), 5, F.col("pip"))
 
 
