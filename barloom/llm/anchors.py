@@ -10,13 +10,16 @@ only keys that the corpus has twice can hold repetitions.
 1. Each map batch of texts asks once for each (key, span) it has, with how often
    it has it and the least and greatest id of its texts, and keeps a list of its
    own runs.
-2. For each key that the corpus has twice, one batch sends the units of each of
-   its different spans: equal spans are one query, as equal rows would be.
+2. For each key that the corpus has twice, the units of its different spans are
+   sent, of a span that it has more than once two witnesses: the one of the least
+   document and the one of the greatest.
 3. The caller's matcher (sorted suffixes or an FM-index) says which windows of
-   each span are repeated, and in which least document.
+   each span are repeated, and in which least document. It is told no numbers:
+   that a span is repeated it finds by comparing the witnesses' units.
 4. The answers go to every batch that asked and from there to the texts.
 
-All that is removed comes from step 3. A key with very many different spans is
+All that is removed comes from step 3; equal (key, span) pairs, 128 bits, share
+an answer. A key with very many different spans is
 split: its spans are cut into segments of windows, each dealt by the longer core
 of units that all windows of the segment share; a core that still has very many
 segments is dealt by whole windows.
@@ -242,37 +245,46 @@ def _by_batch(batch: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.nda
 
 
 def _choose(plan: Plan):
-    """applyInArrow over a bucket: the spans whose units one batch each shall send, with how often all batches have them."""
+    """applyInArrow over a bucket: the spans whose units a batch shall send, repeated ones from two places."""
 
     def chosen(table: pa.Table) -> pa.Table:
         ask, batch, new = _asked(table)
         starts = np.flatnonzero(new)
-        count = np.add.reduceat(ask["count"].astype(np.int64), starts)
+        group, rows = np.cumsum(new) - 1, np.arange(len(ask))
         least, most = np.minimum.reduceat(ask["least"], starts), np.maximum.reduceat(ask["most"], starts)
+        twice = least < most if plan.earlier else np.add.reduceat(ask["count"].astype(np.int64), starts) > 1
         key = ask["key"][starts]
         of_key = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         spans = np.diff(np.append(of_key, len(starts)))
         if plan.earlier:
             may = np.minimum.reduceat(least, of_key) < np.maximum.reduceat(most, of_key)
         else:
-            may = np.add.reduceat(count, of_key) > 1
-        wanted = np.flatnonzero(np.repeat(may, spans))
+            may = (spans > 1) | np.logical_or.reduceat(twice, of_key)
+        may = np.repeat(may, spans)
         many = np.repeat(spans > SPLIT_SPANS, spans)
+        one, two = np.flatnonzero(may), np.flatnonzero(may & twice)
+        first = np.minimum.reduceat(np.where(ask["least"] == least[group], rows, len(rows)), starts)
+        last = np.maximum.reduceat(np.where(ask["most"] == most[group], rows, -1), starts)
+        of, at = np.concatenate([one, two]), np.concatenate([first[one], last[two]])
+        copy = np.concatenate([np.where(twice[one], FIRST, ALONE), np.full(len(two), LAST)])
+        doc = np.where(copy == LAST, most[of], least[of])
         out: list[list] = [[], []]
-        for b, mine in _by_batch(batch[starts], wanted):
+        for b, mine in _by_batch(batch[at], np.arange(len(at))):
             out[0].append(b)
-            at = starts[mine]
-            out[1].append([dict(zip(_ASKED, x, strict=True)) for x in zip(ask["index"][at].tolist(), ask["key"][at].view(np.int64).tolist(), ask["span"][at].view(np.int64).tolist(), count[mine].tolist(), least[mine].tolist(), many[mine].tolist(), strict=True)])
+            x = ask[at[mine]]
+            out[1].append([dict(zip(_ASKED, v, strict=True)) for v in zip(x["index"].tolist(), x["key"].view(np.int64).tolist(), x["span"].view(np.int64).tolist(), copy[mine].tolist(), doc[mine].tolist(), many[of[mine]].tolist(), strict=True)])
         return pa.table({"batch": pa.array(out[0], pa.int64()), "part": pa.array(out[1], _PART)})
 
     return chosen
 
 
-_ASKED = ("index", "key", "span", "count", "least", "many")
-_PART = pa.list_(pa.struct([("index", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("count", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())]))
-_PART_SQL = "array<struct<index:bigint,key:bigint,span:bigint,count:bigint,least:bigint,many:boolean>>"
-_WANT_SQL = "array<struct<first:int,n:int,at:int,key:bigint,span:bigint,count:bigint,least:bigint,many:boolean>>"
-_WANT = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("count", pa.int64()), ("least", pa.int64()), ("many", pa.bool_())]))
+#: A span's witness: the only one; the first of two, which is looked up; the last of two, which asks.
+ALONE, FIRST, LAST = 0, 1, 2
+_ASKED = ("index", "key", "span", "copy", "least", "many")
+_PART = pa.list_(pa.struct([("index", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("copy", pa.int32()), ("least", pa.int64()), ("many", pa.bool_())]))
+_PART_SQL = "array<struct<index:bigint,key:bigint,span:bigint,copy:int,least:bigint,many:boolean>>"
+_WANT_SQL = "array<struct<first:int,n:int,at:int,key:bigint,span:bigint,copy:int,least:bigint,many:boolean>>"
+_WANT = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("copy", pa.int32()), ("least", pa.int64()), ("many", pa.bool_())]))
 RANGES = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 RANGES_SQL = "array<struct<from:int,to:int>>"
 #: What a matcher returns: windows [from, to) of a span, counted from its first, that repeat, and the least id of a document that has them.
@@ -296,23 +308,24 @@ def _wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
         col = lambda c: got.column(got.schema.get_field_index(c))  # noqa: B023, E731
         for r in range(got.num_rows):
-            rids, sizes = col("rids")[r].as_py(), col("sizes")[r].as_py()
+            rids, ids, sizes = (col(c)[r].as_py() for c in ("rids", "ids", "sizes"))
             own = _unplanes(col("payload")[r].as_py(), _OWN)
-            parts = {x["index"]: x for y in col("part")[r].as_py() for x in y}
-            _, lead = np.unique(own["index"], return_index=True)  # the first run of each span
-            lead = np.sort(lead[np.isin(own["index"][lead], np.fromiter(parts, np.int64, len(parts)))])
-            owner = np.searchsorted(np.cumsum(sizes), lead, side="right")
+            parts = [x for y in col("part")[r].as_py() for x in y]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((np.array(ids, np.int64)[owner], own["index"]))  # a span's runs by document
+            asked = np.array([x["index"] for x in parts], np.uint32)
+            lo, hi = (np.searchsorted(own["index"][order], asked, side=side) for side in ("left", "right"))
+            runs = order[np.where([x["copy"] == LAST for x in parts], hi - 1, lo)]
             out: dict[int, list] = {}
-            for i, o in zip(lead.tolist(), owner.tolist(), strict=True):
-                m, x = own[i], parts[int(own["index"][i])]
+            for m, o, x in zip(own[runs], owner[runs].tolist(), parts, strict=True):
                 out.setdefault(o, []).append({"first": int(m["first"]), "n": int(m["n"]), "at": int(m["at"]), **{c: x[c] for c in _ASKED[1:]}})
             yield pa.RecordBatch.from_arrays([pa.array([rids[o] for o in out], pa.int64()), pa.array(list(out.values()), _WANT)], names=["rid", "wants"])
 
 
-_PIECE_COLUMNS = {"key": "bigint", "span": "bigint", "many": "boolean", "core": "bigint", "part": "bigint", "skip": "int", "n": "int", "at": "int", "count": "bigint", "least": "bigint", "units": "binary"}
+_PIECE_COLUMNS = {"key": "bigint", "span": "bigint", "many": "boolean", "core": "bigint", "part": "bigint", "skip": "int", "n": "int", "at": "int", "copy": "int", "least": "bigint", "units": "binary"}
 _PIECE_SQL = ", ".join(f"{c} {t}" for c, t in _PIECE_COLUMNS.items())
-#: What a matcher gets: distinct spans of a key, with the number of their windows, the anchor's place, how often the corpus has them and the least id.
-SPAN_SQL = "key bigint, span bigint, n int, at int, count bigint, least bigint, units binary"
+#: What a matcher gets: witnesses of a key's spans, with the number of their windows, the anchor's place and the id of the document they come from.
+SPAN_SQL = "key bigint, span bigint, n int, at int, copy int, least bigint, units binary"
 
 
 def _hash(units: np.ndarray, seed: int = 0) -> int:
@@ -342,16 +355,16 @@ def _cut(plan: Plan):
                     own = units[w["first"] : w["first"] + w["n"] + plan.window - 1]
                     if w["many"]:
                         for core, skip, n, at, part in segments(own, w["n"], w["at"], width, plan):
-                            out.append([w["key"], w["span"], True, core, _hash(part, at + 1), skip, n, at, w["count"], w["least"], part.tobytes()])
+                            out.append([w["key"], w["span"], True, core, _hash(part, at + 1), skip, n, at, w["copy"], w["least"], part.tobytes()])
                     else:
-                        out.append([w["key"], w["span"], False, w["key"], w["span"], 0, w["n"], w["at"], w["count"], w["least"], own.tobytes()])
+                        out.append([w["key"], w["span"], False, w["key"], w["span"], 0, w["n"], w["at"], w["copy"], w["least"], own.tobytes()])
             yield _pieces(out)
 
     return run
 
 
 def _pieces(rows: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names=list(_PIECE_COLUMNS))
 
 
@@ -364,21 +377,26 @@ def _windows(plan: Plan):
             for x in got.to_pylist():
                 units = np.frombuffer(x["units"], np.uint64 if plan.words else np.uint8)
                 for core, skip, n, at, part in segments(units, x["n"], x["at"], 1, plan):
-                    out.append([x["key"], x["span"], True, core, _hash(part, at + 1), x["skip"] + skip, n, at, x["count"], x["least"], part.tobytes()])
+                    out.append([x["key"], x["span"], True, core, _hash(part, at + 1), x["skip"] + skip, n, at, x["copy"], x["least"], part.tobytes()])
             yield _pieces(out)
 
     return run
 
 
 def _matched(pieces: DataFrame, plan: Plan, match: Callable[[DataFrame, Plan], DataFrame]) -> DataFrame:
-    """FOUND_SQL of whole and of segmented spans; equal segments and windows of different spans go to the matcher once."""
-    whole = pieces.where("not many").select("key", "span", "n", "at", "count", "least", "units")
+    """FOUND_SQL of whole and of segmented spans; of equal segments and windows two witnesses go to the matcher."""
+    whole = pieces.where("not many").select("key", "span", "n", "at", "copy", "least", "units")
     cut = pieces.where("many")
     hot = cut.groupBy("core").agg(F.approx_count_distinct("part").alias("m")).where(F.col("m") > SPLIT_SPANS).select("core")
     single = cut.join(hot, "core", "left_semi").select(*_PIECE_COLUMNS).mapInArrow(_windows(plan), _PIECE_SQL)
     cut = settle(cut.join(hot, "core", "left_anti").select(*_PIECE_COLUMNS).unionByName(single), "segments")
-    once = cut.groupBy("core", "part").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sum("count").alias("count"), F.min("least").alias("least"), F.first("units").alias("units"))
-    found = match(once.withColumnsRenamed({"core": "key", "part": "span"}), plan).withColumnsRenamed({"key": "core", "span": "part"}).join(cut.select("core", "part", "key", "span", "skip"), ["core", "part"])
+    witness, by = F.struct("n", "at", "least", "units"), F.struct("least", "span", "copy")
+    ends = cut.groupBy("core", "part").agg(F.min_by(witness, by).alias("a"), F.max_by(witness, by).alias("b"), F.count("*").alias("rows"))
+    twice = F.expr("a.least < b.least") if plan.earlier else F.col("rows") > 1
+    named = lambda c, copy: F.struct(F.lit(copy).alias("copy"), *(F.col(c)[x].alias(x) for x in ("n", "at", "least", "units")))
+    sent = ends.select(F.col("core").alias("key"), F.col("part").alias("span"), F.explode(F.when(twice, F.array(named("a", FIRST), named("b", LAST))).otherwise(F.array(named("a", ALONE)))).alias("x"))
+    owners = cut.select("core", "part", "key", "span", "skip").distinct()
+    found = match(sent.select("key", "span", "x.n", "x.at", "x.copy", "x.least", "x.units"), plan).withColumnsRenamed({"key": "core", "span": "part"}).join(owners, ["core", "part"])
     moved = found.select("key", "span", (F.col("from") + F.col("skip")).alias("from"), (F.col("to") + F.col("skip")).alias("to"), "least")
     return match(whole, plan).unionByName(moved)
 
@@ -450,7 +468,8 @@ def repeated(rows: DataFrame, plan: Plan, match: Callable[[DataFrame, Plan], Dat
     """(rid, ranges): units of each of identified() rows in repeated windows, ranges in order, once or (repeated rows) more a rid.
 
     match gets SPAN_SQL (equal keys belong together, windows may be equal only
-    at equal distances from the anchor) and returns FOUND_SQL.
+    at equal distances from the anchor) and returns FOUND_SQL of the witnesses
+    that are not FIRST: those have the same windows as their LAST.
     """
     spark = rows.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

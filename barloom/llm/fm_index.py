@@ -1,13 +1,13 @@
 """Removal of word runs that an earlier document has, by compressed FM-indexes of shards.
 
 Texts are reduced to the spans around content-chosen anchors whose key the
-corpus has twice (anchors.py); equal spans are one, and equal anchors meet in
-one shard. The Burrows-Wheeler transform of a shard's spans over word ids is
+corpus has twice (anchors.py); of equal spans the first document's is indexed and
+the last document's asks, and equal anchors meet in one shard. The Burrows-Wheeler transform of a shard's spans over word ids is
 kept in a wavelet matrix of packed bits, beside the counts of ids and, as 32-bit
 ranks, the document of each row; neither text nor suffix array stays. The words
-of each span then stream through the index: backward search from the end of each
-window extends the match until it has its full length, or only the window itself
-is left, and the least document of the matched range tells who has it first.
+of the spans that ask then stream through the index, which holds them only if they
+have no equal: backward search from the end of each window extends the match until
+it has its full length, or nothing but the window itself is left, and the least document of the matched range tells who has it first.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.anchors import FOUND_SQL, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
+from barloom.llm.anchors import FIRST, FOUND_SQL, LAST, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
 from barloom.llm.common import WORD, steps
 
 #: Words of a repeated window; words of an anchor; bytes of word hashes of one index.
@@ -89,15 +89,15 @@ class FMIndex:
         shift = self.below[ids] - self.base[ids]
         return both[: len(ids)] + shift, both[len(ids) :] + shift
 
-    def statistics(self, words: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of streamed words, which the index has: of each place in ends the length, at most `most`,
-        of the longest run up to it that occurs twice or more in the index, and the range of the runs of full length."""
-        length = np.full(len(ends), most)
+    def statistics(self, words: np.ndarray, ends: np.ndarray, most: int, need: np.ndarray | int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed words: of each place in ends the length, at most `most`, of the longest run up
+        to it that occurs `need` times or more in the index, and the range of the runs of full length."""
+        length, need = np.full(len(ends), most), np.broadcast_to(need, len(ends))
         alive = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         for k in range(most):
             low, high = self.extend(words[ends[alive] - 1 - k], low, high)
-            more = high - low > 1
+            more = high - low >= need[alive]
             length[alive[~more]] = k
             alive, low, high = alive[more], low[more], high[more]
             if not len(alive):
@@ -125,22 +125,27 @@ def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 
 
 def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, windows within them and the least document of each window that the corpus has in two documents, or may have, sorted; for spans of whole keys."""
+    """Rows, windows within them and the least document of each window of an asking span that an earlier document has, sorted; for spans of whole keys."""
     spans = [np.frombuffer(u, np.uint64) for u in table["units"].to_pylist()]
-    n, times, least = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("n", "count", "least"))
+    n, copy, least = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("n", "copy", "least"))
     sizes = np.fromiter(map(len, spans), np.int64, len(spans))
     names, ids = np.unique(np.concatenate(spans), return_inverse=True)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    words = np.zeros(int((sizes + 1).sum()), np.int32)
-    words[np.arange(len(ids)) + np.repeat(np.arange(len(spans)), sizes)] = ids + 1
-    index = FMIndex(words, len(names), least)
-    rows = np.repeat(np.arange(len(spans)), n)
-    windows = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-    length, low, high = index.statistics(words, begins[rows] + windows + plan.window, plan.window)
+    ids = ids.astype(np.int32) + 1
+    of = np.repeat(np.arange(len(spans)), sizes)
+    held = np.flatnonzero(copy != LAST)  # in the index
+    words = np.zeros(int((sizes[held] + 1).sum()), np.int32)
+    own = ids[(copy != LAST)[of]]
+    words[np.arange(len(own)) + np.repeat(np.arange(len(held)), sizes[held])] = own
+    index = FMIndex(words, len(names), least[held])
+    asking = np.flatnonzero(copy != FIRST)
+    rows = np.repeat(asking, n[asking])
+    windows = np.arange(len(rows)) - np.repeat(np.cumsum(n[asking]) - n[asking], n[asking])
+    begins = np.cumsum(sizes) - sizes
+    length, low, high = index.statistics(ids, begins[rows] + windows + plan.window, plan.window, np.where(copy[rows] == LAST, 1, 2))
     full = length == plan.window
-    first = least[rows]  # a shorter match is the window itself alone, which its own span's documents have
+    first = least[rows]  # a shorter match is no other document's
     first[full] = index.least(low, high)
-    hit = np.flatnonzero((times[rows] > 1) | (first < least[rows]))
+    hit = np.flatnonzero(first < least[rows])
     return rows[hit], windows[hit], first[hit]
 
 

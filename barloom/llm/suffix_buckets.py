@@ -1,7 +1,8 @@
 """Removal of byte strings that occur twice, by range-partitioned and locally sorted suffixes.
 
 Suffixes start at content-chosen anchors (anchors.py), which leaves one in
-about 85 positions, and equal spans are sorted once with their number. They are
+about 85 positions; of equal spans two are sorted, so that each finds the other.
+They are
 dealt to range partitions by their leading bytes, at splitters that Spark
 samples; leading bytes with very many suffixes are dealt by a longer core. A
 bucket sorts its suffixes, and what lies before them read backwards, by multikey
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.anchors import ANY_ID, FOUND_SQL, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
+from barloom.llm.anchors import ANY_ID, FIRST, FOUND_SQL, RANGES_SQL, Plan, found_windows, groups, identified, merged, repeated
 from barloom.llm.common import steps
 
 #: Bytes of a string that is removed where it repeats; bytes of an anchor; bytes of suffixes sorted at once.
@@ -79,7 +80,7 @@ def _padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, windows within them and least ids of the windows that are repeated, sorted; for spans of whole keys."""
     col = lambda c: np.asarray(table[c].combine_chunks()).astype(np.int64)
-    key, n, at, times, least = (col(c) for c in ("key", "n", "at", "count", "least"))
+    key, n, at, copy, least = (col(c) for c in ("key", "n", "at", "copy", "least"))
     _, group = np.unique(key, return_inverse=True)
     units = table["units"].to_pylist()
     place = at.tolist()
@@ -96,12 +97,12 @@ def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.nda
         class_left[by_left] = np.cumsum(lcp_left < before)
         class_right[by_right] = np.cumsum(lcp_right < plan.window - before)
         _, kind = np.unique(class_left[valid] * (count + 1) + class_right[valid], return_inverse=True)
-        total = np.bincount(kind, times[valid])
+        total = np.bincount(kind)
         low = np.full(len(total), ANY_ID)
         if plan.earlier:
             low[:] = np.iinfo(np.int64).max
             np.minimum.at(low, kind, least[valid])
-        hit = np.flatnonzero(total[kind] > 1)
+        hit = np.flatnonzero((total[kind] > 1) & (copy[valid] != FIRST))
         for held, x in zip(out, (valid[hit], at[valid[hit]] - before, low[kind[hit]]), strict=True):
             held.append(x)
     rows, windows, low = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)

@@ -281,6 +281,20 @@ def test_removal_comes_from_the_matchers(table, monkeypatch):
         assert remove(table).where(F.size("spans") > 0).count() == 0
 
 
+def test_equal_hashes_alone_remove_nothing(spark, monkeypatch):
+    """Copies are found by comparing their units: with the last witness of each repeated span made another text, none is."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{k * k % 977}" for k in range(400)]
+    copies = spark.createDataFrame([(i, " ".join(words)) for i in range(6)], "doc_id long, text string")
+    for module, remove, kept in ((fm_index, fm_index.remove_earlier, 1), (suffix_buckets, suffix_buckets.remove_repeats, 0)):
+        match = module._match
+        assert remove(copies).where(F.size("spans") > 0).count() == 6 - kept
+        other = F.when(F.col("copy") == anchors.LAST, F.expr("unhex(translate(hex(units), '0123456789ABCDEF', '123456789ABCDEF0'))")).otherwise(F.col("units"))
+        monkeypatch.setattr(module, "_match", lambda spans, plan, match=match, other=other: match(spans.withColumn("units", other), plan))
+        assert remove(copies).where(F.size("spans") > 0).count() == 0
+
+
 def test_fm_index_statistics():
     rng = np.random.default_rng(4)
     spans = [rng.integers(1, 5, rng.integers(5, 30)) for _ in range(20)]
