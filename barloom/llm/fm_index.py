@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ class WaveletMatrix:
             at = np.where((ids >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
+    def follow(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the sequence has each id at its place, and, where it has, what down() gives for the place."""
+        same = np.ones(len(at), bool)
+        for k, level in enumerate(reversed(range(self.levels))):
+            word, rest = self.bits[k][at >> 6], (at & 63).astype(np.uint64)
+            ones = self.before[k][at >> 6] + np.bitwise_count(word & ((np.uint64(1) << rest) - np.uint64(1)))
+            bit = ((ids >> level) & 1).astype(bool)
+            same &= ((word >> rest) & np.uint64(1)).astype(bool) == bit
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+        return same, at
+
 
 def sorted_suffixes(symbols: np.ndarray, n_symbols: int, n_ends: int) -> np.ndarray:
     """Order of the suffixes of spans, each of which ends with 0, by prefix doubling; each end is a symbol of its own."""
@@ -60,7 +72,7 @@ def sorted_suffixes(symbols: np.ndarray, n_symbols: int, n_ends: int) -> np.ndar
         ahead = np.zeros(n, np.int64)
         ahead[: n - step] = rank[step:] + 1
         pair = rank * (n + n_symbols + 2) + ahead
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         new = np.ones(n, bool)
         new[1:] = pair[order][1:] != pair[order][:-1]
         rank = np.empty(n, np.int64)
@@ -96,7 +108,19 @@ class FMIndex:
         alive = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         for k in range(most):
-            low, high = self.extend(words[ends[alive] - 1 - k], low, high)
+            ids = words[ends[alive] - 1 - k]
+            one = high - low == 1  # a single row needs one descent
+            if one.any():
+                many = np.flatnonzero(~one)
+                one = np.flatnonzero(one)
+                same, at = self.wavelet.follow(ids[one], low[one])
+                at = at + (self.below[ids[one]] - self.base[ids[one]])
+                wide = self.extend(ids[many], low[many], high[many])
+                low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                low[one], high[one] = at, at + same
+                low[many], high[many] = wide
+            else:
+                low, high = self.extend(ids, low, high)
             more = high - low >= need[alive]
             length[alive[~more]] = k
             alive, low, high = alive[more], low[more], high[more]
@@ -129,7 +153,7 @@ def covered(table: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.nda
     spans = [np.frombuffer(u, np.uint64) for u in table["units"].to_pylist()]
     n, copy, least = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("n", "copy", "least"))
     sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-    names, ids = np.unique(np.concatenate(spans), return_inverse=True)
+    ids, names = pd.factorize(np.concatenate(spans))
     ids = ids.astype(np.int32) + 1
     of = np.repeat(np.arange(len(spans)), sizes)
     held = np.flatnonzero(copy != LAST)  # in the index

@@ -310,6 +310,13 @@ def test_fm_index_statistics():
     assert (hi - lo).tolist() == [runs[of(e, 6)] for e in full]
     owners = {x: min(i * 10 % 70 for i, s in enumerate(spans) if any(tuple(s[k : k + 6].tolist()) == x for k in range(len(s) - 5))) for x in {of(e, 6) for e in full}}
     assert index.least(lo, hi).tolist() == [owners[of(e, 6)] for e in full]
+    other = rng.integers(1, 6, 400).astype(np.int32)  # words the index does not hold as a span, one of them in no span
+    places = np.arange(6, 401)
+    index = fm_index.FMIndex(flat, 5, np.arange(20))
+    length, lo, hi = index.statistics(other, places, 6, 1)
+    at = lambda e, m: tuple(other[e - m : e].tolist())
+    assert length.tolist() == [max(m for m in range(7) if m == 0 or runs[at(e, m)]) for e in places.tolist()]
+    assert (hi - lo).tolist() == [runs[at(e, 6)] for e in places[length == 6].tolist()]
 
 
 def test_runs_of_many_texts_are_those_of_each():
