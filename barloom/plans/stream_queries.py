@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import calendar
+from barloom.functions.numeric import pip_size
+from barloom.operators.indicators import PAIR_FEATURES
 from barloom.plans.indicator_queries import SESSION
-from barloom.plans.registry import hourly, query, quotes, scored, table, ticks
+from barloom.plans.registry import SQL, hourly, query, quotes, scored, table, ticks
 from barloom.streaming import streams
 
 
@@ -33,8 +36,9 @@ def drained_counted(spark: SparkSession, rows: DataFrame, stream_of, files_per_t
     rows.write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/in")
     out = stream_of(source)
-    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with streams.with_rocksdb(spark):
+        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out"), streams.late_rows(q)
 
 
@@ -65,10 +69,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, s, streams.stream_hysteresis).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
-@query("stream_indicators", "symbol:s dt:t c:d mean:d", "SELECT symbol, dt, c, avg(c) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS mean FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt) >= 20")
+#: Every symbol at every hour that any has, up to an hour before the last; missing bars at the last close.
+PANEL = """
+  SELECT symbol, dt, coalesce(o, held) AS o, coalesce(h, held) AS h, coalesce(l, held) AS l, held AS c, coalesce(sp, 0) AS sp, coalesce(tk, 0) AS tk
+  FROM (
+    SELECT s.symbol, t.dt, b.o, b.h, b.l, b.sp, b.tk, last_value(b.c IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY t.dt ROWS UNBOUNDED PRECEDING) AS held
+    FROM (SELECT DISTINCT symbol FROM bars) AS s CROSS JOIN (SELECT DISTINCT dt FROM bars) AS t LEFT JOIN bars AS b ON b.symbol = s.symbol AND b.dt = t.dt
+    WHERE t.dt <= (SELECT max(dt) FROM bars) - INTERVAL 1 HOUR)
+  WHERE held IS NOT NULL"""
+
+
+@query(
+    "stream_indicators",
+    " ".join(["symbol:s dt:t", *(f"{c}:d" for c in PAIR_FEATURES)]),
+    f"""SELECT * FROM (WITH panel AS ({PANEL}) {re.sub(r"\bbars\b", "panel", SQL["pair_features_16"])})
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt) >= 200""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = _ntz(hourly(spark, d).select("symbol", "dt", "c"), "dt")
-    return drained(spark, b, streams.stream_indicators).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    b = _ntz(hourly(spark, d).select("symbol", "dt", "o", "h", "l", "c", "sp", "tk"), "dt")
+    symbols = sorted(r["symbol"] for r in table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().collect())
+    live = drained(spark, b, lambda s: streams.stream_indicators(streams.on_timeline(s, symbols), pip_size(F.col("symbol"))))
+    return live.withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 @query("stream_session", "symbol:s dt:t session:i bars_in_run:i", f"SELECT symbol, dt, s AS session, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS bars_in_run FROM (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <> lag(s) OVER (PARTITION BY symbol ORDER BY dt) THEN 1 ELSE 0 END AS ch FROM (SELECT *, {SESSION.format('dt')} AS s FROM bars)))")
