@@ -166,7 +166,9 @@ def stream_indicators(bars: DataFrame, pip: Column, keep: int = 370, warm_up: in
     A row with a null close is a symbol's missing bar (on_timeline): it gets
     the last close as its prices, no ticks and no spread; before a symbol's
     first bar such rows are dropped. With ttl_ms, a symbol that has sent
-    nothing for so long is forgotten and warms up anew.
+    nothing for so long is forgotten and warms up anew; such a query looks for
+    expired states in batches without data, so one with availableNow ends only
+    if spark.sql.streaming.noDataMicroBatches.enabled is false.
     """
     if keep < max(LOOKBACK, warm_up):
         raise ValueError(f"keep at least {LOOKBACK} bars and as many as the warm-up takes")

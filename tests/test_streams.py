@@ -84,6 +84,20 @@ def test_missing_bars_take_the_last_close(spark, tmp_path):
         assert values == pytest.approx(want[key], rel=1e-6, abs=1e-7), key
 
 
+def test_expired_symbols_warm_up_anew(spark, tmp_path):
+    rows, base, key = series(80), str(tmp_path), "spark.sql.streaming.noDataMicroBatches.enabled"
+    bars = spark.createDataFrame(rows, BAR)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        for a, b in ((0, 50), (50, 80)):
+            bars.where(F.col("dt").between(rows[2 * a][1], rows[2 * b - 1][1])).coalesce(1).write.mode("append").parquet(f"{base}/in")
+            live = run(spark, bars, lambda s: streams.stream_indicators(s, F.lit(0.01), keep=130, warm_up=25, ttl_ms=1), base)
+    finally:
+        spark.conf.set(key, before)
+    assert live.count() == 2 * (50 - 24) + 2 * (30 - 24)
+
+
 def test_positions_and_sessions_over_restarts(spark, tmp_path):
     rng, start = random.Random(3), datetime(2024, 1, 1)
     rows = [(s, start + timedelta(minutes=i), rng.random(), rng.random(), i // 13 % 4, 5 + rng.random(), rng.random()) for i in range(200) for s in "AB"]
