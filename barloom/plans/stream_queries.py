@@ -16,6 +16,9 @@ from barloom.plans.indicator_queries import SESSION
 from barloom.plans.registry import SQL, hourly, query, quotes, scored, table, ticks
 from barloom.streaming import streams
 
+#: Rows of a source file that a stream with an aggregation reads.
+FILE_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local runs a folder of our own where that is unset."""
@@ -42,6 +45,22 @@ def drained_counted(spark: SparkSession, rows: DataFrame, stream_of, files_per_t
     return spark.read.schema(out.schema).parquet(f"{base}/out"), streams.late_rows(q)
 
 
+def late_of(spark: SparkSession, parts: list[DataFrame], stream_of) -> DataFrame:
+    """streams.late_rows() of a stream that is started again, from its checkpoint, after each part has been written to its source.
+
+    A part is one micro-batch of files of bounded rows, so no task holds it whole.
+    """
+    base, found = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}", None
+    for rows in parts:
+        rows.repartition(max(1, -(-rows.count() // FILE_ROWS)), *rows.columns).write.mode("append").parquet(f"{base}/in")
+        out = stream_of(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        run = out.writeStream.format("noop").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+        one = streams.late_rows(run)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def _ntz(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
@@ -100,16 +119,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_late_rows", "dropped:i", "WITH m AS (SELECT max(ts) AS top FROM quotes) SELECT count(DISTINCT (symbol, date_trunc('hour', ts))) AS dropped FROM quotes, m WHERE id % 50 = 0 AND ts < top - INTERVAL 2 HOUR")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Every quote, the last one again, then each fiftieth again: by the third file the watermark has passed all but the last hours.
+    """Every quote, the last one again, then each fiftieth again: by the third start the watermark has passed all but the last hours.
 
     The aggregation drops what reaches it, a row a symbol and hour.
     """
     q = _ntz(quotes(spark, d).select("symbol", "ts", "id", "mid"), "ts")
-    base, top = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}", q.agg(F.max("ts").alias("top"))
-    joined = q.join(F.broadcast(top))
-    for rows in (q, joined.where("ts = top").drop("top"), joined.where("id % 50 = 0 and ts < top - INTERVAL 2 HOURS").drop("top")):
-        rows.coalesce(1).write.mode("append").parquet(base)
-    out = streams.stream_bars(spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(base))
-    run = out.writeStream.format("noop").option("checkpointLocation", f"{base}-check").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return streams.late_rows(run).agg(F.sum("dropped").alias("dropped"))
+    joined = q.join(F.broadcast(q.agg(F.max("ts").alias("top"))))
+    late = joined.where("id % 50 = 0 and ts < top - INTERVAL 2 HOURS").drop("top")
+    return late_of(spark, [q, joined.where("ts = top").drop("top"), late], streams.stream_bars).agg(F.sum("dropped").alias("dropped"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import indicators as ind
 from barloom.operators import signals
+from barloom.plans import stream_queries
 from barloom.streaming import rolling, streams
 
 BAR = "symbol string, dt timestamp, o double, h double, l double, c double, sp double, tk bigint"
@@ -124,3 +125,14 @@ def test_positions_and_sessions_over_restarts(spark, tmp_path):
 def test_buffer_must_hold_the_lookback(spark):
     with pytest.raises(ValueError, match="keep at least"):
         streams.stream_indicators(spark.createDataFrame([], BAR), F.lit(1.0), keep=100)
+
+
+def test_late_rows_are_counted_over_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """Each part is several files and still one micro-batch: a late symbol and hour counts once, whichever files it lies in."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 60)
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda _: str(tmp_path))
+    start = datetime(2024, 1, 1)
+    q = spark.createDataFrame([("AB"[i % 2], start + timedelta(minutes=5 * i), i, float(i)) for i in range(240)], "symbol string, ts timestamp, id bigint, mid double").coalesce(1)
+    dropped = stream_queries.late_of(spark, [q, q.where("id = 239"), q.where("id < 200 and id % 3 = 0")], streams.stream_bars)
+    assert len(list(tmp_path.glob("late-*/in/part-*"))) == 4 + 1 + 2
+    assert dropped.agg(F.sum("dropped")).first()[0] == len({("AB"[i % 2], i // 12) for i in range(0, 200, 3)})
