@@ -18,6 +18,8 @@ from barloom.streaming import streams
 
 #: Rows of a source file that a stream with an aggregation reads.
 FILE_ROWS = 1_000_000
+#: Rows of a micro-batch of a stream that puts a symbol's rows in order in memory.
+SLICE_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,15 +30,38 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
 
 
-def drained(spark: SparkSession, rows: DataFrame, stream_of) -> DataFrame:
+def drained(spark: SparkSession, rows: DataFrame, stream_of, at: str | None = None) -> DataFrame:
     """Write rows as a replayable source, run stream_of(source) over all of it, and return what it wrote."""
-    return drained_counted(spark, rows, stream_of)[0]
+    return drained_counted(spark, rows, stream_of, at=at)[0]
 
 
-def drained_counted(spark: SparkSession, rows: DataFrame, stream_of, files_per_trigger: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """What stream_of() wrote, and how many rows came too late in each micro-batch; files are read in the order of their names."""
+def in_slices(spark: SparkSession, rows: DataFrame, base: str, at: str) -> int:
+    """Write rows to base/in as files of about SLICE_ROWS rows, one after the other in the order of `at`; returns how many.
+
+    A stream takes files by their time of writing. Rows of equal `at` share a file.
+    """
+    n = max(1, -(-rows.count() // SLICE_ROWS))
+    cut = rows.repartitionByRange(n, F.col(at).asc_nulls_last()).withColumn("__slice", F.spark_partition_id())
+    cut.write.partitionBy("__slice").parquet(f"{base}/cut")
+    written = spark.read.schema(cut.schema).parquet(f"{base}/cut")
+    for k in range(n):
+        written.where(F.col("__slice") == k).select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return n
+
+
+def drained_counted(spark: SparkSession, rows: DataFrame, stream_of, files_per_trigger: int = 1_000_000, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What stream_of() wrote, and how many rows came too late in each micro-batch.
+
+    With `at`, a column of time, micro-batches follow it and have about
+    SLICE_ROWS rows each, however many there are: for states that put a
+    symbol's rows of a micro-batch in order in memory.
+    """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{base}/in")
+    if at:
+        in_slices(spark, rows, base, at)
+        files_per_trigger = 1
+    else:
+        rows.write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{base}/in")
     out = stream_of(source)
     with streams.with_rocksdb(spark):
@@ -79,13 +104,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_tick_ffill", "id:i symbol:s bid:d ask:d", "SELECT id, symbol, last_value(bid IGNORE NULLS) OVER w AS bid, last_value(ask IGNORE NULLS) OVER w AS ask FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return drained(spark, _ntz(ticks(spark, d).select("symbol", "ts", "id", "bid", "ask"), "ts"), streams.stream_tick_ffill)
+    return drained(spark, _ntz(ticks(spark, d).select("symbol", "ts", "id", "bid", "ask"), "ts"), streams.stream_tick_ffill, "ts")
 
 
 @query("stream_hysteresis", "symbol:s dt:t position:i")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _ntz(scored(spark, d).select("symbol", "dt", F.col("p").alias("p_buy"), (1 - F.col("p")).alias("p_sell")), "dt")
-    return drained(spark, s, streams.stream_hysteresis).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    return drained(spark, s, streams.stream_hysteresis, "dt").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 #: Every symbol at every hour that any has, up to an hour before the last; missing bars at the last close.
@@ -107,14 +132,14 @@ PANEL = """
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = _ntz(hourly(spark, d).select("symbol", "dt", "o", "h", "l", "c", "sp", "tk"), "dt")
     symbols = sorted(r["symbol"] for r in table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().collect())
-    live = drained(spark, b, lambda s: streams.stream_indicators(streams.on_timeline(s, symbols), pip_size(F.col("symbol"))))
+    live = drained(spark, b, lambda s: streams.stream_indicators(streams.on_timeline(s, symbols), pip_size(F.col("symbol"))), "dt")
     return live.withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 @query("stream_session", "symbol:s dt:t session:i bars_in_run:i", f"SELECT symbol, dt, s AS session, row_number() OVER (PARTITION BY symbol, island ORDER BY dt) AS bars_in_run FROM (SELECT *, sum(ch) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN s <> lag(s) OVER (PARTITION BY symbol ORDER BY dt) THEN 1 ELSE 0 END AS ch FROM (SELECT *, {SESSION.format('dt')} AS s FROM bars)))")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = _ntz(hourly(spark, d).select("symbol", "dt", calendar.session_code(F.col("dt")).alias("session"), "h", "l"), "dt")
-    return drained(spark, b, streams.stream_session).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    return drained(spark, b, streams.stream_session, "dt").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 @query("stream_late_rows", "dropped:i", "WITH m AS (SELECT max(ts) AS top FROM quotes) SELECT count(DISTINCT (symbol, date_trunc('hour', ts))) AS dropped FROM quotes, m WHERE id % 50 = 0 AND ts < top - INTERVAL 2 HOUR")

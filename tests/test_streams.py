@@ -136,3 +136,25 @@ def test_late_rows_are_counted_over_files_of_bounded_rows(spark, tmp_path, monke
     dropped = stream_queries.late_of(spark, [q, q.where("id = 239"), q.where("id < 200 and id % 3 = 0")], streams.stream_bars)
     assert len(list(tmp_path.glob("late-*/in/part-*"))) == 4 + 1 + 2
     assert dropped.agg(F.sum("dropped")).first()[0] == len({("AB"[i % 2], i // 12) for i in range(0, 200, 3)})
+
+
+def test_micro_batches_are_slices_of_time(spark, monkeypatch):
+    """Rows in any order reach the state in the order of time, a bounded number at once."""
+
+    class Few(streams._Ffill):
+        def step(self, pdf, held):
+            if len(pdf) > 70:
+                raise ValueError(f"{len(pdf)} rows of a symbol in memory")
+            return super().step(pdf, held)
+
+    monkeypatch.setattr(stream_queries, "SLICE_ROWS", 50)
+    rng, start, rows = random.Random(4), datetime(2024, 1, 1), []
+    for i in range(300):
+        rows.append(("AB"[rng.random() < 0.3], start + timedelta(seconds=i // 2), i, *(rng.random() if rng.random() < 0.4 else None for _ in range(2))))
+    want, last = {}, {}
+    for s, _, i, *sides in rows:
+        last[s] = want[i] = tuple(x if x is not None else y for x, y in zip(sides, last.get(s, (None, None)), strict=True))
+    rng.shuffle(rows)
+    data = spark.createDataFrame(rows, "symbol string, ts timestamp, id bigint, bid double, ask double").repartition(3)
+    made = lambda s: streams.by_symbol(s, Few(), "symbol string, ts timestamp, id bigint, bid double, ask double")
+    assert {r["id"]: (r["bid"], r["ask"]) for r in stream_queries.drained(spark, data, made, "ts").collect()} == want
