@@ -33,10 +33,10 @@ def _own(application: str) -> str:
     return tempfile.mkdtemp(prefix="barloom-")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: what follows does not repeat what came before."""
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """df, written to the shared folder and read again: what follows does not repeat what came before. by: columns with a folder a value."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/barloom-kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 
 from barloom.operators import graph, labels, ml
 from barloom.operators import indicators as ind
+from barloom.operators.quantiles import kept
 from barloom.plans.graph_queries import LAGGARD, true_returns
 from barloom.plans.indicator_queries import ALL, CONTEXT, CONTEXT_COLUMNS, context
 from barloom.plans.registry import SQL, hourly, query, quotes, scored, table
@@ -16,8 +17,13 @@ from barloom.plans.registry import SQL, hourly, query, quotes, scored, table
 FEATURES = ["ret_1", "ret_3", "range_norm", "body_ratio", "tk"]
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    b = labels.label_next_bar(ind.shape(ind.log_ret(ind.log_ret(hourly(spark, d), 1), 3)))
+def _bars(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly bars, written once: fits read their rows many times."""
+    return kept(hourly(spark, d))
+
+
+def _rows(bars: DataFrame) -> DataFrame:
+    b = labels.label_next_bar(ind.shape(ind.log_ret(ind.log_ret(bars, 1), 3)))
     return ml.pooled_rows(ml.class_weights(b.where("label is not null"), "label"), FEATURES, "label", "w")
 
 
@@ -26,39 +32,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     x = vector_to_array("features")
-    return _rows(spark, d).select("symbol", "dt", x[0].alias("ret_1"), x[2].alias("range_norm"), "label")
+    return _rows(_bars(spark, d)).select("symbol", "dt", x[0].alias("ret_1"), x[2].alias("range_norm"), "label")
 
 
 @query("ml_class_weights", "label:i n:i w:d", f"WITH r AS (SELECT CASE WHEN nx > c THEN 1 ELSE 0 END AS label FROM (SELECT *, lead(c) OVER {ALL} AS nx FROM bars) WHERE nx IS NOT NULL) SELECT label, count(*) AS n, (SELECT count(*) FROM r) / (2.0 * count(*)) AS w FROM r GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+    return _rows(_bars(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.max("w").alias("w"))
 
 
 @query("ml_binary_boosted", "symbol:s dt:t p:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    train, test = ml.time_split(_rows(spark, d))
+    train, test = ml.time_split(_rows(_bars(spark, d)))
     return ml.scored(ml.boosted(train, trees=10), test)
 
 
 @query("ml_forest", "symbol:s dt:t p:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    train, test = ml.time_split(_rows(spark, d))
+    train, test = ml.time_split(_rows(_bars(spark, d)))
     return ml.scored(ml.forest(train, trees=10), test)
 
 
 @query("ml_tree_suite", "model:s auc:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ml.tree_suite(*ml.time_split(_rows(spark, d)), FEATURES)[0]
+    return ml.tree_suite(*ml.time_split(_rows(_bars(spark, d))), FEATURES)[0]
 
 
 @query("ml_importances", "feature:s mean_rank:d mean_importance:d rank:i")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ml.top_importances(ml.tree_suite(*ml.time_split(_rows(spark, d)), FEATURES)[1], 2, ["ret_1"])
+    return ml.top_importances(ml.tree_suite(*ml.time_split(_rows(_bars(spark, d))), FEATURES)[1], 2, ["ret_1"])
 
 
 @query("ml_walkforward", "fold:i part:s n:i auc:d brier:d brier_cal:d")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ml.walkforward(_rows(spark, d), labels.folds_walkforward(hourly(spark, d)))
+    b = _bars(spark, d)
+    return ml.walkforward(_rows(b), labels.folds_walkforward(b))
 
 
 @query("ml_platt", "coef:d intercept:d")

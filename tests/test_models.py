@@ -62,3 +62,21 @@ def test_ranks_of_a_feature_need_no_model(spark):
     got = {r["feature"]: (r["mean_rank"], r["rank"]) for r in ml.top_importances(long, 2, []).collect()}
     assert got == {"a": (1.5, 1), "b": (1.5, 2)} and ml.top_importances(long, 0, []).collect() == []
     assert got["a"][0] == pytest.approx(1.5)
+
+
+def test_walkforward_makes_its_rows_once(spark):
+    """Two folds and their calibrations read rows that were written, they do not make them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    plain = spark.range(80).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("dt"), (F.col("id") % 2).cast("double").alias("label"), ((F.col("id") * 7) % 11).cast("double").alias("x"))
+    rows = plain.mapInPandas(counted, plain.schema).select("symbol", "dt", "label", array_to_vector(F.array("x")).alias("features"), F.lit(1.0).alias("w"))
+    second = F.unix_seconds("dt")
+    folds = [plain.select(F.lit(k).alias("fold"), "symbol", "dt", F.when(second < end, "train").when(second < end + 20, "valid").when(second >= 70, "holdout").alias("part")).where("part is not null") for k, end in enumerate((30, 50))]
+    got = {(r["fold"], r["part"]): r["n"] for r in ml.walkforward(rows, folds[0].unionByName(folds[1])).collect()}
+    assert got == {(0, "valid"): 20, (0, "holdout"): 10, (1, "valid"): 20, (1, "holdout"): 10}
+    assert made.value == 80
