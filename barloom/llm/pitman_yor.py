@@ -1,11 +1,17 @@
 """Hierarchical Pitman-Yor language model over words, sampled by Gibbs, and the scores it gives texts.
 
-A token's restaurant is the word before it, if that word makes up at least SHARE
-of the training tokens: there are at most 1 / SHARE such words, so their list and
-a number for each may be sent along, whatever the corpus. After rarer words it is
-chosen by their last two characters, hashed into 4096 places (a start mark has
-its own at a text's begin). The parent is the word's last character, hashed into
-256 places; theirs is the root, over a uniform base.
+A token's restaurant is the word before it. Words that make up at least SHARE of
+the training tokens have one whose parent is the word's last character, hashed
+into 256 places: there are at most 1 / SHARE such words, so their list and a
+number for each may be sent along, whatever the corpus. Each rarer word has one
+too, without discount, whose parent is its last two characters, hashed into 4096
+places (a start mark has its own at a text's begin); theirs are the 256 places,
+and those' is the root, over a uniform base.
+
+Without discount, how a dish is seated does not depend on the other dishes of
+the restaurant, so no numbers of the rarer words' restaurants need be sent. Their
+customers only divide chances; as each of a word's occurrences has one token
+after it, an occurrence carries that token's divisor, from its own word's shard.
 
 Words are dealt to shards by hash. All seatings of one word, at all levels, lie
 in its shard; of the rest of the corpus a seating needs only each restaurant's
@@ -36,9 +42,13 @@ from pyspark.sql import functions as F
 from barloom.llm.common import lower_ascii, scramble, settle, steps, words_of
 
 #: Tokens of a map batch; sweeps, and those of them that count for nothing; strength of all restaurants.
-BATCH_TOKENS, SWEEPS, BURN_IN, STRENGTH = 2_500_000, 4, 1, 1.0
+BATCH_TOKENS, SWEEPS, BURN_IN, STRENGTH = 2_000_000, 4, 1, 1.0
 #: Restaurants of rarer words' endings; share of the training tokens from which a word has its own; tokens of a shard.
-PLACES, SHARE, SHARD_TOKENS = 4096, 2e-5, 6_000_000
+PLACES, SHARE, SHARD_TOKENS = 4096, 2e-5, 3_000_000
+#: Strength of rarer words' own restaurants.
+RARE_STRENGTH = 10.0
+#: Flags of a pair: after a rarer word; a rarer word itself.
+DEEP, RARE = 1, 2
 _LOW = np.uint64(PLACES - 1)
 
 
@@ -99,7 +109,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = ("<u8", "<u2", "<u4", "<u4")  # token, restaurant, occurrences in training texts, in all texts
+_ENTRY = ("<u8", "<u2", "<u8", "<u4", "<u4")  # token, restaurant, rarer word before (or 0), occurrences in training texts, in all texts
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -154,7 +164,7 @@ def _common(texts: DataFrame, share: float = SHARE) -> tuple[np.ndarray, int]:
 
 
 def _batches(texts: DataFrame, shards: int, own: np.ndarray) -> DataFrame:
-    """(shard, batch, entries, refs): a batch's distinct (token, restaurant) pairs with their counts, and which texts have them."""
+    """(shard, batch, entries, refs): a batch's distinct (token, word before) pairs with their counts, and which texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -165,10 +175,12 @@ def _batches(texts: DataFrame, shards: int, own: np.ndarray) -> DataFrame:
                 dealt = np.lexsort((words, of_word))
                 rank = np.empty(len(words), np.uint64)
                 rank[dealt] = np.arange(len(words), dtype=np.uint64)
-                place = np.empty(len(index), np.uint64)
-                place[1:] = restaurants(words, own)[index[:-1]]
-                place[np.cumsum([0, *sizes[:-1]])] = START
-                pair = rank[index] << np.uint64(16) | place
+                after = restaurants(words, own)
+                code = np.where(after < PLACES, np.arange(len(words)) + (1 << 16), after)  # rarer words by their number
+                before = np.empty(len(index), np.uint64)
+                before[1:] = code[index[:-1]]
+                before[np.cumsum([0, *sizes[:-1]])] = START
+                pair = rank[index] << np.uint64(32) | before
                 order = np.argsort(pair, kind="stable")  # documents stay in order
                 pair = pair[order]
                 doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
@@ -176,34 +188,49 @@ def _batches(texts: DataFrame, shards: int, own: np.ndarray) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
                 count = np.diff(np.append(starts, len(pair))).astype("<u4")
                 known = np.add.reduceat(training.astype("<u4"), starts).astype("<u4")
-                word = dealt[(pair[starts] >> np.uint64(16)).astype(np.int64)]
-                place = (pair[starts] & np.uint64(0xFFFF)).astype("<u2")
+                word = dealt[(pair[starts] >> np.uint64(32)).astype(np.int64)]
+                before = (pair[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                rare = before >= 1 << 16
+                place, name_of = before.copy(), np.zeros(len(before), "<u8")
+                place[rare] = after[before[rare] - (1 << 16)]
+                name_of[rare] = words[before[rare] - (1 << 16)] >> np.uint64(16) | np.uint64(1)  # 48 bits tell a place's words apart
+                place = place.astype("<u2")
                 of_pair = of_word[word]
                 for s in np.unique(of_pair).tolist():
                     a, b = np.searchsorted(of_pair, [s, s + 1])
                     hi = starts[b] if b < len(starts) else len(pair)
-                    values = [s, name, _pack(words[word[a:b]].astype("<u8"), place[a:b], known[a:b], count[a:b]), _pack(doc[starts[a] : hi])]
+                    values = [s, name, _pack(words[word[a:b]].astype("<u8"), place[a:b], name_of[a:b], known[a:b], count[a:b]), _pack(doc[starts[a] : hi])]
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "entries", "refs"])
 
     return texts.select("batch", "held", "sizes", "words", "index").mapInArrow(run, "shard int, batch bigint, entries binary, refs binary")
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """applyInArrow over a shard: its distinct (token, restaurant) pairs with training counts, and where texts have them."""
+def _runs(word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Number of each pair's (word, place); those of one follow each other."""
+    new = np.zeros(len(word), np.int32)
+    new[1:] = (word[1:] != word[:-1]) | (place[1:] != place[:-1])
+    return np.cumsum(new, dtype=np.int32)
+
+
+def _gathered(table: pa.Table, own: np.ndarray) -> pa.Table:
+    """applyInArrow over a shard: its distinct (token, word before) pairs with training counts, and where texts have them."""
     parts, sizes = [], []
     for data in table["entries"]:
         parts.append(_unpack(data.as_py(), *_ENTRY))
         sizes.append(len(parts[-1][0]))
-    h, place, known, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((place, h))
+    h, place, before, known, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((before, place, h))
     new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1])
+    new[1:] = (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1]) | (before[order][1:] != before[order][:-1])
     index = np.empty(len(h), "<u4")
     index[order] = np.cumsum(new) - 1
     first = order[new]
     total = np.bincount(index, known, len(first)).astype("<u8")
     word = np.cumsum(np.concatenate([[0], h[first][1:] != h[first][:-1]]))
     per_word = np.bincount(word, total)
+    per_place = np.bincount(_runs(word, place[first]), total)
+    flags = np.where(before[first] > 0, DEEP, 0) | np.where(np.isin(h[first], own) | (h[first] == END), 0, RARE)
     refs, at = [], 0
     for n, docs in zip(sizes, table["refs"], strict=True):
         refs.append({"where": _pack(index[at : at + n], count[at : at + n]), "docs": docs.as_py()})
@@ -213,16 +240,17 @@ def _gathered(table: pa.Table) -> pa.Table:
         {
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
             "words": pa.array([_pack(word.astype("<u4"), place[first].astype("<u2"), total)], pa.binary()),
+            "flags": pa.array([_pack(flags.astype("u1"))], pa.binary()),
             "batches": pa.array([table["batch"].to_pylist()], pa.list_(pa.int64())),
             "refs": pa.array([refs], pa.list_(pa.struct([("where", pa.binary()), ("docs", pa.binary())]))),
             "n": pa.array([int(total.sum())], pa.int64()),
             "v": pa.array([int((per_word > 0).sum())], pa.int64()),
-            "singles": pa.array([level(total) + level(per_word)], pa.list_(pa.int64())),
+            "singles": pa.array([level(per_place) + level(per_word)], pa.list_(pa.int64())),
         }
     )
 
 
-_GATHERED = "shard int, words binary, batches array<bigint>, refs array<struct<where:binary,docs:binary>>, n bigint, v bigint, singles array<bigint>"
+_GATHERED = "shard int, words binary, flags binary, batches array<bigint>, refs array<struct<where:binary,docs:binary>>, n bigint, v bigint, singles array<bigint>"
 
 
 def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -242,33 +270,55 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.
 
 
 class Shard:
-    """The seatings of a shard's words."""
+    """The seatings of a shard's words.
+
+    Of pairs: customers `count` and tables t3 in the rarer words' restaurants; a
+    pair without the flag DEEP has none, its customers go on to its place. Of
+    (word, place), numbered by `at`: customers c2 and tables t2.
+    """
 
-    def __init__(self, data: bytes, number: int, base: float, discounts: tuple[float, float, float], above: np.ndarray | None = None):
-        self.word, self.place, self.count = _unpack(data, "<u4", "<u2", "<u8")
-        self.place, self.count = self.place.astype(np.int64), self.count.astype(np.int64)
+    def __init__(self, data: bytes, number: int, base: float, discounts: tuple[float, float, float], above: np.ndarray | None = None, flags: bytes = b""):
+        self.pair_word, place, count = _unpack(data, "<u4", "<u2", "<u8")
+        self.count = count.astype(np.int64)
+        self.flags = _unpack(flags, "u1")[0] if flags else np.zeros(len(count), np.uint8)
+        self.deep = (self.flags & DEEP) > 0
+        self.many = np.flatnonzero(self.deep & (self.count > 1))
+        self.at = _runs(self.pair_word, place)
+        starts = np.flatnonzero(np.diff(self.at, prepend=-1))
+        self.word, self.place = self.pair_word[starts], place[starts].astype(np.int64)
         self.number, self.base, self.d = number, base, discounts
         self.above = parents(np.zeros(0, np.uint64)) if above is None else above
         n_words = int(self.word[-1]) + 1 if len(self.word) else 0
         pair = self.word.astype(np.int64) * 256 + self.above[self.place]
         named, self.parent = np.unique(pair, return_inverse=True)
         self.parent_word, self.parent_place = named // 256, named % 256
-        self.t2, self.t1, self.t0 = (self.count > 0).astype(np.int64), np.zeros(len(named), np.int64), np.zeros(n_words, np.int64)
+        self.t3 = np.where(self.deep, np.minimum(self.count, 1), self.count)
+        self.c2 = np.bincount(self.at, self.t3, len(self.word)).astype(np.int64)
+        self.t2, self.t1, self.t0 = (self.c2 > 0).astype(np.int64), np.zeros(len(named), np.int64), np.zeros(n_words, np.int64)
         self.c1 = np.bincount(self.parent, self.t2, len(named)).astype(np.int64)
         self.t1 = (self.c1 > 0).astype(np.int64)
         self.c0 = np.bincount(self.parent_word, self.t1, n_words).astype(np.int64)
         self.t0 = (self.c0 > 0).astype(np.int64)
 
     def chances(self, tables: list[np.ndarray], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each pair the word's chance in its restaurant, its parent's and the root. tables: numbers of tables by level (restaurants, parents, root)."""
+        """Of each (word, place) the word's chance in the place, in its parent and in the root. tables: numbers of tables by level (places, parents, root)."""
         d2, d1, d0 = self.d
         t2, t1, t0 = tables
         c1, c0 = np.bincount(self.above, t2, 256), t1.sum()
         p0 = (self.c0 - d0 * self.t0 + (STRENGTH + d0 * t0[0]) * self.base) / (STRENGTH + c0)
         p1 = (self.c1 - d1 * self.t1 + (STRENGTH + d1 * t1[self.parent_place]) * p0[self.parent_word]) / (STRENGTH + c1[self.parent_place])
-        p2 = (self.count - d2 * self.t2 + (STRENGTH + d2 * t2[self.place]) * p1[self.parent]) / (STRENGTH + totals[self.place])
+        p2 = (self.c2 - d2 * self.t2 + (STRENGTH + d2 * t2[self.place]) * p1[self.parent]) / (STRENGTH + totals[self.place])
         return p2, p1, p0
 
+    def undivided(self, p2: np.ndarray) -> np.ndarray:
+        """Of each pair the word's chance, after a rarer word times RARE_STRENGTH and that word's training occurrences."""
+        p = p2[self.at]
+        return np.where(self.deep, self.count + RARE_STRENGTH * p, p)
+
+    def divisors(self) -> np.ndarray:
+        """Of each pair what its word's restaurant, if it has one as a rarer word, divides the chances of the token after it by."""
+        return np.where(self.flags & RARE, RARE_STRENGTH + np.bincount(self.pair_word, self.count)[self.pair_word], 1.0)
+
     @staticmethod
     def _without(customers: np.ndarray, tables: np.ndarray, leaving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of a dish once some customers, of any of its tables, have left."""
@@ -281,12 +331,18 @@ class Shard:
         d2, d1, d0 = self.d
         t2, t1, t0 = tables
         all1, all0 = np.bincount(self.above, t2, 256), t1.sum()
-        _, _, p0 = self.chances(tables, totals)
+        _, p1, p0 = self.chances(tables, totals)
+
+        at, own = self.at[self.many], self.t3[self.many]
+        c2, n2 = self._without(self.c2[at], self.t2[at], own)
+        p2 = (c2 - d2 * n2 + (STRENGTH + d2 * (t2[self.place[at]] - self.t2[at] + n2)) * p1[self.parent[at]]) / (STRENGTH + totals[self.place[at]] - own)
+        self.t3[self.many] = seat(self.count[self.many], RARE_STRENGTH * p2, 0.0, rng)
+        self.c2 = np.bincount(self.at, self.t3, len(self.c2)).astype(np.int64)
 
         home, own = self.parent_place[self.parent], self.t2
         c1, n1 = self._without(self.c1[self.parent], self.t1[self.parent], own)
         p1 = (c1 - d1 * n1 + (STRENGTH + d1 * (t1[home] - self.t1[self.parent] + n1)) * p0[self.parent_word][self.parent]) / (STRENGTH + all1[home] - own)
-        self.t2 = seat(self.count, (STRENGTH + d2 * (t2[self.place] - own)) * p1, d2, rng)
+        self.t2 = seat(self.c2, (STRENGTH + d2 * (t2[self.place] - own)) * p1, d2, rng)
 
         own = self.t1
         c0, n0 = self._without(self.c0[self.parent_word], self.t0[self.parent_word], own)
@@ -301,22 +357,22 @@ class Shard:
         return [np.bincount(self.place, self.t2, len(self.above)), np.bincount(self.parent_place, self.t1, 256), np.array([float(self.t0.sum())])]
 
 
-def _numbers(rows: DataFrame, base: float, discounts: tuple, above: np.ndarray, history: list, totals: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Numbers of tables by level, and of customers, of all restaurants after len(history) sweeps: a task's shards are summed, then the tasks."""
+def _numbers(rows: DataFrame, base: float, discounts: tuple, above: np.ndarray, history: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of tables by level, and of the places' customers, after len(history) sweeps: a task's shards are summed, then the tasks."""
     size = len(above)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(2 * size + 257)
         for got in batches:
-            for number, data in zip(got.column(0).to_pylist(), got.column(1), strict=True):
-                shard = Shard(data.as_py(), number, base, discounts, above)
-                for k, tables in enumerate(history):
-                    shard.sweep(k, tables, totals)
-                out += np.concatenate([*shard.tables(), np.bincount(shard.place, shard.count, size)])
+            for number, data, flags in zip(got.column(0).to_pylist(), got.column(1), got.column(2), strict=True):
+                shard = Shard(data.as_py(), number, base, discounts, above, flags.as_py())
+                for k, numbers in enumerate(history):
+                    shard.sweep(k, *numbers)
+                out += np.concatenate([*shard.tables(), np.bincount(shard.place, shard.c2, size)])
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.float64())], names=["at", "x"])
 
-    sums = rows.select("shard", "words").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # at most 2 * (4096 + 1 / SHARE) + 257 rows
+    sums = rows.select("shard", "words", "flags").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # at most 2 * (4096 + 1 / SHARE) + 257 rows
     out = np.zeros(2 * size + 257)
     out[sums["at"].to_numpy()] = sums["x"].to_numpy()
     return [out[:size], out[size : size + 256], out[size + 256 : size + 257]], out[size + 257 :]
@@ -338,31 +394,30 @@ def scores(docs: DataFrame, held_out_of: int = 10, sweeps: int = SWEEPS, burn_in
     own, tokens = _common(texts)
     above = parents(own)
     batches = _batches(texts, max(12, -(-tokens // SHARD_TOKENS)), own)
-    gathered = settle(batches.groupBy("shard").applyInArrow(_gathered, _GATHERED), "lm-shards")
+    gathered = settle(batches.groupBy("shard").applyInArrow(lambda t: _gathered(t, own), _GATHERED), "lm-shards")
     n, v, *singles = gathered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), *(F.coalesce(F.sum(F.col("singles")[i]), F.lit(0)) for i in range(4))).first()
     of = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
     d2, d0 = of(*singles[:2]), of(*singles[2:])
     discounts, base = (d2, (d2 + d0) / 2, d0), 1.0 / (v + 1)
 
-    start, totals = _numbers(gathered, base, discounts, above, [], None)
-    history = [start]
-    for _ in range(sweeps):
-        history.append(_numbers(gathered, base, discounts, above, history, totals)[0])
+    history = []
+    for _ in range(sweeps + 1):
+        history.append(_numbers(gathered, base, discounts, above, history))
     floor = np.log10(n + 0.1 * (v + 1))
 
     def score(got_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in got_batches:
-            for number, data, names, refs in zip(*(got.column(i) for i in range(4)), strict=True):
-                shard = Shard(data.as_py(), number.as_py(), base, discounts, above)
+            for number, data, flags, names, refs in zip(*(got.column(i) for i in range(5)), strict=True):
+                shard = Shard(data.as_py(), number.as_py(), base, discounts, above, flags.as_py())
                 mean = np.zeros(len(shard.count))
                 for k in range(sweeps):
-                    shard.sweep(k, history[k], totals)
+                    shard.sweep(k, *history[k])
                     if k >= burn_in:
-                        mean += shard.chances(history[k + 1], totals)[0]
-                log = np.log10(mean / (sweeps - burn_in))
-                train = np.bincount(shard.word, shard.count)
-                plain = (np.log10(train + 0.1) - floor)[shard.word]
-                known = (train > 0)[shard.word]
+                        mean += shard.undivided(shard.chances(*history[k + 1])[0])
+                log = np.log10(mean / (sweeps - burn_in)) - np.log10(shard.divisors())
+                train = np.bincount(shard.pair_word, shard.count)
+                plain = (np.log10(train + 0.1) - floor)[shard.pair_word]
+                known = (train > 0)[shard.pair_word]
                 for name, ref in zip(names.as_py(), refs, strict=True):
                     index, count = _unpack(ref["where"].as_py(), "<u4", "<u4")
                     doc = _unpack(ref["docs"].as_py(), "<u2")[0].astype(np.int64)
@@ -372,7 +427,7 @@ def scores(docs: DataFrame, held_out_of: int = 10, sweeps: int = SWEEPS, burn_in
                     has = np.flatnonzero(np.bincount(doc, minlength=size))
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([_pack(has.astype("<u2"))], pa.binary()), pa.array([b"".join(s[has].tobytes() for s in sums)], pa.binary())], names=["batch", "which", "sums"])
 
-    partial = gathered.select("shard", "words", "batches", "refs").mapInArrow(score, "batch bigint, which binary, sums binary")
+    partial = gathered.select("shard", "words", "flags", "batches", "refs").mapInArrow(score, "batch bigint, which binary, sums binary")
 
     def together(table: pa.Table) -> pa.Table:
         listed = next(r for r in table.to_pylist() if r["docs"])

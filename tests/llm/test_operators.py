@@ -513,3 +513,36 @@ def test_seating_matches_one_by_one():
             t += rng.random() < 0.7 / (0.7 + n - 0.5 * t)
         slow.append(t)
     assert abs(fast - np.mean(slow)) < 0.06
+
+
+def test_rarer_words_before_are_told_apart(spark, monkeypatch):
+    """No word has a listed restaurant; zab and yab end alike, and yet what followed one of them is no likelier after the other."""
+    common = pitman_yor._common
+    monkeypatch.setattr(pitman_yor, "_common", lambda texts: common(texts, 1.0))
+    rows = [(i, "zab left" if i % 2 else "yab right") for i in range(400)] + [(1000, "zab left"), (1001, "zab right"), (1002, "yab left"), (1003, "yab right")]
+    p = {r["doc_id"]: r["score"] for r in pitman_yor.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert p[1000] - p[1001] > 0.5 and p[1003] - p[1002] > 0.5
+
+
+def test_chances_after_rarer_words_sum_to_one():
+    """Two levels of shared places and a restaurant a word before: over all words and the unseen, each word's chances are one."""
+    rng, n = np.random.default_rng(6), 30
+    word, before = np.repeat(np.arange(n), 8), np.tile(np.arange(8), n)
+    place = before // 4 * 16 + 3
+    count = rng.integers(0, 4, len(word))
+    count[before == 0] += 1  # every word is known
+    shard = pitman_yor.Shard(pitman_yor._pack(word.astype("<u4"), place.astype("<u2"), count.astype("<u8")), 0, 1 / (n + 1), (0.6, 0.5, 0.4), None, pitman_yor._pack(np.full(len(word), pitman_yor.DEEP, "u1")))
+    numbers = lambda: (shard.tables(), np.bincount(shard.place, shard.c2, pitman_yor.PLACES))
+    for k in range(3):
+        shard.sweep(k, *numbers())
+        assert (shard.t3 <= count).all() and ((shard.t3 > 0) == (count > 0)).all()
+        tables, totals = numbers()
+        p2, p1, p0 = shard.chances(tables, totals)
+        a, (d2, d1, d0) = pitman_yor.STRENGTH, shard.d
+        new = (a + d0 * tables[2][0]) * shard.base / (a + tables[1].sum())
+        for b in range(8):
+            x, parent = b // 4 * 16 + 3, b // 4
+            c1 = np.bincount(shard.above, tables[0], 256)[parent]
+            unseen = (a + d2 * tables[0][x]) / (a + totals[x]) * (a + d1 * tables[1][parent]) / (a + c1) * new
+            c = count[before == b].sum()
+            assert abs((shard.undivided(p2)[before == b].sum() + pitman_yor.RARE_STRENGTH * unseen) / (pitman_yor.RARE_STRENGTH + c) - 1) < 1e-9
