@@ -45,6 +45,8 @@ from barloom.llm.common import lower_ascii, scramble, settle, steps, words_of
 BATCH_TOKENS, SWEEPS, BURN_IN, STRENGTH = 2_000_000, 4, 1, 1.0
 #: Restaurants of rarer words' endings; share of the training tokens from which a word has its own; tokens of a shard.
 PLACES, SHARE, SHARD_TOKENS = 4096, 2e-5, 3_000_000
+#: Tokens of a batch that are sorted at a time.
+SLICE_TOKENS = 250_000
 #: Strength of rarer words' own restaurants.
 RARE_STRENGTH = 10.0
 #: Flags of a pair: after a rarer word; a rarer word itself.
@@ -112,6 +114,18 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 _ENTRY = ("<u8", "<u2", "<u8", "<u4", "<u4")  # token, restaurant, rarer word before (or 0), occurrences in training texts, in all texts
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the place of each value among them; np.unique's inverse in half the memory."""
+    order = np.argsort(values)
+    inner = values[order]
+    new = np.ones(len(inner), bool)
+    new[1:] = inner[1:] != inner[:-1]
+    inner = inner[new]
+    index = np.empty(len(values), "<u4")
+    index[order] = np.cumsum(new, dtype="<u4") - np.uint32(1)
+    return inner, index
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """(batch, docs, held, sizes, trained, words, index) of batches of whole texts: each token as its word's number in the batch."""
 
@@ -119,10 +133,12 @@ def _tokens(docs: DataFrame) -> DataFrame:
         tokens, ids, held, sizes, parts, seen = Tokens(), [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words, index = np.unique(np.concatenate(parts), return_inverse=True)
-            training = np.repeat(~np.array(held, bool), sizes)
-            trained = np.bincount(index[training], minlength=len(words))
-            values = {"batch": uuid.uuid4().int >> 65, "docs": ids, "held": held, "sizes": sizes, "trained": int(trained.sum()), "words": _pack(words.astype("<u8"), trained.astype("<u4")), "index": _pack(index.astype("<u4"))}
+            flat = np.concatenate(parts)
+            parts.clear()
+            words, index = _numbered(flat)
+            del flat
+            trained = np.bincount(index[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
+            values = {"batch": uuid.uuid4().int >> 65, "docs": ids, "held": held, "sizes": sizes, "trained": int(trained.sum()), "words": _pack(words.astype("<u8"), trained.astype("<u4")), "index": _pack(index)}
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values.values(), kinds, strict=True)], names=list(values))
 
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
@@ -163,6 +179,17 @@ def _common(texts: DataFrame, share: float = SHARE) -> tuple[np.ndarray, int]:
     return np.sort(own.astype(np.int64).view(np.uint64)), total
 
 
+def _slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbouring shards taken together while they have at most so many tokens; a larger one is alone."""
+    out, low, total = [], 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > low and total + n > most:
+            out.append((low, k))
+            low, total = k, 0
+        total += n
+    return [*out, (low, len(sizes))]
+
+
 def _batches(texts: DataFrame, shards: int, own: np.ndarray) -> DataFrame:
     """(shard, batch, entries, refs): a batch's distinct (token, word before) pairs with their counts, and which texts have them."""
 
@@ -173,34 +200,42 @@ def _batches(texts: DataFrame, shards: int, own: np.ndarray) -> DataFrame:
                 words, (index,) = _unpack(words, "<u8", "<u4")[0], _unpack(index, "<u4")
                 of_word = (scramble(words) % np.uint64(shards)).astype(np.int32)
                 dealt = np.lexsort((words, of_word))
-                rank = np.empty(len(words), np.uint64)
-                rank[dealt] = np.arange(len(words), dtype=np.uint64)
+                rank = np.empty(len(words), "<u4")
+                rank[dealt] = np.arange(len(words), dtype="<u4")
                 after = restaurants(words, own)
-                code = np.where(after < PLACES, np.arange(len(words)) + (1 << 16), after)  # rarer words by their number
-                before = np.empty(len(index), np.uint64)
+                code = np.where(after < PLACES, np.arange(len(words)) + (1 << 16), after).astype("<u4")  # rarer words by their number
+                before = np.empty(len(index), "<u4")
                 before[1:] = code[index[:-1]]
                 before[np.cumsum([0, *sizes[:-1]])] = START
-                pair = rank[index] << np.uint64(32) | before
-                order = np.argsort(pair, kind="stable")  # documents stay in order
-                pair = pair[order]
-                doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)[order]
-                training = np.repeat(~np.array(held, bool), sizes)[order]
-                starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-                count = np.diff(np.append(starts, len(pair))).astype("<u4")
-                known = np.add.reduceat(training.astype("<u4"), starts).astype("<u4")
-                word = dealt[(pair[starts] >> np.uint64(32)).astype(np.int64)]
-                before = (pair[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                rare = before >= 1 << 16
-                place, name_of = before.copy(), np.zeros(len(before), "<u8")
-                place[rare] = after[before[rare] - (1 << 16)]
-                name_of[rare] = words[before[rare] - (1 << 16)] >> np.uint64(16) | np.uint64(1)  # 48 bits tell a place's words apart
-                place = place.astype("<u2")
-                of_pair = of_word[word]
-                for s in np.unique(of_pair).tolist():
-                    a, b = np.searchsorted(of_pair, [s, s + 1])
-                    hi = starts[b] if b < len(starts) else len(pair)
-                    values = [s, name, _pack(words[word[a:b]].astype("<u8"), place[a:b], name_of[a:b], known[a:b], count[a:b]), _pack(doc[starts[a] : hi])]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "entries", "refs"])
+                index = rank[index]
+                doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)
+                training = np.repeat(~np.array(held, bool), sizes)
+                size_of = np.bincount(of_word, np.bincount(index, minlength=len(words))[rank], shards)
+                for low, high in _slices(size_of, SLICE_TOKENS):
+                    first, end = np.searchsorted(of_word[dealt], [low, high])
+                    mine = np.flatnonzero((index >= first) & (index < end))
+                    if not len(mine):
+                        continue
+                    pair = index[mine].astype(np.uint64) << np.uint64(32) | before[mine]
+                    order = np.argsort(pair, kind="stable")  # documents stay in order
+                    pair, mine = pair[order], mine[order]
+                    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                    count = np.diff(np.append(starts, len(pair))).astype("<u4")
+                    known = np.add.reduceat(training[mine].astype("<u4"), starts).astype("<u4")
+                    size = len(pair)
+                    pair = pair[starts]
+                    word = dealt[(pair >> np.uint64(32)).astype(np.int64)]
+                    place = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    rare, name_of = np.flatnonzero(place >= 1 << 16), np.zeros(len(place), "<u8")
+                    prior = place[rare] - (1 << 16)
+                    place[rare] = after[prior]
+                    name_of[rare] = words[prior] >> np.uint64(16) | np.uint64(1)  # 48 bits tell a place's words apart
+                    place, of_pair = place.astype("<u2"), of_word[word]
+                    for s in np.unique(of_pair).tolist():
+                        a, b = np.searchsorted(of_pair, [s, s + 1])
+                        hi = starts[b] if b < len(starts) else size
+                        values = [s, name, _pack(words[word[a:b]].astype("<u8"), place[a:b], name_of[a:b], known[a:b], count[a:b]), _pack(doc[mine[starts[a] : hi]])]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "entries", "refs"])
 
     return texts.select("batch", "held", "sizes", "words", "index").mapInArrow(run, "shard int, batch bigint, entries binary, refs binary")
 
@@ -214,23 +249,29 @@ def _runs(word: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _gathered(table: pa.Table, own: np.ndarray) -> pa.Table:
     """applyInArrow over a shard: its distinct (token, word before) pairs with training counts, and where texts have them."""
-    parts, sizes = [], []
-    for data in table["entries"]:
-        parts.append(_unpack(data.as_py(), *_ENTRY))
-        sizes.append(len(parts[-1][0]))
-    h, place, before, known, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((before, place, h))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1]) | (before[order][1:] != before[order][:-1])
-    index = np.empty(len(h), "<u4")
-    index[order] = np.cumsum(new) - 1
-    first = order[new]
+    parts = [_unpack(data.as_py(), *_ENTRY) for data in table["entries"]]
+    sizes = [len(x[0]) for x in parts]
+    h, place, before, known, count = (np.concatenate([x.pop(0) for x in parts]) for _ in _ENTRY)
+    index, first, top = np.empty(len(h), "<u4"), [], (h >> np.uint64(60)).astype(np.uint8)
+    for k in range(16):  # by the hash's first bits, so that a part is sorted at a time
+        order = np.flatnonzero(top == k)
+        order = order[np.lexsort((before[order], place[order], h[order]))]
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for x in (h, place, before):
+            x = x[order]
+            new[1:] |= x[1:] != x[:-1]
+        index[order] = np.cumsum(new) + (sum(map(len, first)) - 1)
+        first.append(order[new])
+    first = np.concatenate(first)
+    h, place, deep = h[first], place[first], before[first] > 0
+    del before, top
     total = np.bincount(index, known, len(first)).astype("<u8")
-    word = np.cumsum(np.concatenate([[0], h[first][1:] != h[first][:-1]]))
+    word = np.zeros(len(h), np.int32)
+    word[1:] = np.cumsum(h[1:] != h[:-1], dtype=np.int32)
     per_word = np.bincount(word, total)
-    per_place = np.bincount(_runs(word, place[first]), total)
-    flags = np.where(before[first] > 0, DEEP, 0) | np.where(np.isin(h[first], own) | (h[first] == END), 0, RARE)
+    per_place = np.bincount(_runs(word, place), total)
+    flags = np.where(deep, np.uint8(DEEP), np.uint8(0)) | np.where((restaurants(h, own) >= PLACES) | (h == END), np.uint8(0), np.uint8(RARE))
     refs, at = [], 0
     for n, docs in zip(sizes, table["refs"], strict=True):
         refs.append({"where": _pack(index[at : at + n], count[at : at + n]), "docs": docs.as_py()})
@@ -239,7 +280,7 @@ def _gathered(table: pa.Table, own: np.ndarray) -> pa.Table:
     return pa.table(
         {
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
-            "words": pa.array([_pack(word.astype("<u4"), place[first].astype("<u2"), total)], pa.binary()),
+            "words": pa.array([_pack(word.astype("<u4"), place.astype("<u2"), total)], pa.binary()),
             "flags": pa.array([_pack(flags.astype("u1"))], pa.binary()),
             "batches": pa.array([table["batch"].to_pylist()], pa.list_(pa.int64())),
             "refs": pa.array([refs], pa.list_(pa.struct([("where", pa.binary()), ("docs", pa.binary())]))),
@@ -290,7 +331,7 @@ class Shard:
         self.above = parents(np.zeros(0, np.uint64)) if above is None else above
         n_words = int(self.word[-1]) + 1 if len(self.word) else 0
         pair = self.word.astype(np.int64) * 256 + self.above[self.place]
-        named, self.parent = np.unique(pair, return_inverse=True)
+        named, self.parent = _numbered(pair)
         self.parent_word, self.parent_place = named // 256, named % 256
         self.t3 = np.where(self.deep, np.minimum(self.count, 1), self.count)
         self.c2 = np.bincount(self.at, self.t3, len(self.word)).astype(np.int64)
@@ -369,6 +410,7 @@ def _numbers(rows: DataFrame, base: float, discounts: tuple, above: np.ndarray,
                 for k, numbers in enumerate(history):
                     shard.sweep(k, *numbers)
                 out += np.concatenate([*shard.tables(), np.bincount(shard.place, shard.c2, size)])
+                del shard  # before the next is made
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.float64())], names=["at", "x"])
 
@@ -418,6 +460,7 @@ def scores(docs: DataFrame, held_out_of: int = 10, sweeps: int = SWEEPS, burn_in
                 train = np.bincount(shard.pair_word, shard.count)
                 plain = (np.log10(train + 0.1) - floor)[shard.pair_word]
                 known = (train > 0)[shard.pair_word]
+                del shard, mean, train
                 for name, ref in zip(names.as_py(), refs, strict=True):
                     index, count = _unpack(ref["where"].as_py(), "<u4", "<u4")
                     doc = _unpack(ref["docs"].as_py(), "<u2")[0].astype(np.int64)

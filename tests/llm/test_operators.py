@@ -481,6 +481,37 @@ def test_language_model(spark, table, docs, empty):
     assert pitman_yor.scores(empty).count() == 0
 
 
+def test_language_model_sorts_a_batch_in_parts():
+    """Memory for a batch's pairs, besides what is yielded, and for a shard's, by a token; the pairs are all there."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    rng = np.random.default_rng(3)
+    n, distinct = 1_000_000, np.sort(rng.integers(1 << 13, 1 << 62, 50_000, dtype=np.uint64))
+    index = (distinct.size * rng.random(n) ** 3).astype("<u4")
+    values = [([7], pa.int64()), ([[False, True]], pa.list_(pa.bool_())), ([[n // 2, n // 2]], pa.list_(pa.int64())), ([pitman_yor._pack(distinct, np.zeros(len(distinct), "<u4"))], pa.binary()), ([pitman_yor._pack(index)], pa.binary())]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in values], names=["batch", "held", "sizes", "words", "index"])
+    tracemalloc.start()
+    try:
+        parts, seen = [], 0
+        for got in pitman_yor._batches(Rows(), 20, distinct[:100])(iter([batch])):
+            parts.append(got)
+            seen += int(pitman_yor._unpack(got["entries"][0].as_py(), *pitman_yor._ENTRY)[4].sum())
+        assert seen == n and sorted(x["shard"][0].as_py() for x in parts) == list(range(20))
+        made = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made < 55 * n
+
+
 def test_chances_sum_to_one():
     rng = np.random.default_rng(2)
     h = np.repeat(np.arange(40), 6)
