@@ -443,6 +443,27 @@ def test_byte_encoder_fuzz():
     assert bit_planes.unpacked_ids(bit_planes.packed_ids(np.array([70_000, 1], "<u4"))).tolist() == [70_000, 1]
 
 
+def test_latin_words_are_encoded_side_by_side():
+    """Words of ASCII and of Latin letters go to the library as a few long texts; what else stands in a text goes alone; ids are the library's."""
+    e, rng = bit_planes.ByteEncoder(BYTES, 2), random.Random(2)
+    text = "".join(" " + "".join(rng.choice("abcéèñßœŉ÷×") for _ in range(8)) for _ in range(3000)) + " x\xa0 y \u2003é \x85 ñ\x1c z\t a\x7f"
+    lib, sent = e.lib, []
+
+    class Counted:
+        def encode(self, text, **named):
+            sent.append(text)
+            return lib.encode(text, **named)
+
+        def encode_batch_fast(self, texts, **named):
+            sent.extend(texts)
+            return lib.encode_batch_fast(texts, **named)
+
+    e.lib = Counted()
+    got = e.encode([text, text[::-1]])
+    assert [x.tolist() for x in got] == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in (text, text[::-1])]
+    assert len(sent) < 3000
+
+
 def test_host_path_and_rules(spark):
     from pyspark.sql import functions as F
 
